@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, mixing
+from foliant.llm import bpe, jaccard, mixing
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), rule=jaccard.Rule(4, 85, 100))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -58,7 +62,7 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op3_jaccard": op3_jaccard, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

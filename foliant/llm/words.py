@@ -131,10 +131,8 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
             s = np.sort(total[lo : hi - k + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif hi > lo:
-            whole = np.uint64(hi - lo)
-            for i in range(hi - lo):
-                whole = whole + h[lo + i] * odd[i]
-            out.append(mix(np.array([whole ^ np.uint64(0x5851F42D4C957F2D)], np.uint64)))
+            whole = (h[lo:hi] * np.array(odd[: hi - lo])).sum(keepdims=True) + np.uint64(hi - lo)
+            out.append(mix(whole ^ np.uint64(0x5851F42D4C957F2D)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
