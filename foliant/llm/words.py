@@ -64,8 +64,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, block by block to bound memory."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, block by block to bound memory.
+
+        With most, a longer word's hash is that of its first most bytes and no
+        whole word's.
+        """
         out = np.empty(len(self.start), np.uint64)
         block = self.start // _BLOCK
         cuts = np.flatnonzero(np.diff(block)) + 1 if len(block) else np.zeros(0, int)
@@ -77,7 +81,11 @@ class Words:
                 # bytes count from 1, so that a word is not a prefix of itself padded
                 np.cumsum((self.text[base:stop].astype(np.uint64) + np.uint64(1)) * power[: stop - base], out=total[1:])
                 s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
-                out[lo:hi] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+                size = (e - s).astype(np.uint64)
+                if most is not None:
+                    size = np.where(e - s > most, np.uint64(1 << 62), size)
+                    e = np.minimum(e, s + most)
+                out[lo:hi] = mix((total[e] - total[s]) * inverse[s] + size)
         return out
 
 
