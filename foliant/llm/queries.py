@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, jaccard, mixing, toxicity
+from foliant.llm import bpe, jaccard, language, mixing, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by text and source, then pages by text, markup and address; either id is null."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    found = language.identify(docs.select("doc_id", "source", "text"), model, host=F.col("source"))
+    columns = ["language", "confidence", "text_language", "accepted"]
+    pages, evidence = language.page_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    on_pages = language.identify(pages, model, **evidence)
+    null = F.lit(None).cast("long")
+    return found.select("doc_id", null.alias("page_id"), *columns).unionByName(on_pages.select(null.alias("doc_id"), "page_id", *columns))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), rule=jaccard.Rule(4, 85, 100))
 
@@ -70,7 +82,7 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_jaccard": op3_jaccard, "op5_toxicity": op5_toxicity, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op5_toxicity": op5_toxicity, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
