@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, jaccard, language, mixing, toxicity
+from foliant.llm import bpe, jaccard, language, mixing, toxicity, urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -41,6 +41,32 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Without canonical links and refreshes, which the tables do not have; the tests cover them.
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT * FROM (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) v(verdict, rule)
+), m AS (
+  SELECT p.page_id, p.host, p.path, r.rule, r.verdict
+  FROM p LEFT JOIN r ON (p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1)))
+                    AND starts_with(p.path, substr(r.rule, strpos(r.rule, '/')))
+)
+SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict
+FROM m GROUP BY page_id, host, path
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -82,8 +108,8 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op5_toxicity": op5_toxicity, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op5_toxicity": op5_toxicity, "op7_urls": op7_urls, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op7_urls": OP7_SQL, "op10_mixing": OP10_SQL}
