@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, jaccard, language, mixing, toxicity, urls
+from foliant.llm import bpe, jaccard, language, mixing, toxicity, urls, warc
+from foliant.llm.storage import cut
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -67,6 +68,48 @@ FROM m GROUP BY page_id, host, path
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything returned is read back from the normalised archives; a revisit's payload is its response's."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    marked = warc.dedup(pages, "page_id", "html")
+    rows = marked.select(
+        warc.record_id(F.col("page_id")).alias("record_id"),
+        "record_type",
+        F.col("url").alias("target_uri"),
+        "payload_digest",
+        F.when(F.col("refers_to").isNotNull(), warc.record_id(F.col("refers_to"))).alias("refers_to"),
+        F.encode("html", "UTF-8").alias("payload"),
+    )
+    index = warc.normalise(warc.write_monolithic(rows))
+    found = warc.read(index).select(
+        warc.key_of(F.col("record_id"), "long").alias("page_id"),
+        F.length("payload").cast("long").alias("own_bytes"),
+        F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.when(F.col("refers_to").isNotNull(), warc.key_of(F.col("refers_to"), "long")).alias("refers_to"),
+    )
+    found = cut(found, "records")
+    wanted = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("_of")).distinct()
+    sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("_of"), "own_bytes").join(wanted, "_of", "left_semi")
+    sizes = cut(sizes.groupBy("_of").agg(F.max("own_bytes").alias("_bytes")), "sizes")
+    out = found.join(sizes, F.col("refers_to") == F.col("_of"), "left")
+    n = F.when(F.col("record_type") == "response", F.col("own_bytes")).otherwise(F.col("_bytes"))
+    return out.select("page_id", n.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN).drop("text")
@@ -108,8 +151,8 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op5_toxicity": op5_toxicity, "op7_urls": op7_urls, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op5_toxicity": op5_toxicity, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op7_urls": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
