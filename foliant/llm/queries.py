@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, jaccard, language, media, mixing, toxicity, urls, warc
+from foliant.llm import bpe, jaccard, language, licenses, media, mixing, toxicity, urls, warc
 from foliant.llm.storage import cut
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,6 +51,22 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda b: b["start"])
+    named = lambda *spans: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.transform(s, lambda b: b["label"]) for s in spans)))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        named("base").alias("base_labels"),
+        named("base", "detections").alias("labels"),
+        "score",
+    )
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -160,7 +176,7 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
