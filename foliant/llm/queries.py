@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, jaccard, language, licenses, media, mixing, toxicity, urls, warc
+from foliant.llm import bpe, itq, jaccard, language, licenses, media, mixing, toxicity, urls, warc
 from foliant.llm.storage import cut
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by text and source, then pages by text, markup and address; either id is null."""
     docs = table(spark, sf_dir, "documents")
@@ -176,7 +180,7 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op1_itq": op1_itq, "op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
