@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+
+def W() -> WindowSpec:  # noqa: N802
+    """A document's rows in order."""
+    return Window.partitionBy("doc_id").orderBy("pos")
 
-W = Window.partitionBy("doc_id").orderBy("pos")
 DIGITS = "一二三四五六七八九"
 
 
@@ -81,7 +85,7 @@ def assign_anchors(blocks: DataFrame) -> DataFrame:
 
 def assign_pages(blocks: DataFrame) -> DataFrame:
     """Add page_start and page_end from page breaks; null in documents without any."""
-    upto = F.sum("page_breaks").over(W.rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("page_breaks").over(W().rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("page_breaks").over(Window.partitionBy("doc_id"))
     return blocks.withColumns({"page_start": F.when(total > 0, 1 + upto - F.col("page_breaks")), "page_end": F.when(total > 0, 1 + upto)})
 

@@ -6,11 +6,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+
+def W() -> WindowSpec:  # noqa: N802
+    """A document's rows in order."""
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
+def ALL() -> WindowSpec:  # noqa: N802
+    return Window.partitionBy("doc_id")
+
+
+def BEFORE() -> WindowSpec:  # noqa: N802
+    return W().rowsBetween(Window.unboundedPreceding, -1)
 
-W = Window.partitionBy("doc_id").orderBy("pos")
-ALL = Window.partitionBy("doc_id")
-BEFORE = W.rowsBetween(Window.unboundedPreceding, -1)
 
 # Numbering families in the order in which they are tried.
 FAMILIES = [
@@ -43,9 +53,9 @@ def score_profiles(blocks: DataFrame, profiles: list[tuple[str, list[tuple[int,
     parts = []
     for rank, (name, levels) in enumerate(profiles):
         lv = blocks.select("doc_id", "pos", heading_level(F.col("text"), levels).alias("level")).where("level is not null")
-        last1 = F.max(F.when(F.col("level") == 1, F.col("pos"))).over(BEFORE)
+        last1 = F.max(F.when(F.col("level") == 1, F.col("pos"))).over(BEFORE())
         lv = lv.withColumn("_l1", last1).withColumn("_ok2", (F.col("level") == 2) & F.col("_l1").isNotNull())
-        lv = lv.withColumn("_l2", F.max(F.when(F.col("_ok2"), F.col("pos"))).over(BEFORE))
+        lv = lv.withColumn("_l2", F.max(F.when(F.col("_ok2"), F.col("pos"))).over(BEFORE()))
         ok3 = (F.col("level") == 3) & F.col("_l2").isNotNull() & (F.col("_l2") > F.coalesce("_l1", F.lit(-1)))
         n = lambda c: F.count(F.when(c, 1))
         each = lv.groupBy("doc_id").agg(*(n(F.col("level") == k).alias(f"n{k}") for k in (1, 2, 3)), n(F.col("level") == 1).alias("v1"), n(F.col("_ok2")).alias("v2"), n(ok3).alias("v3"))
@@ -78,8 +88,8 @@ def attachment_start(blocks: DataFrame, formal: str, named: str) -> DataFrame:
 
 def tail_start(blocks: DataFrame, marker: str, signature: str) -> DataFrame:
     """doc_id, tail_start: last marker paragraph; else last signature table; else first signature line near the end."""
-    n = F.count("*").over(ALL)
-    rows = blocks.withColumns({"_n": n, "_i": F.row_number().over(W)})
+    n = F.count("*").over(ALL())
+    rows = blocks.withColumns({"_n": n, "_i": F.row_number().over(W())})
     is_p, signs = F.col("kind") == "p", F.col("text").rlike(signature)
     late = F.col("_i") > F.col("_n") - F.greatest(F.lit(20), F.floor(F.col("_n") / 3))
     pick = lambda f, c: f(F.when(c, F.col("pos")))
@@ -106,10 +116,10 @@ def attachment_starts(blocks: DataFrame, numbered: str) -> DataFrame:
 
 def visual_title(blocks: DataFrame, keyword: str, size: int = 55) -> DataFrame:
     """Add visual_title boolean: short, unnumbered, laid out as a title, and followed by text, a table or a heading."""
-    after = W.rowsBetween(1, 5)
+    after = W().rowsBetween(1, 5)
     content = F.max(((F.col("kind") == "tbl") | F.col("level").isNotNull() | (F.length("text") > 25)).cast("int")).over(after)
     score = (F.col("alignment") == "center").cast("int") + (F.col("bold_fraction") >= 0.5).cast("int") + (F.col("max_font_size") >= 28).cast("int")
-    place = (F.row_number().over(W) <= 8) | F.col("text").rlike(keyword)
+    place = (F.row_number().over(W()) <= 8) | F.col("text").rlike(keyword)
     return blocks.withColumn("visual_title", (F.col("kind") == "p") & (F.length("text") <= size) & F.col("num_id").isNull() & (score >= 2) & place & (F.coalesce(content, F.lit(0)) == 1))
 
 
@@ -172,7 +182,7 @@ def required_sequences(numbered: DataFrame) -> DataFrame:
 
 def next_text(blocks: DataFrame, size: int = 100) -> DataFrame:
     """Add next_text: the next text that is not empty, on one line, cut at size."""
-    later = W.rowsBetween(1, Window.unboundedFollowing)
+    later = W().rowsBetween(1, Window.unboundedFollowing)
     found = F.first(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(later)
     return blocks.withColumn("next_text", F.substring(F.replace(found, F.lit("\n"), F.lit(" ")), 1, size))
 

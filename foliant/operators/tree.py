@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from foliant.functions.text import estimate_tokens, extractive_summary
 from foliant.operators.greedy import greedy_batches
 
-W = Window.partitionBy("doc_id").orderBy("pos")
+
+def W() -> WindowSpec:  # noqa: N802
+    """A document's rows in order."""
+    return Window.partitionBy("doc_id").orderBy("pos")
+
 
 
 def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3) -> DataFrame:
@@ -20,7 +25,7 @@ def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3) -> Da
     parent/l2_001 below; ordinals count siblings of one level.
     """
     h = headings
-    before, after = W.rowsBetween(Window.unboundedPreceding, -1), W.rowsBetween(1, Window.unboundedFollowing)
+    before, after = W().rowsBetween(Window.unboundedPreceding, -1), W().rowsBetween(1, Window.unboundedFollowing)
     for k in range(1, levels + 1):
         at = F.when(F.col("level") == k, F.col("pos"))
         h = h.withColumns({f"_p{k}": F.last(at, True).over(before), f"_n{k}": F.first(at, True).over(after)})
@@ -114,7 +119,7 @@ def content_view(nodes: DataFrame) -> DataFrame:
 
 def sections_between(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """starts (doc_id, pos, ...) with ordinal and end_pos: up to the next start or the document's end."""
-    out = starts.join(ends, "doc_id", "left").withColumns({"ordinal": F.row_number().over(W), "_next": F.lead("pos").over(W)})
+    out = starts.join(ends, "doc_id", "left").withColumns({"ordinal": F.row_number().over(W()), "_next": F.lead("pos").over(W())})
     return out.withColumn("end_pos", F.coalesce("_next", "range_end")).drop("_next", "range_end")
 
 
@@ -145,7 +150,7 @@ def resolve_heading(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def hierarchy_errors(headings: DataFrame, most: int = 6) -> DataFrame:
     """doc_id, pos, level, error: levels out of range, a first level other than 1, jumps down by more than one."""
-    last = F.lag("level").over(W)
+    last = F.lag("level").over(W())
     error = F.when(~F.col("level").between(1, most), "range").when(last.isNull() & (F.col("level") != 1), "first").when(F.col("level") > last + 1, "jump")
     return headings.withColumn("error", error).where("error is not null").select("doc_id", "pos", "level", "error")
 
@@ -155,13 +160,13 @@ def batch_with_overlap(items: DataFrame, target: int, overlap: int) -> DataFrame
 
     items: doc_id, pos, w. Batches follow from the one before, so a document is folded as a whole.
     """
-    groups = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("w").cast("double")))).alias("x"))
+    groups = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("w").cast("double").alias("w")))).alias("x"))
     return groups.select("doc_id", F.posexplode(_overlapping(target, overlap)("x")).alias("batch", "r")).select("doc_id", (F.col("batch") + 1).alias("batch"), "r.start_pos", "r.end_pos")
 
 
 def _overlapping(target: int, overlap: int):
     @F.pandas_udf("array<struct<start_pos:int,end_pos:int>>")
-    def cut(groups: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def cut(groups: pd.Series) -> pd.Series:
         out = []
         for x in groups:
             at, ranges = 0, []
@@ -177,8 +182,6 @@ def _overlapping(target: int, overlap: int):
                     back, repeated = back - 1, repeated + x[back - 1]["w"]
                 at = back
             out.append(ranges)
-        import pandas as pd
-
         return pd.Series(out)
 
     return cut

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import blocks
+from foliant.plans import blocks, retrieve, tree
 
-MODULES = (blocks,)
+MODULES = (blocks, tree, retrieve)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
