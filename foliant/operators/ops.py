@@ -44,10 +44,14 @@ def reconcile_interrupted(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fixed, events
 
 
+def _seconds(name: str) -> Column:
+    return F.col(name).cast("timestamp").cast("double")
+
+
 def heartbeat_gaps(beats: DataFrame, timeout: float) -> DataFrame:
     """worker, ts, gap: beats that come more than timeout seconds after the one before."""
     w = Window.partitionBy("worker").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    gap = _seconds("ts") - F.lag(_seconds("ts")).over(w)
     return beats.withColumn("gap", F.round(gap, 3)).where(F.col("gap") > timeout).select("worker", "event_id", "gap")
 
 
@@ -57,8 +61,8 @@ def lease_concurrency(calls: DataFrame, ttl: float = 600.0) -> DataFrame:
     A sweep over starts and ends: time is cut to hours first, so that a kind's
     sweep runs in many tasks, each starting from the leases still open.
     """
-    a = F.col("start").cast("double")
-    z = F.least(F.coalesce(F.col("end").cast("double"), a + ttl), a + ttl)
+    a = _seconds("start")
+    z = F.least(F.coalesce(_seconds("end"), a + ttl), a + ttl)
     leases = calls.select("kind", a.alias("a"), z.alias("z"))
     hours = F.explode(F.sequence(F.floor(F.col("a") / 3600), F.floor(F.col("z") / 3600))).alias("hour")
     pieces = leases.select("kind", "a", "z", hours)
@@ -86,8 +90,8 @@ def phase_durations(steps: DataFrame, actions: list[str]) -> DataFrame:
 
 
 def stage_timings(records: DataFrame) -> DataFrame:
-    """records (key, name, at) with label: repeated names get #n from the second on."""
-    i = F.row_number().over(Window.partitionBy("key", "name").orderBy("at"))
+    """records (key, name, moment) with label: repeated names get #n from the second on."""
+    i = F.row_number().over(Window.partitionBy("key", "name").orderBy("moment"))
     return records.withColumn("_i", i).withColumn("label", F.when(F.col("_i") == 1, F.col("name")).otherwise(F.concat("name", F.lit("#"), F.col("_i").cast("string")))).drop("_i")
 
 

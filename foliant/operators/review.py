@@ -15,8 +15,8 @@ def extract_json(raw: Column) -> Column:
     """
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
     plain = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    body = F.trim(F.when(fenced != "", fenced).otherwise(plain))
-    flat = F.translate(body, "\t\r\n", "   ")
+    body = F.when(fenced != "", fenced).otherwise(plain)
+    flat = F.trim(F.translate(body, "\t\r\n", "   "))
     bad = flat.rlike(r"[\x00-\x1F]") | (F.substring(flat, 1, 1) != "{")
     return F.when(~bad & F.try_parse_json(flat).isNotNull(), flat)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import blocks, retrieve, tree
+from foliant.plans import blocks, ops, retrieve, review, tree
 
-MODULES = (blocks, tree, retrieve)
+MODULES = (blocks, tree, retrieve, review, ops)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
