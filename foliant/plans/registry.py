@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import blocks, ops, retrieve, review, tree
+from foliant.plans import blocks, ops, retrieve, review, sources, tree
 
-MODULES = (blocks, tree, retrieve, review, ops)
+MODULES = (blocks, tree, retrieve, review, ops, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
