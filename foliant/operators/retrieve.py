@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.text import document_mode
 from foliant.operators.greedy import greedy_batches
 
 
@@ -219,3 +220,24 @@ def search(nodes: DataFrame, steps: DataFrame, anchors: DataFrame, budget: int =
     used = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
     fit = kept.withColumns({"_used": used, "_i": F.row_number().over(w)}).where((F.col("_used") <= budget) | (F.col("_i") == 1))
     return anchor_context(fit, anchors)
+
+
+def content_units(matches: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
+    """doc_id, node_id, part, text: what matches (doc_id, node_id, text, text_override, is_table, tokens) give to a page.
+
+    An override wins. A table without text gives its row chunks (doc_id,
+    node_id, part, text), one with text stays whole; other texts above the
+    budget are cut.
+    """
+    over = F.col("text_override").isNotNull()
+    blank = F.coalesce("is_table", F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    whole = matches.where(over | (F.col("is_table") & ~blank)).select("doc_id", "node_id", F.lit(0).alias("part"), F.coalesce("text_override", "text").alias("text"))
+    rows = chunks.join(matches.where(~over & blank).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", "node_id", "part", "text")
+    texts = chunk_oversized(matches.where(~over & ~F.coalesce("is_table", F.lit(False))), budget)
+    return whole.unionByName(rows).unionByName(texts)
+
+
+def structure_summary(nodes: DataFrame) -> DataFrame:
+    """doc_id, nodes, tokens, mode of each document's tree."""
+    out = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.sum("tokens").alias("tokens"))
+    return out.withColumn("mode", document_mode(F.col("tokens")))

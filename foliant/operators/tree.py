@@ -229,3 +229,41 @@ def token_rows(nodes: DataFrame) -> DataFrame:
 def subtree(nodes: DataFrame, root: Column) -> DataFrame:
     """Nodes below (or equal to) root: by the path that an id is."""
     return nodes.where((F.col("node_id") == root) | F.startswith(F.col("node_id"), F.concat(root, F.lit("/"))))
+
+
+def merge_batches(rows: DataFrame, most: int = 6) -> DataFrame:
+    """doc_id, pos, level: levels of overlapping batches (doc_id, batch, pos, level) on one scale.
+
+    A batch is shifted by the most frequent difference on the positions that it
+    shares with what is merged already (the first seen on ties), and clamped to
+    1..most; positions keep the level of their first batch. A batch depends on
+    those before it, so a document is merged as a whole, by its numbers alone.
+    """
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        known: dict[int, int] = {}
+        for _, batch in part.sort_values(["batch", "pos"]).groupby("batch"):
+            shift: dict[int, int] = {}
+            for pos, level in zip(batch["pos"], batch["level"], strict=True):
+                if pos in known:
+                    shift[known[pos] - level] = shift.get(known[pos] - level, 0) + 1
+            offset = max(shift, key=shift.get) if shift else 0
+            for pos, level in zip(batch["pos"], batch["level"], strict=True):
+                known.setdefault(pos, min(most, max(1, level + offset)))
+        return pd.DataFrame({"doc_id": part["doc_id"].iloc[0], "pos": list(known), "level": list(known.values())})
+
+    return rows.select("doc_id", "batch", "pos", "level").groupBy("doc_id").applyInPandas(merge, "doc_id long, pos int, level int")
+
+
+def split_structure(nodes: DataFrame, budget: int) -> DataFrame:
+    """doc_id, parent_id, node_id, page: whole subtrees packed to budget tokens among their siblings.
+
+    A subtree above the budget gives way to its children, under a page group of
+    its own; a single node above it has a page for itself.
+    """
+    below = nodes.select("doc_id", F.col("node_id").alias("_n"), F.col("tokens").alias("_t"))
+    inside = (F.col("_n") == F.col("node_id")) | F.startswith("_n", F.concat("node_id", F.lit("/")))
+    sized = nodes.join(below, "doc_id").where(inside).groupBy("doc_id", "node_id", "parent_id", "pos").agg(F.sum("_t").alias("size"), F.count("*").alias("_k"))
+    up = sized.select("doc_id", F.col("node_id").alias("parent_id"), F.col("size").alias("_above"))
+    units = sized.join(up, ["doc_id", "parent_id"], "left").where(((F.col("size") <= budget) | (F.col("_k") == 1)) & (F.col("_above").isNull() | (F.col("_above") > budget)))
+    return greedy_batches(units, ["doc_id", "parent_id"], "pos", "size", budget, batch="page", carry=["node_id"]).drop("pos")

@@ -199,6 +199,15 @@ Q = {
         lambda s, d: E.prefer_specific(found(s, d).where("source = 'region'").withColumn("source", F.lit("join"))).select("query_id", "doc_id", "node_id"),
         f"WITH {FOUND} SELECT query_id, doc_id, node_id FROM found m WHERE source = 'region' AND NOT EXISTS (SELECT 1 FROM found o WHERE o.source = 'region' AND o.query_id = m.query_id AND o.doc_id = m.doc_id AND starts_with(o.node_id, m.node_id || '/'))",
     ),
+    "e24_content_units": (
+        lambda s, d: E.content_units(
+            blocks(s, d).selectExpr("doc_id", "CAST(pos AS STRING) AS node_id", "CASE WHEN kind = 'tbl' AND pos % 2 = 0 THEN '' ELSE text END AS text", "CASE WHEN pos % 10 = 3 THEN 'override' END AS text_override", "kind = 'tbl' AS is_table", "tokens"),
+            blocks(s, d).where("kind = 'tbl'").selectExpr("doc_id", "CAST(pos AS STRING) AS node_id", "explode(array(0, 1)) AS part", "text").withColumn("text", F.concat("text", F.col("part").cast("string"))), 40,
+        ),
+        f"WITH {BLOCKS}, p AS (SELECT *, CASE WHEN kind = 'tbl' AND pos % 2 = 0 AND pos % 10 <> 3 THEN 2 WHEN kind <> 'tbl' AND pos % 10 <> 3 AND tokens > 40 THEN greatest(1, CAST(ceil(n / 80.0) AS INT)) ELSE 1 END AS parts FROM blocks), q AS (SELECT *, unnest(range(0, parts)) AS part FROM p)"
+        " SELECT doc_id, CAST(pos AS VARCHAR) AS node_id, CAST(part AS INT) AS part, CASE WHEN pos % 10 = 3 THEN 'override' WHEN kind = 'tbl' AND pos % 2 = 0 THEN text || part WHEN kind = 'tbl' OR tokens <= 40 THEN text ELSE substr(text, part * 80 + 1, 80) END AS text FROM q",
+    ),
+    "e29_structure_summary": (lambda s, d: E.structure_summary(nodes(s, d)), f"WITH {NODES} SELECT doc_id, count(*) AS nodes, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN sum(tokens) <= 6000 THEN 'compact' WHEN sum(tokens) <= 20000 THEN 'paged' ELSE 'filtered' END AS mode FROM nodes GROUP BY doc_id"),
     "e25_chunk_oversized": (
         lambda s, d: E.chunk_oversized(blocks(s, d).withColumn("node_id", F.col("pos").cast("string")), 40),
         f"WITH {BLOCKS}, p AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil(n / 80.0) AS INT)))) AS part FROM blocks) SELECT doc_id, CAST(pos AS VARCHAR) AS node_id, CAST(part AS INT) AS part, CASE WHEN tokens > 40 THEN substr(text, part * 80 + 1, 80) ELSE text END AS text FROM p WHERE tokens > 40 OR part = 0",

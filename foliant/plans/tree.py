@@ -127,6 +127,10 @@ Q = {
         f"WITH {BLOCKS}, l AS (SELECT doc_id, pos, level, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM blocks WHERE level IS NOT NULL), e AS (SELECT doc_id, pos, level, CASE WHEN level NOT BETWEEN 1 AND 2 THEN 'range' WHEN p IS NULL AND level <> 1 THEN 'first' WHEN level > p + 1 THEN 'jump' END AS error FROM l) SELECT * FROM e WHERE error IS NOT NULL",
     ),
     "d18_overlap": (lambda s, d: D.batch_with_overlap(blocks(s, d).select("doc_id", "pos", F.col("tokens").alias("w")), 200, 40), None),
+    "d19_merge_batches": (
+        lambda s, d: D.merge_batches(blocks(s, d).where("level IS NOT NULL").select("doc_id", F.explode(F.expr("CASE WHEN pos % 14 < 3 THEN array(floor(pos / 14), floor(pos / 14) - 1) ELSE array(floor(pos / 14)) END")).alias("batch"), "pos", "level").selectExpr("doc_id", "CAST(batch AS INT) AS batch", "pos", "CAST(level + pmod(batch, 2) AS INT) AS level")),
+        None,
+    ),
     "d20_oversized_leaves": (lambda s, d: D.oversized_leaves(materialized(s, d), 100).select("doc_id", "node_id", "tokens"), f"WITH {MATERIAL} SELECT doc_id, node_id, tokens FROM material m WHERE tokens > 100 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = m.doc_id AND n.parent_id = m.node_id)"),
     "d21_summary_inputs": (
         lambda s, d: D.summary_inputs(materialized(s, d), 100),
@@ -146,6 +150,13 @@ Q = {
         lambda s, d: greedy_batches(blocks(s, d).where("kind = 'p'"), ["doc_id"], "pos", "tokens", 120).groupBy("doc_id", "batch").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")),
         f"WITH RECURSIVE {BLOCKS}, ps AS (SELECT * FROM blocks WHERE kind = 'p'), " + fold_sql("ps", "doc_id", "pos", "tokens", "120") + " SELECT doc_id, batch, min(pos) AS first_pos, max(pos) AS last_pos FROM folded GROUP BY ALL",
     ),
+    "e21_split_structure": (
+        lambda s, d: D.split_structure(nodes(s, d), 60),
+        f"WITH RECURSIVE {NODES}, z AS (SELECT n.doc_id, n.node_id, n.parent_id, n.pos, sum(b.tokens) AS size, count(*) AS k FROM nodes n JOIN nodes b ON b.doc_id = n.doc_id AND (b.node_id = n.node_id OR starts_with(b.node_id, n.node_id || '/')) GROUP BY ALL),"
+        " units AS (SELECT z.* FROM z LEFT JOIN z u ON u.doc_id = z.doc_id AND u.node_id = z.parent_id WHERE (z.size <= 60 OR z.k = 1) AND (u.size IS NULL OR u.size > 60)),"
+        + fold_sql("units", "doc_id, parent_id", "pos", "size", "60")
+        + " SELECT f.doc_id, f.parent_id, u.node_id, f.batch AS page FROM folded f JOIN units u ON u.doc_id = f.doc_id AND u.parent_id = f.parent_id AND u.pos = f.pos",
+    ),
     "e26_paginate": (
         lambda s, d: greedy_batches(blocks(s, d), ["doc_id"], "pos", "tokens", 80, batch="page").groupBy("doc_id", "page").agg(F.count("*").alias("units")),
         f"WITH RECURSIVE {BLOCKS}, " + fold_sql("blocks", "doc_id", "pos", "tokens", "80") + " SELECT doc_id, batch AS page, count(*) AS units FROM folded GROUP BY ALL",

@@ -110,3 +110,15 @@ def test_overlapping_batches_progress(spark):
 def test_sanitize(spark):
     df = spark.createDataFrame([("a\\b/c d?.txt",), ("...",)], "n string")
     assert [r.x for r in df.select(A.sanitize_name(F.col("n")).alias("x")).collect()] == ["c_d_.txt", "file"]
+
+
+def test_batches_merge_on_one_scale(spark):
+    rows = [(1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 3, 2), (1, 1, 2, 1), (1, 1, 3, 1), (1, 1, 4, 2), (1, 2, 4, 6), (1, 2, 5, 1), (2, 5, 9, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, batch int, pos int, level int")
+    assert {(r.doc_id, r.pos): r.level for r in D.merge_batches(df).collect()} == {(1, 1): 1, (1, 2): 2, (1, 3): 2, (1, 4): 3, (1, 5): 1, (2, 9): 6}
+
+
+def test_empty_tables(spark):
+    nodes = spark.createDataFrame([], "doc_id long, node_id string, parent_id string, pos int, tokens int")
+    assert D.split_structure(nodes, 10).count() == 0
+    assert E.structure_summary(nodes).count() == 0
