@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, jaccard, language, mixing, toxicity
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = docs.columns
     model = language.train(docs)
-    rows = docs.withColumn("_text", F.col("text"))
-    found = language.identify(rows, model, text="_text", host=F.col("source"))
+    found = language.identify(docs, model, host=F.col("source"), keep_text=True)
     return found.where("accepted").withColumn("lang", F.col("language")).select(columns)
 
 
@@ -72,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, release
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -21,24 +21,29 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
     nodes = e.select("u").union(e.select("v")).distinct().select(F.col("u").alias("node"))
     e = cut(_contract(e), "edges")
-    labels = None
+    labels, last = None, e
     while not e.isEmpty():
         both = e.union(e.select(F.col("v"), F.col("u")))
         up = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
-        up = cut(up.select("node", F.least("node", "low").alias("up")), "pointers")
+        near = cut(up.select("node", F.least("node", "low").alias("up")), "pointers")
+        up = near
         for _ in range(2):
             on = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
             up = up.join(on, "up", "left").select("node", F.coalesce("next", "up").alias("up"))
         up = cut(up, "pointers")
+        release(near)
+        old = labels
         if labels is None:
-            labels = up.select("node", F.col("up").alias("component"))
+            labels = cut(up.select("node", F.col("up").alias("component")), "labels")
         else:
             step = up.select(F.col("node").alias("component"), "up")
             labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         for end in ("u", "v"):
             step = up.select(F.col("node").alias(end), F.col("up").alias("to"))
             e = e.join(step, end, "left").withColumn(end, F.coalesce("to", end)).select("u", "v")
-        e = cut(_contract(e), "edges")
+        whole, e = last, cut(_contract(e), "edges")
+        release(whole, up, old)
+        last = e
     if labels is None:
         return nodes.select("node", F.col("node").alias("component"))
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from foliant.llm import words
 from foliant.llm.graph import connected_components
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, release
 
 #: Counters of the sketch, and how many travel in a row.
 SKETCH_BITS, SLICE_BITS = 20, 12
@@ -172,7 +172,6 @@ def _open_pairs(shared: DataFrame, components: DataFrame, rule: Rule) -> DataFra
     compared with each other; the smaller set must hold the shingle in its core.
     """
     p = shared.join(components.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    p = cut(p, "labelled")
     lists = p.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("pos", "n", "cls", "component")).alias("p"))
     lists = lists.where("lo <> hi").select("gram", F.col("p.component").alias("main"))
     p = p.join(lists, "gram").withColumn("in_main", F.col("component") == F.col("main")).drop("main")
@@ -186,21 +185,23 @@ def _open_pairs(shared: DataFrame, components: DataFrame, rule: Rule) -> DataFra
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """a, b of the pairs that link: suffix filter, then each pair once on whole sets."""
+    """a, b of the pairs that link, written: suffix filter, then each pair once on whole sets."""
     own = classes.select("cls", "n_shingles", "bins")
     for end in ("a", "b"):
         pairs = pairs.join(own.select(F.col("cls").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("bins").alias(f"bins_{end}")), end)
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     most = F.col("n_a") + F.col("n_b") - 2 * rule.overlap(F.col("n_a"), F.col("n_b"))
-    pairs = cut(pairs.where(apart <= most).select("a", "b"), "candidates")
+    pairs = found = cut(pairs.where(apart <= most).select("a", "b"), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = cut(wanted.join(classes.select("cls", "first_id"), "cls"), "wanted")
     texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text")).join(wanted.select("first_id").distinct(), "first_id", "left_semi")
-    sets = cut(_sets(texts.select("text"), rule), "sets")
-    sets = sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    kept = cut(_sets(texts.select("text"), rule), "sets")
+    sets = kept.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("cls").alias(end), F.col("grams").alias(f"grams_{end}")), end)
-    return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(_Verify(rule), "a long, b long")
+    links = cut(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(_Verify(rule), "a long, b long"), "links")
+    release(found, wanted, kept)
+    return links
 
 
 def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -253,15 +254,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lists = postings.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("gram")
     shared = cut(postings.join(lists, "gram").distinct(), "postings")
     first = cut(_typical_pairs(shared, rule), "pairs")
-    edges = cut(_verified(first, classes, docs, doc_id, text, rule), "links")
+    edges = _verified(first, classes, docs, doc_id, text, rule)
     components = cut(connected_components(edges, "a", "b"), "components")
     rest = _open_pairs(shared, components, rule).join(first, ["a", "b"], "left_anti")
-    more = cut(_verified(rest, classes, docs, doc_id, text, rule), "links")
+    more = _verified(rest, classes, docs, doc_id, text, rule)
     if not more.isEmpty():
+        release(components)
         components = cut(connected_components(edges.union(more), "a", "b"), "components")
     linked = classes.join(components, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     moved = linked.join(least, "component").where("members > 1 or first_id <> last_id")
     moved = cut(moved.select("cls", "component_id"), "moved")
+    release(shared, first, edges, more, components, classes)
     out = mine.where("doc_id is not null").join(moved, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.union(mine.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import words
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, release
 
 #: The text model is fitted on so many labelled rows at most, those of the smallest hashes, and on so many languages, the most frequent.
 SAMPLE_ROWS, MOST_LANGUAGES = 5_000, 32
@@ -96,20 +96,21 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
     return TextModel(languages or ["und"], np.log(p.T).astype(np.float32).copy())
 
 
-def _likelihoods(df: DataFrame, text: str, model: TextModel) -> DataFrame:
-    """df without its text, with _n (trigrams), _ll (array of log-likelihoods)."""
+def _likelihoods(df: DataFrame, text: str, model: TextModel, keep_text: bool) -> DataFrame:
+    """df, without its text if that isn't kept, with _n (trigrams), _ll (array of log-likelihoods)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in df.schema if f.name != text]
+    rest = [f for f in df.schema if f.name != text]
+    kept = [*(f for f in df.schema if f.name == text and keep_text), *rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in words.slices(batch.column(0)):
                 ll, n = shared.value.log_likelihoods(raw, offsets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], pa.array(n.astype(np.int64)), flat], names=[*(f.name for f in kept), "_n", "_ll"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[0 if keep_text else 1 :], pa.array(n.astype(np.int64)), flat], names=[*(f.name for f in kept), "_n", "_ll"])
 
     schema = T.StructType([*kept, T.StructField("_n", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))])
-    return df.select(text, *(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
+    return df.select(text, *(f"`{f.name}`" for f in rest)).mapInArrow(run, schema)
 
 
 def _counts(rows: DataFrame, key: str, languages: list[str]) -> DataFrame:
@@ -129,9 +130,9 @@ def _smoothed(own: str, above: Column) -> Column:
 
 
 def identify(
-    df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None
+    df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None, keep_text: bool = False
 ) -> DataFrame:
-    """df without its text, with language, confidence (its posterior), text_language and accepted.
+    """df, without its text if that isn't kept, with language, confidence (its posterior), text_language and accepted.
 
     Null or unknown evidence is no evidence. Where neither text, markup nor
     suffix say anything, the language follows the prior and accepted is false;
@@ -143,14 +144,17 @@ def identify(
     df = df.drop("language", "confidence", "text_language", "accepted").withColumns({"_host": none if host is None else host, "_domain": none if domain is None else domain, "_suffix": none if suffix is None else suffix})
     primary = F.regexp_extract(F.lower(none if declared is None else declared), r"^\s*([a-z]{2,3})\b", 1)
     df = df.withColumn("_declared", F.when(primary.isin(languages), primary).when(primary != "", F.lit("other")))
-    rows = _likelihoods(df, text, model)
-    best = F.array_position("_ll", F.array_max("_ll")) - 1
-    rows = cut(rows.withColumn("_best", best.cast("int")), "evidence")
-    seen = rows.where("_n > 0").agg(*(F.count(F.when(F.col("_best") == i, 1)) for i in range(len(languages)))).first()
+    keys = ("_host", "_domain", "_suffix", "_declared")
+    best = (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int").alias("_best")
+    # what is counted is written without texts; the texts are read again below
+    first = cut(_likelihoods(df.select(text, *keys), text, model, False).select(*keys, "_n", best), "evidence")
+    rows = _likelihoods(df, text, model, keep_text).select("*", best)
+    seen = first.where("_n > 0").agg(*(F.count(F.when(F.col("_best") == i, 1)) for i in range(len(languages)))).first()
     of = [float(x or 0) for x in seen]
     prior = F.array(*(F.lit((x + 1.0) / (sum(of) + len(of))) for x in of))
-    for key in ("_host", "_domain", "_suffix", "_declared"):
-        rows = rows.join(_counts(rows.select(key, "_best", "_n"), key, languages), key, "left")
+    for key in keys:
+        rows = rows.join(_counts(first.select(key, "_best", "_n"), key, languages), key, "left")
+    release(first)
     size = F.array(*map(F.lit, of))
 
     def likelihood(own: str) -> Column:
