@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 LOOKAHEAD = 4
 #: Characters of a leaf of text, bytes of a leaf of a piece, ids of a leaf when decoding.
 TEXT_LEAF, BYTE_LEAF, ID_LEAF = 1 << 15, 8, 1 << 12
-#: Pieces and pairs that a worker remembers; beyond that it starts afresh.
-MEMORY = 300_000
+#: Pieces, leaves and pairs that a worker remembers; beyond that, and after each partition, it starts afresh.
+MEMORY = 150_000
 #: No merge: above every rank.
 NONE = 1 << 62
 
@@ -66,6 +66,10 @@ class ByteBPE:
         self._leaves: dict[bytes, list[int]] = {}
         self._pieces = _Pieces(self.encode_bytes)
 
+    def forget(self) -> None:
+        for known in (self._pairs, self._leaves, self._pieces):
+            known.clear()
+
     # bytes of one piece -> ids
 
     def _merge(self, data: bytes) -> list[int]:
@@ -239,5 +243,7 @@ def _mapped(df: DataFrame, column: str, added: list[tuple], f: Callable, rows: i
                 part = batch.slice(lo, rows)
                 made = [pa.array(x, kind) for x, (_, _, kind) in zip(f(part.column(column)), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(a for a, _, _ in added)])
+        load(*f.args).forget()  # workers outlive their tasks
+        pa.default_memory_pool().release_unused()
 
     return used.mapInArrow(run, T.StructType([*kept, *(T.StructField(a, kind) for a, kind, _ in added)]))
