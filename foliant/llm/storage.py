@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder and Spark runs on one machine.
 LOCAL_DEFAULT = "file:///tmp/checkpoints/foliant"
@@ -39,6 +40,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def smallest(df: DataFrame, place: str, n: int) -> DataFrame:
+    """The n rows of the smallest place, a column of whole numbers.
+
+    Only places are sorted across tasks; whole rows move after the last place
+    that counts is known, so no task gathers more than n rows and ties.
+    """
+    last = df.select(place).orderBy(place).limit(n).agg({place: "max"}).first()[0]
+    return df.where(F.col(place) <= (last if last is not None else 0)).orderBy(place).limit(n)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete the files of cut frames that nothing still to be run reads."""
     for df in frames:
