@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.graph import connected_components
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, smallest
 
 #: The projection and rotations are fitted on so many vectors at most, those of the smallest hashes.
 SAMPLE_ROWS = 8_192
@@ -128,7 +128,7 @@ def _block(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _same_length(classes: DataFrame, d: int, least: float, index: Index) -> DataFrame:
     """cid, links, low: what blocks found among classes whose vectors have d components."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("embedding")).select("embedding").limit(SAMPLE_ROWS).toArrow()["embedding"].combine_chunks()
+    sample = smallest(classes.select("embedding", F.xxhash64("embedding").alias("place")), "place", SAMPLE_ROWS).toArrow()["embedding"].combine_chunks()
     codes = spark.sparkContext.broadcast(fit(_unit(_matrix(sample, d)), index))
 
     def run(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import words
-from foliant.llm.storage import cut, release
+from foliant.llm.storage import cut, release, smallest
 
 #: The text model is fitted on so many labelled rows at most, those of the smallest hashes, and on so many languages, the most frequent.
 SAMPLE_ROWS, MOST_LANGUAGES = 5_000, 32
@@ -73,7 +73,8 @@ class TextModel:
 def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id") -> TextModel:
     """Fit the text model on rows whose language is known; null languages and empty texts are left out."""
     known = rows.where(F.col(language).isNotNull() & (F.length(text) > 0))
-    sample = cut(known.orderBy(F.xxhash64(F.col(key).cast("string"))).select(F.col(text).alias("text"), F.col(language).alias("language")).limit(SAMPLE_ROWS), "sample")
+    known = known.select(F.col(text).alias("text"), F.col(language).alias("language"), F.xxhash64(F.col(key).cast("string")).alias("place"))
+    sample = cut(smallest(known, "place", SAMPLE_ROWS).drop("place"), "sample")
     languages = [r[0] for r in sample.groupBy("language").count().orderBy(F.col("count").desc(), "language").limit(MOST_LANGUAGES).collect()]
     place = {x: i for i, x in enumerate(languages)}
 
@@ -90,6 +91,7 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n[k, at])], names=["k", "at", "n"])
 
     found = sample.mapInArrow(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    release(sample)
     n = np.zeros((max(len(languages), 1), 1 << GRAM_BITS))
     n[found["k"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
     p = (n + 0.1) / (n + 0.1).sum(axis=1, keepdims=True)
