@@ -76,6 +76,16 @@ def test_held_out_toxicity(spark):
     assert all(0 <= s <= 1 for s in out.values())
 
 
+def test_texts_of_toxic_words_only(spark):
+    rows = toxic_rows(6, 1200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    short = ["vermin", "Vermin scoundrel", "w1. scoundrel vermin", "vermin vermin vermin", "w1", "w1 w2 w3", ""]
+    out = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string"), model).collect()}
+    assert all(out[i] >= 0.5 for i in range(4)), out
+    assert all(out[i] < 0.5 for i in range(4, 7)), out
+
+
 def test_labels_of_one_kind(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(20)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
