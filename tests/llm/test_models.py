@@ -86,6 +86,22 @@ def test_texts_of_toxic_words_only(spark):
     assert all(out[i] < 0.5 for i in range(4, 7)), out
 
 
+def test_steps_are_told_apart(spark):
+    """'cala' and 'dote' agree in the leading 21 bits of their hashes, and thus shared a bucket."""
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{r.randrange(90)}" for _ in range(20)), int(i % 4 == 0)) for i in range(1200)]
+    rows = [(i, f"{t} {'cala cala' if y else 'dote'} x{i}", y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    counted = toxicity._counted(spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int"))
+    assert counted.where("level = 0 AND n0 + n1 = 1 AND followed <> 1").count() == 0
+    assert sorted((r.n0, r.n1) for r in counted.where("level = 0 AND (n1 = 300 OR n0 = 900)").collect()) == [(0, 300), (900, 0)]
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    short = spark.createDataFrame([(0, "cala"), (1, "dote"), (1, "dote"), (None, "cala w1"), (None, "cala w1")], "at long, text string")
+    out = {(r.at, r.text): r.score for r in toxicity.toxicity(short, model).collect()}
+    assert toxicity.toxicity(short, model).count() == 5
+    assert out[0, "cala"] >= 0.5 and out[None, "cala w1"] >= 0.5 and out[1, "dote"] < 0.5
+
+
 def test_labels_of_one_kind(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in range(20)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
