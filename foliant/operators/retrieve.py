@@ -103,9 +103,12 @@ def fallback_needed(steps: DataFrame, matches: DataFrame) -> DataFrame:
     return out.where(F.col("_hybrid") | F.col("_found").isNull() | (F.col("_fallback") & ~F.col("_complete"))).select("query_id", "doc_id")
 
 
-def vector_entries(nodes: DataFrame, size: int = 8000) -> DataFrame:
-    """doc_id, node_id, entry, text_hash: labelled lines of title, summary and text; nodes without text are left out."""
-    entry = F.substring(F.concat_ws("\n", F.concat(F.lit("title: "), "title"), F.concat(F.lit("summary: "), "summary"), F.concat(F.lit("text: "), "text")), 1, size)
+def vector_entries(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, entry, text_hash: labelled lines of title, summary and whole text; nodes without text are left out.
+
+    An embedder that takes fewer tokens cuts what it is sent, not the entry.
+    """
+    entry = F.concat_ws("\n", F.concat(F.lit("title: "), "title"), F.concat(F.lit("summary: "), "summary"), F.concat(F.lit("text: "), "text"))
     return nodes.where(F.trim("text") != "").select("doc_id", "node_id", entry.alias("entry"), F.sha2(entry, 256).alias("text_hash"))
 
 

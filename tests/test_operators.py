@@ -122,3 +122,10 @@ def test_empty_tables(spark):
     nodes = spark.createDataFrame([], "doc_id long, node_id string, parent_id string, pos int, tokens int")
     assert D.split_structure(nodes, 10).count() == 0
     assert E.structure_summary(nodes).count() == 0
+
+
+def test_vector_entries_hold_whole_texts(spark):
+    rows = [(1, f"n{i}", "t", "s", "x" * 9000 + end) for i, end in enumerate(["a", "b"])] + [(1, "n2", "t", "s", " ")]
+    out = E.vector_entries(spark.createDataFrame(rows, "doc_id long, node_id string, title string, summary string, text string")).collect()
+    assert sorted(r.entry[-1] for r in out) == ["a", "b"]
+    assert len({r.text_hash for r in out}) == 2
