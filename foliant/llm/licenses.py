@@ -12,7 +12,7 @@ hashes and always stay.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,7 +33,7 @@ BASE = [
 
 #: label: (names in words, keywords of which a text must have all). Punctuation is a blank.
 LICENSES: dict[str, tuple[str, str]] = {
-    "afl": ("academic free license|afl", "academic"),
+    "afl": ("academic free license|afl", "academic|afl"),
     "agpl": ("gnu affero general public license|affero general public license|agpl", "affero|agpl"),
     "apache": ("apache license|apache software license|apache", "apache"),
     "apsl": ("apple public source license|apsl", "apple|apsl"),
@@ -82,17 +82,21 @@ LICENSES: dict[str, tuple[str, str]] = {
     "zpl": ("zope public license|zpl", "zope|zpl"),
 }
 
-#: (priority, weight, regex around NAME, keywords of which a text must have one): higher priorities first.
+#: (priority, weight, regex around NAME, keywords of which a text must have one; with * also longer words): higher priorities first.
 WORDINGS = [
     (6, 0.99, r"spdx licen[cs]e identifier (?:NAME)(?: \d[\d ]*\b)?(?: only| or later)?", "spdx"),
     (5, 0.95, r"(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: v(?:ersion)? ?\d[\d ]*\b)?", "under"),
-    (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) [a-z0-9 ]{0,80}?(?:NAME)", "permission|redistribute|redistributed|redistribution|use"),
-    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? v(?:ersion)? ?\d[\d ]*\b(?: only| or(?: \w+){0,3} later(?: version)?)?", "version|v1|v2|v3|v"),
+    (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) [a-z0-9 ]{0,80}?(?:NAME)", "permission|redistribut*|use"),
+    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? v(?:ersion)? ?\d[\d ]*\b(?: only| or(?: \w+){0,3} later(?: version)?)?", "|".join(["v", "version", *(f"{v}{digit}*" for v in ("v", "version") for digit in range(10))])),
     (2, 0.7, r"(?:under|see|per|by) (?:the )?(?:NAME)(?: licen[cs]e)\b", "license|licence"),
     (1, 0.5, r"(?:NAME) licen[cs]e\b", "license|licence"),
 ]
 
 
+#: Identifiers that stand for a license only behind the first wording, as words like these mean other things too.
+SPDX = {"artistic": "artistic", "mit": "mit|x11", "php": "php", "postgresql": "postgresql", "psf": "psf|python", "vim": "vim", "w3c": "w3c", "zlib": "zlib"}
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -108,6 +112,8 @@ def rules() -> tuple[Rule, ...]:
     made = []
     for priority, weight, wording, words_needed in WORDINGS:
         for label, (names, keywords) in LICENSES.items():
+            if wording == WORDINGS[0][2] and label in SPDX:
+                names = f"{names}|{SPDX[label]}"
             pattern = rf"(?<![^ ]){wording.replace('NAME', names)}(?![^ ])"
             made.append(Rule(label, priority, weight, re.compile(pattern.encode()), (frozenset(words_needed.split("|")), frozenset(keywords.split("|")))))
     return tuple(made)
@@ -140,12 +146,33 @@ class Scanner:
     def __init__(self) -> None:
         self.base = [(hashes_of(phrase), label) for phrase, label in BASE]
         gates = sorted({w for rule in rules() for gate in rule.gates for w in gate})
-        self.gate_hash = np.array([hashes_of(w)[0] for w in gates])
-        order = np.argsort(self.gate_hash)
-        self.gate_hash, self.gate_word = self.gate_hash[order], [gates[i] for i in order]
-
-    def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-        """(words, base places as (start, label), kept detections) of each text."""
+        self.gates = [self._table([w.rstrip("*") for w in gates], gates, None)]
+        for n in sorted({len(w) - 1 for w in gates if w.endswith("*")}):
+            self.gates.append(self._table(*zip(*((w[:-1] + "_", w) for w in gates if w.endswith("*") and len(w) == n + 1), strict=True), n))
+
+    @staticmethod
+    def _table(samples: Iterable[str], gates: Iterable[str], most: int | None) -> tuple[int | None, np.ndarray, list[str]]:
+        """most, sorted hashes of words that meet gates (if most is given, of longer words' beginnings), and the gates."""
+        every = np.ones(256, bool)
+        split = [np.frombuffer(w.encode(), np.uint8) for w in samples]
+        h = np.array([words.split(raw, np.array([0, len(raw)]), every).hashes(most)[0] for raw in split])
+        order = np.argsort(h)
+        return most, h[order], [list(gates)[i] for i in order]
+
+    def _gated(self, w: words.Words) -> list[set[str]]:
+        """The gates that each text meets."""
+        have: list[set[str]] = [set() for _ in range(len(w.first) - 1)]
+        for most, table, gates in self.gates:
+            h = w.hashes(most)
+            place = np.minimum(np.searchsorted(table, h), len(table) - 1)
+            hit = np.flatnonzero(table[place] == h)
+            owner = np.searchsorted(w.first, hit, side="right") - 1
+            for pair in np.unique(owner * len(table) + place[hit]):
+                have[pair // len(table)].add(gates[pair % len(table)])
+        return have
+
+    def scan(self, raw: np.ndarray, offsets: np.ndarray, gated: bool = True) -> list[tuple]:
+        """(words, base places as (start, label), kept detections) of each text; the gates save time only."""
         w = words.split(raw, offsets, words.ALNUM)
         h, first = w.hashes(), w.first
         n = len(h)
@@ -160,14 +187,10 @@ class Scanner:
                     doc = int(np.searchsorted(first, at, side="right")) - 1
                     if at + m <= first[doc + 1]:
                         base[doc].append((int(at - first[doc]), label))
-        place = np.minimum(np.searchsorted(self.gate_hash, h), len(self.gate_hash) - 1)
-        gated = np.flatnonzero(self.gate_hash[place] == h)
-        owner = np.searchsorted(first, gated, side="right") - 1
+        gates = self._gated(w)
         out = []
-        edges = np.searchsorted(owner, np.arange(len(first)))
         for doc in range(len(first) - 1):
-            have = {self.gate_word[k] for k in np.unique(place[gated[edges[doc] : edges[doc + 1]]])}
-            wanted = [r for r in rules() if all(gate & have for gate in r.gates)] if len(have) > 1 else []
+            wanted = [r for r in rules() if not gated or all(gate & gates[doc] for gate in r.gates)] if gates[doc] or not gated else []
             found = []
             if wanted:
                 spans = range(first[doc], first[doc + 1])

@@ -39,6 +39,20 @@ def test_detections(spark):
     assert [{d.label for d in r.detections} for r in out] == [{"lgpl"}, {"bsd"}, {"cc-by-nc-sa"}, set(), {"mit"}]
 
 
+def test_gates_drop_nothing(spark):
+    texts = ["CC BY-SA v4.0", "MPL version2", "GPL v3", "EPL v 2", "AFL license", "Redistributions in any form follow the Mozilla Public License", "redistributing under EUPL", "use of this work MPL"]
+    texts += [f"{w} {name.split('|')[0]} {end}" for name, _ in L.LICENSES.values() if not set("([") & set(name.split("|")[0]) for w, end in (("licensed under", ""), ("per the", "licence"), ("", "v12 or later"), ("SPDX-License-Identifier:", "2.0"))]
+    for text in texts:
+        assert L.scanner().scan(*_raw(text)) == L.scanner().scan(*_raw(text), gated=False), text
+    assert all(r.detections for r in scan(spark, texts))
+
+
+def test_bare_identifiers(spark):
+    ids = {"MIT": "mit", "Zlib": "zlib", "PHP-3.01": "php", "Vim": "vim", "W3C": "w3c", "PostgreSQL": "postgresql", "PSF-2.0": "psf", "Artistic-2.0": "artistic"}
+    out = scan(spark, [f"x SPDX-License-Identifier: {i} y" for i in ids] + list(ids))
+    assert [[d.label for d in r.detections] for r in out] == [[x] for x in ids.values()] + [[]] * len(ids)
+
+
 def test_suppression():
     d = lambda label, a, z, p: L.Detection(label, a, z, p, 0.5)
     assert L.resolve([d("in", 2, 4, 3), d("out", 1, 5, 3), d("over", 4, 7, 1), d("high", 2, 3, 9)]) == [d("out", 1, 5, 3), d("high", 2, 3, 9), d("over", 4, 7, 1)]
