@@ -1,20 +1,25 @@
 """License scans by ordered signature rules.
 
-Hundreds of regexes, written as a few wordings over a list of licenses, run on
-a text's words joined by single blanks. A rule is tried only where all its
-keywords occur in the text, which hashes of words tell without decoding, so
-most texts meet no regex at all. Detections are then resolved: one that lies
-within another of the same or a higher priority is suppressed, and so is the
-later in rule order of two equal ones. Base phrases are found by comparing word
-hashes and always stay.
+Hundreds of regexes run on a text's words joined by single blanks: the notices
+of licenses in their own words, and a few wordings around each license's name.
+A rule is tried only where the text has words that every match of its regex
+must hold; these are read off the regex itself, so that the gate saves time
+only. Hashes of words tell them without decoding, so most texts meet no regex
+at all. Detections are then resolved: one that lies within another of the same
+or a higher priority is suppressed, and so is the later in rule order of two
+equal ones. Base phrases are found by comparing word hashes and always stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
+from re import _constants as op
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from foliant.llm import words
+from foliant.llm.storage import lean
 
 # Base phrases and their labels.
 BASE = [
@@ -31,70 +37,178 @@ BASE = [
     ("mit license", "mit"),
 ]
 
-#: label: (names in words, keywords of which a text must have all). Punctuation is a blank.
-LICENSES: dict[str, tuple[str, str]] = {
-    "afl": ("academic free license|afl", "academic|afl"),
-    "agpl": ("gnu affero general public license|affero general public license|agpl", "affero|agpl"),
-    "apache": ("apache license|apache software license|apache", "apache"),
-    "apsl": ("apple public source license|apsl", "apple|apsl"),
-    "artistic": ("artistic license|perl artistic license", "artistic"),
-    "blueoak": ("blue oak model license|blueoak", "oak|blueoak"),
-    "boost": ("boost software license|bsl", "boost|bsl"),
-    "bsd": ("(?:new |simplified |modified |revised )?bsd (?:2 clause |3 clause |4 clause )?license|bsd (?:2|3|4) clause|bsd", "bsd"),
-    "cc-by": ("creative commons attribution|cc by", "commons|cc"),
-    "cc-by-nc": ("creative commons attribution noncommercial|creative commons attribution non commercial|cc by nc", "commons|cc"),
-    "cc-by-nc-nd": ("creative commons attribution noncommercial noderivatives|cc by nc nd", "commons|cc"),
-    "cc-by-nc-sa": ("creative commons attribution noncommercial sharealike|cc by nc sa", "commons|cc"),
-    "cc-by-nd": ("creative commons attribution noderivatives|creative commons attribution no derivatives|cc by nd", "commons|cc"),
-    "cc-by-sa": ("creative commons attribution sharealike|creative commons attribution share alike|cc by sa", "commons|cc"),
-    "cc0": ("creative commons zero|cc0|cc zero", "commons|cc0|cc"),
-    "cddl": ("common development and distribution license|cddl", "cddl|development"),
-    "cecill": ("cecill(?: b| c)?", "cecill"),
-    "cpal": ("common public attribution license|cpal", "cpal|attribution"),
-    "ecl": ("educational community license|ecl", "educational|ecl"),
-    "epl": ("eclipse public license|epl", "eclipse|epl"),
-    "eupl": ("european union public licen[cs]e|eupl", "european|eupl"),
-    "gfdl": ("gnu free documentation license|gfdl", "documentation|gfdl"),
-    "gpl": ("gnu general public license|gnu gpl|gpl", "gnu|gpl"),
-    "isc": ("isc license|isc", "isc"),
-    "lgpl": ("gnu lesser general public license|gnu library general public license|gnu lgpl|lgpl", "lesser|library|lgpl"),
-    "mit": ("mit license|mit x11 license|expat license|x11 license", "mit|expat|x11"),
-    "mpl": ("mozilla public license|mpl", "mozilla|mpl"),
-    "ms-pl": ("microsoft public license|ms pl", "microsoft|pl"),
-    "ms-rl": ("microsoft reciprocal license|ms rl", "microsoft|rl"),
-    "ncsa": ("university of illinois ncsa open source license|ncsa", "ncsa"),
-    "odbl": ("open database license|odbl", "database|odbl"),
-    "ofl": ("sil open font license|open font license|ofl", "font|ofl"),
-    "openssl": ("openssl license|openssl", "openssl"),
-    "osl": ("open software license|osl", "osl|software"),
-    "php": ("php license", "php"),
-    "postgresql": ("postgresql license", "postgresql"),
-    "psf": ("python software foundation license|psf license|python license", "python|psf"),
-    "qpl": ("q public license|qt public license|qpl", "q|qt|qpl"),
-    "sleepycat": ("sleepycat license|sleepycat", "sleepycat"),
-    "sspl": ("server side public license|sspl", "server|sspl"),
-    "unlicense": ("unlicense", "unlicense"),
-    "upl": ("universal permissive license|upl", "universal|upl"),
-    "vim": ("vim license", "vim"),
-    "w3c": ("w3c software (?:and document )?(?:notice and )?license|w3c license", "w3c"),
-    "wtfpl": ("do what the fuck you want to public license|wtfpl", "wtfpl|fuck"),
-    "zlib": ("zlib license|zlib libpng license", "zlib"),
-    "zpl": ("zope public license|zpl", "zope|zpl"),
-}
-
-#: (priority, weight, regex around NAME, keywords of which a text must have one; with * also longer words): higher priorities first.
+#: Names of licenses in words; punctuation is a blank.
+LICENSES: dict[str, str] = {
+    "afl": "academic free license|afl",
+    "agpl": "gnu affero general public license|affero general public license|agpl",
+    "apache": "apache license|apache software license|apache",
+    "apsl": "apple public source license|apsl",
+    "artistic": "artistic license|perl artistic license",
+    "blueoak": "blue oak model license|blueoak",
+    "boost": "boost software license|bsl",
+    "bsd": "(?:new |simplified |modified |revised )?bsd (?:2 clause |3 clause |4 clause )?license|bsd [234] clause|0bsd|bsd",
+    "busl": "business source license|busl",
+    "cc-by": "creative commons attribution|cc by",
+    "cc-by-nc": "creative commons attribution non ?commercial|cc by nc",
+    "cc-by-nc-nd": "creative commons attribution non ?commercial no ?derivatives|creative commons attribution non ?commercial no ?derivs|cc by nc nd",
+    "cc-by-nc-sa": "creative commons attribution non ?commercial share ?alike|cc by nc sa",
+    "cc-by-nd": "creative commons attribution no ?derivatives|creative commons attribution no ?derivs|cc by nd",
+    "cc-by-sa": "creative commons attribution share ?alike|cc by sa",
+    "cc0": "creative commons zero|cc0|cc zero",
+    "cddl": "common development and distribution license|cddl",
+    "cecill": "cecill(?: b| c)?",
+    "cpal": "common public attribution license|cpal",
+    "cpl": "common public license|cpl",
+    "ecl": "educational community license|ecl",
+    "epl": "eclipse public license|epl",
+    "eupl": "european union public licen[cs]e|eupl",
+    "gfdl": "gnu free documentation license|gfdl",
+    "gpl": "gnu general public license|gnu gpl|gpl",
+    "isc": "isc license|isc",
+    "lgpl": "gnu lesser general public license|gnu library general public license|gnu lgpl|lgpl",
+    "mit": "mit license|mit x11 license|expat license|x11 license",
+    "mpl": "mozilla public license|mpl",
+    "ms-pl": "microsoft public license|ms pl",
+    "ms-rl": "microsoft reciprocal license|ms rl",
+    "mulan": "mulan permissive software license|mulan psl",
+    "ncsa": "university of illinois ncsa open source license|ncsa",
+    "odbl": "open database license|odbl",
+    "ofl": "sil open font license|open font license|ofl",
+    "ogl": "open government licen[cs]e",
+    "openssl": "openssl license|openssl",
+    "osl": "open software license|osl",
+    "php": "php license",
+    "postgresql": "postgresql license",
+    "psf": "python software foundation license|psf license|python license",
+    "qpl": "q public license|qt public license|qpl",
+    "sleepycat": "sleepycat license|sleepycat",
+    "sspl": "server side public license|sspl",
+    "unlicense": "unlicense",
+    "upl": "universal permissive license|upl",
+    "vim": "vim license",
+    "w3c": "w3c software (?:and document )?(?:notice and )?license|w3c license",
+    "wtfpl": "do what the fuck you want to public license|wtfpl",
+    "zlib": "zlib license|zlib libpng license",
+    "zpl": "zope public license|zpl",
+}
+#: Short names that stand for a license only where the wording speaks of one, as such words mean other things too.
+SHORT = {"artistic": "artistic", "mit": "mit|x11|expat", "php": "php", "postgresql": "postgresql", "psf": "psf|python", "vim": "vim", "w3c": "w3c", "zlib": "zlib"}
+
+#: (priority, weight, regex around NAME, whether short names count): higher priorities first.
 WORDINGS = [
-    (6, 0.99, r"spdx licen[cs]e identifier (?:NAME)(?: \d[\d ]*\b)?(?: only| or later)?", "spdx"),
-    (5, 0.95, r"(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: v(?:ersion)? ?\d[\d ]*\b)?", "under"),
-    (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) [a-z0-9 ]{0,80}?(?:NAME)", "permission|redistribut*|use"),
-    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? v(?:ersion)? ?\d[\d ]*\b(?: only| or(?: \w+){0,3} later(?: version)?)?", "|".join(["v", "version", *(f"{v}{digit}*" for v in ("v", "version") for digit in range(10))])),
-    (2, 0.7, r"(?:under|see|per|by) (?:the )?(?:NAME)(?: licen[cs]e)\b", "license|licence"),
-    (1, 0.5, r"(?:NAME) licen[cs]e\b", "license|licence"),
+    (7, 0.99, r"spdx licen[cs]e identifier (?:NAME)(?: \d[\d ]*)?(?: only| or later)?", True),
+    (5, 0.95, r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: v(?:ersion)? ?\d[\d ]*)?", True),
+    (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) [a-z0-9 ]{0,80}?(?:NAME)", False),
+    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? v(?:ersion)? ?\d[\d ]*(?: only| or(?: \w+){0,3} later(?: version)?)?", False),
+    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? \d \d(?: international| unported| generic)?(?: (?:public )?licen[cs]e)?", False),
+    (2, 0.7, r"(?:under|see|per|by) (?:the )?(?:NAME)(?: licen[cs]e)", True),
+    (2, 0.7, r"(?:www )?opensource org licenses? (?:NAME)", True),
+    (1, 0.5, r"(?:NAME) licen[cs]e", False),
 ]
 
-
-#: Identifiers that stand for a license only behind the first wording, as words like these mean other things too.
-SPDX = {"artistic": "artistic", "mit": "mit|x11", "php": "php", "postgresql": "postgresql", "psf": "psf|python", "vim": "vim", "w3c": "w3c", "zlib": "zlib"}
+#: (label, regex) of what notices say in their own words: priority 6.
+NOTICES = [
+    ("afl", r"licensed under the academic free license version \d \d"),
+    ("agpl", r"(?:under the terms of|received a copy of) the gnu affero general public license"),
+    ("agpl", r"remote network interaction use with the gnu general public license"),
+    ("apache", r"licensed under the apache license version 2 0 the license you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache", r"you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses"),
+    ("apache", r"unless required by applicable law or agreed to in writing (?:software|this software|work) distributed under the license is distributed on an as is basis"),
+    ("apache", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", r"this product includes software developed by the apache (?:group|software foundation)"),
+    ("apache", r"(?:www )?apache org licenses(?: license 2 0)?"),
+    ("artistic", r"under the same terms as (?:the )?perl(?: 5)?(?: programming language system)? itself"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("blueoak", r"blueoakcouncil org license 1 0 0"),
+    ("boost", r"free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("boost", r"(?:see accompanying file license 1 0 txt or copy at )?(?:https? )?(?:www )?boost org license 1 0 txt"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", r"neither the names? of [a-z0-9 ]{1,100}? may be used to endorse or promote products derived from"),
+    ("bsd", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", r"this software is provided by (?:the )?[a-z0-9 ]{1,60}? as is and any express or implied warranties"),
+    ("bsd", r"use of this source code is governed by a bsd style license"),
+    ("busl", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("cc-by", r"creativecommons org licenses by \d \d"),
+    ("cc-by-nc", r"creativecommons org licenses by nc \d \d"),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd \d \d"),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa \d \d"),
+    ("cc-by-nd", r"creativecommons org licenses by nd \d \d"),
+    ("cc-by-sa", r"creativecommons org licenses by sa \d \d"),
+    ("cc0", r"creativecommons org publicdomain zero 1 0"),
+    ("cc0", r"waived all copyright and related or neighbou?ring rights"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cecill", r"governed by the cecill(?: b| c)? license under french law and abiding by the rules of distribution of free software"),
+    ("commons-clause", r"commons clause (?:license )?condition"),
+    ("cpl", r"the accompanying materials are made available under the terms of the common public license"),
+    ("ecl", r"licensed under the educational community license version \d \d"),
+    ("elastic", r"(?:licensed|available) under the elastic license"),
+    ("epl", r"the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", r"(?:www )?eclipse org (?:legal|org documents) epl"),
+    ("eupl", r"you may not use this work except in compliance with the licence"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", r"no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl", r"(?:www )?gnu org (?:licenses|copyleft) fdl"),
+    ("gpl", r"is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", r"you should have received a copy of the gnu general public license"),
+    ("gpl", r"the gnu general public license is a free copyleft license"),
+    ("gpl", r"(?:www )?gnu org (?:licenses|copyleft) (?:old licenses )?gpl"),
+    ("gpl", r"may be distributed under the terms of the gnu general public license"),
+    ("gnu-family", r"in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gnu-family", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("hpnd", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("hpnd", r"the copyright holders? makes? no representations about the suitability of this software"),
+    ("isc", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("json", r"the software shall be used for good not evil"),
+    ("lgpl", r"(?:under the terms of|received a copy of) the gnu (?:lesser|library) general public license"),
+    ("lgpl", r"(?:www )?gnu org (?:licenses|copyleft) (?:old licenses )?lgpl"),
+    ("llama", r"llama \d(?: \d)? community license(?: agreement)?"),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", r"except as contained in this notice the names? of the [a-z0-9 ]{1,60}? shall not be used in advertising"),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", r"the contents of this file are subject to the mozilla public license version"),
+    ("mpl", r"(?:www )?mozilla org (?:en us )?mpl"),
+    ("ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("mulan", r"you can use this software according to the terms and conditions of the mulan psl"),
+    ("ncsa", r"to deal with the software without restriction including without limitation the rights to use"),
+    ("odbl", r"opendatacommons org licenses odbl"),
+    ("odc-by", r"open data commons attribution license"),
+    ("ofl", r"this font software is licensed under the sil open font license"),
+    ("ofl", r"neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("ofl", r"scripts sil org ofl"),
+    ("ogl", r"contains public sector information licensed under the open government licence"),
+    ("openrail", r"(?:creativeml|bigscience|bigcode|responsible ai) (?:open ?)?rail(?: m)?"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", r"redistributions of any form whatsoever must retain the following acknowledge?ment"),
+    ("pddl", r"open data commons public domain dedication and licen[cs]e"),
+    ("php", r"this product includes php software freely available from"),
+    ("postgresql", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("proprietary", r"all rights reserved no part of this \w+ may be reproduced"),
+    ("proprietary", r"(?:is|are|contains) (?:the )?confidential and proprietary information of"),
+    ("proprietary", r"unauthori[sz]ed copying of this (?:file|software|document) via any medium is strictly prohibited"),
+    ("psf", r"psf is making python available to licensee on an as is basis"),
+    ("public-domain", r"(?:is|are|been) (?:hereby )?(?:placed |released |dedicated )?(?:in|into|to) the public domain"),
+    ("public-domain", r"no copyright is claimed (?:and this software is|on this)"),
+    ("sleepycat", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("sspl", r"functionality of the program or a modified version available to third parties as a service"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("upl", r"hereby granted royalty free to any person obtaining a copy of this software associated documentation and or data"),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim"),
+    ("w3c", r"permission to copy modify and distribute this (?:software|work) and its documentation with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("wtfpl", r"you just do what the fuck you want to"),
+    ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zpl", r"this software is subject to the provisions of the zope public license"),
+]
 
 
 @dataclass(frozen=True)
@@ -103,20 +217,106 @@ class Rule:
     priority: int
     weight: float
     regex: re.Pattern[bytes]
-    gates: tuple[frozenset[str], ...]  # a text must have a word of each
+    gates: tuple[frozenset[str], ...]  # a text must have all words of one of these; word* stands for word and all longer ones
+
+
+#: Words of a gate: the longest ones of those that matches must hold, as they tell most.
+GATE_WORDS = 3
+
+
+def _opens(tree: list) -> bool:
+    """Whether what tree matches begins with a blank, or with the assertion at a rule's end."""
+    if not tree:
+        return False
+    kind, value = tree[0]
+    if kind is op.MAX_REPEAT and value[0] == 0:
+        return _opens(list(value[2])) and _opens(tree[1:])  # taken or not
+    if kind is op.SUBPATTERN:
+        return _opens(list(value[3]))
+    if kind is op.BRANCH:
+        return all(_opens(list(x)) for x in value[1])
+    return kind is op.ASSERT_NOT or (kind is op.LITERAL and value == 32)
+
+
+def _closes(tree: list) -> bool:
+    """Whether every match of tree ends with a blank."""
+    if not tree:
+        return False
+    kind, value = tree[-1]
+    if kind is op.SUBPATTERN:
+        return _closes(list(value[3]))
+    if kind is op.BRANCH:
+        return all(_closes(list(x)) for x in value[1])
+    return kind is op.LITERAL and value == 32
+
+
+def _needed(tree: list, begins: bool, rest: list) -> list[frozenset[str]]:
+    """Sets of words of which every match of tree holds all of one. begins: a word begins at its start; rest: what follows it."""
+    sets = [frozenset()]
+    word, whole = "", begins
+    for i, (kind, value) in enumerate([*tree, (None, None)]):
+        after = tree[i:] + rest
+        if kind is op.LITERAL and value != 32:
+            word += chr(value)
+            continue
+        if word and whole:
+            own = word if _opens(after) else word + "*"
+            sets = [x | {own} for x in sets]
+        starts, word = not word and whole, ""
+        inner = None
+        if kind is op.SUBPATTERN:
+            inner = [list(value[3])]
+        elif kind is op.BRANCH:
+            inner = [list(x) for x in value[1]]
+        if inner is not None:
+            each = [_needed(x, starts, after[1:]) for x in inner]
+            sets = [x | y for x in sets for e in each for y in e]
+            whole = all(map(_closes, inner))
+        elif kind is op.MAX_REPEAT and value[0] == 0:
+            whole = starts and _closes(list(value[2]))  # either way a word begins behind it
+        else:
+            whole = (kind is op.LITERAL) or (kind is op.ASSERT_NOT and value[0] < 0)
+    return sets
+
+
+def gates_of(pattern: str) -> tuple[frozenset[str], ...]:
+    """Sets of words, all of one of which every match of the regex holds; read off its literal words.
+
+    Whole words are enough where there are any, as beginnings cost a pass over
+    the text for each length.
+    """
+    out = set()
+    for found in _needed(list(_parser.parse(pattern)), False, []):
+        exact = [w for w in found if not w.endswith("*")]
+        out.add(frozenset(sorted(exact or found, key=lambda w: (-len(w), w))[:GATE_WORDS]))
+    return tuple(sorted(out, key=sorted))
+
+
+def _alternatives(names: str) -> list[str]:
+    """The alternatives of a regex, outside its groups."""
+    out, depth = [""], 0
+    for c in names:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """The rules in order: by priority, then by label."""
-    made = []
-    for priority, weight, wording, words_needed in WORDINGS:
-        for label, (names, keywords) in LICENSES.items():
-            if wording == WORDINGS[0][2] and label in SPDX:
-                names = f"{names}|{SPDX[label]}"
-            pattern = rf"(?<![^ ]){wording.replace('NAME', names)}(?![^ ])"
-            made.append(Rule(label, priority, weight, re.compile(pattern.encode()), (frozenset(words_needed.split("|")), frozenset(keywords.split("|")))))
-    return tuple(made)
+    """The rules in order: by priority, then as they are written."""
+    made = [(6, 0.97, label, pattern, [""]) for label, pattern in NOTICES]
+    for priority, weight, wording, short in WORDINGS:
+        for label, names in LICENSES.items():
+            made.append((priority, weight, label, wording, _alternatives(f"{names}|{SHORT[label]}" if short and label in SHORT else names)))
+    out = []
+    for priority, weight, label, wording, names in sorted(made, key=lambda x: -x[0]):
+        bounded = lambda x: rf"(?<![^ ]){x}(?![^ ])"
+        gates = dict.fromkeys(g for name in names for g in gates_of(bounded(wording.replace("NAME", name))))
+        out.append(Rule(label, priority, weight, re.compile(bounded(wording.replace("NAME", "|".join(names))).encode()), tuple(gates)))
+    return tuple(out)
 
 
 def hashes_of(text: str) -> np.ndarray:
@@ -136,16 +336,28 @@ class Detection:
 def resolve(found: list[Detection]) -> list[Detection]:
     """Detections that no other of at least their priority contains; of equal ones the first stays."""
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.priority, d.start, -d.end)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
-    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+    for priority in sorted({d.priority for d in found}, reverse=True):
+        starts = [k.start for k in kept]
+        reach = list(accumulate((k.end for k in kept), max))  # how far those that start so early go
+        end = 0
+        for d in sorted((d for d in found if d.priority == priority), key=lambda d: (d.start, -d.end)):
+            i = bisect_right(starts, d.start)
+            if d.end > max(end, reach[i - 1] if i else 0):
+                kept.append(d)
+                end = d.end
+        kept.sort(key=lambda d: (d.start, d.end, d.label))
+    return kept
 
 
 class Scanner:
     def __init__(self) -> None:
         self.base = [(hashes_of(phrase), label) for phrase, label in BASE]
         gates = sorted({w for rule in rules() for gate in rule.gates for w in gate})
+        # gates by their most telling word, with the rules that they open
+        self.opened: dict[str, list[tuple[frozenset[str], int]]] = {}
+        for i, rule in enumerate(rules()):
+            for gate in rule.gates:
+                self.opened.setdefault(max(gate, key=lambda w: (len(w), w)), []).append((gate, i))
         self.gates = [self._table([w.rstrip("*") for w in gates], gates, None)]
         for n in sorted({len(w) - 1 for w in gates if w.endswith("*")}):
             self.gates.append(self._table(*zip(*((w[:-1] + "_", w) for w in gates if w.endswith("*") and len(w) == n + 1), strict=True), n))
@@ -190,16 +402,18 @@ class Scanner:
         gates = self._gated(w)
         out = []
         for doc in range(len(first) - 1):
-            wanted = [r for r in rules() if not gated or all(gate & gates[doc] for gate in r.gates)] if gates[doc] or not gated else []
+            wanted = rules() if not gated else [rules()[i] for i in sorted({i for word in gates[doc] for gate, i in self.opened.get(word, ()) if gate <= gates[doc]})]
             found = []
             if wanted:
                 spans = range(first[doc], first[doc + 1])
                 data = w.text.tobytes() if len(first) == 2 else w.text[offsets[doc] : offsets[doc + 1]].tobytes()
                 shift = offsets[doc]
                 joined = b" ".join(data[w.start[i] - shift : w.end[i] - shift] for i in spans)
+                size = (w.end - w.start)[first[doc] : first[doc + 1]]
+                begins = np.cumsum(size + 1) - size - 1  # of each word in joined
                 for r in wanted:
                     for m in r.regex.finditer(joined):
-                        start = joined.count(b" ", 0, m.start())
+                        start = int(np.searchsorted(begins, m.start()))
                         found.append(Detection(r.label, start, start + m[0].strip().count(b" ") + 1, r.priority, r.weight))
             out.append((int(first[doc + 1] - first[doc]), sorted(base[doc]), resolve(found)))
         return out
@@ -242,4 +456,4 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                 made = [pa.array(n, pa.int64()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(span)), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], *made], names=[*(f.name for f in kept), *(f.name for f in ADDED)])
 
-    return df.select(text, *(f"`{f.name}`" for f in kept)).mapInArrow(run, T.StructType([*kept, *ADDED]))
+    return df.select(text, *(f"`{f.name}`" for f in kept)).mapInArrow(lean(run), T.StructType([*kept, *ADDED]))
