@@ -31,7 +31,7 @@ def path(url: Column) -> Column:
 
 
 def match(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, or null.
+    """struct(rule, verdict) of the longest rule that fits, or null; of two as long, one that allows wins.
 
     rules: (verdict, "host/path"). A rule fits its host and all subdomains if
     the path starts with the rule's. Hosts are looked up in a map literal, by
@@ -43,11 +43,12 @@ def match(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
         by_host.setdefault(name, []).append((slash + rest, verdict, rule))
     if not by_host:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
-    own = lambda x: F.struct(F.lit(len(x[2])).alias("size"), F.lit(x[0]).alias("start"), F.lit(x[1]).alias("verdict"), F.lit(x[2]).alias("rule"))
+    # of two rules of one length the one that allows is the greater
+    own = lambda x: F.struct(F.lit(len(x[2])).alias("size"), F.lit(x[1] == "allow").alias("allows"), F.lit(x[0]).alias("start"), F.lit(x[1]).alias("verdict"), F.lit(x[2]).alias("rule"))
     table = F.create_map(*(c for name, each in by_host.items() for c in (F.lit(name), F.array(*map(own, each)))))
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    found = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(table, s), F.array().cast("array<struct<size:int,start:string,verdict:string,rule:string>>"))))
+    found = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(table, s), F.array().cast("array<struct<size:int,allows:boolean,start:string,verdict:string,rule:string>>"))))
     best = F.array_max(F.filter(found, lambda r: F.startswith(path, r["start"])))
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
@@ -79,11 +80,12 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """pages with host, path, rule and verdict (allow or block).
+    """pages without html, with host, path, rule and verdict (allow or block).
 
     redirects: further edges from_url, to_url, as a crawl log has them. Null
     URLs and ones without :// have an empty host and path, fit no rule and are
-    allowed. Repeated rows stay; columns of the added names are replaced. Only
+    allowed. URLs and HTML of any length are read whole. Repeated rows stay,
+    each with the same verdict; columns of the added names are replaced. Only
     addresses with edges are shuffled, and classes without a blocked address
     fall away before pages are looked up in them.
     """
@@ -92,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url"
         more = redirects.select(address(F.col("from_url")).alias("a"), address(absolute(F.col("to_url"), F.col("from_url"))).alias("b"))
         edges = edges.union(more.where("a is not null and b is not null and a <> b")).distinct()
     edges = cut(edges, "aliases")
-    out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
+    out = pages.drop(html, "host", "path", "rule", "verdict").withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
     out = out.withColumn("_match", match(F.col("host"), F.col("path"), rules))
     own = [F.col("_match.rule").alias("rule"), F.col("_match.verdict")]
     if edges.isEmpty():

@@ -49,5 +49,45 @@ def test_redirect_log_and_repeated_rows(spark):
     assert sorted((r.page_id, r.verdict) for r in out) == [(1, "block"), (1, "block"), (2, "allow")]
 
 
+def test_allow_wins_between_equal_rules(spark):
+    df = spark.createDataFrame([(1, "http://x.com/a", None), (2, "http://y.x.com/b", "h")], "page_id long, url string, html string")
+    for order in (1, -1):
+        out = filter_urls(df, [("block", "x.com/"), ("allow", "x.com/")][::order]).collect()
+        assert [(r.rule, r.verdict) for r in out] == [("x.com/", "allow")] * 2
+
+
+def test_long_urls_and_ties(spark):
+    rows = [(1, "http://a.net/" + "p" * 100_000, "<p>" * 100_000 + '<link rel=canonical href="//spam.com/1">')] * 2
+    assert [r.verdict for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()] == ["block", "block"]
+
+
+def test_many_redirects(spark):
+    """Aliases over a table as large as the given ones, beside a search over all edges."""
+    import random
+
+    r = random.Random(5)
+    urls = [f"http://{r.choice(['a.net', 'b.org', 'bad.org', 'c.com', 'spam.com', 'd.io'])}/{r.choice(['x', 'y', 'ok'])}/{i}" for i in range(3000)]
+    log = [(r.choice(urls), r.choice(urls)) for _ in range(1500)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {x.url: (x.rule, x.verdict) for x in filter_urls(pages, RULES, redirects=spark.createDataFrame(log, "from_url string, to_url string")).collect()}
+    near = {u: set() for u in urls}
+    for a, b in log:
+        near[a].add(b)
+        near[b].add(a)
+    seen, verdict = set(), {}
+    for u in urls:
+        if u not in seen:
+            group, todo = {u}, [u]
+            while todo:
+                for v in near[todo.pop()] - group:
+                    group.add(v)
+                    todo.append(v)
+            seen |= group
+            said = {got[v][1] for v in group if got[v][0]}
+            verdict |= dict.fromkeys(group, "block" if said == {"block"} else "allow")
+    assert all(v == (got[u][1] if got[u][0] else verdict[u]) for u, (_, v) in got.items())
+    assert sum(v == "block" and not rule for rule, v in got.values()) > 20
+
+
 def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string, verdict int"), RULES).count() == 0
