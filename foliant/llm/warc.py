@@ -4,15 +4,17 @@ Some archives are one gzip stream from end to end, in which no record can be
 reached without inflating all before it. The normaliser inflates such a stream
 once, in pieces of bounded size, rewrites every record as a gzip member of its
 own, and writes a sidecar index with each member's place, so that any record
-can then be read alone. Archives are files in the shared folder, at most
-ARCHIVE_BYTES of payload each (a longer record has a file for itself).
+can then be read alone. Archives are files in the shared folder, of ARCHIVE_BYTES
+of records and what the last one goes beyond them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import files
-from foliant.llm.storage import cut, new_path
+from foliant.llm.storage import cut, lean, new_path
 
-#: Payload bytes after which an archive is closed.
+#: Bytes of records, heads included, after which an archive is closed.
 ARCHIVE_BYTES = 64 << 20
 #: Payloads below this size are stored in full even if another record has the same.
 LEAST_REVISIT = 100
+#: Rows of an index written at a time.
+INDEX_ROWS = 4096
 #: Bytes read, and inflated at most, at a time.
 PIECE = 1 << 20
 _DATE = "1970-01-01T00:00:00Z"
@@ -38,14 +42,17 @@ def dedup(df: DataFrame, key: str, payload: str, least: int = LEAST_REVISIT) ->
     Of rows with equal payloads of at least least bytes that with the smallest
     key is the response, others revisit it. Null payloads are empty. Rows that
     share the smallest key are all responses; with no key but nulls, too.
+    Columns of the added names are replaced.
     """
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
     rows = df.withColumns({"payload_digest": F.sha2(body, 256), "payload_bytes": F.length(body).cast("long")})
-    firsts = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
-    firsts = cut(firsts.where("_n > 1 and _first is not null").drop("_n"), "firsts")
-    again = F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first"))
-    rows = rows.join(firsts, F.col("payload_digest") == F.col("_digest"), "left")
-    return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_digest", "_first")
+    # who revisits whom follows from keys and digests; payloads then meet it by both, so a common payload is no hot key
+    bare = rows.where(F.col("payload_bytes") >= least).select(F.col(key).alias("_key"), F.col("payload_digest").alias("_digest"))
+    firsts = bare.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").drop("_n")
+    again = bare.join(cut(firsts, "firsts"), "_digest").where(~F.col("_key").eqNullSafe(F.col("_first"))).distinct()
+    rows = rows.join(cut(again, "revisits"), (F.col("payload_digest") == F.col("_digest")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    revisits = F.col("_first").isNotNull()
+    return rows.withColumns({"record_type": F.when(revisits, "revisit").otherwise("response"), "refers_to": F.col("_first")}).drop("_digest", "_key", "_first")
 
 
 def record(record_id: str, kind: str, uri: str, digest: str, refers_to: str | None, payload: bytes) -> bytes:
@@ -77,14 +84,15 @@ def write_monolithic(rows: DataFrame, name: str = "warc") -> DataFrame:
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 while row is not None and size < ARCHIVE_BYTES:
                     payload = (row["payload"] or b"") if row["record_type"] == "response" else b""
-                    f.write(packer.compress(record(row["record_id"], row["record_type"], field(row["target_uri"]), row["payload_digest"], row["refers_to"], payload)))
-                    n, size = n + 1, size + len(payload)
+                    whole = record(row["record_id"], row["record_type"], field(row["target_uri"]), row["payload_digest"], row["refers_to"], payload)
+                    f.write(packer.compress(whole))
+                    n, size = n + 1, size + len(whole)
                     row = next(source, None)
                 f.write(packer.flush())
             made.append((archive, n))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["archive", "records"])
 
-    return cut(rows.select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload").mapInArrow(run, "archive string, records long"), "archives")
+    return cut(rows.select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload").mapInArrow(lean(run), "archive string, records long"), "archives")
 
 
 class Inflater:
@@ -164,7 +172,7 @@ def normalise(archives: DataFrame, archive: str = "archive") -> DataFrame:
             for source in batch.column(0).to_pylist():
                 target = f"{folder}/{source.rpartition('/')[2]}"
                 index: list[dict] = []
-                with files.open_stream(source) as f, files.create(target) as out:
+                with files.open_stream(source) as f, files.create(target) as out, files.create(f"{target}.index") as side:
                     at = 0
                     for own, head, payload in records(f):
                         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -176,12 +184,18 @@ def normalise(archives: DataFrame, archive: str = "archive") -> DataFrame:
                             "refers_to": own["warc-refers-to"].strip("<>") if "warc-refers-to" in own else None, "content_length": len(payload),
                         })
                         at += len(member)
-                table = pa.Table.from_pylist(index, _index_type())
-                with files.create(f"{target}.index") as out:
-                    out.write(table.to_pandas().to_json(orient="records", lines=True).encode())
-                yield from table.to_batches(max_chunksize=4096)
+                        if len(index) == INDEX_ROWS:
+                            yield _indexed(index, side)
+                            index = []
+                    yield _indexed(index, side)
 
-    return cut(archives.select(archive).repartition(width, archive).mapInArrow(run, INDEX_SCHEMA), "index")
+    return cut(archives.select(archive).repartition(width, archive).mapInArrow(lean(run), INDEX_SCHEMA), "index")
+
+
+def _indexed(index: list[dict], side: BinaryIO) -> pa.RecordBatch:
+    """Rows of the index, written to the sidecar as well."""
+    side.write("".join(json.dumps(x) + "\n" for x in index).encode())
+    return pa.RecordBatch.from_pylist(index, _index_type())
 
 
 def _index_type() -> pa.Schema:
@@ -201,6 +215,8 @@ def read(index: DataFrame) -> DataFrame:
                 part, payloads = batch.slice(lo, 64), []
                 for row in part.to_pylist():
                     if row["archive"] != name:
+                        if f:
+                            f.close()
                         name, f = row["archive"], files.open_random(row["archive"])
                     f.seek(row["offset"])
                     block = zlib.decompress(f.read(row["length"]), 31)
@@ -211,8 +227,10 @@ def read(index: DataFrame) -> DataFrame:
                         raise ValueError(f"record {row['record_id']} is damaged")
                     payloads.append(payload)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary())], names=[*part.schema.names, "payload"])
+        if f:
+            f.close()
 
-    return index.mapInArrow(run, INDEX_SCHEMA + ", payload binary")
+    return index.mapInArrow(lean(run), INDEX_SCHEMA + ", payload binary")
 
 
 def record_id(key: Column) -> Column:
