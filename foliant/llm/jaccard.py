@@ -33,10 +33,12 @@ from pyspark.sql import types as T
 
 from foliant.llm import words
 from foliant.llm.graph import connected_components
-from foliant.llm.storage import cut, release
+from foliant.llm.storage import cut, lean, release
 
 #: Counters of the sketch, and how many travel in a row.
 SKETCH_BITS, SLICE_BITS = 20, 12
+#: Pairs of one class that are verified in one place.
+HOT = 128
 #: Bins of the suffix filter.
 BINS = 16
 
@@ -108,7 +110,7 @@ def _shingled(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
                 row = [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int16())), pa.array([k // part], pa.int32()), pa.array([at + k], pa.list_(pa.int32())), pa.array([sketch[k : k + part][at]], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(row, names=names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(lean(run), schema)
 
 
 def _sketch(shingled: DataFrame) -> np.ndarray:
@@ -145,7 +147,7 @@ def _postings(docs: DataFrame, text: str, rule: Rule, sketch: np.ndarray) -> Dat
                     columns = [np.concatenate(grams).view(np.int64), np.concatenate(cls), np.concatenate(size).astype(np.int32), np.concatenate(pos).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "cls", "n", "pos"])
 
-    return docs.select(text).mapInArrow(run, "gram long, cls long, n int, pos int")
+    return docs.select(text).mapInArrow(lean(run), "gram long, cls long, n int, pos int")
 
 
 def _passes(rule: Rule, a: str, b: str) -> Column:
@@ -197,13 +199,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
     texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text")).join(wanted.select("first_id").distinct(), "first_id", "left_semi")
     kept = cut(_sets(texts.select("text"), rule), "sets")
     sets = kept.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("cls").alias(end), F.col("grams").alias(f"grams_{end}")), end)
-    links = cut(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(_Verify(rule), "a long, b long"), "links")
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = _with_sets(pairs, sets, end, other)
+    links = cut(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(lean(_Verify(rule).run), "a long, b long"), "links")
     release(found, wanted, kept)
     return links
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """pairs with grams_<end>, the set of the class at that end. A class of many pairs is dealt to parts of about HOT by the other end, with a copy of its set for each."""
+    parts = pairs.groupBy(end).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    parts = cut(parts, "hot")
+    dealt = pairs.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = sets.select(F.col("cls").alias(end), F.col("grams").alias(f"grams_{end}")).join(parts, end, "left")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
 def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,14 +223,14 @@ def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
                 sets = words.shingle_sets(words.split(raw, offsets, words.SPACED), rule.k)
                 yield pa.RecordBatch.from_arrays([pa.array(_class_ids(sets)), _list_array([s.view(np.int64) for s in sets], pa.int64())], names=["cls", "grams"])
 
-    return texts.mapInArrow(run, "cls long, grams array<long>")
+    return texts.mapInArrow(lean(run), "cls long, grams array<long>")
 
 
 class _Verify:
     def __init__(self, rule: Rule):
         self.rule = rule
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
