@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.llm.storage import lean
+
 #: Characters behind a piece's end that can still change it: "'re" has three.
 LOOKAHEAD = 4
 #: Characters of a leaf of text, bytes of a leaf of a piece, ids of a leaf when decoding.
@@ -244,6 +246,5 @@ def _mapped(df: DataFrame, column: str, added: list[tuple], f: Callable, rows: i
                 made = [pa.array(x, kind) for x, (_, _, kind) in zip(f(part.column(column)), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(a for a, _, _ in added)])
         load(*f.args).forget()  # workers outlive their tasks
-        pa.default_memory_pool().release_unused()
 
-    return used.mapInArrow(run, T.StructType([*kept, *(T.StructField(a, kind) for a, kind, _ in added)]))
+    return used.mapInArrow(lean(run), T.StructType([*kept, *(T.StructField(a, kind) for a, kind, _ in added)]))

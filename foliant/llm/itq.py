@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.graph import connected_components
-from foliant.llm.storage import cut, smallest
+from foliant.llm.storage import cut, lean, smallest
 
 #: The projection and rotations are fitted on so many vectors at most, those of the smallest hashes.
 SAMPLE_ROWS = 8_192
@@ -139,7 +139,7 @@ def _same_length(classes: DataFrame, d: int, least: float, index: Index) -> Data
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=[*batch.schema.names, "keys"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    coded = cut(classes.mapInArrow(run, f"cid {classes.schema['cid'].dataType.simpleString()}, weight long, embedding {kind}, keys array<int>"), "codes")
+    coded = cut(classes.mapInArrow(lean(run), f"cid {classes.schema['cid'].dataType.simpleString()}, weight long, embedding {kind}, keys array<int>"), "codes")
     entries = coded.select("*", F.posexplode("keys").alias("t", "key"))
     buckets = cut(coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / index.chunk).cast("int")).drop("n"), "buckets")
     # at most a row for each table and key: 2 ** bits each

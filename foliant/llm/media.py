@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliant.llm.storage import lean
+
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
 #: Bytes of a sample, samples of a chunk, and samples from one keyframe to the next.
@@ -232,4 +234,4 @@ def _with(df: DataFrame, column: str, added: list[tuple], made, rows: int = 256)
                 part = batch.slice(lo, rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, *made(part.column(column))], names=[*part.schema.names, *(a for a, _ in added)])
 
-    return df.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, T.StructType([*kept, *(T.StructField(a, kind) for a, kind in added)]))
+    return df.select(*(f"`{f.name}`" for f in kept)).mapInArrow(lean(run), T.StructType([*kept, *(T.StructField(a, kind) for a, kind in added)]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, row_key, rows_of
 
 #: Words [^\x20\x09-\x0D]+ of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,32 +26,34 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most
 
     Targets share the sum of all sizes by weight. One above most times its
     source's size stops there, and the excess is shared anew by weight among
-    the others until none is above. Each pass is one small aggregate; a pass
-    that stops no further source ends the loop.
+    the others until none is above. Sources stop in the order of size to
+    weight, so one pass over that order finds the level at which the last one
+    stops: that of the first source whose stop is not below what those from it
+    on would share by weight.
     """
-    ranked = cut(_numbered(totals), "sources")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = cut(_placed(totals, [F.col("source").asc_nulls_last()]), "sources")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     table = ranked.select("source", "source_size", w.alias("weight"), (F.col("source_size") * most).alias("cap"))
-    level, stopped = None, -1
-    while True:
-        free = F.lit(True) if level is None else F.col("cap") >= F.lit(level) * F.col("weight")
-        total, cap, weight, n = table.agg(
-            F.sum("source_size"), F.sum(F.when(~free, F.col("cap"))), F.sum(F.when(free, F.col("weight"))), F.count(F.when(~free, 1))
-        ).first()
-        if n == stopped or not weight:
-            break
-        stopped, level = n, (total - (cap or 0)) / weight
-    share = F.col("cap").cast("double") if level is None else F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
-    return table.select("source", "source_size", share.alias("target"))
-
-
-def _numbered(totals: DataFrame) -> DataFrame:
-    """rank long: place of each source in code-point order, from 0, null last; no task sees all sources."""
-    s = cut(totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "order")
+    total, all_weight = (x or 0 for x in table.agg(F.sum("source_size"), F.sum("weight")).first())
+    order = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    stops = cut(_placed(table, order, ["cap", "weight"]), "stops")
+    share = (F.lit(float(total)) - F.col("cap_before")) / (F.lit(float(all_weight)) - F.col("weight_before"))
+    level = stops.where(F.col("cap") >= share * F.col("weight")).agg(F.min_by(share, "place")).first()[0]
+    target = F.col("cap").cast("double") if level is None else F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight"))
+    return table.select("source", "source_size", target.alias("target"))
+
+
+def _placed(rows: DataFrame, order: list[Column], sums: list[str] | None = None) -> DataFrame:
+    """rows with place long, theirs in the order, from 0, and <x>_before, the sum of x over the rows before, for each of sums; no task sees all rows."""
+    s = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "order")
     part = F.shiftright("_at", 33)
-    before = s.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # a row for each partition
-    return s.withColumn("_part", part).join(before, "_part").withColumn("rank", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_part", "_n", "_before", "_at")
+    w = Window.orderBy("_part")  # a row for each partition
+    parts = s.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), *(F.sum(x).alias(f"_sum_{x}") for x in sums or []))
+    parts = parts.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), *((F.sum(f"_sum_{x}").over(w) - F.col(f"_sum_{x}")).alias(f"_before_{x}") for x in sums or []))
+    out = s.withColumn("_part", part).join(parts, "_part").withColumn("place", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33))
+    within = Window.partitionBy("_part").orderBy("_at")  # a partition's rows, as many as the sort gave it
+    out = out.withColumns({f"{x}_before": F.col(f"_before_{x}") + F.sum(x).over(within) - F.col(x) for x in sums or []})
+    return out.drop("_part", "_at", "_before", *(f"_before_{x}" for x in sums or []))
 
 
 def mix(
@@ -74,7 +76,10 @@ def mix(
     """
     bits = F.bin(F.col("_size"))
     order = [F.col("_src").asc_nulls_last(), F.col("_class").desc(), F.col("_key").asc_nulls_last(), F.col("_id").asc_nulls_last()]
-    d = docs.drop("source_size", "target", "copies").withColumns({"_size": F.coalesce(F.col(size).cast("long"), F.lit(0)), "_src": F.col(source), "_id": F.col(doc_id)})
+    kept = [x for x in docs.columns if x not in ("source_size", "target", "copies")]
+    # as one column, so that no name of docs can clash with those used here
+    row = F.struct(*(F.col(f"`{x}`") for x in kept)).alias("row")
+    d = docs.select(row, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(source).alias("_src"), F.col(doc_id).alias("_id"))
     d = d.withColumns({"_class": F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)), "_key": F.md5(F.col("_id").cast("string"))})
     d = cut(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
@@ -88,7 +93,20 @@ def mix(
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_src"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rank = F.col("_at") + F.col("_before")
     copies = F.floor((rank + 1) * rate + start) - F.floor(rank * rate + start)
-    return d.withColumn("copies", copies.cast("long")).drop("_size", "_src", "_id", "_class", "_key", "_at", "_b", "_p", "_before")
+    return d.select("row.*", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = "0") -> DataFrame:
+    """The rows of the mix of docs, each as often as it is taken.
+
+    Only keys, sizes and sources are ordered; the texts are read again where
+    their keys are known. Rows are told apart by all their values, and ordered
+    as mix() does by their keys.
+    """
+    rows = docs.select(*row_key(docs), size.alias("size"), F.col(source).alias("source"))
+    found = mix(rows.withColumn("key", F.concat_ws(":", "_a", "_b")), "size", "key", "source", weights, most, seed)
+    wanted = cut(found.groupBy("_a", "_b").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")), "taken")
+    return rows_of(docs, wanted)
 
 
 def take(mixed: DataFrame, copies: str = "copies") -> DataFrame:

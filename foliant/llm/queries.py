@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, itq, jaccard, language, licenses, media, mixing, toxicity, urls, warc
-from foliant.llm.storage import cut
+from foliant.llm.storage import cut, swept
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -18,10 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query with its result written, and everything deleted that it wrote on the way."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with swept() as keep:
+            return keep(cut(query(spark, sf_dir), query.__name__))
+
+    return run
+
+
+@tidy
 def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@tidy
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by text and source, then pages by text, markup and address; either id is null."""
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +48,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", null.alias("page_id"), *columns).unionByName(on_pages.select(null.alias("doc_id"), "page_id", *columns))
 
 
+@tidy
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), rule=jaccard.Rule(4, 85, 100))
 
@@ -47,6 +62,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *own)
 
 
+@tidy
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -74,6 +90,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+@tidy
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -97,6 +114,7 @@ FROM m GROUP BY page_id, host, path
 """
 
 
+@tidy
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything returned is read back from the normalised archives; a revisit's payload is its response's."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -146,6 +164,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@tidy
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, "size")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no folder and Spark runs on one machine.
 LOCAL_DEFAULT = "file:///tmp/checkpoints/foliant"
@@ -21,9 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
+#: What runs of swept() have to delete, innermost last.
+_open: list[dict[str, SparkSession]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1][path] = spark
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -50,11 +63,83 @@ def smallest(df: DataFrame, place: str, n: int) -> DataFrame:
     return df.where(F.col(place) <= (last if last is not None else 0)).orderBy(place).limit(n)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete the files of cut frames that nothing still to be run reads."""
     for df in frames:
         path = getattr(df, "_cut_path", None)
         if path:
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(df.sparkSession, path)
+            for made in _open:
+                made.pop(path, None)
+
+
+@contextmanager
+def swept() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end all files made in it, but those of the cut frames that were passed to what it hands out."""
+    made: dict[str, SparkSession] = {}
+    outside = _open[-1] if _open else None
+
+    def keep(df: DataFrame) -> DataFrame:
+        if outside is not None:
+            outside[df._cut_path] = df.sparkSession
+        made.pop(df._cut_path, None)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        while made:
+            path, spark = made.popitem()
+            _delete(spark, path)
+        _open.pop()
+
+
+def give_back() -> None:
+    """Return memory that a worker no longer uses to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving back memory at each partition's end."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """_a and _b, 128 bits that tell rows apart by the values of their plain columns; equal rows have equal keys."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    return [F.xxhash64(*plain).alias("_a"), F.xxhash64(F.lit(1), *plain).alias("_b")]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """row (df's columns, so that no name can clash), _a and _b."""
+    return df.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias("row"), *row_key(df))
+
+
+def rows_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of df as often as wanted has it: _a, _b (see row_key), rows (how many rows of df share the key) and copies (of all these together).
+
+    A broadcast or a shuffle by 128 bits finds the rows; whole rows are never
+    sorted. Equal rows stand for one another, so that one of them gives all
+    copies; they are collapsed before they are shuffled.
+    """
+    wanted = cut(wanted.where("copies > 0"), "wanted")
+    out = keyed(df).join(wanted.where("rows = 1").select("_a", "_b", "copies"), ["_a", "_b"]).select("row", "copies")
+    several = wanted.where("rows > 1").select("_a", "_b", "copies")
+    if not several.isEmpty():
+        out = out.unionByName(keyed(df).join(several, ["_a", "_b"]).groupBy("row").agg(F.max("copies").alias("copies")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

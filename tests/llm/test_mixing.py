@@ -56,3 +56,15 @@ def test_take_and_empty(spark):
 def test_all_sizes_zero(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, None, None)], "doc_id long, source string, size int")
     assert [(r.target, r.copies) for r in mixing.mix(df, "size").collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_rows_of_the_mix(spark):
+    rows = [(i, f"w{i} " * (i % 7), "hot" if i % 3 else "b", i) for i in range(200)] + [(7, "again and again", "b", 1)] * 5 + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _a long").repartition(4)
+    out = Counter(tuple(r) for r in mixing.mixed_rows(df, mixing.n_words(df["text"])).collect())
+    assert set(out) <= set(map(tuple, rows))
+    assert all(n <= 3 * Counter(map(tuple, rows))[row] for row, n in out.items())
+    words = lambda row: len((row[1] or "").split())
+    assert abs(sum(n * words(row) for row, n in out.items()) - sum(map(words, rows))) < 60
+    assert out == Counter(tuple(r) for r in mixing.mixed_rows(df.repartition(2), mixing.n_words(df["text"])).collect())
+    assert mixing.mixed_rows(df.limit(0), mixing.n_words(df["text"])).count() == 0
