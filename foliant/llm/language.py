@@ -7,11 +7,13 @@ A row's posterior over languages multiplies
 * the prior of its host, smoothed towards its domain's and that towards the
   prior of all rows.
 
-The text model is fitted on a bounded sample of rows with a known language.
+The text model is fitted on a bounded sample of rows of each known language.
+Beside the languages stands UNKNOWN, the letters of all of them in no order: a
+text that no language explains better is of none, rather than of the nearest.
 Everything else is estimated over all rows by grouped aggregation, with the
 language that the text alone suggests. Only tables of a fixed number of
-buckets and languages reach the driver; counts by host, domain and suffix stay
-distributed and are joined.
+buckets for each language reach the driver; counts by host, domain and suffix
+stay distributed and are joined.
 """
 
 from __future__ import annotations
@@ -23,14 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from foliant.llm import words
-from foliant.llm.storage import cut, release, smallest
+from foliant.llm.storage import cut, lean, release
 
-#: The text model is fitted on so many labelled rows at most, those of the smallest hashes, and on so many languages, the most frequent.
-SAMPLE_ROWS, MOST_LANGUAGES = 5_000, 32
-#: Buckets of trigrams: 2**16 float32 a language, at most 8 MB.
+#: The text model is fitted on so many labelled rows of each language, those of the smallest hashes (and ties with the last).
+SAMPLE_ROWS = 1_000
+#: What a text of none of the known languages gets.
+UNKNOWN = "und"
+#: Buckets of trigrams: 2**16 float32, a quarter of a MB, for each language.
 GRAM_BITS = 16
+#: Bytes whose likelihoods are summed at a time.
+BLOCK = 1 << 18
 #: Trigrams that weigh as one independent observation.
 TEMPER = 4.0
 #: Rows that a level's own counts must have to weigh as much as the level above.
@@ -56,63 +63,77 @@ def _ends(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    """log P(trigram | language), in language order."""
+    """log P(trigram | language) in language order; for UNKNOWN, the last, the sum of log P(byte) of its bytes."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+    def __init__(self, languages: list[str], table: np.ndarray, letters: np.ndarray):
+        self.languages, self.table, self.letters = [*languages, UNKNOWN], table, letters
 
     def log_likelihoods(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each text and language, and each text's number of trigrams."""
         first, end = _ends(offsets)
-        total = np.zeros((max(len(raw) - 2, 0) + 1, len(self.languages)))
-        if len(raw) > 2:
-            np.cumsum(self.table[_grams(raw)], axis=0, out=total[1:], dtype=np.float64)
-        return total[np.minimum(end, len(total) - 1)] - total[np.minimum(first, len(total) - 1)], end - first
+        out = np.zeros((len(first), len(self.languages)))
+        for lo in range(0, max(len(raw) - 2, 0), BLOCK):
+            part = raw[lo : lo + BLOCK + 2]
+            total = np.zeros((len(part) - 1, len(self.languages)))
+            np.cumsum(self.table[_grams(part)], axis=0, out=total[1:, :-1], dtype=np.float64)
+            one = self.letters[_LETTERS[part]]
+            np.cumsum(one[:-2] + one[1:-1] + one[2:], out=total[1:, -1])
+            out += total[np.clip(end - lo, 0, len(total) - 1)] - total[np.clip(first - lo, 0, len(total) - 1)]
+        return out, end - first
 
 
 def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id") -> TextModel:
-    """Fit the text model on rows whose language is known; null languages and empty texts are left out."""
-    known = rows.where(F.col(language).isNotNull() & (F.length(text) > 0))
+    """Fit the text model on rows whose language is known; null languages, UNKNOWN and empty texts are left out.
+
+    SAMPLE_ROWS of each language count, however rare it is; rows of one key
+    stand or fall together.
+    """
+    known = rows.where(F.col(language).isNotNull() & (F.col(language) != UNKNOWN) & (F.length(text) > 0))
     known = known.select(F.col(text).alias("text"), F.col(language).alias("language"), F.xxhash64(F.col(key).cast("string")).alias("place"))
-    sample = cut(smallest(known, "place", SAMPLE_ROWS).drop("place"), "sample")
-    languages = [r[0] for r in sample.groupBy("language").count().orderBy(F.col("count").desc(), "language").limit(MOST_LANGUAGES).collect()]
+    rank = F.row_number().over(Window.partitionBy("language").orderBy("place"))
+    last = cut(known.select("language", "place").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("language").agg(F.max("place").alias("last")), "last")
+    sample = cut(known.join(last, "language").where("place <= last").select("text", "language"), "sample")
+    languages = sorted(r[0] for r in last.select("language").collect())
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((len(place), 1 << GRAM_BITS), np.int64)
+        letters = np.zeros(256, np.int64)
         for batch in batches:
             named = batch.column(1).to_pylist()
             for lo, _, raw, offsets in words.slices(batch.column(0)):
+                letters += np.bincount(_LETTERS[raw], minlength=256)
                 grams = _grams(raw) if len(raw) > 2 else np.zeros(0, np.int32)
                 for i, (a, z) in enumerate(zip(*_ends(offsets), strict=True)):
-                    if named[lo + i] in place:
-                        n[place[named[lo + i]]] += np.bincount(grams[a:z], minlength=1 << GRAM_BITS)
+                    n[place[named[lo + i]]] += np.bincount(grams[a:z], minlength=1 << GRAM_BITS)
         k, at = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n[k, at])], names=["k", "at", "n"])
-
-    found = sample.mapInArrow(run, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
-    release(sample)
-    n = np.zeros((max(len(languages), 1), 1 << GRAM_BITS))
-    n[found["k"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
+        k, at, count = np.append(k, np.full(256, -1)), np.append(at, np.arange(256)), np.append(n[k, at], letters)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(count)], names=["k", "at", "n"])
+
+    found = sample.mapInArrow(lean(run), "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    release(sample, last)
+    k, at, count = (found[x].to_numpy() for x in ("k", "at", "n"))
+    n, letters = np.zeros((len(languages), 1 << GRAM_BITS)), np.full(256, 0.1)
+    n[k[k >= 0], at[k >= 0]] = count[k >= 0]
+    letters[at[k < 0]] += count[k < 0]
     p = (n + 0.1) / (n + 0.1).sum(axis=1, keepdims=True)
-    return TextModel(languages or ["und"], np.log(p.T).astype(np.float32).copy())
+    return TextModel(languages, np.log(p.T).astype(np.float32).copy(), np.log(letters / letters.sum()))
 
 
-def _likelihoods(df: DataFrame, text: str, model: TextModel, keep_text: bool) -> DataFrame:
-    """df, without its text if that isn't kept, with _n (trigrams), _ll (array of log-likelihoods)."""
+def _likelihoods(df: DataFrame, text: str, model: TextModel) -> DataFrame:
+    """df without its text, with _n (trigrams), _ll (array of log-likelihoods)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in df.schema if f.name != text]
-    kept = [*(f for f in df.schema if f.name == text and keep_text), *rest]
+    kept = [f for f in df.schema if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in words.slices(batch.column(0)):
                 ll, n = shared.value.log_likelihoods(raw, offsets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[0 if keep_text else 1 :], pa.array(n.astype(np.int64)), flat], names=[*(f.name for f in kept), "_n", "_ll"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], pa.array(n.astype(np.int64)), flat], names=[*(f.name for f in kept), "_n", "_ll"])
 
     schema = T.StructType([*kept, T.StructField("_n", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))])
-    return df.select(text, *(f"`{f.name}`" for f in rest)).mapInArrow(run, schema)
+    return df.select(text, *(f"`{f.name}`" for f in kept)).mapInArrow(lean(run), schema)
 
 
 def _counts(rows: DataFrame, key: str, languages: list[str]) -> DataFrame:
@@ -131,15 +152,17 @@ def _smoothed(own: str, above: Column) -> Column:
     return F.coalesce(mixed, above)
 
 
-def identify(
-    df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None, keep_text: bool = False
-) -> DataFrame:
-    """df, without its text if that isn't kept, with language, confidence (its posterior), text_language and accepted.
+def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None) -> DataFrame:
+    """df without its text, with language, confidence (its posterior), text_language and accepted.
 
-    Null or unknown evidence is no evidence. Where neither text, markup nor
-    suffix say anything, the language follows the prior and accepted is false;
-    it is true if there is text evidence and confidence is SURE at least.
-    Repeated rows stay. Columns of the added names are replaced.
+    Whole texts count, whatever their length. Null or unknown evidence is no
+    evidence. Where neither text, markup nor suffix say anything, the language
+    follows the prior and accepted is false; it is true if there is text
+    evidence, the language is a known one and confidence is SURE at least. Of
+    languages of equal posterior the first in code-point order wins. Repeated
+    rows stay, each with the same result. Columns of the added names are
+    replaced. Texts are read once; df's other columns are written beside their
+    likelihoods, so leave out large ones.
     """
     languages = model.languages
     none = F.lit(None).cast("string")
@@ -148,15 +171,12 @@ def identify(
     df = df.withColumn("_declared", F.when(primary.isin(languages), primary).when(primary != "", F.lit("other")))
     keys = ("_host", "_domain", "_suffix", "_declared")
     best = (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int").alias("_best")
-    # what is counted is written without texts; the texts are read again below
-    first = cut(_likelihoods(df.select(text, *keys), text, model, False).select(*keys, "_n", best), "evidence")
-    rows = _likelihoods(df, text, model, keep_text).select("*", best)
+    rows = first = cut(_likelihoods(df, text, model).select("*", best), "evidence")
     seen = first.where("_n > 0").agg(*(F.count(F.when(F.col("_best") == i, 1)) for i in range(len(languages)))).first()
     of = [float(x or 0) for x in seen]
     prior = F.array(*(F.lit((x + 1.0) / (sum(of) + len(of))) for x in of))
     for key in keys:
         rows = rows.join(_counts(first.select(key, "_best", "_n"), key, languages), key, "left")
-    release(first)
     size = F.array(*map(F.lit, of))
 
     def likelihood(own: str) -> Column:
@@ -174,7 +194,7 @@ def identify(
         "confidence": confidence,
         "text_language": F.when(F.col("_n") > 0, F.element_at(names, F.col("_best") + 1)),
     })
-    rows = rows.withColumn("accepted", (F.col("_n") > 0) & (F.col("confidence") >= SURE))
+    rows = rows.withColumn("accepted", (F.col("_n") > 0) & (F.col("confidence") >= SURE) & (F.col("language") != UNKNOWN))
     return rows.drop("_host", "_domain", "_suffix", "_declared", "_n", "_ll", "_best", "n_host", "n_domain", "n_suffix", "n_declared", "_log", "_top")
 
 
