@@ -41,7 +41,7 @@ def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 # Quotes and dashes that compare as ASCII ones.
-_QUOTES, _PLAIN = "“”‘’—–−", "\"\"''---"
+_QUOTES, _PLAIN = "“”‘’—–－", "\"\"''---"
 
 
 def normalize_text(text: Column, compatibility: bool = True) -> Column:
@@ -57,8 +57,23 @@ def ngrams(text: Column, n: int = 3) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) == 0, F.array().cast("array<string>")).when(size < n, F.array(text)).otherwise(all_grams)
 
 
+# Characters of Chinese numbers in front of headings.
+CHINESE_NUMBER = "一二三四五六七八九十百千万零〇两"
+
+
 def normalize_number_spacing(text: Column) -> Column:
-    """One blank behind a leading list number, none inside its brackets."""
-    text = F.regexp_replace(text, r"^(\d+[.、．])\s+", "$1 ")
-    text = F.regexp_replace(text, r"^([(（])\s*(\d+)\s*([)）])\s*", "$1$2$3")
-    return F.regexp_replace(text, r"^(\d+(?:\.\d+)+)\s+", "$1 ")
+    """No blanks between a leading number and its mark: a Chinese or Arabic one and 、, an Arabic one and a dot."""
+    text = F.regexp_replace(text, f"^([{CHINESE_NUMBER}]+|\\d+){SPACE}+、", "$1、")
+    return F.regexp_replace(text, f"^(\\d+){SPACE}+\\.", "$1.")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends, as Unicode has it."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def truncate(text: Column, tokens: int, least: int, mark: str = "") -> Column:
+    """A text of more estimated tokens cut in proportion to them, but to no fewer than least characters, with mark behind it."""
+    own = estimate_tokens(text)
+    size = F.greatest(F.lit(least), F.floor(F.length(text) * tokens / F.greatest(own, F.lit(1)))).cast("int")
+    return F.when(own <= tokens, text).otherwise(F.concat(F.regexp_replace(F.substring(text, F.lit(1), size), f"{SPACE}+$", ""), F.lit(mark)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from foliant.functions.text import strip
+
 
 def W() -> WindowSpec:  # noqa: N802
     """A document's rows in order."""
@@ -22,20 +24,54 @@ def BEFORE() -> WindowSpec:  # noqa: N802
     return W().rowsBetween(Window.unboundedPreceding, -1)
 
 
+# Chinese numerals of the numbering families.
+CHINESE = "一二三四五六七八九十百零〇两壹贰叁肆伍陆柒捌玖拾"
 # Numbering families in the order in which they are tried.
 FAMILIES = [
-    ("chapter", r"^第[一二三四五六七八九十百0-9]+章"),
-    ("article", r"^第[一二三四五六七八九十百0-9]+条"),
-    ("chinese_comma", r"^[一二三四五六七八九十]+、"),
-    ("chinese_paren", r"^[(（][一二三四五六七八九十]+[)）]"),
-    ("arabic_multi", r"^\d+(?:\.\d+)+"),
+    ("subattachment", rf"^附件\s*[{CHINESE}0-9]+[-.]\d+"),
+    ("chapter", rf"^第([{CHINESE}0-9]+)章"),
+    ("article", rf"^第([{CHINESE}0-9]+)条"),
+    ("section", rf"^第([{CHINESE}0-9]+)节"),
+    ("cn_comma", rf"^[{CHINESE}]+[、.]"),
+    ("cn_paren", rf"^[（(][{CHINESE}]+[）)]"),
+    ("arabic_paren", r"^[（(]\d+[）)]"),
+    ("arabic_multilevel", r"^\d+(?:\.\d+)+[.、）)]?"),
     ("arabic_comma", r"^\d+、"),
+    ("arabic_dot", r"^\d+[.]"),
+    ("arabic_close", r"^\d+[）)]"),
+    ("letter", r"^[A-Za-z][.、）)]"),
+]
+# Numerals that stand for one digit.
+ONES = {"零": 0, "〇": 0, "一": 1, "壹": 1, "二": 2, "两": 2, "贰": 2, "三": 3, "叁": 3, "四": 4, "肆": 4, "五": 5, "伍": 5, "六": 6, "陆": 6, "七": 7, "柒": 7, "八": 8, "捌": 8, "九": 9, "玖": 9}
+
+# Numerals, Roman and circled numbers of heading examples.
+_CN = "一二三四五六七八九十百千万零〇两壹贰叁肆伍陆柒捌玖拾佰仟萬"
+_ROMAN = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ"
+_CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+# Kinds of numbers of heading examples, in the order in which they are tried, each with the pattern of all headings of its kind.
+EXAMPLE_KINDS = [
+    ("article", f"^第[{_CN}0-9]+条"),
+    ("article", f"^第[{_CN}0-9]+章"),
+    ("article", f"^第[{_CN}0-9]+节"),
+    ("article", f"^第[{_CN}0-9]+部分"),
+    ("arabic_multilevel", r"^\d+(?:[.．]\d+)+(?:[.．、])?"),
+    ("arabic_parenthesized", r"^[（(]\d+[）)]"),
+    ("chinese_parenthesized", f"^[（(][{_CN}]+[）)]"),
+    ("chinese_delimited", f"^[{_CN}]+、"),
+    ("chinese_delimited", f"^[{_CN}]+[.．]"),
     ("arabic_dot", r"^\d+[.．]"),
-    ("arabic_paren", r"^[(（]\d+[)）]"),
-    ("arabic_half_paren", r"^\d+[)）]"),
-    ("letter_dot", r"^[A-Za-z][.．、]"),
-    ("letter_paren", r"^[(（][A-Za-z][)）]"),
-    ("circled", r"^[①②③④⑤⑥⑦⑧⑨⑩]"),
+    ("arabic_comma", r"^\d+、"),
+    ("arabic_closing_parenthesis", r"^\d+[)）]"),
+    ("alphabetic", "^[A-Za-z][.．]"),
+    ("alphabetic", "^[A-Za-z]、"),
+    ("alphabetic", "^[A-Za-z]）"),
+    ("alphabetic", r"^[A-Za-z]\)"),
+    ("roman", f"^[{_ROMAN}]+[.．]"),
+    ("roman", f"^[{_ROMAN}]+、"),
+    ("roman", f"^[{_ROMAN}]+）"),
+    ("roman", rf"^[{_ROMAN}]+\)"),
+    ("circled", f"^[{_CIRCLED}]"),
+    ("attachment", rf"^附件\s*[{_CN}0-9]+"),
 ]
 
 
@@ -44,13 +80,18 @@ def heading_level(text: Column, levels: list[tuple[int, str]]) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), n) for n, p in levels))
 
 
-def score_profiles(blocks: DataFrame, profiles: list[tuple[str, list[tuple[int, str]]]], weights: tuple[int, int, int, int] = (9, 4, 2, 8)) -> DataFrame:
+def score_profiles(blocks: DataFrame, profiles: list[tuple[str, list[tuple[int, str]]]], weights: tuple[int, int, int, int] = (9, 4, 2, 8), until: DataFrame | None = None) -> DataFrame:
     """doc_id, profile, rank (declared order), n1 to n3, v1 to v3, orphans, score for each document and profile.
 
+    Paragraphs with text count, before until's attachment_start if it is given.
+
     A level-2 heading counts if a level-1 one came before, a level-3 one if a
     counted level-2 one came since the last level-1 one; others are orphans.
     """
     parts = []
+    blocks = blocks.where((F.col("kind") == "p") & (F.col("text") != ""))
+    if until is not None:
+        blocks = blocks.join(until, "doc_id", "left").where("attachment_start IS NULL OR pos < attachment_start").drop("attachment_start")
     for rank, (name, levels) in enumerate(profiles):
         lv = blocks.select("doc_id", "pos", heading_level(F.col("text"), levels).alias("level")).where("level is not null")
         last1 = F.max(F.when(F.col("level") == 1, F.col("pos"))).over(BEFORE())
@@ -78,6 +119,13 @@ def body_start(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("level") == 1, F.col("pos"))), F.lit(0)).alias("body_start"))
 
 
+def body_start_without_profile(blocks: DataFrame, section: str, listed: str) -> DataFrame:
+    """doc_id, body_start: the first paragraph that begins as a section does, else the first of at least two listed ones, else 0."""
+    at = lambda pattern: F.when((F.col("kind") == "p") & F.col("text").rlike(pattern), F.col("pos"))
+    several = F.when(F.count(at(listed)) >= 2, F.min(at(listed)))
+    return blocks.groupBy("doc_id").agg(F.coalesce(F.min(at(section)), several, F.lit(0)).alias("body_start"))
+
+
 def attachment_start(blocks: DataFrame, formal: str, named: str) -> DataFrame:
     """doc_id, attachment_start: first formal heading from the body's start on, else the first outlined block of a given wording, else null."""
     start = blocks.join(body_start(blocks), "doc_id")
@@ -96,22 +144,35 @@ def tail_start(blocks: DataFrame, marker: str, signature: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.coalesce(pick(F.max, is_p & F.col("text").rlike(marker)), pick(F.max, ~is_p & signs), pick(F.min, is_p & signs & late)).alias("tail_start"))
 
 
-def assign_regions(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add region by the cuts body_start, tail_start and attachment_start (null: none) of each document.
+def region_ranges(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
+    """doc_id, region, start, stop: half-open ranges of positions, from the cuts body_start, tail_start and attachment_start (null: none).
 
-    A document that starts with its body still has its first block in front
-    matter; the operator gives that block the later region, body.
+    Front matter has the first block at least, even where the body starts with
+    it; that block is in both. A tail counts only between body and attachments.
     """
-    pos = F.col("pos")
-    region = F.when(pos >= F.col("attachment_start"), "attachments").when(pos >= F.col("tail_start"), "tail").when(pos >= F.col("body_start"), "body").otherwise("frontmatter")
-    return blocks.join(cuts, "doc_id", "left").withColumn("region", region).drop("body_start", "tail_start", "attachment_start")
+    ends = blocks.groupBy("doc_id").agg(F.min("pos").alias("_a"), (F.max("pos") + 1).alias("_z")).join(cuts, "doc_id", "left")
+    body = F.greatest(F.coalesce("body_start", F.lit(0)), F.col("_a"))
+    stop = F.coalesce(F.when(F.col("attachment_start") >= body, F.col("attachment_start")), F.col("_z"))
+    tail = F.when((F.col("tail_start") >= body) & (F.col("tail_start") < stop), F.col("tail_start"))
+    of = lambda name, start, end: F.struct(F.lit(name).alias("region"), start.cast("int").alias("start"), end.cast("int").alias("stop"))
+    ranges = F.array(of("frontmatter", F.col("_a"), F.greatest(body, F.col("_a") + 1)), of("body", body, F.coalesce(tail, stop)), of("tail", tail, stop), of("attachments", stop, F.col("_z")))
+    return ends.select("doc_id", F.explode(F.filter(ranges, lambda r: r["start"] < r["stop"])).alias("r")).select("doc_id", "r.*")
+
+
+def assign_regions(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
+    """blocks with region, a row for each range of region_ranges() that has them."""
+    ranges = region_ranges(blocks, cuts).groupBy("doc_id").agg(F.collect_list(F.struct("region", "start", "stop")).alias("_r"))
+    hit = F.filter("_r", lambda r: (F.col("pos") >= r["start"]) & (F.col("pos") < r["stop"]))
+    return blocks.join(ranges, "doc_id").withColumn("region", F.explode(F.transform(hit, lambda r: r["region"]))).drop("_r")
 
 
-def attachment_starts(blocks: DataFrame, numbered: str) -> DataFrame:
-    """doc_id, number, pos: the last numbered attachment heading for each number, list items left out."""
+def attachment_starts(blocks: DataFrame, numbered: str, listed: str, named: str) -> DataFrame:
+    """doc_id, number, pos: the last paragraph of each number, list items left out, and every outlined one with a name (number null)."""
     number = F.regexp_extract("text", numbered, 1)
-    rows = blocks.where(F.col("num_id").isNull() & (number != "")).select("doc_id", number.alias("number"), "pos")
-    return rows.groupBy("doc_id", "number").agg(F.max("pos").alias("pos"))
+    p = blocks.where("kind = 'p'").withColumn("number", F.when((number != "") & ~F.col("text").rlike(listed), number))
+    last = p.where("number IS NOT NULL").groupBy("doc_id", "number").agg(F.max("pos").alias("pos"))
+    rest = p.where(F.col("number").isNull() & F.col("outline").between(0, 8) & F.col("text").rlike(named))
+    return last.unionByName(rest.select("doc_id", "number", "pos"))
 
 
 def visual_title(blocks: DataFrame, keyword: str, size: int = 55) -> DataFrame:
@@ -128,56 +189,82 @@ def plain_label(text: Column, label: str, keyword: str, size: int = 16) -> Colum
 
 
 def heading_score(blocks: DataFrame) -> DataFrame:
-    """Add score int and evidence array: numbered 2, direct outline 4 or style outline 3, centred 1, bold 1, large 1, in an attachment 2."""
+    """Add score int and evidence array: a level by its number 2, direct outline 4 or style outline 3, centred 1, bold 1, large 1, in an attachment 2."""
     signals = [
-        ("number", F.col("num_id").isNotNull(), 2),
+        ("number_pattern", F.col("level").isNotNull(), 2),
         ("direct_outline", F.col("direct_outline").isNotNull(), 4),
         ("style_outline", F.col("direct_outline").isNull() & F.col("style_outline").isNotNull(), 3),
         ("center", F.col("alignment") == "center", 1),
         ("bold", F.col("bold_fraction") >= 0.5, 1),
-        ("font", F.col("max_font_size") >= 28, 1),
-        ("attachment", F.col("in_attachment"), 2),
+        ("large_font", F.col("max_font_size") >= 28, 1),
+        ("inside_attachment", F.col("in_attachment"), 2),
     ]
     score = reduce(Column.__add__, (F.when(c, n).otherwise(0) for _, c, n in signals))
     return blocks.withColumns({"score": score, "evidence": F.array_compact(F.array(*(F.when(c, name) for name, c, _ in signals)))})
 
 
 def number_family(text: Column) -> Column:
-    return F.coalesce(*(F.when(text.rlike(p), name) for name, p in FAMILIES))
-
-
-def number_ordinal(text: Column) -> Column:
-    """The leading number as an integer: digits, letters, circled or Chinese numerals up to 99; else null."""
-    digits = F.regexp_extract(text, r"^[(（第]?(\d+)", 1)
-    letter = F.lower(F.regexp_extract(text, r"^[(（]?([A-Za-z])[.．、)）]", 1))
-    chinese = F.regexp_extract(text, r"^[(（第]?([一二三四五六七八九十]+)[、)）章条]", 1)
-    circled = F.instr(F.lit("①②③④⑤⑥⑦⑧⑨⑩"), F.substring(text, 1, 1))
-    one = lambda c: F.when(c == "", 0).otherwise(F.position(c, F.lit("一二三四五六七八九")))
-    tens, ones = F.substring_index(chinese, "十", 1), F.substring_index(chinese, "十", -1)
-    number = F.when(F.contains(chinese, F.lit("十")), F.when(tens == "", 1).otherwise(one(tens)) * 10 + one(ones)).otherwise(one(chinese))
-    return (
-        F.when(digits != "", digits.cast("int"))
-        .when(letter != "", F.ascii(letter) - 96)
-        .when(chinese != "", number.cast("int"))
-        .when((circled > 0) & (F.length(text) > 0), circled)
+    """The first family whose pattern fits, else unnumbered."""
+    return F.coalesce(*(F.when(strip(text).rlike(p), name) for name, p in FAMILIES), F.when(text.isNotNull(), "unnumbered"))
+
+
+def _number(value: Column) -> Column:
+    """A number in digits, or in numerals up to 99; else null, as for ones too long for a bigint."""
+    digits = F.create_map(*(F.lit(x) for pair in ONES.items() for x in pair))
+    ten = F.split(value, "[十拾]", 2)
+    tens = F.when(ten[0] == "", 1).otherwise(F.coalesce(F.try_element_at(digits, ten[0]), F.lit(1)))
+    ones = F.coalesce(F.try_element_at(digits, F.try_element_at(ten, F.lit(2))), F.lit(0))
+    return F.when(value.rlike("^[0-9]+$"), value.try_cast("bigint")).when(value.rlike("[十拾]"), (tens * 10 + ones).cast("bigint")).otherwise(F.try_element_at(digits, value).cast("bigint"))
+
+
+def number_ordinal(text: Column, family: Column) -> Column:
+    """The number of a heading of a family: what stands in the place that the family has for it; null if it is none."""
+    text = strip(text)
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
+    value = (
+        F.when(family == "subattachment", part(rf"^附件\s*[{CHINESE}0-9]+[-.](\d+)"))
+        .when(family.isin("chapter", "article", "section"), part(rf"^第([{CHINESE}0-9]+)[章条节]"))
+        .when(family.isin("cn_comma", "cn_paren"), part(rf"^[（(]?([{CHINESE}]+)"))
+        .when(F.startswith(family, F.lit("arabic_")), part(r"^[（(]?(\d+)"))
     )
+    return F.when(family == "letter", (F.ascii(F.upper(F.substring(text, 1, 1))) - 64).cast("bigint")).otherwise(_number(value))
 
 
-def hierarchy_candidates(blocks: DataFrame) -> DataFrame:
-    """Paragraphs that may be headings, with signals array: outline, numbered, visual or short and formatted."""
-    short = (F.length("text") <= 120) & ((F.col("alignment") == "center") | (F.col("bold_fraction") >= 0.5))
-    found = [("outline", F.col("outline").between(0, 8)), ("number", F.col("family").isNotNull()), ("visual", F.col("visual_title")), ("format", short)]
+def hierarchy_candidates(blocks: DataFrame, inside_attachment: bool = True) -> DataFrame:
+    """Paragraphs that may be headings, with place (among paragraphs with text), signals array, ordinal and required.
+
+    blocks: doc_id, pos, kind, text, outline, level (by fixed patterns),
+    family, visual_title, plain_label and layout. A paragraph is one if it is
+    outlined, numbered, a visual title, a label, short and formatted, or, inside
+    an attachment, among the first eight and short. Sub-attachments and
+    outlined numbers are required; see required_sequences() for the rest.
+    """
+    p = blocks.where((F.col("kind") == "p") & (strip(F.col("text")) != ""))
+    p = p.withColumn("place", F.row_number().over(W()))
+    outlined, numbered = F.coalesce(F.col("outline").between(0, 8), F.lit(False)), F.col("family") != "unnumbered"
+    center, bold, large = F.col("alignment") == "center", F.col("bold_fraction") >= 0.5, F.col("max_font_size") >= 28
+    opening = F.lit(inside_attachment) & (F.col("place") <= 8) & (F.length("text") <= 80)
+    wanted = outlined | numbered | F.col("visual_title") | F.col("plain_label") | ((center | bold | large) & (F.length("text") <= 120)) | opening
+    found = [
+        (F.concat(F.lit("outline:"), F.col("outline").cast("string")), outlined),
+        (F.concat(F.lit("deterministic_level:"), F.col("level").cast("string")), F.col("level").isNotNull()),
+        (F.concat(F.lit("number:"), "family"), numbered),
+        *((F.lit(name), c) for name, c in (("visual_title", F.col("visual_title")), ("plain_label", F.col("plain_label")), ("center", center), ("bold", bold), ("large_font", large), ("attachment_opening", opening))),
+    ]
     signals = F.array_compact(F.array(*(F.when(c, name) for name, c in found)))
-    return blocks.where(F.col("kind") == "p").withColumn("signals", signals).where(F.size("signals") > 0)
+    required = (F.col("family") == "subattachment") | (outlined & numbered)
+    return p.where(F.coalesce(wanted, F.lit(False))).withColumns({"signals": signals, "ordinal": number_ordinal(F.col("text"), F.col("family")), "required": required})
 
 
-def required_sequences(numbered: DataFrame) -> DataFrame:
-    """Add required boolean: the row lies in a run of at least two consecutive ordinals of its family in its document."""
-    w = Window.partitionBy("doc_id", "family").orderBy("pos")
+def required_sequences(candidates: DataFrame) -> DataFrame:
+    """candidates with required also where a row lies in a run of at least two consecutive ordinals of its family in its document."""
+    keys = ["doc_id", "family", F.col("ordinal").isNull()]
+    w = Window.partitionBy(*keys).orderBy("pos")
     breaks = F.when(F.col("ordinal") == F.lag("ordinal").over(w) + 1, 0).otherwise(1)
-    island = numbered.withColumn("_break", breaks).withColumn("_island", F.sum("_break").over(w))
-    size = F.count("*").over(Window.partitionBy("doc_id", "family", "_island"))
-    return island.withColumn("required", size >= 2).drop("_break", "_island")
+    island = candidates.withColumn("_break", breaks).withColumn("_island", F.sum("_break").over(w))
+    size = F.count("*").over(Window.partitionBy(*keys, "_island"))
+    run = (F.col("family") != "unnumbered") & F.col("ordinal").isNotNull() & (size >= 2)
+    return island.withColumn("required", F.coalesce("required", F.lit(False)) | run).drop("_break", "_island")
 
 
 def next_text(blocks: DataFrame, size: int = 100) -> DataFrame:
@@ -188,9 +275,9 @@ def next_text(blocks: DataFrame, size: int = 100) -> DataFrame:
 
 
 def pattern_summary(blocks: DataFrame, size: int = 120, examples: int = 3) -> DataFrame:
-    """doc_id, family, n and the first examples of each number family."""
+    """doc_id, family, n and the first examples of each number family, the unnumbered among them."""
     w = Window.partitionBy("doc_id", "family").orderBy("pos")
-    ranked = blocks.where("family is not null").withColumn("_k", F.row_number().over(w))
+    ranked = blocks.withColumn("_k", F.row_number().over(w))
     first = F.array_sort(F.collect_list(F.when(F.col("_k") <= examples, F.struct("_k", F.substring("text", 1, size).alias("t")))))
     return ranked.groupBy("doc_id", "family").agg(F.count("*").alias("n"), F.transform(first, lambda x: x["t"]).alias("examples"))
 
@@ -201,9 +288,26 @@ def title_sequence_check(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("previous", F.lag("ordinal").over(w)).where(F.col("ordinal") - F.col("previous") != 1).withColumn("gap", F.col("ordinal") - F.col("previous"))
 
 
+def number_kind(text: Column) -> Column:
+    """struct(kind, source) of the first kind of EXAMPLE_KINDS that fits, or null."""
+    return F.coalesce(*(F.when(strip(text).rlike(p), F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("source"))) for kind, p in EXAMPLE_KINDS))
+
+
 def infer_number_pattern(examples: DataFrame) -> DataFrame:
-    """profile, level, families: the number families of example headings; more than one level with a family is marked ambiguous."""
-    kinds = examples.withColumn("family", number_family(F.col("text"))).where("family is not null")
-    levels = kinds.groupBy("profile", "family").agg(F.countDistinct("level").alias("_n"))
-    marked = kinds.join(levels, ["profile", "family"])
-    return marked.groupBy("profile", "level").agg(F.array_sort(F.collect_set("family")).alias("families"), F.max(F.col("_n") > 1).alias("ambiguous"))
+    """profile, level, kinds, pattern: from example headings (profile, level, place, text) the pattern of each level, alternatives as first seen."""
+    found = examples.withColumn("_k", number_kind(F.col("text"))).where("_k IS NOT NULL")
+    first = found.groupBy("profile", "level", "_k").agg(F.min("place").alias("_at"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_k")))
+    bare = lambda x: F.substring(x["_k"]["source"], 2, 1 << 20)
+    pattern = F.concat(F.lit("^(?:"), F.array_join(F.transform(ordered, bare), "|"), F.lit(")"))
+    kinds = F.array_distinct(F.transform(ordered, lambda x: x["_k"]["kind"]))
+    return first.groupBy("profile", "level").agg(kinds.alias("kinds"), pattern.alias("pattern"))
+
+
+def pattern_errors(examples: DataFrame, patterns: DataFrame) -> DataFrame:
+    """profile, level, place, matched of examples that no kind fits (matched empty) or that fit other levels than their own, or several."""
+    levels = patterns.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("level", "pattern"))).alias("_levels"))
+    rows = examples.join(levels, "profile", "left").withColumn("_t", strip(F.col("text")))
+    hit = F.transform(F.filter("_levels", lambda x: F.rlike(F.col("_t"), x["pattern"])), lambda x: x["level"])
+    rows = rows.withColumn("matched", F.coalesce(hit, F.array().cast("array<int>")))
+    return rows.where(number_kind(F.col("text")).isNull() | (F.col("matched") != F.array("level"))).select("profile", "level", "place", "matched")
