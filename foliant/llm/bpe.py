@@ -19,6 +19,7 @@ Joining is associative, so texts can be cut anywhere.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import struct
 from collections.abc import Callable, Iterator
@@ -34,28 +35,35 @@ from foliant.llm.storage import lean
 #: Characters behind a piece's end that can still change it: "'re" has three.
 LOOKAHEAD = 4
 #: Characters of a leaf of text, bytes of a leaf of a piece, ids of a leaf when decoding.
-TEXT_LEAF, BYTE_LEAF, ID_LEAF = 1 << 15, 8, 1 << 12
-#: Pieces, leaves and pairs that a worker remembers; beyond that, and after each partition, it starts afresh.
-MEMORY = 150_000
+TEXT_LEAF, BYTE_LEAF, ID_LEAF = 1 << 15, 16, 1 << 12
+#: Pieces (twice) and pairs that a worker remembers; after each partition it starts afresh.
+MEMORY = 75_000
 #: No merge: above every rank.
 NONE = 1 << 62
 
 
 class _Pieces(dict):
-    """Packed ids of pieces, encoded when first asked for."""
+    """Packed ids of pieces, encoded when first asked for; once full, those asked for since stay for another round."""
 
     def __init__(self, encode: Callable[[bytes], list[int]]):
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.before.get(piece)
+        if packed is None:
+            ids = self.encode(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= MEMORY:
-                self.clear()
+                self.before = dict(self)
+                super().clear()
             self[piece] = packed
         return packed
 
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
+
 
 class ByteBPE:
     """Encoder and decoder over ranked byte strings."""
@@ -64,12 +72,20 @@ class ByteBPE:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
+        #: rank of the token that two tokens join to, by both ids
+        self._merges = {left << 32 | right: rank for token, rank in ranks.items() for left, right in self._halves(token)}
+        self._bytes = [ranks.get(bytes([x]), NONE) for x in range(256)]
         self._pairs: dict[tuple[int, int], list[int]] = {}
-        self._leaves: dict[bytes, list[int]] = {}
         self._pieces = _Pieces(self.encode_bytes)
 
+    def _halves(self, token: bytes) -> Iterator[tuple[int, int]]:
+        for i in range(1, len(token)):
+            left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+            if left is not None and right is not None:
+                yield left, right
+
     def forget(self) -> None:
-        for known in (self._pairs, self._leaves, self._pieces):
+        for known in (self._pairs, self._pieces):
             known.clear()
 
     # bytes of one piece -> ids
@@ -78,20 +94,20 @@ class ByteBPE:
         """Plain merging, for leaves and windows: always the leftmost pair of lowest rank."""
         ranks = self.ranks
         if len(data) <= 48:
-            parts = [data[i : i + 1] for i in range(len(data))]
-            pair = [ranks.get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+            ids, joined = [self._bytes[x] for x in data], self._merges.get
+            pair = [joined(ids[i] << 32 | ids[i + 1], NONE) for i in range(len(ids) - 1)]
             while pair:
                 best = min(pair)
                 if best == NONE:
                     break
                 i = pair.index(best)
-                parts[i : i + 2] = [joined] = [parts[i] + parts[i + 1]]
-                del pair[i]
+                ids[i] = best
+                del ids[i + 1], pair[i]
                 if i < len(pair):
-                    pair[i] = ranks.get(joined + parts[i + 1], NONE)
+                    pair[i] = joined(best << 32 | ids[i + 1], NONE)
                 if i:
-                    pair[i - 1] = ranks.get(parts[i - 1] + joined, NONE)
-            return [ranks[p] for p in parts]
+                    pair[i - 1] = joined(ids[i - 1] << 32 | best, NONE)
+            return ids
         n = len(data)
         part: list[bytes | None] = [data[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -143,16 +159,11 @@ class ByteBPE:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The ids of one piece: halves, then join. The result is not to be changed."""
-        if len(data) <= BYTE_LEAF:
-            ids = self._leaves.get(data)
-            if ids is None:
-                if len(self._leaves) >= MEMORY:
-                    self._leaves.clear()
-                ids = self._leaves[data] = self._merge(data)
-            return ids
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        if len(data) <= BYTE_LEAF:
+            return self._merge(data)
         middle = len(data) // 2
         return self.join_ids(self.encode_bytes(data[:middle]), self.encode_bytes(data[middle:]))
 
@@ -213,6 +224,11 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", n_t
     return _mapped(df, text, [(n_tokens, T.LongType(), pa.int64()), (ids, T.BinaryType(), pa.binary())], _Encode(path, pattern))
 
 
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", n_tokens: str = "n_tokens", ids: str = "token_ids", decoded: str = "decoded_sha256") -> DataFrame:
+    """encode_texts(), with the SHA-256 of the bytes that the ids decode to, in one pass over the texts."""
+    return _mapped(df, text, [(n_tokens, T.LongType(), pa.int64()), (ids, T.BinaryType(), pa.binary()), (decoded, T.StringType(), pa.string())], _Both(path, pattern))
+
+
 def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Add the bytes of packed ids; null ids count as none. An unknown id is an error."""
     return _mapped(df, ids, [(decoded, T.BinaryType(), pa.binary())], _Decode(path, pattern))
@@ -234,6 +250,13 @@ class _Decode(_Encode):
         return [[bpe.decode(x.as_py() or b"") for x in values]]
 
 
+class _Both(_Encode):
+    def __call__(self, values: pa.Array) -> list[list]:
+        bpe = load(*self.args)
+        n, ids = super().__call__(values)
+        return [n, ids, [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
+
+
 def _mapped(df: DataFrame, column: str, added: list[tuple], f: Callable, rows: int = 512) -> DataFrame:
     names = {name for name, _, _ in added}
     kept = [x for x in df.schema if x.name not in names]
