@@ -61,9 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, the token ids (little-endian unsigned 32-bit integers) and the SHA-256 of the bytes decoded from them."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode_texts(docs.select("doc_id", "source", "lang", "text"), ranks, pattern).drop("text")
-    decoded = bpe.decode_ids(coded, ranks, pattern)
-    return decoded.select("doc_id", "source", "lang", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), ranks, pattern)
+    return coded.select("doc_id", "source", "lang", "n_tokens", "token_ids", "decoded_sha256")
 
 
 STAGES = [
