@@ -27,16 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import words
 from foliant.llm.graph import connected_components
-from foliant.llm.storage import cut, lean, release
+from foliant.llm.storage import bitmap, cut, lean, marked, release
 
 #: Counters of the sketch, and how many travel in a row.
 SKETCH_BITS, SLICE_BITS = 20, 12
+#: Bits of the bitmap of texts whose sets are looked at (8 MB).
+MARK_BITS = 26
 #: Pairs of one class that are verified in one place.
 HOT = 128
 #: Bins of the suffix filter.
@@ -195,9 +198,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
     most = F.col("n_a") + F.col("n_b") - 2 * rule.overlap(F.col("n_a"), F.col("n_b"))
     pairs = found = cut(pairs.where(apart <= most).select("a", "b"), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = cut(wanted.join(classes.select("cls", "first_id"), "cls"), "wanted")
-    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text")).join(wanted.select("first_id").distinct(), "first_id", "left_semi")
-    kept = cut(_sets(texts.select("text"), rule), "sets")
+    wanted = cut(wanted.join(classes.select("cls", F.xxhash64("first_id").alias("place")), "cls"), "wanted")
+    # texts are picked where they are read, by a bitmap of a fixed size; what it lets through beside is left out by its class
+    marks = bitmap(wanted, "place", MARK_BITS)
+    kept = cut(_sets(docs.select(F.col(text).alias("text"), F.xxhash64(doc_id).alias("place")), rule, marks), "sets")
     sets = kept.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     for end, other in (("a", "b"), ("b", "a")):
         pairs = _with_sets(pairs, sets, end, other)
@@ -216,9 +220,12 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataF
     return dealt.join(copies, [end, "part"]).drop("part")
 
 
-def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
+def _sets(texts: DataFrame, rule: Rule, marks: Broadcast) -> DataFrame:
+    """cls, grams of the texts whose place is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marked(marks.value, batch.column(1).to_numpy().view(np.uint64), MARK_BITS)))
             for _, _, raw, offsets in words.slices(batch.column(0)):
                 sets = words.shingle_sets(words.split(raw, offsets, words.SPACED), rule.k)
                 yield pa.RecordBatch.from_arrays([pa.array(_class_ids(sets)), _list_array([s.view(np.int64) for s in sets], pa.int64())], names=["cls", "grams"])

@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,3 +145,17 @@ def rows_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
     if not several.isEmpty():
         out = out.unionByName(keyed(df).join(several, ["_a", "_b"]).groupBy("row").agg(F.max("copies").alias("copies")))
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def bitmap(rows: DataFrame, column: str, bits: int) -> Broadcast:
+    """Which leading bits of a column of hashes occur, for marked()."""
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    found = rows.groupBy(F.shiftright(slot, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(marks)
+
+
+def marked(marks: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - bits)
+    return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
