@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from foliant.llm import words
 from foliant.llm.storage import cut, lean, release
 
-#: The text model is fitted on so many labelled rows of each language, those of the smallest hashes (and ties with the last).
+#: The text model is fitted on about so many labelled rows of each language, by hashes of their ids; on all of a language that has fewer.
 SAMPLE_ROWS = 1_000
 #: What a text of none of the known languages gets.
 UNKNOWN = "und"
@@ -85,15 +84,14 @@ class TextModel:
 def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id") -> TextModel:
     """Fit the text model on rows whose language is known; null languages, UNKNOWN and empty texts are left out.
 
-    SAMPLE_ROWS of each language count, however rare it is; rows of one key
-    stand or fall together.
+    About SAMPLE_ROWS of each language count, however rare it is; rows of one
+    key stand or fall together.
     """
     known = rows.where(F.col(language).isNotNull() & (F.col(language) != UNKNOWN) & (F.length(text) > 0))
     known = known.select(F.col(text).alias("text"), F.col(language).alias("language"), F.xxhash64(F.col(key).cast("string")).alias("place"))
-    rank = F.row_number().over(Window.partitionBy("language").orderBy("place"))
-    last = cut(known.select("language", "place").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("language").agg(F.max("place").alias("last")), "last")
-    sample = cut(known.join(last, "language").where("place <= last").select("text", "language"), "sample")
-    languages = sorted(r[0] for r in last.select("language").collect())
+    counts = cut(known.groupBy("language").agg((SAMPLE_ROWS / F.count("*")).alias("rate")), "counts")
+    sample = cut(known.join(counts, "language").where(F.pmod("place", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("text", "language"), "sample")
+    languages = sorted(r[0] for r in counts.select("language").collect())
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +109,7 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(count)], names=["k", "at", "n"])
 
     found = sample.mapInArrow(lean(run), "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
-    release(sample, last)
+    release(sample, counts)
     k, at, count = (found[x].to_numpy() for x in ("k", "at", "n"))
     n, letters = np.zeros((len(languages), 1 << GRAM_BITS)), np.full(256, 0.1)
     n[k[k >= 0], at[k >= 0]] = count[k >= 0]
