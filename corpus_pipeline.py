@@ -48,9 +48,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     a, b = row_key(docs)
     named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), a, b).alias("key"), "text")
-    groups = jaccard.jaccard_components(named, "key")
-    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id._a").alias("_a"), F.col("doc_id._b").alias("_b")).agg(F.count("*").alias("rows"), F.lit(1).cast("long").alias("copies"))
-    return rows_of(docs, kept)
+    groups = cut(jaccard.jaccard_components(named, "key").select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id._a", "doc_id._b").distinct()
+    repeated = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id._a", "doc_id._b", "rows", F.lit(1).cast("long").alias("copies")), "repeated")
+    # the fewer rows that go are looked up, not the many that stay; of equal rows one stays
+    out = keyed(docs).join(gone.union(repeated.select("_a", "_b")), ["_a", "_b"], "left_anti").select("row.*")
+    return out if repeated.isEmpty() else out.unionByName(rows_of(docs, repeated))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
