@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from foliant.functions.text import ngrams
@@ -14,46 +20,108 @@ def gram_counts(texts: DataFrame, key: list[str], n: int = 3) -> DataFrame:
     return texts.select(*key, F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
 
 
-def evidence_coverage(gold: DataFrame, nodes: DataFrame) -> DataFrame:
+def _grams(text: str, n: int) -> Counter:
+    return Counter((text[i : i + n] for i in range(len(text) - n + 1)) if len(text) >= n else [text] if text else [])
+
+
+def _coverages(n: int, ks: tuple[int, ...]):
+    """For each gold text and its nodes' texts in order the coverage by all of them, then by the first k for each of ks."""
+
+    @F.pandas_udf("array<double>")
+    def found(gold: pd.Series, nodes: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(gold, nodes, strict=True):
+            texts = [] if own is None else [x or "" for x in own]
+            want, each = _grams(text or "", n), [_grams(x, n) for x in texts] if text else []
+            row = []
+            for k in (len(texts), *ks):
+                if not text:
+                    row.append(0.0)
+                elif any(text in x for x in texts[:k]):
+                    row.append(1.0)
+                else:
+                    have = sum(min(c, sum(e[g] for e in each[:k])) for g, c in want.items())
+                    row.append(have / sum(want.values()))
+            out.append(row)
+        return pd.Series(out)
+
+    return found
+
+
+def evidence_coverage(gold: DataFrame, nodes: DataFrame, n: int = 3) -> DataFrame:
     """case_id, coverage: 1 if a node of the case contains the gold text, else the share of its 3-grams (with repetition) that its nodes have.
 
-    gold: case_id, text; nodes: case_id, text, both normalised. Empty gold has 0.
+    gold: case_id, text, one row a case; nodes: case_id, text, both normalised.
+    Empty gold has 0. Texts of a case meet in one row, so no gram is shuffled.
     """
-    inside = gold.alias("g").join(nodes.alias("n"), "case_id").where(F.contains("n.text", "g.text") & (F.length("g.text") > 0)).select("case_id").distinct().withColumn("_in", F.lit(True))
-    g = gram_counts(gold, ["case_id"])
-    have = gram_counts(nodes.join(gold.select("case_id"), "case_id", "left_semi"), ["case_id"]).withColumnRenamed("n", "_have")
-    part = g.join(have, ["case_id", "gram"], "left").groupBy("case_id").agg((F.sum(F.least("n", F.coalesce("_have", F.lit(0)))) / F.sum("n")).alias("_part"))
-    out = gold.select("case_id").distinct().join(inside, "case_id", "left").join(part, "case_id", "left")
-    return out.select("case_id", F.when(F.col("_in"), 1.0).otherwise(F.coalesce("_part", F.lit(0.0))).alias("coverage"))
+    own = nodes.groupBy("case_id").agg(F.collect_list("text").alias("_nodes"))
+    rows = gold.select("case_id", "text").join(own, "case_id", "left")
+    return rows.select("case_id", _coverages(n, ())("text", "_nodes")[0].alias("coverage"))
+
+
+# How notes name the gold anchor.
+ANCHOR = r"(?i)anchor=((?:p|tbl)_\d+)"
+
+
+def _touches(anchor: Column, start: Column, end: Column) -> Column:
+    """Whether an anchor is an end of a range, or a paragraph within a range of paragraphs."""
+    number = lambda c: F.regexp_extract(F.lower(c), r"^p_(\d+)$", 1).try_cast("bigint")
+    inside = number(anchor).between(number(start), number(end))
+    equal = anchor.eqNullSafe(F.lower(start)) | anchor.eqNullSafe(F.lower(end))
+    return (anchor != "") & (equal | F.coalesce(inside, F.lit(False)))
 
 
 def anchor_hit(gold: DataFrame, retrieved: DataFrame) -> DataFrame:
     """case_id, rank, anchor_hit: the gold anchor (in notes) is an end of the range, or a paragraph within it."""
-    anchor = F.regexp_extract("notes", r"anchor=([a-z]+_\d+)", 1)
-    number = lambda c: F.regexp_extract(c, r"^p_(\d+)$", 1).try_cast("int")
-    rows = retrieved.join(gold.select("case_id", anchor.alias("_a")), "case_id")
-    inside = number(F.col("_a")).between(number(F.col("start_anchor")), number(F.col("end_anchor")))
-    hit = F.col("_a").isin("") == F.lit(False)
-    return rows.select("case_id", "rank", (hit & (F.col("_a").eqNullSafe(F.col("start_anchor")) | F.col("_a").eqNullSafe(F.col("end_anchor")) | F.coalesce(inside, F.lit(False)))).alias("anchor_hit"))
-
+    rows = retrieved.join(gold.select("case_id", F.lower(F.regexp_extract("notes", ANCHOR, 1)).alias("_a")), "case_id")
+    return rows.select("case_id", "rank", _touches(F.col("_a"), F.col("start_anchor"), F.col("end_anchor")).alias("anchor_hit"))
 
-def score_at_k(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """case_id with hit_at_k for each k: any hit among the first k ranks."""
-    return hits.groupBy("case_id").agg(*(F.max(((F.col("rank") <= k) & F.col("hit")).cast("int")).alias(f"hit_at_{k}") for k in ks))
 
+def score_at_k(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (1, 3, 5), least: float = 0.8) -> DataFrame:
+    """gold (case_id, row_number, text, notes) with coverage, anchor_hit and hit by all nodes of its case, and _at_k by the first k.
 
-def case_metrics(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """case_id, n, recall, status: share of a case's positive rows at least so covered; negatives are skipped, PASS if all hit."""
-    hit = (F.col("coverage") >= least).cast("int")
+    retrieved: case_id, rank, text, start_anchor, end_anchor. Texts are
+    normalised; a hit is an anchor hit or a coverage of least at least.
+    """
+    node = F.struct("rank", "text", "start_anchor", "end_anchor")
+    own = retrieved.groupBy("case_id").agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+    rows = gold.join(own, "case_id", "left").withColumn("_a", F.lower(F.regexp_extract(F.coalesce("notes", F.lit("")), ANCHOR, 1)))
+    rows = rows.withColumn("_c", _coverages(3, ks)("text", F.transform("_nodes", lambda x: x["text"])))
+    added = {}
+    for i, (k, suffix) in enumerate([(None, ""), *((k, f"_at_{k}") for k in ks)]):
+        nodes = F.coalesce("_nodes", F.array()) if k is None else F.slice(F.coalesce("_nodes", F.array()), 1, k)
+        touched = F.exists(nodes, lambda x: _touches(F.col("_a"), x["start_anchor"], x["end_anchor"])) if k is None or k > 0 else F.lit(False)
+        touched = F.coalesce(F.when(F.col("_nodes").isNotNull(), touched), F.lit(False))
+        added |= {f"coverage{suffix}": F.round(F.col("_c")[i], 6), f"anchor_hit{suffix}": touched.cast("int"), f"hit{suffix}": (touched | (F.col("_c")[i] >= least)).cast("int")}
+    return rows.withColumns(added).drop("_nodes", "_a", "_c")
+
+
+def case_metrics(rows: DataFrame) -> DataFrame:
+    """case_id, n, recall, status of rows (case_id, label, hit, error): the share of a case's positive rows that hit.
+
+    ERROR if any row has an error (recall null), SKIP without positive rows,
+    PASS if all hit, else FAIL.
+    """
     pos = F.col("label") == 1
-    out = rows.groupBy("case_id").agg(F.count(F.when(pos, 1)).alias("n"), F.sum(F.when(pos, hit)).alias("hits"))
-    return out.select("case_id", "n", (F.col("hits") / F.col("n")).alias("recall"), F.when(F.col("n") == 0, "SKIP").when(F.col("hits") == F.col("n"), "PASS").otherwise("FAIL").alias("status"))
+    out = rows.groupBy("case_id").agg(F.count(F.when(pos, 1)).alias("n"), F.sum(F.when(pos, F.col("hit"))).alias("hits"), F.count(F.when(F.coalesce("error", F.lit("")) != "", 1)).alias("errors"))
+    status = F.when(F.col("errors") > 0, "ERROR").when(F.col("n") == 0, "SKIP").when(F.col("hits") == F.col("n"), "PASS").otherwise("FAIL")
+    return out.select("case_id", "n", F.when(F.col("errors") == 0, F.col("hits") / F.col("n")).alias("recall"), status.alias("status"))
+
 
+def summary_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """One row: cases by status, strict accuracy and macro recall over cases with positives, micro recall and micro recall at k over their rows.
 
-def summary_metrics(cases: DataFrame) -> DataFrame:
-    """strict, macro and micro over cases with positives."""
-    c = cases.where("n > 0")
-    return c.agg(F.count("*").alias("cases"), F.avg((F.col("status") == "PASS").cast("double")).alias("strict"), F.avg("recall").alias("macro"), (F.sum(F.round(F.col("recall") * F.col("n"))) / F.sum("n")).alias("micro"))
+    rows: those of score_at_k() with label and error. Cases and rows with an
+    error are in no denominator; without any, measures are 0.
+    """
+    cases = case_metrics(rows)
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    positive = n("PASS") + n("FAIL")
+    of = cases.agg(F.count("*").alias("cases"), positive.alias("positive_cases"), n("SKIP").alias("negative_cases"), n("ERROR").alias("failed_cases"), F.round(F.coalesce(F.try_divide(n("PASS"), positive), F.lit(0.0)), 6).alias("strict"), F.round(F.coalesce(F.avg(F.when(F.col("status").isin("PASS", "FAIL"), F.col("recall"))), F.lit(0.0)), 6).alias("macro"))
+    kept = rows.where((F.col("label") == 1) & (F.coalesce("error", F.lit("")) == ""))
+    micro = lambda name: F.round(F.coalesce(F.avg(F.col(name).cast("double")), F.lit(0.0)), 6)
+    rest = kept.agg(F.count("*").alias("evidence"), micro("hit").alias("micro"), *(micro(f"hit_at_{k}").alias(f"micro_at_{k}") for k in ks))
+    return of.join(rest)  # one row each
 
 
 def percentile(x: Column, p: float) -> Column:
@@ -61,14 +129,16 @@ def percentile(x: Column, p: float) -> Column:
     return F.round(F.percentile(x, p), 3)
 
 
-def contract_metrics(latency: DataFrame, key: str, seconds: str) -> DataFrame:
+def contract_metrics(latency: DataFrame, key: str, seconds: str, builds: DataFrame | None = None) -> DataFrame:
+    """key, n, mean, p50, p95, max of seconds; with builds (key, build_seconds) also those, null and index_built false where there is none."""
     s = F.col(seconds)
-    return latency.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(s), 3).alias("mean"), percentile(s, 0.5).alias("p50"), percentile(s, 0.95).alias("p95"), F.max(s).alias("max"))
+    out = latency.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(s), 3).alias("mean"), percentile(s, 0.5).alias("p50"), percentile(s, 0.95).alias("p95"), F.round(F.max(s), 3).alias("max"))
+    return out if builds is None else out.join(builds.select(key, "build_seconds"), key, "left").withColumn("index_built", F.col("build_seconds").isNotNull())
 
 
 def unique_nodes(rows: DataFrame) -> DataFrame:
-    """One row for each (case_id, node_id), that of the smallest rank."""
-    w = Window.partitionBy("case_id", "node_id").orderBy("rank")
+    """One row for each (case_id, node_id, start_anchor, end_anchor), that of the smallest rank; anchors count if rows have them."""
+    w = Window.partitionBy("case_id", "node_id", *(x for x in ("start_anchor", "end_anchor") if x in rows.columns)).orderBy("rank")
     return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 
@@ -78,6 +148,11 @@ def select_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.join(r, F.col("row_number").between(F.col("_a"), F.col("_z")), "left_semi")
 
 
+def range_errors(ranges: DataFrame, n_rows: int) -> DataFrame:
+    """Ranges (first, last) that are none: turned round, or beyond the rows 1 to n_rows."""
+    return ranges.where((F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("last") > n_rows))
+
+
 def limit_cases(rows: DataFrame, n: int) -> DataFrame:
     """All rows of the first n cases in the order of their first row."""
     first = rows.groupBy("case_id").agg(F.min("row_number").alias("_first")).orderBy("_first").limit(n)
@@ -95,15 +170,29 @@ def resolve_index(gold: DataFrame, indexes: DataFrame) -> DataFrame:
     return out.withColumn("index_id", F.coalesce("_i0", "_i1", "_i2")).drop("_i0", "_i1", "_i2")
 
 
-def match_annotations(human: DataFrame, predicted: DataFrame, hit: float = 0.6, unsure: float = 0.4) -> DataFrame:
-    """For each human note of a document its best prediction: match = 0.35 clause + 0.65 point similarity, each the Jaccard share of 3-grams; status by the two thresholds, which are parameters."""
-    grams = lambda c: F.array_distinct(ngrams(c))
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks (the longest first, then to its left and right) by all characters; 0 for empty texts."""
+    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() if x or y else 0.0 for x, y in zip(a, b, strict=True)])
+
+
+def gram_share(a: Column, b: Column) -> Column:
+    """Jaccard share of 3-grams; 0 for empty texts."""
+    a, b = F.array_distinct(ngrams(a)), F.array_distinct(ngrams(b))
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+
+def match_annotations(human: DataFrame, predicted: DataFrame, hit: float = 0.6, unsure: float = 0.4, similar: Callable[[Column, Column], Column] = block_ratio) -> DataFrame:
+    """For each human note of a document its best prediction, with match = 0.35 clause + 0.65 point similarity; status by the two thresholds, which are parameters.
+
+    A document's notes all meet its predictions: both are what people and models write about one document.
+    """
     pairs = human.alias("h").join(predicted.alias("p"), "doc_id")
-    similar = lambda a, b: F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
-    match = F.round(0.35 * similar(grams(F.col("h.clause")), grams(F.col("p.clause"))) + 0.65 * similar(grams(F.col("h.point")), grams(F.col("p.point"))), 6)
-    scored = pairs.select("doc_id", "h.human_no", "p.predicted_no", match.alias("match"))
-    w = Window.partitionBy("doc_id", "human_no").orderBy(F.col("match").desc(), "predicted_no")
-    best = scored.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    scored = pairs.select("doc_id", "h.human_no", "p.predicted_no", similar(F.col("h.clause"), F.col("p.clause")).alias("_c"), similar(F.col("h.point"), F.col("p.point")).alias("_p"))
+    scored = scored.select("doc_id", "human_no", "predicted_no", F.round(0.35 * F.col("_c") + 0.65 * F.col("_p"), 6).alias("match"))
+    best = scored.groupBy("doc_id", "human_no").agg(F.min(F.struct((-F.col("match")).alias("m"), "predicted_no")).alias("_b"))
+    best = best.select("doc_id", "human_no", "_b.predicted_no", (-F.col("_b.m")).alias("match"))
     out = human.select("doc_id", "human_no").join(best, ["doc_id", "human_no"], "left")
     return out.withColumn("status", F.when(F.col("match") >= hit, "hit").when(F.col("match") >= unsure, "uncertain").otherwise("miss"))
 

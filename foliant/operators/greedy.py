@@ -2,40 +2,81 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _ends(weights: np.ndarray, limit: float, most: int | None, flush_empty: bool) -> list[int]:
+    """Where each batch ends (exclusive): a search in the running sums for each batch, so linear in the items."""
+    total = np.concatenate(([0.0], np.cumsum(weights)))
+    ends, at, n = [], 0, len(weights)
+    while at < n:
+        end = int(np.searchsorted(total, total[at] + limit, side="right")) - 1
+        end = max(end, at + 1)
+        if not flush_empty and end < n and total[end] == total[at]:
+            end += 1  # nothing to flush yet: the item that goes beyond the limit comes in too
+        end = min(end, n if most is None else at + most, n)
+        ends.append(end)
+        at = end
+    return ends
+
+
+def _numbers(most: int | None, flush_empty: bool):
+    @F.pandas_udf("array<int>")
+    def numbers(weights: pd.Series, limits: pd.Series) -> pd.Series:
+        out = []
+        for w, limit in zip(weights, limits, strict=True):
+            ends = _ends(np.asarray(w, dtype=float), limit, most, flush_empty)
+            out.append(np.repeat(np.arange(1, len(ends) + 1, dtype=np.int32), np.diff([0, *ends])))
+        return pd.Series(out, dtype=object)
+
+    return numbers
+
+
 def greedy_batches(
-    df: DataFrame, keys: list[str], order: str, weight: Column | str, limit: float, max_items: int | None = None, flush_empty: bool = True, batch: str = "batch", carry: list[str] | None = None
+    df: DataFrame, keys: list[str], order: str, weight: Column | str, limit: float | str, max_items: int | None = None, flush_empty: bool = True, batch: str = "batch", carry: list[str] | None = None
 ) -> DataFrame:
     """keys, order, carried columns and batch (from 1) for each item.
 
     An item opens a new batch if the open one would exceed limit with it (or
     has max_items), provided that the open one holds an item, or, with
     flush_empty false, weight. An item above the limit thus has a batch of its
-    own. The fold keeps only where batches start, so it is linear in a group's
-    items; a group (a document, a leaf) is folded in one task.
+    own. limit may name a column that is the same throughout a group; null
+    weights are 0, others not negative. A group (a document, a leaf) is folded
+    in one task, which gets its weights alone.
     """
     weight = F.col(weight) if isinstance(weight, str) else weight
-    item = F.struct(F.col(order), weight.cast("double").alias("_w"), *(F.col(c) for c in carry or []))
-    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = acc["used"] + x["_w"] > limit
-        if max_items is not None:
-            full = full | (acc["n"] >= max_items)
-        new = full & ((acc["n"] > 0) if flush_empty else (acc["used"] > 0))
-        opens = new | (acc["i"] == 0)
-        return F.struct(
-            F.when(new, x["_w"]).otherwise(acc["used"] + x["_w"]).alias("used"),
-            F.when(new, 1).otherwise(acc["n"] + 1).alias("n"),
-            (acc["i"] + 1).alias("i"),
-            F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    groups = groups.withColumn("_starts", F.aggregate("_items", start, step, lambda acc: acc["starts"]))
-    rows = groups.select(*keys, "_starts", F.posexplode("_items").alias("_i", "_x"))
-    number = F.size(F.filter("_starts", lambda s: s <= F.col("_i")))
-    return rows.select(*keys, f"_x.{order}", *(f"_x.{c}" for c in carry or []), number.alias(batch))
+    item = F.struct(F.col(order), F.coalesce(weight.cast("double"), F.lit(0.0)).alias("_w"), *(F.col(c) for c in carry or []))
+    bound = F.max(limit).cast("double") if isinstance(limit, str) else F.lit(float(limit))
+    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"), bound.alias("_limit"))
+    groups = groups.withColumn("_numbers", _numbers(max_items, flush_empty)(F.transform("_items", lambda x: x["_w"]), "_limit"))
+    rows = groups.select(*keys, F.explode(F.arrays_zip("_items", "_numbers")).alias("_x"))
+    return rows.select(*keys, f"_x._items.{order}", *(f"_x._items.{c}" for c in carry or []), F.col("_x._numbers").alias(batch))
+
+
+def overlapping_batches(items: DataFrame, target: float, overlap: float) -> DataFrame:
+    """doc_id, batch, start_pos, end_pos: greedy batches up to target; each next one goes back until overlap repeats, but always further on.
+
+    items: doc_id, pos, w. Batches follow from the one before, so a document's weights are folded as a whole.
+    """
+
+    @F.pandas_udf("array<struct<a:int,z:int>>")
+    def ranges(weights: pd.Series) -> pd.Series:
+        out = []
+        for w in weights:
+            total = np.concatenate(([0.0], np.cumsum(np.asarray(w, dtype=float))))
+            found, at, n = [], 0, len(total) - 1
+            while at < n:
+                end = min(n, max(at + 1, int(np.searchsorted(total, total[at] + target, side="right")) - 1))
+                found.append({"a": at, "z": end - 1})
+                if end == n:
+                    break
+                at = max(at + 1, int(np.searchsorted(total, total[end] - overlap, side="right")) - 1) if overlap > 0 else end
+            out.append(found)
+        return pd.Series(out)
+
+    groups = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")))).alias("x"))
+    cut = groups.select("doc_id", F.transform("x", lambda i: i["pos"]).alias("p"), F.posexplode(ranges(F.transform("x", lambda i: i["w"]))).alias("batch", "r"))
+    return cut.select("doc_id", (F.col("batch") + 1).alias("batch"), F.get("p", F.col("r.a")).alias("start_pos"), F.get("p", F.col("r.z")).alias("end_pos"))

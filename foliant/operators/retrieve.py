@@ -4,77 +4,204 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.text import document_mode
-from foliant.operators.greedy import greedy_batches
+from foliant.functions.text import document_mode, estimate_tokens, strip, truncate
+from foliant.operators.greedy import greedy_batches, overlapping_batches
+from foliant.sources.scratch import cut
 
 
-def keyword_search(nodes: DataFrame, keywords: DataFrame, margin: int = 30) -> DataFrame:
-    """query_id, doc_id, node_id, field, position, snippet: a title hit for any node, else a text hit for leaves.
+#: Up to so many keywords for all documents are held against each node where it is read; more meet nodes by 3-grams.
+FEW_KEYWORDS = 1000
 
-    keywords: query_id, doc_id (null: all documents), keyword. Only nodes of a
-    keyword's document are compared if it has one.
+
+def keyword_search(nodes: DataFrame, keywords: DataFrame, margin: int = 30, few: int = FEW_KEYWORDS) -> DataFrame:
+    """query_id, doc_id, node_id, keyword, field, position, snippet: a title hit for any node, else a text hit for leaves.
+
+    keywords: query_id, doc_id (null: all documents), keyword. Those of one
+    document meet its nodes by a join. Of the others, few travel with the plan
+    as literals (their number is checked), so nodes aren't shuffled; many are
+    joined by their rarest 3-gram, and what that finds is looked at again.
     """
     n = nodes.select("doc_id", "node_id", "title", "text", "is_leaf")
-    k = keywords.select("query_id", F.col("doc_id").alias("_doc"), "keyword")
-    # keywords are few and typed by people; Spark broadcasts them if they are small
-    on = (F.col("_doc").isNull() | (F.col("_doc") == F.col("doc_id"))) & (F.contains("title", "keyword") | (F.col("is_leaf") & F.contains("text", "keyword")))
-    hit = n.join(k, on)
+    k = keywords.where(F.coalesce("keyword", F.lit("")) != "").select("query_id", F.col("doc_id").alias("_doc"), "keyword")
+    every = k.where("_doc IS NULL").select("query_id", "keyword")
+    own = n.join(k.where("_doc IS NOT NULL").withColumnRenamed("_doc", "doc_id"), "doc_id")
+    listed = every.limit(few + 1).collect()
+    if len(listed) <= few:
+        pairs = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(w).alias("keyword")) for q, w in listed)) if listed else None
+        fits = lambda x: F.contains("title", x["keyword"]) | (F.col("is_leaf") & F.contains("text", x["keyword"]))
+        found = n.select("*", F.explode(F.filter(pairs, fits)).alias("_k")).select(*n.columns, "_k.*") if listed else None
+    else:
+        # texts go once into grams, which carry ids alone
+        grams = n.select("doc_id", "node_id", F.explode(F.array_distinct(F.concat(_grams("title"), F.when(F.col("is_leaf"), _grams("text")).otherwise(F.array().cast("array<string>"))))).alias("gram"))
+        asked = every.select("query_id", "keyword", F.explode(F.array_distinct(_grams("keyword"))).alias("gram"))
+        often = grams.join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("_n"))
+        rare = asked.join(often, "gram", "left").groupBy("query_id", "keyword").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+        found = n.join(grams.join(rare, "gram").select("doc_id", "node_id", "query_id", "keyword"), ["doc_id", "node_id"])
     title = F.contains("title", "keyword")
+    hit = (own if found is None else own.unionByName(found)).where(title | (F.col("is_leaf") & F.contains("text", "keyword")))
     at = F.when(title, F.position("keyword", "title")).otherwise(F.position("keyword", "text"))
     source = F.when(title, F.col("title")).otherwise(F.col("text"))
     first = F.greatest(F.lit(1), at - margin)
-    snippet = F.substring(source, first, at + F.length("keyword") + margin - first)
+    snippet = F.when(title, F.col("title")).otherwise(F.substring(source, first, at + F.length("keyword") + margin - first))
     return hit.select("query_id", "doc_id", "node_id", "keyword", F.when(title, "title").otherwise("text").alias("field"), at.alias("position"), snippet.alias("snippet"))
 
 
+def _grams(name: str) -> Column:
+    """All 3-grams, or what is shorter, so that a keyword shorter than three still has its own: every beginning of a gram counts too."""
+    text = F.coalesce(name, F.lit(""))
+    at = F.sequence(F.lit(1), F.length(text))
+    if name == "keyword":
+        return F.when(F.length(text) < 3, F.array(text)).otherwise(F.filter(F.transform(at, lambda i: F.substring(text, i, F.lit(3))), lambda g: F.length(g) == 3))
+    of = lambda k: F.transform(at, lambda i: F.substring(text, i, F.lit(k)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.flatten(F.array(of(1), of(2), of(3))))
+
+
 def title_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """query_id, doc_id, node_id: nodes with any of a step's terms in the title, or all catalogue titles (depth 1) if it asks for them."""
+    """query_id, doc_id, node_id, text_override: nodes with any of a step's terms in the title, or, if it asks for all titles, those of the catalogue.
+
+    The catalogue has tails, body sections of depth 1 and attachment sections.
+    The regions body and attachments themselves, and nodes without a title,
+    never count. What a title says stands for its node, but for tails.
+    """
     s = steps.select("query_id", "doc_id", "terms", "all_titles")
-    return nodes.join(s, "doc_id").where(F.exists("terms", lambda t: F.contains(F.col("title"), t)) | (F.col("all_titles") & (F.col("depth") == 1))).select("query_id", "doc_id", "node_id")
+    kind = F.coalesce("node_type", F.lit("")) if "node_type" in nodes.columns else F.lit("")
+    listed = (kind == "tail") | ((F.col("depth") == 1) & F.startswith("node_id", F.lit("body/sec_"))) | kind.isin("attachment_parent", "attachment_section")
+    named = F.exists("terms", lambda t: F.contains(F.col("title"), t))
+    plain = (strip(F.coalesce("title", F.lit(""))) != "") & ~kind.isin("body", "attachments") & ~F.col("node_id").isin("body", "attachments")
+    hit = nodes.where(plain).withColumn("text_override", F.when(kind != "tail", strip(F.col("title")))).join(s, "doc_id")
+    return hit.where(F.when(F.col("all_titles"), listed).otherwise(named)).select("query_id", "doc_id", "node_id", "text_override")
+
 
+def region_match(nodes: DataFrame, steps: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, node_id, place: nodes of a step's regions, each once, in order.
 
-def region_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """query_id, doc_id, node_id: nodes under a step's region; with terms, only those with one in the title."""
-    s = steps.select("query_id", "doc_id", "terms", F.explode("regions").alias("region"))
-    under = (F.col("node_id") == F.col("region")) | F.startswith("node_id", F.concat("region", F.lit("/")))
-    fits = (F.size("terms") == 0) | F.exists("terms", lambda t: F.contains(F.col("title"), t))
-    return nodes.join(s, "doc_id").where(under & fits).select("query_id", "doc_id", "node_id").distinct()
+    Without terms the regions themselves count, body and attachments by their
+    children. With terms, titles with any of them count, below the regions or,
+    if none is named, anywhere; those that prior (query_id, doc_id, node_id,
+    place) matched come first.
+    """
+    s = steps.select("query_id", "doc_id", "terms", "regions")
+    n = nodes.select("doc_id", "node_id", "parent_id", "title", "pos")
+    both = n.join(s, "doc_id")
+    whole = F.array_contains("regions", F.col("node_id")) & ~F.col("node_id").isin("body", "attachments")
+    child = F.array_contains("regions", F.col("parent_id")) & F.col("parent_id").isin("body", "attachments")
+    below = (F.size("regions") == 0) | F.exists("regions", lambda r: (F.col("node_id") == r) | F.startswith("node_id", F.concat(r, F.lit("/"))))
+    named = F.exists("terms", lambda t: F.contains(F.col("title"), t))
+    hit = both.where(F.when(F.size("terms") == 0, whole | child).otherwise(below & named)).select("query_id", "doc_id", "node_id", "terms", "pos")
+    order = [F.col("pos"), F.col("node_id")]
+    if prior is not None:
+        seen = prior.groupBy("query_id", "doc_id", "node_id").agg(F.min("place").alias("_prior"))
+        hit = hit.join(seen, ["query_id", "doc_id", "node_id"], "left").withColumn("_prior", F.when(F.size("terms") > 0, F.col("_prior")))
+        order = [F.col("_prior").asc_nulls_last(), *order]
+    first = hit.groupBy("query_id", "doc_id", "node_id").agg(F.min("pos").alias("pos"), *([F.min("_prior").alias("_prior")] if prior is not None else []))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(*order))).select("query_id", "doc_id", "node_id", "place")
 
 
 def rule_match(anchors: DataFrame, steps: DataFrame) -> DataFrame:
-    """query_id, doc_id, pos, match_id: owned anchors whose text has any of a step's terms."""
+    """query_id, doc_id, node_id, parent_id, pos, anchor, text_override: owned anchors whose text has any of a step's terms; see literal_terms()."""
     hit = anchors.where("node_id is not null").join(steps.select("query_id", "doc_id", "terms"), "doc_id").where(F.exists("terms", lambda t: F.contains(F.col("text"), t)))
-    return hit.select("query_id", "doc_id", "pos", F.concat("node_id", F.lit("/match_"), "anchor").alias("match_id"))
+    return hit.select("query_id", "doc_id", F.concat("node_id", F.lit("/match_"), "anchor").alias("node_id"), F.col("node_id").alias("parent_id"), "pos", "anchor", F.col("text").alias("text_override"))
+
+
+# Words that mark a part of a query as a question, and endings of roles.
+QUESTION_WORDS = ["是否", "如果", "需要", "检查"]
+ROLE_ENDINGS = [("单位", 4), ("人", 3)]
 
 
-def literal_terms(query: Column, planned: Column, stop: list[str]) -> Column:
-    """Planned terms of 2 to 30 characters, quoted ones, and the list behind the first colon (2 to 20, without stop words); longest first, then by alphabet."""
-    quoted = F.regexp_extract_all(query, F.lit(r'["“]([^"”]{2,30})["”]'), F.lit(1))
-    listed = F.transform(F.split(F.regexp_extract(query, r"^[^:：]*[:：](.*)$", 1), r"[,，、;；]"), lambda x: F.trim(x))
-    listed = F.filter(listed, lambda x: F.length(x).between(2, 20) & ~x.isin(stop))
-    every = F.array_distinct(F.concat(F.filter(F.coalesce(planned, F.array().cast("array<string>")), lambda x: F.length(x).between(2, 30)), quoted, listed))
+def literal_terms(query: Column, planned: Column, questions: list[str] | None = None) -> Column:
+    """Terms to look for word by word; longest first, then by alphabet.
+
+    Planned terms of 2 to 30 characters, quoted ones, and the list behind the
+    first colon (2 to 20 characters, without question words). A role named by
+    its holder (two characters for 单位, one for 人) gives its root too, if that
+    has two characters.
+    """
+    marks = r"^[ \t\r\n。；;：:]+|[ \t\r\n。；;：:]+$"
+    quoted = F.transform(F.regexp_extract_all(query, F.lit(r'["“]([^"”]{2,30})["”]'), F.lit(1)), strip)
+    listed = F.transform(F.split(F.regexp_extract(query, r"(?s)^[^:：]*[:：](.*)$", 1), r"[、，,；;。]"), lambda x: F.regexp_replace(x, marks, ""))
+    asks = lambda x: F.exists(F.array(*map(F.lit, QUESTION_WORDS if questions is None else questions)), lambda q: F.contains(x, q))
+    listed = F.filter(listed, lambda x: F.length(x).between(2, 20) & ~asks(x))
+    given = F.filter(F.transform(F.coalesce(planned, F.array().cast("array<string>")), strip), lambda x: F.length(x).between(2, 30))
+    every = F.concat(given, quoted, listed)
+
+    def roots(end: str, least: int) -> Column:
+        named = F.filter(every, lambda x: F.endswith(x, F.lit(end)) & (F.length(x) >= least))
+        return F.filter(F.transform(named, lambda x: F.substring(x, F.lit(1), F.length(x) - len(end))), lambda x: F.length(x) >= 2)
+
+    every = F.array_distinct(F.filter(F.concat(every, *(roots(*x) for x in ROLE_ENDINGS)), lambda x: x != ""))
     ranked = F.array_sort(F.transform(every, lambda x: F.struct((-F.length(x)).alias("a"), x.alias("t"))))
     return F.transform(ranked, lambda x: x["t"])
 
 
-def join_match(nodes: DataFrame, steps: DataFrame, regions: DataFrame) -> DataFrame:
-    """query_id, doc_id, node_id, rank: region matches first, then leaves with any term in title or text; each node once, by its first rank."""
-    leaves = nodes.where("is_leaf").join(steps.select("query_id", "doc_id", "terms"), "doc_id")
-    hits = leaves.where(F.exists("terms", lambda t: F.contains(F.concat_ws("\n", "title", "text"), t))).select("query_id", "doc_id", "node_id", F.lit(1).alias("rank"))
-    return regions.select("query_id", "doc_id", "node_id", F.lit(0).alias("rank")).union(hits).groupBy("query_id", "doc_id", "node_id").agg(F.min("rank").alias("rank"))
+# Words that a query brings along for its leaves, and those that an amount in it adds.
+PREFERRED = ["合同期限", "履行期限", "有效期", "服务期", "签订日期", "项目负责人", "支付方式", "合同金额", "付款", "发票", "维保", "保修", "甲方", "乙方", "附件", "签署", "以下无正文"]
+AMOUNT, AMOUNT_MARKS = "金额", ["大小写", "大写", "小写", "一致"]
+AMOUNT_WORDS = ["金额", "人民币", "元整", "¥", "大写", "小写", "含税价", "合计"]
+
+
+def join_words(terms: Column, slots: Column, query: Column) -> Column:
+    """All words that a join step looks for: its terms, the words of its slots (2 to 8 Chinese characters), and what its query brings along."""
+    words = F.flatten(F.transform(F.coalesce(slots, F.array().cast("array<string>")), lambda x: F.regexp_extract_all(x, F.lit("([\u4e00-\u9fff]{2,8})"), F.lit(1))))
+    asked = F.coalesce(query, F.lit(""))
+    in_query = lambda each: F.filter(F.array(*map(F.lit, each)), lambda x: F.contains(asked, x))
+    amount = F.when(F.contains(asked, F.lit(AMOUNT)) & (F.size(in_query(AMOUNT_MARKS)) > 0), F.array(*map(F.lit, AMOUNT_WORDS))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.coalesce(terms, F.array().cast("array<string>")), words, in_query(PREFERRED), amount))
+
+
+def join_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """query_id, doc_id, node_id, place: a step's regions first, then leaves with any of its words in title, summary or text; each node once.
+
+    steps: query_id, doc_id, regions, terms, and slots and query where there are any.
+    """
+    none = F.array().cast("array<string>")
+    words = join_words(F.col("terms"), F.col("slots") if "slots" in steps.columns else none, F.col("query") if "query" in steps.columns else F.lit(""))
+    s = steps.select("query_id", "doc_id", "regions", words.alias("_words"))
+    hay = F.concat_ws("\n", *(F.coalesce(x, F.lit("")) for x in ("title", "summary", "text")))
+    rank = F.when(F.array_contains("regions", F.col("node_id")), 0).when(F.col("is_leaf") & ~F.col("node_id").isin("body", "attachments") & F.exists("_words", lambda w: F.contains(hay, w)), 1)
+    hit = nodes.join(s, "doc_id").withColumn("_rank", rank).where("_rank IS NOT NULL")
+    first = hit.groupBy("query_id", "doc_id", "node_id").agg(F.min(F.struct("_rank", F.when(F.col("_rank") == 0, F.array_position("regions", F.col("node_id"))).otherwise(F.col("pos")).alias("o"))).alias("_k"))
+    return first.select("query_id", "doc_id", "node_id", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_k", "node_id")).alias("place"))
+
+
+def scan_batches(anchors: DataFrame, budget: int = 12000) -> DataFrame:
+    """doc_id, batch, match_id, parent_id, start_pos, end_pos, start_anchor, end_anchor, text: owned anchors with text, in order, packed to budget tokens.
+
+    anchors: doc_id, pos, anchor, node_id, text. A batch belongs to the owner of its first anchor.
+    """
+    rows = anchors.where(F.col("node_id").isNotNull() & (strip(F.col("text")) != "")).withColumn("text", strip(F.col("text")))
+    folded = greedy_batches(rows, ["doc_id"], "pos", estimate_tokens(F.col("text")), budget, carry=["anchor", "node_id", "text"])
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    out = folded.groupBy("doc_id", "batch").agg(
+        F.min_by("node_id", "pos").alias("parent_id"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.min_by("anchor", "pos").alias("start_anchor"), F.max_by("anchor", "pos").alias("end_anchor"), lines.alias("text")
+    )
+    return out.withColumn("match_id", F.format_string("scan/batch_%03d", "batch"))
+
+
+def paginate(units: DataFrame, budget: int, part: int | None = None) -> DataFrame:
+    """units (query_id, doc_id, place, text) with page (from 1), used (tokens of the page), has_more and next_part; with part, that page alone."""
+    key = ["query_id", "doc_id"]
+    sized = units.withColumn("_tokens", estimate_tokens(F.col("text")))
+    pages = greedy_batches(sized.select(*key, "place", "_tokens"), key, "place", "_tokens", budget, batch="page")
+    out = sized.join(pages, [*key, "place"])
+    last = F.max("page").over(Window.partitionBy(*key))
+    out = out.withColumns({"used": F.sum("_tokens").over(Window.partitionBy(*key, "page")), "has_more": F.col("page") < last})
+    out = out.withColumn("next_part", F.when(F.col("has_more"), F.col("page") + 1)).drop("_tokens")
+    return out if part is None else out.where(F.col("page") == part)
 
 
 def execute_route(steps: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
-    """query_id, doc_id, node_id, source, step_no: what each step's method found, for steps that name it."""
+    """query_id, doc_id, node_id, source, step_no and what else matches have (place, text_override, parent_id, ...): what each step's method found, for steps that name it."""
     parts = []
     for name, found in methods.items():
         own = steps.where(F.col("method") == name).select("query_id", "doc_id", "step_no")
-        parts.append(found.join(own, ["query_id", "doc_id"]).select("query_id", "doc_id", "node_id", F.lit(name).alias("source"), "step_no"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(found.join(own, ["query_id", "doc_id"]).withColumn("source", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def normalize_route(raw: DataFrame) -> DataFrame:
@@ -85,14 +212,29 @@ def normalize_route(raw: DataFrame) -> DataFrame:
 
 
 def merge_matches(structure: DataFrame, vector: DataFrame) -> DataFrame:
-    """query_id, doc_id, node_id, sources (sorted), vector_score."""
-    both = structure.select("query_id", "doc_id", "node_id", F.lit("structure").alias("source"), F.lit(None).cast("double").alias("score")).union(vector.select("query_id", "doc_id", "node_id", F.lit("vector"), "score"))
-    return both.groupBy("query_id", "doc_id", "node_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("score").alias("vector_score"))
+    """query_id, doc_id, node_id, sources (sorted), vector_score, structure_reason: what structure (with reason) and vector matches (with score) say of a node."""
+    reason = F.col("reason") if "reason" in structure.columns else F.lit(None).cast("string")
+    both = structure.select("query_id", "doc_id", "node_id", F.lit("structure").alias("source"), F.lit(None).cast("double").alias("score"), reason.alias("reason"))
+    both = both.union(vector.select("query_id", "doc_id", "node_id", F.lit("vector"), "score", F.lit(None).cast("string"))).where("node_id IS NOT NULL")
+    return both.groupBy("query_id", "doc_id", "node_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("score").alias("vector_score"), F.max("reason").alias("structure_reason"))
 
 
 def merge_routed(matches: DataFrame) -> DataFrame:
-    """query_id, doc_id, node_id, first_step, sources, last_score: one row a node, in order of its first step; the last score that isn't null."""
-    return matches.groupBy("query_id", "doc_id", "node_id").agg(F.min("step_no").alias("first_step"), F.array_sort(F.collect_set("source")).alias("sources"), F.max_by("score", F.when(F.col("score").isNotNull(), F.col("step_no"))).alias("last_score"))
+    """query_id, doc_id, node_id, first_step, sources, last_score and text_override: one row a node, in order of its first step.
+
+    matches: query_id, doc_id, node_id, source, step_no, score, and place and
+    text_override if they have any. The last score that isn't null counts, and
+    the first step's override, unless a region names the node: then its whole text.
+    """
+    rows = matches.where("node_id IS NOT NULL")
+    for name, kind in (("place", "int"), ("text_override", "string")):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast(kind))
+    at = F.struct("step_no", "place")
+    out = rows.groupBy("query_id", "doc_id", "node_id").agg(
+        F.min("step_no").alias("first_step"), F.min(at)["place"].alias("first_place"), F.array_sort(F.collect_set("source")).alias("sources"),
+        F.max_by("score", F.when(F.col("score").isNotNull(), F.col("step_no"))).alias("last_score"), F.min_by("text_override", at).alias("_text"), F.bool_or(F.col("source") == "region").alias("_region"),
+    )
+    return out.withColumn("text_override", F.when(~F.col("_region"), F.col("_text"))).drop("_text", "_region")
 
 
 def fallback_needed(steps: DataFrame, matches: DataFrame) -> DataFrame:
@@ -103,33 +245,69 @@ def fallback_needed(steps: DataFrame, matches: DataFrame) -> DataFrame:
     return out.where(F.col("_hybrid") | F.col("_found").isNull() | (F.col("_fallback") & ~F.col("_complete"))).select("query_id", "doc_id")
 
 
-def vector_entries(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, entry, text_hash: labelled lines of title, summary and whole text; nodes without text are left out.
-
-    An embedder that takes fewer tokens cuts what it is sent, not the entry.
-    """
-    entry = F.concat_ws("\n", F.concat(F.lit("title: "), "title"), F.concat(F.lit("summary: "), "summary"), F.concat(F.lit("text: "), "text"))
-    return nodes.where(F.trim("text") != "").select("doc_id", "node_id", entry.alias("entry"), F.sha2(entry, 256).alias("text_hash"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for empty vectors, ones of other lengths, and zero vectors."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
+# Labels of an entry's lines.
+ENTRY_LABELS = ("标题：", "摘要：", "正文：")
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 30, least: float = 0.0) -> DataFrame:
-    """query_id, node_id, score, rank: the k nearest vectors of each query (ties by id) at least so similar.
+def vector_entries(nodes: DataFrame, tokens: int = 8000) -> DataFrame:
+    """doc_id, node_id, entry, text_hash, embedded: labelled lines of title, summary and whole text, their hash, and what an embedder that takes so many tokens is sent.
 
-    queries (query_id, doc_id, vector) meet the vectors of their own document.
+    Nodes without text are left out, and so are the regions body and attachments.
     """
-    pairs = queries.join(vectors, "doc_id").withColumn("score", cosine(F.col("vector"), F.col("embedding"))).where(F.col("score") >= least)
+    kind = F.coalesce("node_type", F.lit("")) if "node_type" in nodes.columns else F.lit("")
+    kept = nodes.where((strip(F.coalesce("text", F.lit(""))) != "") & ~kind.isin("body", "attachments") & ~F.col("node_id").isin("body", "attachments"))
+    entry = strip(F.concat_ws("\n", *(F.concat(F.lit(label), F.coalesce(x, F.lit(""))) for label, x in zip(ENTRY_LABELS, ("title", "summary", "text"), strict=True))))
+    return kept.select("doc_id", "node_id", entry.alias("entry"), F.sha2(entry, 256).alias("text_hash"), truncate(entry, tokens, 1).alias("embedded"))
+
+
+def _nearest(k: int):
+    """For the queries of a key and one block of its vectors: each query's k best of the block."""
+
+    def best(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": q["query_id"].iloc[:0], "doc_id": q["doc_id"].iloc[:0], "node_id": v["node_id"].iloc[:0], "score": pd.Series(dtype=float)})
+        if not len(q) or not len(v):
+            return out
+        sizes = [np.array([0 if x is None else len(x) for x in part]) for part in (q["vector"], v["embedding"])]
+        ids = v["node_id"].to_numpy()
+        found = []
+        for lo in range(0, len(q), 512):
+            score = np.zeros((min(512, len(q) - lo), len(v)))
+            for d in set(sizes[0][lo : lo + 512]) & set(sizes[1]) - {0}:
+                a, b = np.flatnonzero(sizes[0][lo : lo + 512] == d), np.flatnonzero(sizes[1] == d)
+                x, y = (np.stack(part).astype(float) for part in (q["vector"].to_numpy()[lo + a], v["embedding"].to_numpy()[b]))
+                norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+                score[np.ix_(a, b)] = np.divide(x @ y.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+            for i, row in enumerate(score):
+                top = np.lexsort((ids, -row))[:k] if ids.dtype.kind in "iuf" else sorted(range(len(ids)), key=lambda j: (-row[j], ids[j]))[:k]
+                found.append(pd.DataFrame({"query_id": q["query_id"].iloc[lo + i], "doc_id": q["doc_id"].iloc[lo + i], "node_id": ids[top], "score": row[top]}))
+        return pd.concat(found)
+
+    return best
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 30, least: float | None = 0.0, budget: int | None = None, blocks: int = 64) -> DataFrame:
+    """query_id, node_id, score, rank: the k nearest vectors of each query (ties by id), of those the ones at least so similar, and, with budget, up to the first that goes beyond it.
+
+    queries (query_id, doc_id, vector) meet the vectors (doc_id, node_id,
+    embedding, and tokens for a budget) of their own document. A document's
+    vectors are dealt to blocks by hash, each block is one matrix product and
+    keeps its own k best, so no pair is a row and a document with very many
+    vectors spreads over tasks. Vectors that are null, empty, zero or of another
+    length than the query have a score of 0.
+    """
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    v = vectors.select("doc_id", "node_id", "embedding", deal("node_id").alias("block"))
+    q = queries.select("query_id", "doc_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {queries.schema['doc_id'].dataType.simpleString()}, node_id {vectors.schema['node_id'].dataType.simpleString()}, score double"
+    each = q.groupBy("doc_id", "block").cogroup(v.groupBy("doc_id", "block")).applyInPandas(_nearest(k), schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+    out = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = out if least is None else out.where(F.col("score") >= least)
+    if budget is not None:
+        out = out.join(vectors.select("doc_id", "node_id", "tokens"), ["doc_id", "node_id"])
+        used = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumns({"_used": used, "_i": F.row_number().over(w)}).where((F.col("_used") <= budget) | (F.col("_i") == 1))
+    return out.select("query_id", "node_id", "score", "rank")
 
 
 def rerank_fit(candidates: DataFrame, budget: int) -> DataFrame:
@@ -173,28 +351,75 @@ def structure_matches(responses: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def prefer_specific(matches: DataFrame) -> DataFrame:
-    """Matches without those that have a matched node below them, unless they come from titles or regions."""
-    m = matches.alias("m")
-    below = matches.select(F.col("query_id").alias("_q"), F.col("doc_id").alias("_d"), F.col("node_id").alias("_n")).alias("o")
-    has = (F.col("m.query_id") == F.col("_q")) & (F.col("m.doc_id") == F.col("_d")) & F.startswith("_n", F.concat("m.node_id", F.lit("/"))) & ~F.col("m.source").isin("title", "region")
-    return m.join(below, has, "left_anti")
+    """Matches (query_id, doc_id, node_id, sources) without those that have a matched node below them, unless titles or regions are among their sources.
 
+    Each match names the nodes above it, so that a join by equal ids finds them.
+    """
+    parts = F.split("node_id", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    above = matches.where(F.size(parts) > 1).select("query_id", "doc_id", F.explode(ups).alias("node_id")).distinct().withColumn("_below", F.lit(True))
+    out = matches.join(above, ["query_id", "doc_id", "node_id"], "left")
+    return out.where(F.col("_below").isNull() | F.arrays_overlap("sources", F.array(F.lit("title"), F.lit("region")))).drop("_below")
 
-def chunk_oversized(units: DataFrame, budget: int) -> DataFrame:
-    """query-free: doc_id, node_id, part, text: texts above budget tokens in fixed slices of twice as many characters."""
-    size = 2 * budget
-    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1))).alias("part")
-    rows = units.withColumn("_cut", F.col("tokens") > budget).select("*", F.when(F.col("_cut"), F.lit(1)).alias("_one"))
-    sliced = rows.select("doc_id", "node_id", "text", "_cut", parts)
-    keep = F.col("_cut") | (F.col("part") == 0)
-    return sliced.where(keep).select("doc_id", "node_id", "part", F.when(F.col("_cut"), F.substring("text", F.col("part") * size + 1, F.lit(size))).otherwise(F.col("text")).alias("text"))
 
+def chunk_oversized(units: DataFrame, budget: int, anchors: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, part, text and, with anchors, start_pos and end_pos: texts above budget tokens in parts, others whole (part 0).
 
-def anchor_context(units: DataFrame, anchors: DataFrame) -> DataFrame:
-    """query_id, doc_id, context: texts of the anchors that units cover, each once, in order."""
-    cover = units.alias("u").join(anchors.alias("a"), (F.col("u.doc_id") == F.col("a.doc_id")) & F.col("a.pos").between(F.col("u.pos"), F.col("u.end_pos") - 1) & (F.trim("a.text") != ""))
-    once = cover.select("u.query_id", "u.doc_id", "a.pos", "a.text").distinct()
-    return once.groupBy("query_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n---\n").alias("context"))
+    anchors: doc_id, pos, text. A node's anchors (pos to end_pos, exclusive) fill
+    parts up to the budget; a node without any is cut into slices of twice as
+    many characters.
+    """
+    size = 2 * budget
+    large = F.col("tokens") > budget
+    null = F.lit(None).cast("int")
+    place = [null.alias("start_pos"), null.alias("end_pos")]
+    whole = units.where(~large).select("doc_id", "node_id", F.lit(0).alias("part"), "text", *place)
+    rows = units.where(large)
+    made = None
+    if anchors is not None:
+        inside = rows.select("doc_id", "node_id", "pos", "end_pos").alias("u").join(anchors.alias("a"), (F.col("u.doc_id") == F.col("a.doc_id")) & (F.col("a.pos") >= F.col("u.pos")) & (F.col("a.pos") < F.col("u.end_pos")))
+        items = inside.select("u.doc_id", "u.node_id", "a.pos", F.coalesce("a.text", F.lit("")).alias("text"))
+        folded = greedy_batches(items, ["doc_id", "node_id"], "pos", estimate_tokens(F.col("text")), budget, batch="part", carry=["text"])
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n")
+        made = folded.groupBy("doc_id", "node_id", "part").agg(lines.alias("text"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
+        made = made.select("doc_id", "node_id", "part", "text", F.col("start_pos").cast("int"), F.col("end_pos").cast("int"))
+        rows = rows.join(made.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
+    parts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / size).cast("int")))).alias("part")
+    sliced = rows.select("doc_id", "node_id", "text", parts).select("doc_id", "node_id", "part", F.substring("text", (F.col("part") - 1) * size + 1, F.lit(size)).alias("text"), *place)
+    out = whole.unionByName(sliced)
+    out = out if made is None else out.unionByName(made)
+    return out if anchors is not None else out.drop("start_pos", "end_pos")
+
+
+# How found anchors are presented, and what stands for none.
+HEADER, TITLE_LINE, TEXT_LINE, NOTHING = "## 合同检索结果 ", "\n检索片段标题：", "\n内容：\n", "未找到相关合同内容。"
+
+
+def anchor_context(units: DataFrame, anchors: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, context: texts of the anchors that units cover, each once, under numbered headers, in order of units, then of anchors.
+
+    units: query_id, doc_id, pos, end_pos (exclusive), and place and title if
+    they have any; anchors: doc_id, pos, kind (p or tbl), text. Pairs of asked
+    (query_id, doc_id) without any get a message that says so.
+    """
+    place = F.col("u.place") if "place" in units.columns else F.col("u.pos")
+    title = F.trim(F.coalesce("u.title", F.lit(""))) if "title" in units.columns else F.lit("")
+    text = strip(F.coalesce("a.text", F.lit("")))
+    cover = units.alias("u").join(anchors.alias("a"), (F.col("u.doc_id") == F.col("a.doc_id")) & F.col("a.pos").between(F.col("u.pos"), F.col("u.end_pos") - 1) & (text != ""))
+    kind = F.when(F.col("a.kind") == "tbl", "table").otherwise("paragraph")
+    rows = cover.select("u.query_id", "u.doc_id", "a.pos", kind.alias("kind"), F.struct(place.alias("place"), title.alias("title")).alias("_u"), text.alias("text"))
+    # an anchor that several units cover stands where the first has it
+    once = rows.groupBy("query_id", "doc_id", "pos", "kind", "text").agg(F.min("_u").alias("_u"))
+    once = once.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_u.place", "pos")))
+    path = F.concat(F.lit("path:body/"), F.when(F.col("kind") == "table", "tbl").otherwise("p"), F.col("pos").cast("string"))
+    head = F.concat(F.lit(HEADER), F.col("_i").cast("string"), F.when(F.col("_u.title") != "", F.concat(F.lit(TITLE_LINE), F.col("_u.title"))).otherwise(""))
+    part = F.concat(head, F.lit("\nxml_anchor_type: "), "kind", F.lit("\nxml_anchor_id: "), path, F.lit(TEXT_LINE), "text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", part.alias("t")))), lambda x: x["t"]), "\n\n---\n\n")
+    out = once.groupBy("query_id", "doc_id").agg(joined.alias("context"))
+    if asked is None:
+        return out
+    pairs = asked.select("query_id", "doc_id").distinct()
+    return pairs.join(out, ["query_id", "doc_id"], "left").withColumn("context", F.coalesce("context", F.lit(NOTHING)))
 
 
 def node_lookup(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,27 +427,96 @@ def node_lookup(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.join(nodes.select("doc_id", "node_id", "title"), ["doc_id", "node_id"], "left").withColumn("found", F.col("title").isNotNull())
 
 
-def chunk_text(paragraphs: DataFrame, size: int = 512) -> DataFrame:
-    """doc_id, chunk, start_pos, end_pos: paragraphs (doc_id, pos, tokens) packed to size tokens."""
-    folded = greedy_batches(paragraphs, ["doc_id"], "pos", "tokens", size, batch="chunk")
-    return folded.groupBy("doc_id", "chunk").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
-
+def chunk_text(docs: DataFrame, size: int = 512, overlap: int = 100) -> DataFrame:
+    """doc_id, chunk, start_pos, end_pos, text: texts (doc_id, text) in chunks of size tokens at most, each beginning with about overlap tokens of the one before.
 
-def search(nodes: DataFrame, steps: DataFrame, anchors: DataFrame, budget: int = 4000) -> DataFrame:
-    """query_id, doc_id, sources, context: the whole search by titles, regions and terms.
-
-    Routes run and are merged; general matches give way to specific ones; nodes
-    are cut to the token budget in the order found, and expanded to anchors.
+    Paragraphs (behind empty lines) are the pieces; one above size is cut behind
+    sentence ends, and a sentence above it into slices of 2 * size characters.
+    start_pos and end_pos count pieces from 1. Rules for ties are this
+    library's own.
+    """
+    paragraph = F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("p", "x")
+    p = docs.select("doc_id", paragraph).where(strip(F.col("x")) != "")
+    tokens = lambda: estimate_tokens(F.col("x"))
+    sentences = F.split(F.regexp_replace("x", r"([.!?;])\s+|([。！？；])\s*", "$1$2\u0001"), "\u0001")
+    s = p.select("doc_id", "p", F.posexplode(F.when(tokens() > size, sentences).otherwise(F.array("x"))).alias("s", "x")).where(strip(F.col("x")) != "")
+    wide = 2 * size
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("x") / wide).cast("int") - 1)), lambda i: F.substring("x", i * wide + 1, F.lit(wide)))
+    pieces = s.select("doc_id", "p", "s", F.posexplode(F.when(tokens() > size, slices).otherwise(F.array("x"))).alias("t", "x"))
+    pieces = pieces.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "s", "t")))
+    ranges = overlapping_batches(pieces.select("doc_id", "pos", tokens().alias("w")), size, overlap)
+    inside = ranges.alias("r").join(pieces.alias("i"), (F.col("r.doc_id") == F.col("i.doc_id")) & F.col("i.pos").between(F.col("r.start_pos"), F.col("r.end_pos")))
+    # pieces of one paragraph stay on a line
+    mark = F.when(F.lag("i.p").over(Window.partitionBy("r.doc_id", "r.batch").orderBy("i.pos")) == F.col("i.p"), " ").otherwise("\n\n")
+    line = inside.select("r.doc_id", F.col("r.batch").alias("chunk"), "r.start_pos", "r.end_pos", "i.pos", F.when(F.col("i.pos") == F.col("r.start_pos"), F.col("i.x")).otherwise(F.concat(mark, "i.x")).alias("x"))
+    return line.groupBy("doc_id", "chunk", "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda y: y["x"]), "").alias("text"))
+
+
+def search(
+    nodes: DataFrame, steps: DataFrame, anchors: DataFrame, structure: DataFrame | None = None, vector: DataFrame | None = None, reranked: DataFrame | None = None, budget: int = 4000, scan_budget: int = 12000, most: int = 5, part: int = 1
+) -> DataFrame:
+    """query_id, doc_id, sources, used, has_more, next_part, context: the whole search for every (query, document) of steps.
+
+    nodes: build_hierarchy() with text, summary, tokens and is_leaf. steps:
+    query_id, doc_id, step_no, method (title, region, rule, join, scan or
+    hybrid), terms, regions, all_titles, fallback. anchors: doc_id, pos, kind,
+    anchor, node_id, text. Routed matches are merged in the order of steps.
+    Pairs that need it (fallback_needed()) also get structure matches
+    (query_id, doc_id, node_id, place) and vector matches (query_id, doc_id,
+    node_id, score); of their candidates, in the order of reranked (query_id,
+    doc_id, node_id, pos, score) where there is one, the first most stay.
+    General matches give way to specific ones, what is left becomes units of
+    budget tokens at most (scan_budget for pairs that scan), units fill pages,
+    and the asked page is expanded to its anchors. A pair without any has a
+    message instead.
     """
-    titles, regions = title_match(nodes, steps), region_match(nodes, steps)
-    terms = join_match(nodes, steps, regions).select("query_id", "doc_id", "node_id")
-    routed = execute_route(steps, {"title": titles, "region": regions, "join": terms}).withColumn("score", F.lit(None).cast("double"))
-    merged = merge_routed(routed).withColumn("source", F.element_at("sources", 1))
-    kept = prefer_specific(merged).join(nodes.select("doc_id", "node_id", "pos", "end_pos", "tokens"), ["doc_id", "node_id"])
-    w = Window.partitionBy("query_id", "doc_id").orderBy("first_step", "pos")
-    used = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fit = kept.withColumns({"_used": used, "_i": F.row_number().over(w)}).where((F.col("_used") <= budget) | (F.col("_i") == 1))
-    return anchor_context(fit, anchors)
+    key = ["query_id", "doc_id"]
+    nodes, anchors, steps = cut(nodes, "nodes"), cut(anchors, "anchors"), cut(steps, "steps")
+    of = lambda name: steps.where(F.col("method") == name)
+    titles = title_match(nodes, of("title")).join(nodes.select("doc_id", "node_id", F.col("pos").alias("place")), ["doc_id", "node_id"])
+    regions = region_match(nodes, of("region"), titles)
+    rules = rule_match(anchors, of("rule")).withColumn("place", F.col("pos"))
+    batches = scan_batches(anchors, scan_budget)
+    scans = of("scan").select(*key).join(batches.select("doc_id", F.col("match_id").alias("node_id"), "parent_id", F.col("start_pos").alias("pos"), (F.col("end_pos") + 1).alias("end_pos"), F.col("batch").alias("place"), F.col("text").alias("text_override")), "doc_id")
+    routed = execute_route(steps, {"title": titles, "region": regions, "rule": rules.withColumn("end_pos", F.col("pos") + 1), "join": join_match(nodes, of("join")), "scan": scans})
+    routed = cut(routed, "routed")
+    spans = routed.groupBy(*key, "node_id").agg(F.max("pos").alias("_pos"), F.max("end_pos").alias("_end"), F.max("parent_id").alias("_parent"))
+    merged = merge_routed(routed.withColumn("score", F.lit(None).cast("double"))).join(spans, [*key, "node_id"])
+    needed = fallback_needed(steps, routed)
+    none = nodes.sparkSession.createDataFrame([], f"query_id {steps.schema['query_id'].dataType.simpleString()}, doc_id {steps.schema['doc_id'].dataType.simpleString()}, node_id string, place int, score double, pos int")
+    more = merge_matches(none if structure is None else structure, none if vector is None else vector).join(needed, key, "left_semi")
+    behind = more.select(*key, "node_id", F.lit(1 << 20).alias("first_step"), F.row_number().over(Window.partitionBy(*key).orderBy(F.col("vector_score").desc_nulls_first(), "node_id")).alias("first_place"), "sources")
+    both = merged.unionByName(behind, allowMissingColumns=True)
+    order = F.struct("first_step", "first_place", "node_id")
+    found = both.groupBy(*key, "node_id").agg(F.min(order).alias("_o"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.max("text_override").alias("text_override"), F.max("_pos").alias("_pos"), F.max("_end").alias("_end"), F.max("_parent").alias("_parent"))
+    scored = (none if reranked is None else reranked).groupBy(*key, "node_id").agg(F.min("pos").alias("_r"))
+    w = Window.partitionBy(*key).orderBy(F.col("_r").asc_nulls_last(), "_o")
+    found = found.join(scored, [*key, "node_id"], "left").join(needed.withColumn("_needed", F.lit(True)), key, "left")
+    found = found.withColumn("_r", F.when(F.col("_needed"), F.col("_r"))).withColumn("place", F.row_number().over(w)).where(F.col("_needed").isNull() | (F.col("place") <= most))
+    kept = prefer_specific(found)
+    own = nodes.select("doc_id", F.col("node_id").alias("_node"), "title", "text", F.col("pos").alias("_a"), F.col("end_pos").alias("_z"))
+    kept = kept.withColumn("_node", F.coalesce("_parent", "node_id")).join(own, ["doc_id", "_node"], "left")
+    text = F.coalesce("text_override", "text", F.lit(""))
+    scanning = of("scan").select(*key).distinct().withColumn("_scan", F.lit(True))
+    kept = kept.join(scanning, key, "left").select(*key, "place", "sources", "node_id", "title", text.alias("text"), F.col("text_override").isNotNull().alias("_over"), F.coalesce("_pos", "_a").alias("pos"), F.coalesce("_end", "_z").alias("end_pos"), F.when(F.col("_scan"), scan_budget).otherwise(budget).alias("_limit"))
+    kept = cut(kept.withColumn("_tokens", estimate_tokens(F.col("text"))).drop("text"), "kept")
+    large = (F.col("_tokens") > F.col("_limit")) & ~F.col("_over")
+    whole = kept.where(~large).withColumn("_part", F.lit(0))
+    texts = anchors.select("doc_id", F.col("pos").alias("_p"), estimate_tokens(F.col("text")).alias("_n")).alias("a")
+    inside = kept.where(large).alias("k").join(texts, (F.col("k.doc_id") == F.col("a.doc_id")) & (F.col("_p") >= F.col("k.pos")) & (F.col("_p") < F.col("k.end_pos"))).select("k.*", "_p", "_n")
+    folded = greedy_batches(inside, [*key, "node_id"], "_p", "_n", "_limit", batch="_part", carry=["_n"])
+    folded = folded.groupBy(*key, "node_id", "_part").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"), F.sum("_n").alias("_tokens"))
+    parts = kept.where(large).drop("_tokens").join(folded, [*key, "node_id"])
+    parts = parts.withColumns({"pos": F.col("_from"), "end_pos": F.col("_to") + 1})
+    units = whole.unionByName(parts.select(whole.columns))
+    units = cut(units.withColumn("unit", F.row_number().over(Window.partitionBy(*key).orderBy("place", "_part"))), "units")
+    pages = greedy_batches(units, key, "unit", "_tokens", "_limit", batch="page")
+    paged = units.join(pages, [*key, "unit"]).withColumn("_last", F.max("page").over(Window.partitionBy(*key))).where(F.col("page") == part)
+    paged = cut(paged, "paged")
+    facts = paged.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.sum("_tokens").alias("used"), F.max(F.col("page") < F.col("_last")).alias("has_more"))
+    facts = facts.withColumn("next_part", F.when(F.col("has_more"), part + 1))
+    context = anchor_context(paged.select(*key, F.col("unit").alias("place"), "title", "pos", "end_pos"), anchors, steps)
+    return context.join(facts, key, "left").select(*key, "sources", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("has_more", F.lit(False)).alias("has_more"), "next_part", "context")
 
 
 def content_units(matches: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
@@ -241,6 +535,7 @@ def content_units(matches: DataFrame, chunks: DataFrame, budget: int) -> DataFra
 
 
 def structure_summary(nodes: DataFrame) -> DataFrame:
-    """doc_id, nodes, tokens, mode of each document's tree."""
-    out = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.sum("tokens").alias("tokens"))
+    """doc_id, nodes, tokens, mode, tree of each document: tree lists its nodes in order, with id, level, title and tokens."""
+    line = F.struct("pos", "node_id", "level", "title", "tokens")
+    out = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(line)).alias("tree"))
     return out.withColumn("mode", document_mode(F.col("tokens")))

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from foliant.functions.text import estimate_tokens, extractive_summary
-from foliant.operators.greedy import greedy_batches
+from foliant.functions.text import estimate_tokens, extractive_summary, truncate
+from foliant.operators.greedy import greedy_batches, overlapping_batches
 
 
 def W() -> WindowSpec:  # noqa: N802
@@ -17,7 +17,7 @@ def W() -> WindowSpec:  # noqa: N802
 
 
 
-def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3) -> DataFrame:
+def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3, root: str = "body", first: str = "sec", below: str = "l") -> DataFrame:
     """Nodes of headings (doc_id, pos, level, title); ends has each document's range end (exclusive).
 
     A node's parent is the nearest heading before it of a smaller level, its
@@ -35,9 +35,9 @@ def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3) -> Da
     h = h.drop("_next", "range_end", *(f"_{a}{k}" for a in "pn" for k in range(1, levels + 1)))
     w = Window.partitionBy("doc_id", "parent_pos", "level").orderBy("pos")
     h = h.withColumn("ordinal", F.row_number().over(w))
-    own = F.format_string("%s_%03d", F.when(F.col("level") == 1, "sec").otherwise(F.concat(F.lit("l"), F.col("level").cast("string"))), F.col("ordinal"))
+    own = F.format_string("%s_%03d", F.when(F.col("level") == 1, first).otherwise(F.concat(F.lit(below), F.col("level").cast("string"))), F.col("ordinal"))
     h = h.withColumn("_own", own)
-    top = h.where("parent_pos is null").withColumns({"node_id": F.concat(F.lit("body/"), F.col("_own")), "parent_id": F.lit("body"), "depth": F.lit(1)})
+    top = h.where("parent_pos is null").withColumns({"node_id": F.concat(F.lit(f"{root}/"), F.col("_own")), "parent_id": F.lit(root), "depth": F.lit(1)})
     out, layer = top, top
     for depth in range(2, levels + 1):
         up = layer.select("doc_id", F.col("pos").alias("parent_pos"), F.col("node_id").alias("parent_id"))
@@ -46,13 +46,27 @@ def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3) -> Da
     return out.drop("_own")
 
 
-def materialize_nodes(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Add text (of paragraphs in the span, line by line), tokens and summary to nodes; spans are [pos, end_pos)."""
-    inside = nodes.alias("n").join(blocks.where("kind = 'p'").alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("b.pos") >= F.col("n.pos")) & (F.col("b.pos") < F.col("n.end_pos")))
-    texts = inside.groupBy("n.doc_id", "n.node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b.pos", "b.text"))), lambda x: x["text"]), "\n").alias("text"))
+def hierarchy_nodes(headings: DataFrame, ends: DataFrame, root: str, levels: int = 6) -> DataFrame:
+    """build_hierarchy() of an inferred hierarchy below root: ids root/h1_001, parent/h2_001, up to six levels."""
+    return build_hierarchy(headings, ends, levels, root, "h1", "h")
+
+
+def materialize_nodes(nodes: DataFrame, blocks: DataFrame, with_tables: bool = False) -> DataFrame:
+    """Add text (of paragraphs in the span, line by line, and of tables if asked for), tokens, summary, and, where blocks have them, start and end anchor and page range; spans are [pos, end_pos)."""
+    wanted = F.lit(True) if with_tables else F.col("kind") == "p"
+    b = blocks.withColumn("_line", F.when(wanted & (F.col("text") != ""), F.col("text")))
+    inside = nodes.alias("n").join(b.alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("b.pos") >= F.col("n.pos")) & (F.col("b.pos") < F.col("n.end_pos")))
+    line = F.when(F.col("b._line").isNotNull(), F.struct("b.pos", F.col("b._line").alias("text")))
+    found = [F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n").alias("text")]
+    if "anchor" in blocks.columns:
+        found += [F.min_by("b.anchor", "b.pos").alias("start_anchor"), F.max_by("b.anchor", "b.pos").alias("end_anchor")]
+    if "page_start" in blocks.columns:
+        found += [F.min("b.page_start").alias("page_start"), F.max("b.page_end").alias("page_end")]
+    texts = inside.groupBy("n.doc_id", "n.node_id").agg(*found)
     out = nodes.join(texts, ["doc_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     out = out.withColumn("tokens", estimate_tokens(F.col("text")))
-    return out.withColumn("summary", extractive_summary(F.when(F.col("tokens") >= 300, F.col("text")).otherwise(F.col("title"))))
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("text"))
+    return out.withColumn("summary", extractive_summary(F.when(F.col("tokens") >= 300, F.col("text")).otherwise(title)))
 
 
 def split_long_leaves(leaves: DataFrame, blocks: DataFrame, threshold: int = 1000, target: int = 700) -> DataFrame:
@@ -88,13 +102,34 @@ def own_anchors(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def split_large_tables(rows: DataFrame, limit: int = 20000, target: int = 18000) -> DataFrame:
-    """doc_id, table_id, chunk, first_row, last_row, name: row chunks of tables above limit tokens; each repeats the header's tokens (row 1)."""
-    total = Window.partitionBy("doc_id", "table_id")
-    large = rows.withColumns({"_all": F.sum("tokens").over(total), "_head": F.max(F.when(F.col("row") == 1, F.col("tokens"))).over(total)}).where((F.col("_all") > limit) & (F.col("row") > 1))
-    # the header is in every chunk: tables are folded one header size at a time
-    folded = greedy_batches(large.withColumn("_w", F.col("tokens") / (F.lit(float(target)) - F.coalesce("_head", F.lit(0)))), ["doc_id", "table_id"], "row", "_w", 1.0, batch="chunk")
-    out = folded.groupBy("doc_id", "table_id", "chunk").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"))
-    return out.withColumn("name", F.format_string("rows_%04d_%04d", F.col("first_row"), F.col("last_row")))
+    """doc_id, table_id, chunk, first_row, last_row, name, and text if rows have any: row chunks of tables above limit tokens.
+
+    rows: doc_id, table_id, row, tokens, and text with columns for text (as
+    markdown lines). Each chunk repeats the header (row 1) and counts its
+    tokens; a header that leaves no room gives each row a chunk of its own. A
+    table of a header alone has one chunk. Rows are ordered, not numbered
+    throughout: names count them from 2.
+    """
+    key = ["doc_id", "table_id"]
+    total = Window.partitionBy(*key)
+    order = total.orderBy("row")
+    large = rows.withColumns({"_n": F.row_number().over(order), "_all": F.sum("tokens").over(total)}).where(F.col("_all") > limit)
+    head = F.max(F.when(F.col("_n") == 1, F.col("tokens"))).over(total)
+    large = large.withColumns({"_room": (F.lit(target) - head).cast("double"), "_rows": F.count("*").over(total)})
+    text = ["text"] if "text" in rows.columns else []
+    body = large.where("_n > 1").withColumnRenamed("_n", "_row")
+    folded = greedy_batches(body, key, "_row", "tokens", "_room", batch="chunk", carry=text)
+    lines = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "text"))), lambda x: x["text"]), "").alias("_lines")] if text else []
+    out = folded.groupBy(*key, "chunk").agg(F.min("_row").alias("first_row"), F.max("_row").alias("last_row"), *lines)
+    empty = [F.lit("").alias("_lines")] if text else []
+    out = out.unionByName(large.where("_rows = 1").select(*key, F.lit(1).alias("chunk"), F.lit(2).alias("first_row"), F.lit(2).alias("last_row"), *empty))
+    out = out.withColumn("name", F.format_string("rows_%04d_%04d", F.col("first_row"), F.col("last_row")))
+    if not text:
+        return out
+    separator = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("columns")), " | "), F.lit(" |\n"))
+    mark = F.concat(F.lit("<!-- table_id: "), F.col("table_id").cast("string"), F.lit(" -->\n"))
+    heads = large.where("_n = 1").select(*key, F.concat(mark, "text", separator).alias("_head"))
+    return out.join(heads, key).withColumn("text", F.concat("_head", "_lines")).drop("_head", "_lines")
 
 
 def key_items(nodes: DataFrame, most: int = 8) -> DataFrame:
@@ -123,29 +158,93 @@ def sections_between(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return out.withColumn("end_pos", F.coalesce("_next", "range_end")).drop("_next", "range_end")
 
 
-def apply_segments(candidates: DataFrame, segments: DataFrame) -> DataFrame:
+def attachment_nodes(blocks: DataFrame, starts: DataFrame, ends: DataFrame, parent: str = "attachments/parent") -> DataFrame:
+    """doc_id, node_id, parent_id, node_type, title, pos, end_pos: a section for each start, and its flat children.
+
+    starts: doc_id, pos; ends: doc_id, range_end. blocks: doc_id, pos, text and
+    kind_of, which is heading, visual_title, plain_label or null. Every such
+    block is a child of its section up to the next one or the section's end.
+    """
+    sections = sections_between(starts.select("doc_id", "pos"), ends)
+    named = sections.join(blocks.select("doc_id", "pos", F.col("text").alias("title")), ["doc_id", "pos"], "left")
+    own = named.select("doc_id", F.format_string("attachments/att_%03d", "ordinal").alias("node_id"), F.lit(parent).alias("parent_id"), F.lit("attachment_section").alias("node_type"), "title", "pos", "end_pos")
+    marks = own.select("doc_id", "pos", F.struct("node_id", F.col("pos").alias("from"), F.col("end_pos").alias("to")).alias("_s"))
+    last = F.last("_s", True).over(W().rangeBetween(Window.unboundedPreceding, 0))
+    rows = blocks.where("kind_of IS NOT NULL").join(marks, ["doc_id", "pos"], "full_outer").withColumn("_s", last)
+    # the section's own first block is its title
+    rows = rows.where("kind_of IS NOT NULL AND _s IS NOT NULL AND pos > _s.from AND pos < _s.to").select("doc_id", "pos", "text", "kind_of", "_s")
+    w = Window.partitionBy("doc_id", "_s.node_id").orderBy("pos")
+    child = F.format_string("%s/%s_%03d", F.col("_s.node_id"), F.col("kind_of"), F.row_number().over(w))
+    children = rows.select("doc_id", child.alias("node_id"), F.col("_s.node_id").alias("parent_id"), F.col("kind_of").alias("node_type"), F.col("text").alias("title"), "pos", F.coalesce(F.lead("pos").over(w), F.col("_s.to")).alias("end_pos"))
+    return own.unionByName(children)
+
+
+def _in_force(candidates: DataFrame, segments: DataFrame) -> DataFrame:
+    """candidates with _s, the segment in force: the last that starts at or before them."""
+    marks = segments.select("doc_id", F.col("start_pos").alias("pos"), F.struct("segment_no", "start_pos", "rules").alias("_s"), F.lit(0).alias("_k"))
+    rows = candidates.withColumns({"_s": F.lit(None).cast(marks.schema["_s"].dataType), "_k": F.lit(1)})
+    w = Window.partitionBy("doc_id").orderBy("pos", "_k", "_s.segment_no").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(rows, allowMissingColumns=True).withColumn("_s", F.last("_s", True).over(w))
+    return both.where("_k = 1").drop("_k")
+
+
+def apply_segments(candidates: DataFrame, segments: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Candidates (doc_id, pos, family) with segment_no and level of the segment in force: the last that starts at or before them.
 
     segments: doc_id, segment_no, start_pos, rules (map of family to level). A
-    family without a rule has a null level.
+    family without a rule has a null level. named: doc_id, pos, level of titles
+    and further headings, which override the rules.
     """
-    marks = segments.select("doc_id", F.col("start_pos").alias("pos"), F.lit(None).cast("string").alias("family"), F.struct("segment_no", "rules").alias("_s"), F.lit(0).alias("_k"))
-    rows = candidates.select("doc_id", "pos", "family", F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_k"))
-    w = Window.partitionBy("doc_id").orderBy("pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(rows).withColumn("_s", F.last("_s", True).over(w)).where("_k = 1")
-    return both.select("doc_id", "pos", "family", F.col("_s.segment_no").alias("segment_no"), F.try_element_at(F.col("_s.rules"), F.col("family")).alias("level"))
+    level = F.try_element_at(F.col("_s.rules"), F.col("family"))
+    out = _in_force(candidates.select("doc_id", "pos", "family"), segments).select("doc_id", "pos", "family", F.col("_s.segment_no").alias("segment_no"), level.alias("level"))
+    if named is None:
+        return out
+    best = named.groupBy("doc_id", "pos").agg(F.max_by("level", "level").alias("_level"))
+    return out.join(best, ["doc_id", "pos"], "left").withColumn("level", F.coalesce("_level", "level")).drop("_level")
 
 
-def resolve_heading(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """wanted (doc_id, anchor, title) with resolved: the anchor whose text is the title, else the only block with that text, else null. White space and a final dot don't count."""
-    norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"[.。]$", "")
+def segment_errors(candidates: DataFrame, segments: DataFrame, most: int = 6) -> DataFrame:
+    """doc_id, segment_no, error, detail: what is wrong with segments for candidates (doc_id, pos, family, required).
+
+    unknown_start (no candidate there), duplicate_start, order (it starts before
+    one of a smaller number), late_first (a required candidate stands before the
+    first), level_range (detail: the family), missing_family (a required
+    candidate's family has no rule; detail: the family).
+    """
+    known = candidates.select("doc_id", F.col("pos").alias("start_pos"), F.lit(True).alias("_known")).distinct()
+    s = segments.join(known, ["doc_id", "start_pos"], "left")
+    again = F.row_number().over(Window.partitionBy("doc_id", "start_pos").orderBy("segment_no")) > 1
+    before = F.max("start_pos").over(Window.partitionBy("doc_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1))
+    none = F.lit(None).cast("string").alias("detail")
+    s = s.withColumns({"_again": again, "_before": before})
+    wrong = F.array_compact(F.array(F.when(F.col("_known").isNull(), "unknown_start"), F.when(F.col("_again"), "duplicate_start"), F.when(F.col("start_pos") < F.col("_before"), "order")))
+    starts = s.select("doc_id", "segment_no", F.explode(wrong).alias("error"), none)
+    high = s.select("doc_id", "segment_no", F.explode("rules").alias("detail", "_level")).where(~F.col("_level").between(1, most))
+    high = high.select("doc_id", "segment_no", F.lit("level_range").alias("error"), "detail")
+    needed = _in_force(candidates.where("required").select("doc_id", "pos", "family"), segments)
+    missing = needed.where(F.col("_s").isNotNull() & F.try_element_at(F.col("_s.rules"), F.col("family")).isNull())
+    missing = missing.select("doc_id", F.col("_s.segment_no").alias("segment_no"), F.lit("missing_family").alias("error"), F.col("family").alias("detail")).distinct()
+    first = segments.groupBy("doc_id").agg(F.min(F.struct("start_pos", "segment_no"))["segment_no"].alias("segment_no"))
+    late = needed.where("_s IS NULL").select("doc_id").distinct().join(first, "doc_id").select("doc_id", "segment_no", F.lit("late_first").alias("error"), none)
+    return starts.unionByName(high).unionByName(missing).unionByName(late)
+
+
+def resolve_heading(wanted: DataFrame, blocks: DataFrame, least: int = 12) -> DataFrame:
+    """wanted (doc_id, anchor, title) with resolved: the anchor if its text has the title, else the only block whose text has it, else null.
+
+    A text has a title if both are equal without white space and final dots, or
+    begins with it if the title has least characters at least.
+    """
+    norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"[.。]+$", "")
     b = blocks.select("doc_id", F.col("anchor").alias("_a"), norm(F.col("text")).alias("_t"))
     w = wanted.withColumn("_title", norm(F.col("title")))
-    exact = b.withColumn("_hit", F.lit(True))
-    one = b.groupBy("doc_id", "_t").agg(F.min("_a").alias("_only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    out = w.join(exact, (w["doc_id"] == exact["doc_id"]) & (w["anchor"] == exact["_a"]) & (w["_title"] == exact["_t"]), "left").select(w["*"], "_hit")
-    out = out.join(one.withColumnRenamed("_t", "_title"), ["doc_id", "_title"], "left")
-    return out.withColumn("resolved", F.when(F.col("_hit"), F.col("anchor")).otherwise(F.col("_only"))).drop("_title", "_hit", "_only")
+    # a title meets the texts that begin as it does: by its first characters, or all of it if it is short
+    head = lambda c: F.substring(c, 1, least)
+    pairs = w.select("doc_id", "_title").distinct().withColumn("_h", head(F.col("_title"))).join(b.withColumn("_h", head(F.col("_t"))), ["doc_id", "_h"])
+    pairs = pairs.where((F.col("_t") == F.col("_title")) | ((F.length("_title") >= least) & F.startswith("_t", "_title")))
+    hits = pairs.groupBy("doc_id", "_title").agg(F.collect_set("_a").alias("_all"), F.when(F.count("*") == 1, F.min("_a")).alias("_only"))
+    out = w.join(hits, ["doc_id", "_title"], "left")
+    return out.withColumn("resolved", F.when(F.array_contains("_all", F.col("anchor")), F.col("anchor")).otherwise(F.col("_only"))).drop("_title", "_all", "_only")
 
 
 def hierarchy_errors(headings: DataFrame, most: int = 6) -> DataFrame:
@@ -156,48 +255,37 @@ def hierarchy_errors(headings: DataFrame, most: int = 6) -> DataFrame:
 
 
 def batch_with_overlap(items: DataFrame, target: int, overlap: int) -> DataFrame:
-    """doc_id, batch, start_pos, end_pos: greedy batches up to target tokens; each next one goes back until overlap tokens repeat, but always further on.
+    """doc_id, batch, start_pos, end_pos: overlapping batches of a document's items (doc_id, pos, w)."""
+    return overlapping_batches(items, target, overlap)
 
-    items: doc_id, pos, w. Batches follow from the one before, so a document is folded as a whole.
-    """
-    groups = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("w").cast("double").alias("w")))).alias("x"))
-    return groups.select("doc_id", F.posexplode(_overlapping(target, overlap)("x")).alias("batch", "r")).select("doc_id", (F.col("batch") + 1).alias("batch"), "r.start_pos", "r.end_pos")
-
-
-def _overlapping(target: int, overlap: int):
-    @F.pandas_udf("array<struct<start_pos:int,end_pos:int>>")
-    def cut(groups: pd.Series) -> pd.Series:
-        out = []
-        for x in groups:
-            at, ranges = 0, []
-            while at < len(x):
-                used, end = 0.0, at
-                while end < len(x) and (end == at or used + x[end]["w"] <= target):
-                    used, end = used + x[end]["w"], end + 1
-                ranges.append({"start_pos": x[at]["pos"], "end_pos": x[end - 1]["pos"]})
-                if end == len(x):
-                    break
-                back, repeated = end, 0.0
-                while back > at + 1 and repeated < overlap:
-                    back, repeated = back - 1, repeated + x[back - 1]["w"]
-                at = back
-            out.append(ranges)
-        return pd.Series(out)
-
-    return cut
-
-
-def oversized_leaves(nodes: DataFrame, threshold: int) -> DataFrame:
-    """Nodes without children above threshold tokens."""
+
+# Types of nodes that are never expanded.
+FINAL_TYPES = ("table", "table_chunk", "attachment_heading", "attachment_section", "attachment_parent")
+
+
+def oversized_leaves(nodes: DataFrame, threshold: int, levels: int = 6) -> DataFrame:
+    """Nodes without children above threshold tokens, with action: expand, or chunk from levels on. Tables and attachments stay as they are (node_type, if nodes have it)."""
     parents = nodes.select("doc_id", F.col("parent_id").alias("node_id")).distinct()
-    return nodes.join(parents, ["doc_id", "node_id"], "left_anti").where(F.col("tokens") > threshold)
+    out = nodes.join(parents, ["doc_id", "node_id"], "left_anti").where(F.col("tokens") > threshold)
+    if "node_type" in nodes.columns:
+        out = out.where(~F.coalesce(F.col("node_type").isin(*FINAL_TYPES), F.lit(False)))
+    return out.withColumn("action", F.when(F.col("depth") >= levels, "chunk").otherwise("expand"))
+
 
+def summary_inputs(nodes: DataFrame, least: int = 300, budget: int = 6000, table_budget: int = 20000, least_chars: int = 1000) -> DataFrame:
+    """doc_id, node_id, content: of nodes with children a line for each child, of others their text; small leaves are left out.
 
-def summary_inputs(nodes: DataFrame, least: int = 300) -> DataFrame:
-    """doc_id, node_id, content: of nodes with children a line for each child, of others their text; small leaves are left out."""
-    lines = nodes.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("summary")).alias("s")))), lambda x: x["s"]), "\n").alias("_lines"))
+    Contents above the budget of tokens (of tables, by node_type if nodes have
+    it, a larger one) are cut in proportion, to least_chars at least, with three dots.
+    """
+    summary = F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(F.col("title"))
+    lines = nodes.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), F.col("title"), F.lit(": "), summary).alias("s")))), lambda x: x["s"]), "\n").alias("_lines"))
     out = nodes.join(lines, ["doc_id", "node_id"], "left").where(F.col("_lines").isNotNull() | (F.col("tokens") >= least))
-    return out.select("doc_id", "node_id", F.coalesce("_lines", "text").alias("content"))
+    content = F.coalesce("_lines", "text")
+    cut = truncate(content, budget, least_chars, "...")
+    if "node_type" in nodes.columns:
+        cut = F.when(F.col("node_type").isin("table", "table_chunk"), truncate(content, table_budget, least_chars, "...")).otherwise(cut)
+    return out.select("doc_id", "node_id", cut.alias("content"))
 
 
 def pack_batches(tasks: DataFrame, limit: int = 20000, most: int = 10) -> DataFrame:
@@ -205,15 +293,22 @@ def pack_batches(tasks: DataFrame, limit: int = 20000, most: int = 10) -> DataFr
     return greedy_batches(tasks, ["doc_id"], "pos", "tokens", limit, max_items=most)
 
 
-def apply_summaries(nodes: DataFrame, responses: DataFrame, size: int = 120) -> DataFrame:
-    """nodes with the response's summary if not blank, else their own; cut at size characters."""
+def apply_summaries(nodes: DataFrame, responses: DataFrame, tokens: int = 200, least_chars: int = 120) -> DataFrame:
+    """nodes with the response's summary if not blank, cut to tokens (to least_chars at least), else their own."""
     out = nodes.join(responses.select("doc_id", "node_id", F.col("summary").alias("_s")), ["doc_id", "node_id"], "left")
-    return out.withColumn("summary", F.substring(F.when(F.trim("_s") != "", F.trim("_s")).otherwise(F.col("summary")), 1, size)).drop("_s")
+    given = F.trim("_s")
+    return out.withColumn("summary", F.when(given != "", truncate(given, tokens, least_chars)).otherwise(F.col("summary"))).drop("_s")
 
 
-def index_stats(nodes: DataFrame) -> DataFrame:
-    """doc_id, level, n, tokens with subtotals (null level) and the total (null doc_id)."""
-    return nodes.rollup("doc_id", "level").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+def index_stats(nodes: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """doc_id, level, n, tokens with subtotals (null level) and the total (null doc_id); with anchors (doc_id, kind) also n_anchors and n_tables of each document and in total."""
+    out = nodes.rollup("doc_id", "level").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    if anchors is None:
+        return out
+    counts = anchors.rollup("doc_id").agg(F.count("*").alias("n_anchors"), F.count(F.when(F.col("kind") == "tbl", 1)).alias("n_tables"), F.grouping("doc_id").alias("_total"))
+    out = out.withColumn("_total", F.col("doc_id").isNull().cast("int"))
+    both = out.join(counts.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("level").isNull() & (out["_total"] == counts["_total"]), "left")
+    return both.select("doc_id", "level", "n", "tokens", "n_anchors", "n_tables")
 
 
 def largest(nodes: DataFrame, k: int = 10) -> DataFrame:
@@ -231,9 +326,12 @@ def subtree(nodes: DataFrame, root: Column) -> DataFrame:
     return nodes.where((F.col("node_id") == root) | F.startswith(F.col("node_id"), F.concat(root, F.lit("/"))))
 
 
-def merge_batches(rows: DataFrame, most: int = 6) -> DataFrame:
+def merge_batches(rows: DataFrame, most: int = 6, required: DataFrame | None = None) -> DataFrame:
     """doc_id, pos, level: levels of overlapping batches (doc_id, batch, pos, level) on one scale.
 
+    With required (doc_id, pos) a document gets no rows if any of those is
+    missing, fewer than two headings are left, or hierarchy_errors() finds any.
+
     A batch is shifted by the most frequent difference on the positions that it
     shares with what is merged already (the first seen on ties), and clamped to
     1..most; positions keep the level of their first batch. A batch depends on
@@ -252,7 +350,12 @@ def merge_batches(rows: DataFrame, most: int = 6) -> DataFrame:
                 known.setdefault(pos, min(most, max(1, level + offset)))
         return pd.DataFrame({"doc_id": part["doc_id"].iloc[0], "pos": list(known), "level": list(known.values())})
 
-    return rows.select("doc_id", "batch", "pos", "level").groupBy("doc_id").applyInPandas(merge, "doc_id long, pos int, level int")
+    out = rows.select("doc_id", "batch", "pos", "level").groupBy("doc_id").applyInPandas(merge, "doc_id long, pos int, level int")
+    if required is None:
+        return out
+    lost = required.select("doc_id", "pos").join(out, ["doc_id", "pos"], "left_anti").select("doc_id")
+    bad = lost.union(hierarchy_errors(out, most).select("doc_id")).union(out.groupBy("doc_id").count().where("count < 2").select("doc_id"))
+    return out.join(bad.distinct(), "doc_id", "left_anti")
 
 
 def split_structure(nodes: DataFrame, budget: int) -> DataFrame:

@@ -88,6 +88,18 @@ CELLS = BLOCKS + r""", cells AS (
 )"""
 
 
+def tokens_sql(x: str) -> str:
+    """estimate_tokens() of an expression."""
+    wide = f"length(regexp_replace({x}, '[\\x00-\\x7F]', '', 'g'))"
+    return f"CASE WHEN coalesce(length({x}), 0) = 0 THEN 0 ELSE greatest(1, CAST(ceil({wide} / 1.6::DOUBLE + (length({x}) - {wide}) / 4.0::DOUBLE) AS INT)) END"
+
+
+def truncate_sql(x: str, tokens: int, least: int, mark: str = "") -> str:
+    """truncate() of an expression."""
+    size = f"CAST(greatest({least}, floor(length({x}) * {tokens} / CAST({tokens_sql(x)} AS DOUBLE))) AS INT)"
+    return f"CASE WHEN {tokens_sql(x)} <= {tokens} THEN {x} ELSE regexp_replace(substr({x}, 1, {size}), '\\s+$', '') || '{mark}' END"
+
+
 def ends(b: DataFrame) -> DataFrame:
     return b.groupBy("doc_id").agg((F.max("pos") + 1).alias("range_end"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import evaluate as G
 from foliant.operators import retrieve as E
-from foliant.plans.adapt import BLOCKS, blocks, fold_sql, runs, table
+from foliant.operators import tree as D
+from foliant.plans.adapt import BLOCKS, blocks, fold_sql, runs, table, tokens_sql, truncate_sql
 from foliant.plans.tree import COVER, MATERIAL, NODES, SUMMARY, materialized, nodes
 
 TERMS = ["tion", "eaux", "keit"]
@@ -39,16 +40,41 @@ def steps(s, d):
 
 
 ANY = "(title LIKE '%tion%' OR title LIKE '%eaux%' OR title LIKE '%keit%')"
-TITLE = f"SELECT doc_id * 2 AS query_id, doc_id, node_id FROM nodes WHERE {ANY} OR (doc_id % 5 = 0 AND depth = 1)"
-REGION = "SELECT doc_id * 2 + 1 AS query_id, doc_id, node_id FROM nodes WHERE (doc_id % 2 = 0 OR contains(title, 'a')) AND (node_id IN ('body/sec_001', 'body/sec_003') OR starts_with(node_id, 'body/sec_001/') OR starts_with(node_id, 'body/sec_003/'))"
+TITLE = f"SELECT doc_id * 2 AS query_id, doc_id, node_id, trim(title, ' ') AS text_override FROM nodes WHERE trim(title, ' ') <> '' AND CASE WHEN doc_id % 5 = 0 THEN depth = 1 ELSE {ANY} END"
+REGION = "SELECT doc_id * 2 + 1 AS query_id, doc_id, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, node_id) AS place FROM nodes WHERE CASE WHEN doc_id % 2 = 0 THEN node_id IN ('body/sec_001', 'body/sec_003') ELSE contains(title, 'a') AND (node_id IN ('body/sec_001', 'body/sec_003') OR starts_with(node_id, 'body/sec_001/') OR starts_with(node_id, 'body/sec_003/')) END"
 
 
 def found(s, d):
     n, st = nodes(s, d), steps(s, d)
-    return E.execute_route(st, {"title": E.title_match(n, st), "region": E.region_match(n, st)})
+    return E.execute_route(st, {"title": E.title_match(n, st.where("method = 'title'")), "region": E.region_match(n, st.where("method = 'region'"))})
 
 
-FOUND = NODES + f""", found AS (SELECT *, 'title' AS source, 1 AS step_no FROM ({TITLE}) UNION ALL SELECT *, 'region' AS source, 2 AS step_no FROM ({REGION}))"""
+FOUND = NODES + f""", found AS (SELECT query_id, doc_id, node_id, text_override, CAST(NULL AS BIGINT) AS place, 'title' AS source, 1 AS step_no FROM ({TITLE}) UNION ALL SELECT query_id, doc_id, node_id, NULL, place, 'region', 2 FROM ({REGION}))"""
+
+
+def joins(s, d):
+    """Steps that look in regions, for terms, slots and what a query brings along."""
+    doc = table(s, d, "documents").select("doc_id").distinct()
+    return doc.select("doc_id", F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("body/sec_002"), F.lit("body/sec_001"))).otherwise(F.array().cast("array<string>")).alias("regions"), F.array(*map(F.lit, TERMS)).alias("terms"), F.array(F.lit("x 甲方乙 y")).alias("slots"), F.lit("付款").alias("query"))
+
+
+def contexts(s, d):
+    """Two overlapping units of each document, the later one first."""
+    n = nodes(s, d).where("level = 1 AND node_id IN ('body/sec_001', 'body/sec_002')")
+    wide = n.select("doc_id", F.col("doc_id").alias("query_id"), F.when(F.col("node_id") == "body/sec_002", 1).otherwise(2).alias("place"), F.when(F.col("node_id") == "body/sec_001", "").otherwise(F.col("title")).alias("title"), "pos", (F.col("end_pos") + 2).alias("end_pos"))
+    return wide
+
+
+def anchored(s, d):
+    """Blocks with the last section before them as their owner."""
+    return D.own_anchors(blocks(s, d).select("doc_id", "pos", "kind", "text", F.concat(F.lit("p"), F.col("pos").cast("string")).alias("anchor")), nodes(s, d))
+
+
+def structured(s, d):
+    """What a model names for each pair: every third section, the last one first."""
+    n = nodes(s, d).where("pos % 3 = 1")
+    both = n.select("doc_id", "node_id", F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).alias("query_id"), "pos")
+    return both.withColumn("place", -F.col("pos"))
 
 
 def routed(s, d):
@@ -80,7 +106,7 @@ def retrieved(s, d):
     return b.select("case_id", T.normalize_text(F.col("text")).alias("text"))
 
 
-NORM = r"regexp_replace(translate({}, '“”‘’—–−', '\"\"''''---'), '[\s\x{{A0}}\x{{3000}}\x{{200B}}\x{{FEFF}}]', '', 'g')".replace('\\"', '"')
+NORM = r"regexp_replace(translate({}, '“”‘’—–－', '\"\"''''---'), '[\s\x{{A0}}\x{{3000}}\x{{200B}}\x{{FEFF}}]', '', 'g')".replace('\\"', '"')
 GOLD = BLOCKS + f""", gold AS (SELECT doc_id || '-' || pos AS case_id, pos, {NORM.format('text')} AS text FROM blocks WHERE pos % 2 = 1),
 got AS (SELECT doc_id || '-' || pos AS case_id, {NORM.format("CASE WHEN pos % 3 = 0 THEN text ELSE substr(text, 1, CAST(floor(length(text) / 2) AS INT)) END")} AS text FROM blocks WHERE pos % 2 = 1),
 g AS (SELECT case_id, gram, count(*) AS n FROM (SELECT case_id, unnest(CASE WHEN length(text) = 0 THEN [] WHEN length(text) < 3 THEN [text] ELSE list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) END) AS gram FROM gold) GROUP BY ALL),
@@ -89,25 +115,52 @@ part AS (SELECT case_id, CAST(sum(least(g.n, coalesce(h.n, 0))) AS DOUBLE) / sum
 cov AS (SELECT gold.case_id, CASE WHEN contains(got.text, gold.text) AND length(gold.text) > 0 THEN 1.0::DOUBLE ELSE coalesce(p, 0.0::DOUBLE) END AS coverage FROM gold JOIN got USING (case_id) LEFT JOIN part USING (case_id))"""
 
 
-def hits(s, d):
-    return blocks(s, d).selectExpr("doc_id AS case_id", "pos AS rank", "length(text) % 4 = 0 AS hit")
+def ranked(s, d):
+    """Of each case's own block a shortened copy at rank 2, and parts of the document's next blocks before and behind."""
+    b = blocks(s, d)
+    case = b.where("pos % 2 = 1").select("doc_id", F.col("pos").alias("c"), "text")
+    parts = F.expr("array(" + ", ".join(f"struct({r} AS rank, {t} AS t, {a} AS a, {z} AS z)" for r, t, a, z in ((1, "substring(text, 1, 3)", "1", "2"), (2, "substring(text, 1, CAST(length(text) * (c % 5 + 1) / 5 AS INT))", "3", "3 + c % 7"), (4, "reverse(text)", "1", "1"), (6, "text", "c - c % 3", "c + 2"))) + ")")
+    return case.select("doc_id", "c", F.explode(parts).alias("p")).select(F.concat_ws("-", "doc_id", "c").alias("case_id"), "p.rank", T.normalize_text(F.col("p.t")).alias("text"), F.concat(F.lit("p_"), F.col("p.a").cast("string")).alias("start_anchor"), F.concat(F.lit("p_"), F.col("p.z").cast("string")).alias("end_anchor"))
+
+
+def noted(s, d):
+    b = blocks(s, d).where("pos % 2 = 1")
+    note = F.when(F.col("pos") % 3 != 0, F.concat(F.lit("x anchor=p_"), (F.col("pos") % 9).cast("string"))).otherwise("none")
+    return b.select("doc_id", F.concat_ws("-", "doc_id", "pos").alias("case_id"), F.col("pos").alias("row_number"), T.normalize_text(F.col("text")).alias("text"), note.alias("notes"))
+
+
+def _share_sql(k: int) -> str:
+    """Coverage by the parts up to rank k, in the order of ranks."""
+    grams = lambda x: f"CASE WHEN length({x}) = 0 THEN [] WHEN length({x}) < 3 THEN [{x}] ELSE list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)) END"
+    return f"""g{k} AS (SELECT case_id, gram, count(*) AS n FROM (SELECT case_id, unnest({grams('text')}) AS gram FROM gn) GROUP BY ALL),
+h{k} AS (SELECT case_id, gram, count(*) AS n FROM (SELECT case_id, unnest({grams('text')}) AS gram FROM got_parts WHERE nth <= {k}) GROUP BY ALL),
+s{k} AS (SELECT case_id, CAST(sum(least(g.n, coalesce(h.n, 0))) AS DOUBLE) / sum(g.n) AS part FROM g{k} g LEFT JOIN h{k} h USING (case_id, gram) GROUP BY case_id),
+f{k} AS (SELECT gn.case_id, CASE WHEN length(gn.text) = 0 THEN 0.0::DOUBLE WHEN EXISTS (SELECT 1 FROM got_parts r WHERE r.case_id = gn.case_id AND nth <= {k} AND contains(r.text, gn.text)) THEN 1.0::DOUBLE ELSE coalesce(part, 0.0::DOUBLE) END AS c,
+  anchor IS NOT NULL AND EXISTS (SELECT 1 FROM got_parts r WHERE r.case_id = gn.case_id AND nth <= {k} AND anchor BETWEEN r.a AND r.z) AS t FROM gn LEFT JOIN s{k} USING (case_id))"""
+
+
+SCORED = BLOCKS + f""", gn AS (SELECT doc_id, doc_id || '-' || pos AS case_id, pos, {NORM.format('text')} AS text, CASE WHEN pos % 3 <> 0 THEN pos % 9 END AS anchor FROM blocks WHERE pos % 2 = 1),
+raw_parts AS (SELECT doc_id || '-' || pos AS case_id, unnest([{{'nth': 1, 't': substr(text, 1, 3), 'a': 1, 'z': 2}}, {{'nth': 2, 't': substr(text, 1, CAST(floor(length(text) * (pos % 5 + 1) / 5) AS INT)), 'a': 3, 'z': 3 + pos % 7}}, {{'nth': 3, 't': reverse(text), 'a': 1, 'z': 1}}, {{'nth': 4, 't': text, 'a': pos - pos % 3, 'z': pos + 2}}], recursive := true) FROM blocks WHERE pos % 2 = 1),
+got_parts AS (SELECT case_id, nth, {NORM.format('t')} AS text, a, z FROM raw_parts),
+{', '.join(_share_sql(k) for k in (1, 3, 5))},
+scored AS (SELECT gn.doc_id, gn.case_id, gn.pos AS row_number, """ + ", ".join(f"round(f{k}.c, 6) AS coverage{x}, CAST(f{k}.t AS INT) AS anchor_hit{x}, CAST(f{k}.t OR f{k}.c >= 0.8 AS INT) AS hit{x}" for k, x in ((5, ""), (1, "_at_1"), (3, "_at_3"), (5, "_at_5"))) + """ FROM gn JOIN f1 USING (case_id) JOIN f3 USING (case_id) JOIN f5 USING (case_id))"""
 
 
 def case_rows(s, d):
-    l = table(s, d, "labels").select(F.col("doc_id").cast("string").alias("_d"), "quality")
-    c = G.evidence_coverage(gold(s, d), retrieved(s, d)).withColumn("_d", F.split_part("case_id", F.lit("-"), F.lit(1)))
-    return c.join(l, "_d").select(F.col("_d").alias("case_id"), "coverage", F.col("quality").alias("label"))
+    """Scored rows by document, with its quality as label and an error in some documents."""
+    l = table(s, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return G.score_at_k(noted(s, d), ranked(s, d)).join(l, "doc_id").withColumns({"case_id": F.col("doc_id"), "error": F.when(F.col("doc_id") % 17 == 3, "timeout")})
 
 
-CASES = GOLD + """, rows AS (SELECT CAST(l.doc_id AS VARCHAR) AS case_id, coverage, quality AS label FROM cov JOIN labels l ON split_part(cov.case_id, '-', 1) = CAST(l.doc_id AS VARCHAR)),
-cases AS (SELECT case_id, count(*) FILTER (label = 1) AS n, CAST(sum(CASE WHEN label = 1 THEN CASE WHEN coverage >= 0.8 THEN 1 ELSE 0 END END) AS DOUBLE) / nullif(count(*) FILTER (label = 1), 0) AS recall, CASE WHEN count(*) FILTER (label = 1) = 0 THEN 'SKIP' WHEN sum(CASE WHEN label = 1 THEN CASE WHEN coverage >= 0.8 THEN 1 ELSE 0 END END) = count(*) FILTER (label = 1) THEN 'PASS' ELSE 'FAIL' END AS status FROM rows GROUP BY case_id)"""
+CASES = SCORED + """, rows AS (SELECT s.doc_id AS case_id, quality AS label, s.doc_id % 17 = 3 AS bad, hit, hit_at_1, hit_at_3, hit_at_5 FROM scored s JOIN labels USING (doc_id)),
+cases AS (SELECT case_id, count(*) FILTER (label = 1) AS n, CASE WHEN NOT bool_or(bad) THEN CAST(sum(hit) FILTER (label = 1) AS DOUBLE) / nullif(count(*) FILTER (label = 1), 0) END AS recall, CASE WHEN bool_or(bad) THEN 'ERROR' WHEN count(*) FILTER (label = 1) = 0 THEN 'SKIP' WHEN sum(hit) FILTER (label = 1) = count(*) FILTER (label = 1) THEN 'PASS' ELSE 'FAIL' END AS status FROM rows GROUP BY case_id)"""
 
 
 def annotations(s, d):
     b = blocks(s, d)
     h = b.where("pos % 4 = 1").select("doc_id", F.col("pos").alias("human_no"), F.substring("text", 1, 20).alias("clause"), F.col("text").alias("point"))
     p = b.where("pos % 4 = 2").select("doc_id", F.col("pos").alias("predicted_no"), F.substring("text", 1, 20).alias("clause"), F.col("text").alias("point"))
-    return G.match_annotations(h, p, 0.2, 0.15)
+    return G.match_annotations(h, p, 0.2, 0.15, G.gram_share)
 
 
 def _grams(x: str) -> str:
@@ -124,32 +177,77 @@ best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, hum
 annotated AS (SELECT doc_id, human_no, predicted_no, match, CASE WHEN match >= 0.2 THEN 'hit' WHEN match >= 0.15 THEN 'uncertain' ELSE 'miss' END AS status FROM hs LEFT JOIN best USING (doc_id, human_no))"""
 
 
+CHUNKS = r"""para AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS x, unnest(range(len(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))))) AS p FROM documents),
+sent AS (SELECT doc_id, p, unnest(ss) AS x, unnest(range(len(ss))) AS s FROM (SELECT doc_id, p, CASE WHEN """ + tokens_sql("x") + r""" > 60 THEN string_split(regexp_replace(x, '([.!?;])\s+|([。！？；])\s*', '\1\2' || chr(1), 'g'), chr(1)) ELSE [x] END AS ss FROM para WHERE trim(x, ' ') <> '')),
+slic AS (SELECT doc_id, p, s, unnest(ss) AS x, unnest(range(len(ss))) AS t FROM (SELECT doc_id, p, s, CASE WHEN """ + tokens_sql("x") + r""" > 60 THEN list_transform(range(greatest(1, CAST(ceil(length(x) / 120.0) AS INT))), lambda i: substr(x, i * 120 + 1, 120)) ELSE [x] END AS ss FROM sent WHERE trim(x, ' ') <> '')),
+pcs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, s, t) AS i, """ + tokens_sql("x") + r""" AS w FROM slic),
+cum AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c, count(*) OVER (PARTITION BY doc_id) AS n FROM pcs),
+fin AS (SELECT a.doc_id, a.i, any_value(a.n) AS n, greatest(a.i, coalesce(max(b.i) FILTER (b.c - (a.c - a.w) <= 60), 0)) AS e FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i <= a.i + 70 GROUP BY a.doc_id, a.i),
+nx AS (SELECT f.doc_id, f.i, f.e, any_value(f.n) AS n, greatest(f.i + 1, coalesce(max(k.i) FILTER (z.c - (k.c - k.w) >= 15), 0)) AS nxt FROM fin f JOIN cum z ON z.doc_id = f.doc_id AND z.i = f.e JOIN cum k ON k.doc_id = f.doc_id AND k.i <= f.e AND k.i >= f.i GROUP BY f.doc_id, f.i, f.e),
+walk AS (SELECT doc_id, i, e, nxt, n, 1 AS chunk FROM nx WHERE i = 1 UNION ALL SELECT nx.doc_id, nx.i, nx.e, nx.nxt, nx.n, chunk + 1 FROM walk JOIN nx ON nx.doc_id = walk.doc_id AND nx.i = walk.nxt WHERE walk.e < walk.n),
+chunked AS (SELECT w.doc_id, chunk, CAST(w.i AS INT) AS start_pos, CAST(w.e AS INT) AS end_pos, string_agg(CASE WHEN c.i = w.i THEN '' WHEN c.p = pr.p THEN ' ' ELSE chr(10) || chr(10) END || c.x, '' ORDER BY c.i) AS text FROM walk w JOIN cum c ON c.doc_id = w.doc_id AND c.i BETWEEN w.i AND w.e LEFT JOIN cum pr ON pr.doc_id = c.doc_id AND pr.i = c.i - 1 GROUP BY ALL)"""
+
+
 def spans_of_runs(s, d):
     b = blocks(s, d)
     parts = F.split("text", " ")
     return b.select("doc_id", "pos", F.lit(1).alias("first_run"), F.lit(3).alias("last_run"), F.array_join(F.slice(parts, 2, 3), " ").alias("expected")).where(F.size(parts) > 1)
 
 
+SEARCH = f"""WITH RECURSIVE {FOUND.replace(NODES, LEAVES)}, pairs AS (SELECT DISTINCT doc_id * 2 AS query_id, doc_id, doc_id % 3 = 0 AS fb, doc_id % 5 = 0 AS done FROM documents UNION SELECT doc_id * 2 + 1, doc_id, false, false FROM documents),
+needed AS (SELECT query_id, doc_id FROM pairs p WHERE (fb AND NOT done) OR NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = p.query_id)),
+behind AS (SELECT needed.query_id, needed.doc_id, n.node_id, 1048576 AS step, row_number() OVER (PARTITION BY needed.query_id ORDER BY n.node_id) AS place FROM needed JOIN nodes n ON n.doc_id = needed.doc_id AND n.pos % 3 = 1),
+both_ways AS (SELECT f.query_id, f.doc_id, f.node_id, f.step_no AS step, CASE WHEN f.source = 'title' THEN n.pos ELSE f.place END AS place, f.source, f.text_override FROM found f JOIN nodes n ON n.doc_id = f.doc_id AND n.node_id = f.node_id UNION ALL SELECT query_id, doc_id, node_id, step, place, 'structure', NULL FROM behind),
+ordered AS (SELECT query_id, doc_id, node_id, min(step * 10000000 + place) AS o, list_sort(list_distinct(list(source))) AS sources, max(text_override) AS text_override FROM both_ways GROUP BY ALL),
+placed AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o, o.node_id) AS place, needed.query_id IS NOT NULL AS cut FROM ordered o LEFT JOIN needed ON needed.query_id = o.query_id),
+few AS (SELECT * FROM placed WHERE NOT cut OR place <= 5),
+kept AS (SELECT * FROM few m WHERE list_has_any(sources, ['title', 'region']) OR NOT EXISTS (SELECT 1 FROM few o WHERE o.query_id = m.query_id AND starts_with(o.node_id, m.node_id || '/'))),
+texts2 AS (SELECT k.*, l.title, l.pos, l.end_pos, coalesce(k.text_override, l.text) AS body, {tokens_sql("coalesce(k.text_override, l.text)")} AS tk FROM kept k JOIN leaves l ON l.doc_id = k.doc_id AND l.node_id = k.node_id),
+big AS (SELECT t.query_id, t.node_id, b.pos, {tokens_sql("b.text")} AS w0 FROM texts2 t JOIN blocks b ON b.doc_id = t.doc_id AND b.pos >= t.pos AND b.pos < t.end_pos WHERE tk > 120 AND t.text_override IS NULL),
+{fold_sql("big", "query_id, node_id", "pos", "w0", "120")},
+pieces AS (SELECT query_id, doc_id, place, 0 AS part, sources, title, pos, end_pos AS stop, tk FROM texts2 WHERE tk <= 120 OR text_override IS NOT NULL UNION ALL SELECT t.query_id, t.doc_id, t.place, f.batch, any_value(t.sources), any_value(t.title), min(f.pos), max(f.pos) + 1, sum(f.w) FROM texts2 t JOIN folded f ON f.query_id = t.query_id AND f.node_id = t.node_id GROUP BY t.query_id, t.doc_id, t.place, f.batch),
+units AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, part) AS unit FROM pieces),
+{fold_sql("units", "query_id", "unit", "tk", "120").replace("r AS", "r2 AS").replace("FROM r ", "FROM r2 r ").replace("JOIN r ", "JOIN r2 r ").replace("folded AS", "folded2 AS").replace("FROM folded f", "FROM folded2 f")},
+page AS (SELECT u.*, max(f.batch) OVER (PARTITION BY u.query_id) AS pages, f.batch FROM units u JOIN folded2 f ON f.query_id = u.query_id AND f.unit = u.unit),
+one AS (SELECT * FROM page WHERE batch = 1),
+facts AS (SELECT query_id, list_sort(list_distinct(flatten(list(sources)))) AS sources, CAST(sum(tk) AS BIGINT) AS used, max(pages) > 1 AS has_more FROM one GROUP BY query_id),
+cover AS (SELECT o.query_id, b.doc_id, b.pos, b.kind, b.text, min(o.unit) AS unit, arg_min(trim(o.title, ' '), o.unit) AS title FROM one o JOIN blocks b ON b.doc_id = o.doc_id AND b.pos >= o.pos AND b.pos < o.stop GROUP BY ALL),
+numbered2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY unit, pos) AS i FROM cover),
+ctx AS (SELECT query_id, string_agg('## 合同检索结果 ' || i || CASE WHEN title <> '' THEN chr(10) || '检索片段标题：' || title ELSE '' END || chr(10) || 'xml_anchor_type: ' || CASE WHEN kind = 'tbl' THEN 'table' ELSE 'paragraph' END || chr(10) || 'xml_anchor_id: path:body/' || CASE WHEN kind = 'tbl' THEN 'tbl' ELSE 'p' END || pos || chr(10) || '内容：' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM numbered2 GROUP BY query_id)
+SELECT p.query_id, p.doc_id, array_to_string(sources, ',') AS sources, coalesce(used, 0) AS used, coalesce(has_more, false) AS has_more, CASE WHEN has_more THEN 2 END AS next_part, coalesce(context, '未找到相关合同内容。') AS context FROM pairs p LEFT JOIN facts USING (query_id) LEFT JOIN ctx USING (query_id)"""
+
+
 Q = {
     "e01_keyword_search": (
         lambda s, d: E.keyword_search(leaves(s, d), keywords(s, d)),
         f"WITH {LEAVES}{KEYWORDS}, j AS (SELECT query_id, doc_id, node_id, keyword, contains(title, keyword) AS t, title, text FROM leaves JOIN keywords ON contains(title, keyword) OR (is_leaf AND contains(text, keyword))),"
         " k AS (SELECT *, CASE WHEN t THEN title ELSE text END AS src, CAST(CASE WHEN t THEN strpos(title, keyword) ELSE strpos(text, keyword) END AS INT) AS position FROM j)"
-        " SELECT query_id, doc_id, node_id, keyword, CASE WHEN t THEN 'title' ELSE 'text' END AS field, position, substr(src, greatest(1, position - 30), position + length(keyword) + 30 - greatest(1, position - 30)) AS snippet FROM k",
+        " SELECT query_id, doc_id, node_id, keyword, CASE WHEN t THEN 'title' ELSE 'text' END AS field, position, CASE WHEN t THEN title ELSE substr(src, greatest(1, position - 30), position + length(keyword) + 30 - greatest(1, position - 30)) END AS snippet FROM k",
+    ),
+    "e01_many_keywords": (
+        lambda s, d: E.keyword_search(leaves(s, d), keywords(s, d).withColumn("doc_id", F.when(F.col("query_id") % 3 == 0, F.col("query_id"))), few=3).select("query_id", "doc_id", "node_id", "field", "position"),
+        f"WITH {LEAVES}{KEYWORDS} SELECT query_id, doc_id, node_id, CASE WHEN contains(title, keyword) THEN 'title' ELSE 'text' END AS field, CAST(CASE WHEN contains(title, keyword) THEN strpos(title, keyword) ELSE strpos(text, keyword) END AS INT) AS position FROM leaves JOIN keywords ON (contains(title, keyword) OR (is_leaf AND contains(text, keyword))) AND (query_id % 3 <> 0 OR query_id = doc_id)",
     ),
     "e02_title_match": (lambda s, d: E.title_match(nodes(s, d), steps(s, d).where("method = 'title'")), f"WITH {NODES} {TITLE}"),
-    "e03_region_match": (lambda s, d: E.region_match(nodes(s, d), steps(s, d)), f"WITH {NODES} {REGION}"),
+    "e03_region_match": (lambda s, d: E.region_match(nodes(s, d), steps(s, d).where("method = 'region'")), f"WITH {NODES} {REGION}"),
+    "e03_prior_first": (
+        lambda s, d: E.region_match(nodes(s, d), steps(s, d).where("method = 'region'"), nodes(s, d).where("pos % 4 = 3").select("doc_id", (F.col("doc_id") * 2 + 1).alias("query_id"), "node_id", (-F.col("pos")).alias("place"))),
+        f"WITH {NODES}, r AS ({REGION}) SELECT r.query_id, r.doc_id, r.node_id, row_number() OVER (PARTITION BY r.doc_id ORDER BY CASE WHEN r.doc_id % 2 = 1 AND n.pos % 4 = 3 THEN -n.pos END NULLS LAST, n.pos) AS place FROM r JOIN nodes n ON n.doc_id = r.doc_id AND n.node_id = r.node_id",
+    ),
     "e04_rule_match": (
         lambda s, d: E.rule_match(blocks(s, d).select("doc_id", "pos", "text", F.lit("body").alias("node_id"), F.concat(F.lit("p"), F.col("pos").cast("string")).alias("anchor")), steps(s, d).where("step_no = 1")),
-        f"WITH {BLOCKS} SELECT doc_id * 2 AS query_id, doc_id, pos, 'body/match_p' || pos AS match_id FROM blocks WHERE text LIKE '%tion%' OR text LIKE '%eaux%' OR text LIKE '%keit%'",
+        f"WITH {BLOCKS} SELECT doc_id * 2 AS query_id, doc_id, 'body/match_p' || pos AS node_id, 'body' AS parent_id, pos, 'p' || pos AS anchor, text AS text_override FROM blocks WHERE text LIKE '%tion%' OR text LIKE '%eaux%' OR text LIKE '%keit%'",
     ),
     "e05_literal_terms": (
-        lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(E.literal_terms(F.concat(F.substring("text", 1, 10), F.lit(": "), F.substring("text", 11, 60)), F.array(F.lit("plan"), F.lit("x")), ["the"]), "|").alias("terms")),
-        None,
+        lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(E.literal_terms(F.concat(F.substring("text", 1, 10), F.lit(": "), F.substring("text", 11, 1 << 30)), F.array(F.lit(" plan"), F.lit("x")), ["the"]), "|").alias("terms")),
+        r"""WITH q AS (SELECT conv_id, turn, substr(text, 1, 10) || ': ' || substr(text, 11) AS q FROM conversations), l AS (SELECT conv_id, turn, list_transform(regexp_extract_all(q, '["“]([^"”]{2,30})["”]', 1), lambda x: trim(x, ' ')) AS quoted, list_transform(regexp_split_to_array(regexp_extract(q, '(?s)^[^:：]*[:：](.*)$', 1), '[、，,；;。]'), lambda x: regexp_replace(x, '^[ \t\r\n。；;：:]+|[ \t\r\n。；;：:]+$', '', 'g')) AS listed FROM q),
+        e AS (SELECT conv_id, turn, list_filter(list_distinct(list_concat(['plan'], quoted, list_filter(listed, lambda x: length(x) BETWEEN 2 AND 20 AND NOT contains(x, 'the')))), lambda x: x <> '') AS t FROM l)
+        SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_transform(t, lambda x: {'a': -length(x), 't': x})), lambda x: x.t), '|') AS terms FROM e""",
     ),
     "e06_join_match": (
-        lambda s, d: E.join_match(leaves(s, d), steps(s, d).where("step_no = 1"), E.region_match(nodes(s, d), steps(s, d))),
-        f"WITH {LEAVES}, u AS (SELECT query_id, doc_id, node_id, 0 AS rank FROM ({REGION}) UNION ALL SELECT doc_id * 2, doc_id, node_id, 1 FROM leaves WHERE is_leaf AND (title || chr(10) || text LIKE '%tion%' OR title || chr(10) || text LIKE '%eaux%' OR title || chr(10) || text LIKE '%keit%')) SELECT query_id, doc_id, node_id, min(rank) AS rank FROM u GROUP BY ALL",
+        lambda s, d: E.join_match(leaves(s, d), joins(s, d)),
+        f"WITH {LEAVES}, f AS (SELECT *, {SUMMARY} AS summary FROM leaves), u AS (SELECT doc_id AS query_id, doc_id, node_id, CASE WHEN doc_id % 2 = 0 AND node_id IN ('body/sec_001', 'body/sec_002') THEN 0 WHEN is_leaf AND (title || chr(10) || summary || chr(10) || text LIKE '%tion%' OR title || chr(10) || summary || chr(10) || text LIKE '%eaux%' OR title || chr(10) || summary || chr(10) || text LIKE '%keit%') THEN 1 END AS r, pos FROM f)"
+        " SELECT query_id, doc_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY r, CASE WHEN r = 0 THEN CASE WHEN node_id = 'body/sec_002' THEN 1 ELSE 2 END ELSE pos END, node_id) AS place FROM u WHERE r IS NOT NULL",
     ),
     "e08_execute_route": (found, f"WITH {FOUND} SELECT * FROM found"),
     "e09_normalize_route": (
@@ -157,25 +255,29 @@ Q = {
         "SELECT event_id AS query_id, event_type AS method, event_type || ',a' AS terms, event_type AS region FROM events",
     ),
     "e10_merge_matches": (
-        lambda s, d: E.merge_matches(found(s, d).where("source = 'title'"), found(s, d).where("source = 'title' AND doc_id % 2 = 0").withColumn("score", F.length("node_id") / 10.0)).select("query_id", "doc_id", "node_id", F.array_join("sources", ",").alias("sources"), "vector_score"),
-        f"WITH {FOUND} SELECT query_id, doc_id, node_id, CASE WHEN doc_id % 2 = 0 THEN 'structure,vector' ELSE 'structure' END AS sources, CASE WHEN doc_id % 2 = 0 THEN length(node_id) / 10.0::DOUBLE END AS vector_score FROM found WHERE source = 'title'",
+        lambda s, d: E.merge_matches(found(s, d).where("source = 'title'").withColumn("reason", F.col("text_override")), found(s, d).where("source = 'title' AND doc_id % 2 = 0").withColumn("score", F.length("node_id") / 10.0)).select("query_id", "doc_id", "node_id", F.array_join("sources", ",").alias("sources"), "vector_score", "structure_reason"),
+        f"WITH {FOUND} SELECT query_id, doc_id, node_id, CASE WHEN doc_id % 2 = 0 THEN 'structure,vector' ELSE 'structure' END AS sources, CASE WHEN doc_id % 2 = 0 THEN length(node_id) / 10.0::DOUBLE END AS vector_score, text_override AS structure_reason FROM found WHERE source = 'title'",
     ),
     "e11_merge_routed": (
-        lambda s, d: E.merge_routed(routed(s, d)).select("query_id", "doc_id", "node_id", "first_step", F.array_join("sources", ",").alias("sources"), "last_score"),
-        f"WITH {FOUND} SELECT doc_id AS query_id, doc_id, node_id, min(step_no) AS first_step, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(CASE WHEN step_no = 1 THEN length(node_id) / 10.0::DOUBLE END) AS last_score FROM found GROUP BY doc_id, node_id",
+        lambda s, d: E.merge_routed(routed(s, d)).select("query_id", "doc_id", "node_id", "first_step", F.array_join("sources", ",").alias("sources"), "last_score", "text_override"),
+        f"WITH {FOUND} SELECT doc_id AS query_id, doc_id, node_id, min(step_no) AS first_step, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(CASE WHEN step_no = 1 THEN length(node_id) / 10.0::DOUBLE END) AS last_score, CASE WHEN NOT bool_or(source = 'region') THEN max(text_override) END AS text_override FROM found GROUP BY doc_id, node_id",
     ),
     "e12_fallback_needed": (
         lambda s, d: E.fallback_needed(steps(s, d), found(s, d)),
         f"WITH {FOUND}, q AS (SELECT DISTINCT doc_id FROM documents), st AS (SELECT doc_id * 2 AS query_id, doc_id, doc_id % 3 = 0 AS fb, doc_id % 5 = 0 AS c FROM q UNION ALL SELECT doc_id * 2 + 1, doc_id, false, false FROM q) SELECT query_id, doc_id FROM st WHERE (fb AND NOT c) OR NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = st.query_id AND f.doc_id = st.doc_id)",
     ),
-    "e13_chunk_text": (lambda s, d: E.chunk_text(blocks(s, d), 128), f"WITH RECURSIVE {BLOCKS}, " + fold_sql("blocks", "doc_id", "pos", "tokens", "128") + " SELECT doc_id, batch AS chunk, min(pos) AS start_pos, max(pos) AS end_pos FROM folded GROUP BY ALL"),
+    "e13_chunk_text": (lambda s, d: E.chunk_text(table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), 60, 15), f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, start_pos, end_pos, text FROM chunked"),
     "e14_vector_entries": (
-        lambda s, d: E.vector_entries(materialized(s, d)).select("doc_id", "node_id", "text_hash"),
-        f"WITH {MATERIAL}, f AS (SELECT *, {SUMMARY} AS summary FROM material) SELECT doc_id, node_id, sha256(substr('title: ' || title || chr(10) || 'summary: ' || summary || chr(10) || 'text: ' || text, 1, 8000)) AS text_hash FROM f WHERE trim(text, ' ') <> ''",
+        lambda s, d: E.vector_entries(materialized(s, d), 60).select("doc_id", "node_id", "text_hash", "embedded"),
+        f"WITH {MATERIAL}, f AS (SELECT doc_id, node_id, text, '标题：' || title || chr(10) || '摘要：' || summary || chr(10) || '正文：' || text AS entry FROM (SELECT *, {SUMMARY} AS summary FROM material)) SELECT doc_id, node_id, sha256(entry) AS text_hash, {truncate_sql('entry', 60, 1)} AS embedded FROM f WHERE trim(text, ' ') <> ''",
     ),
     "e15_vector_search": (
         lambda s, d: E.vector_search(*vectors(s, d)).select("query_id", "node_id", F.round("score", 4).alias("score"), "rank"),
-        "WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id AS node_id, list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM q JOIN embeddings USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM p WHERE score >= 0) SELECT query_id, node_id, round(score, 4) AS score, rank FROM r WHERE rank <= 30",
+        "WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id AS node_id, list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM q JOIN embeddings USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM p) SELECT query_id, node_id, round(score, 4) AS score, rank FROM r WHERE rank <= 30 AND score >= 0",
+    ),
+    "e15_within_budget": (
+        lambda s, d: E.vector_search(vectors(s, d)[0], vectors(s, d)[1].withColumn("tokens", F.col("node_id") % 40 + 1), 20, 0.0, 150).select("query_id", "node_id", "rank"),
+        "WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query_id, vec_id AS node_id, list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM q JOIN embeddings USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM p), f AS (SELECT *, sum(node_id % 40 + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM r WHERE rank <= 20 AND score >= 0) SELECT query_id, node_id, rank FROM f WHERE used <= 150 OR i = 1",
     ),
     "e16_rerank_fit": (lambda s, d: E.rerank_fit(candidates(s, d), 100).select("query_id", "rank", "used"), f"WITH {BLOCKS}, c AS (SELECT doc_id AS query_id, pos AS rank, CAST(sum(tokens) OVER w AS BIGINT) AS used, row_number() OVER w AS i FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT query_id, rank, used FROM c WHERE used <= 100 OR i = 1"),
     "e17_apply_rerank": (
@@ -196,8 +298,8 @@ Q = {
         f"WITH {FOUND} SELECT DISTINCT query_id, doc_id, node_id FROM found WHERE doc_id % 4 <> 0",
     ),
     "e23_prefer_specific": (
-        lambda s, d: E.prefer_specific(found(s, d).where("source = 'region'").withColumn("source", F.lit("join"))).select("query_id", "doc_id", "node_id"),
-        f"WITH {FOUND} SELECT query_id, doc_id, node_id FROM found m WHERE source = 'region' AND NOT EXISTS (SELECT 1 FROM found o WHERE o.source = 'region' AND o.query_id = m.query_id AND o.doc_id = m.doc_id AND starts_with(o.node_id, m.node_id || '/'))",
+        lambda s, d: E.prefer_specific(found(s, d).where("source = 'region'").withColumn("sources", F.array(F.lit("join"), F.when(F.col("place") == 3, "title").otherwise("rule")))).select("query_id", "doc_id", "node_id"),
+        f"WITH {FOUND} SELECT query_id, doc_id, node_id FROM found m WHERE source = 'region' AND (place = 3 OR NOT EXISTS (SELECT 1 FROM found o WHERE o.source = 'region' AND o.query_id = m.query_id AND o.doc_id = m.doc_id AND starts_with(o.node_id, m.node_id || '/')))",
     ),
     "e24_content_units": (
         lambda s, d: E.content_units(
@@ -205,22 +307,31 @@ Q = {
             blocks(s, d).where("kind = 'tbl'").selectExpr("doc_id", "CAST(pos AS STRING) AS node_id", "explode(array(0, 1)) AS part", "text").withColumn("text", F.concat("text", F.col("part").cast("string"))), 40,
         ),
         f"WITH {BLOCKS}, p AS (SELECT *, CASE WHEN kind = 'tbl' AND pos % 2 = 0 AND pos % 10 <> 3 THEN 2 WHEN kind <> 'tbl' AND pos % 10 <> 3 AND tokens > 40 THEN greatest(1, CAST(ceil(n / 80.0) AS INT)) ELSE 1 END AS parts FROM blocks), q AS (SELECT *, unnest(range(0, parts)) AS part FROM p)"
-        " SELECT doc_id, CAST(pos AS VARCHAR) AS node_id, CAST(part AS INT) AS part, CASE WHEN pos % 10 = 3 THEN 'override' WHEN kind = 'tbl' AND pos % 2 = 0 THEN text || part WHEN kind = 'tbl' OR tokens <= 40 THEN text ELSE substr(text, part * 80 + 1, 80) END AS text FROM q",
+        " SELECT doc_id, CAST(pos AS VARCHAR) AS node_id, CAST(part + CASE WHEN pos % 10 <> 3 AND kind <> 'tbl' AND tokens > 40 THEN 1 ELSE 0 END AS INT) AS part, CASE WHEN pos % 10 = 3 THEN 'override' WHEN kind = 'tbl' AND pos % 2 = 0 THEN text || part WHEN kind = 'tbl' OR tokens <= 40 THEN text ELSE substr(text, part * 80 + 1, 80) END AS text FROM q",
     ),
-    "e29_structure_summary": (lambda s, d: E.structure_summary(nodes(s, d)), f"WITH {NODES} SELECT doc_id, count(*) AS nodes, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN sum(tokens) <= 6000 THEN 'compact' WHEN sum(tokens) <= 20000 THEN 'paged' ELSE 'filtered' END AS mode FROM nodes GROUP BY doc_id"),
+    "e29_structure_summary": (lambda s, d: E.structure_summary(nodes(s, d)).withColumn("tree", F.array_join(F.transform("tree", lambda x: F.concat_ws(":", x["node_id"], x["level"].cast("string"), x["tokens"].cast("string"))), ",")), f"WITH {NODES} SELECT doc_id, count(*) AS nodes, CAST(sum(tokens) AS BIGINT) AS tokens, string_agg(node_id || ':' || level || ':' || tokens, ',' ORDER BY pos) AS tree, CASE WHEN sum(tokens) <= 6000 THEN 'compact' WHEN sum(tokens) <= 20000 THEN 'paged' ELSE 'filtered' END AS mode FROM nodes GROUP BY doc_id"),
     "e25_chunk_oversized": (
         lambda s, d: E.chunk_oversized(blocks(s, d).withColumn("node_id", F.col("pos").cast("string")), 40),
-        f"WITH {BLOCKS}, p AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil(n / 80.0) AS INT)))) AS part FROM blocks) SELECT doc_id, CAST(pos AS VARCHAR) AS node_id, CAST(part AS INT) AS part, CASE WHEN tokens > 40 THEN substr(text, part * 80 + 1, 80) ELSE text END AS text FROM p WHERE tokens > 40 OR part = 0",
+        f"WITH {BLOCKS}, p AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil(n / 80.0) AS INT)))) AS part FROM blocks) SELECT doc_id, CAST(pos AS VARCHAR) AS node_id, CAST(CASE WHEN tokens > 40 THEN part + 1 ELSE 0 END AS INT) AS part, CASE WHEN tokens > 40 THEN substr(text, part * 80 + 1, 80) ELSE text END AS text FROM p WHERE tokens > 40 OR part = 0",
+    ),
+    "e25_by_anchors": (
+        lambda s, d: E.chunk_oversized(materialized(s, d).select("doc_id", "node_id", "pos", "end_pos", "text", "tokens"), 60, blocks(s, d).where("kind = 'p'")),
+        f"WITH RECURSIVE {MATERIAL}, big AS (SELECT m.doc_id, m.node_id, n.pos, n.end_pos, m.text, m.tokens FROM material m JOIN nodes n USING (doc_id, node_id)), it AS (SELECT big.doc_id, big.node_id, b.pos, b.text, {tokens_sql('b.text')} AS w0 FROM big JOIN blocks b ON b.doc_id = big.doc_id AND b.pos >= big.pos AND b.pos < big.end_pos AND b.kind = 'p' WHERE big.tokens > 60),"
+        + fold_sql("it", "doc_id, node_id", "pos", "w0", "60")
+        + " SELECT doc_id, node_id, 0 AS part, text, CAST(NULL AS INT) AS start_pos, CAST(NULL AS INT) AS end_pos FROM big WHERE tokens <= 60 UNION ALL SELECT f.doc_id, f.node_id, batch, string_agg(it.text, chr(10) ORDER BY f.pos), min(f.pos), max(f.pos) FROM folded f JOIN it ON it.doc_id = f.doc_id AND it.node_id = f.node_id AND it.pos = f.pos GROUP BY f.doc_id, f.node_id, batch",
     ),
     "e27_anchor_context": (
-        lambda s, d: E.anchor_context(nodes(s, d).where("level = 1").withColumn("query_id", F.col("doc_id")), blocks(s, d)),
-        f"WITH {NODES} , u AS (SELECT DISTINCT b.doc_id, b.pos, b.text FROM blocks b{COVER} WHERE n.level = 1) SELECT doc_id AS query_id, doc_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY pos) AS context FROM u GROUP BY doc_id",
+        lambda s, d: E.anchor_context(contexts(s, d), blocks(s, d), table(s, d, "documents").select("doc_id", F.col("doc_id").alias("query_id"))),
+        f"WITH {NODES}, u AS (SELECT doc_id, CASE WHEN node_id = 'body/sec_002' THEN 1 ELSE 2 END AS place, CASE WHEN node_id = 'body/sec_001' THEN '' ELSE trim(title, ' ') END AS title, pos, end_pos + 2 AS stop FROM nodes WHERE node_id IN ('body/sec_001', 'body/sec_002')),"
+        " c AS (SELECT b.doc_id, b.pos, b.kind, b.text, min(u.place) AS place, arg_min(u.title, u.place) AS title FROM blocks b JOIN u ON u.doc_id = b.doc_id AND b.pos >= u.pos AND b.pos < u.stop GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, pos) AS i FROM c),"
+        " x AS (SELECT doc_id, string_agg('## 合同检索结果 ' || i || CASE WHEN title <> '' THEN chr(10) || '检索片段标题：' || title ELSE '' END || chr(10) || 'xml_anchor_type: ' || CASE WHEN kind = 'tbl' THEN 'table' ELSE 'paragraph' END || chr(10) || 'xml_anchor_id: path:body/' || CASE WHEN kind = 'tbl' THEN 'tbl' ELSE 'p' END || pos || chr(10) || '内容：' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM i GROUP BY doc_id)"
+        " SELECT d.doc_id AS query_id, d.doc_id, coalesce(context, '未找到相关合同内容。') AS context FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN x USING (doc_id)",
     ),
     "e28_node_lookup": (
         lambda s, d: E.node_lookup(table(s, d, "documents").select("doc_id", F.lit("body/sec_002").alias("node_id")).distinct(), nodes(s, d)).select("doc_id", "title", "found"),
         f"WITH {NODES}, w AS (SELECT DISTINCT doc_id FROM documents) SELECT w.doc_id, n.title, n.title IS NOT NULL AS found FROM w LEFT JOIN nodes n ON n.doc_id = w.doc_id AND n.node_id = 'body/sec_002'",
     ),
-    "e30_search": (lambda s, d: E.search(leaves(s, d), steps(s, d), blocks(s, d), 300), None),
+    "e30_search": (lambda s, d: E.search(leaves(s, d), steps(s, d), anchored(s, d), structured(s, d), budget=120).withColumn("sources", F.array_join("sources", ",")), SEARCH),
     "g01_normalize": (lambda s, d: table(s, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text")), f"SELECT doc_id, {NORM.format('text')} AS text FROM documents"),
     "g02_ngrams": (
         lambda s, d: G.gram_counts(table(s, d, "benchmark").select("item_id", T.normalize_text(F.col("text")).alias("text")), ["item_id"]),
@@ -231,10 +342,17 @@ Q = {
         lambda s, d: G.anchor_hit(blocks(s, d).select(F.concat_ws("-", "doc_id", "pos").alias("case_id"), F.when(F.col("pos") % 3 != 0, F.concat(F.lit("x anchor="), "kind", F.lit("_"), (F.col("pos") + 2).cast("string"))).otherwise(F.lit("none")).alias("notes")), blocks(s, d).select(F.concat_ws("-", "doc_id", "pos").alias("case_id"), F.lit(1).alias("rank"), F.concat(F.lit("p_"), F.col("pos").cast("string")).alias("start_anchor"), F.concat(F.lit("p_"), (F.col("pos") + F.col("pos") % 5).cast("string")).alias("end_anchor"))).select("case_id", "rank", "anchor_hit"),
         f"WITH {BLOCKS} SELECT doc_id || '-' || pos AS case_id, 1 AS rank, pos % 3 <> 0 AND kind = 'p' AND pos % 5 >= 2 AS anchor_hit FROM blocks",
     ),
-    "g05_score_at_k": (lambda s, d: G.score_at_k(hits(s, d)), f"WITH {BLOCKS} SELECT doc_id AS case_id, " + ", ".join(f"max(CASE WHEN pos <= {k} AND n % 4 = 0 THEN 1 ELSE 0 END) AS hit_at_{k}" for k in (1, 3, 5)) + " FROM blocks GROUP BY doc_id"),
+    "g05_score_at_k": (lambda s, d: G.score_at_k(noted(s, d), ranked(s, d)).drop("text", "notes"), f"WITH {SCORED} SELECT * FROM scored"),
     "g06_case_metrics": (lambda s, d: G.case_metrics(case_rows(s, d)), f"WITH {CASES} SELECT * FROM cases"),
-    "g07_summary": (lambda s, d: G.summary_metrics(G.case_metrics(case_rows(s, d))), f"WITH {CASES} SELECT count(*) AS cases, avg(CASE WHEN status = 'PASS' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS strict, avg(recall) AS macro, sum(round(recall * n)) / sum(n) AS micro FROM cases WHERE n > 0"),
-    "g09_contract_metrics": (lambda s, d: G.contract_metrics(table(s, d, "events"), "event_type", "value"), "SELECT event_type, count(*) AS n, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, max(value) AS max FROM events GROUP BY event_type"),
+    "g07_summary": (
+        lambda s, d: G.summary_metrics(case_rows(s, d)),
+        f"WITH {CASES}, k AS (SELECT count(*) AS cases, count(*) FILTER (status IN ('PASS', 'FAIL')) AS positive_cases, count(*) FILTER (status = 'SKIP') AS negative_cases, count(*) FILTER (status = 'ERROR') AS failed_cases, round(coalesce(CAST(count(*) FILTER (status = 'PASS') AS DOUBLE) / nullif(count(*) FILTER (status IN ('PASS', 'FAIL')), 0), 0), 6) AS strict, round(coalesce(avg(recall) FILTER (status IN ('PASS', 'FAIL')), 0), 6) AS macro FROM cases)"
+        " SELECT k.*, r.* FROM k, (SELECT count(*) AS evidence, round(coalesce(avg(hit), 0), 6) AS micro, round(coalesce(avg(hit_at_1), 0), 6) AS micro_at_1, round(coalesce(avg(hit_at_3), 0), 6) AS micro_at_3, round(coalesce(avg(hit_at_5), 0), 6) AS micro_at_5 FROM rows WHERE label = 1 AND NOT bad) r",
+    ),
+    "g09_contract_metrics": (
+        lambda s, d: G.contract_metrics(table(s, d, "events"), "event_type", "value", table(s, d, "events").where("event_type <> 'view'").groupBy("event_type").agg(F.max("event_id").cast("double").alias("build_seconds"))),
+        "SELECT event_type, count(*) AS n, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(max(value), 3) AS max, CASE WHEN event_type <> 'view' THEN CAST(max(event_id) AS DOUBLE) END AS build_seconds, event_type <> 'view' AS index_built FROM events GROUP BY event_type",
+    ),
     "g10_unique_nodes": (
         lambda s, d: G.unique_nodes(table(s, d, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_partkey").alias("node_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank")).groupBy("case_id", "node_id", "rank").count().drop("count")),
         "SELECT l_suppkey AS case_id, l_partkey AS node_id, min(l_orderkey * 10 + l_linenumber) AS rank FROM lineitem GROUP BY ALL",
@@ -243,6 +361,10 @@ Q = {
         lambda s, d: G.select_ranges(table(s, d, "orders").select(F.col("o_orderkey").alias("row_number")), table(s, d, "nation").select((F.col("n_nationkey") * 50).alias("first"), (F.col("n_nationkey") * 50 + F.col("n_nationkey") * 3).alias("last"))),
         "SELECT o_orderkey AS row_number FROM orders WHERE EXISTS (SELECT 1 FROM nation WHERE o_orderkey BETWEEN n_nationkey * 50 AND n_nationkey * 50 + n_nationkey * 3)",
     ),
+    "g11_range_errors": (
+        lambda s, d: G.range_errors(table(s, d, "nation").select((F.col("n_nationkey") * 50 - 20).alias("first"), (F.col("n_nationkey") * 47).alias("last")), 900),
+        "SELECT n_nationkey * 50 - 20 AS first, n_nationkey * 47 AS last FROM nation WHERE n_nationkey * 50 - 20 < 1 OR n_nationkey * 47 < n_nationkey * 50 - 20 OR n_nationkey * 47 > 900",
+    ),
     "g12_limit_cases": (
         lambda s, d: G.limit_cases(table(s, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("row_number")), 20),
         "SELECT o_custkey AS case_id, o_orderkey AS row_number FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY min(o_orderkey) LIMIT 20)",
