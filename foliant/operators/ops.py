@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.sources.scratch import cut
+
 ACTIVE = ("pending", "queued", "running")
 
 
@@ -48,8 +48,15 @@ def _seconds(name: str) -> Column:
     return F.col(name).cast("timestamp").cast("double")
 
 
-def heartbeat_gaps(beats: DataFrame, timeout: float) -> DataFrame:
-    """worker, ts, gap: beats that come more than timeout seconds after the one before."""
+def accepted_beats(beats: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Beats (worker, task_id, ...) of the worker that owns an active task (task_id, owner, status)."""
+    own = active_tasks(tasks).select("task_id", F.col("owner").alias("worker"))
+    return beats.join(own, ["task_id", "worker"], "left_semi")
+
+
+def heartbeat_gaps(beats: DataFrame, timeout: float, tasks: DataFrame | None = None) -> DataFrame:
+    """worker, event_id, gap: beats that come more than timeout seconds after the one before; with tasks only accepted_beats() count. As a stream: streaming.events.heartbeat_alerts()."""
+    beats = beats if tasks is None else accepted_beats(beats, tasks)
     w = Window.partitionBy("worker").orderBy("ts", "event_id")
     gap = _seconds("ts") - F.lag(_seconds("ts")).over(w)
     return beats.withColumn("gap", F.round(gap, 3)).where(F.col("gap") > timeout).select("worker", "event_id", "gap")
@@ -71,22 +78,42 @@ def lease_concurrency(calls: DataFrame, ttl: float = 600.0) -> DataFrame:
     return edges.withColumn("_n", F.sum("d").over(w)).groupBy("kind").agg(F.max("_n").alias("most"))
 
 
-def span_tree(runs: DataFrame, depth: int = 12) -> DataFrame:
-    """run_id, depth, total, self: depth below the root, and the duration less that of direct children."""
-    children = runs.where("parent_id is not null").groupBy(F.col("parent_id").alias("run_id")).agg(F.sum("duration").alias("_in"))
-    level = runs.where("parent_id is null").select("run_id", F.lit(0).alias("depth"))
-    found = [level]
-    links = runs.where("parent_id is not null").select("run_id", "parent_id")
-    for k in range(1, depth + 1):
-        level = links.join(level.select(F.col("run_id").alias("parent_id")), "parent_id").select("run_id", F.lit(k).alias("depth"))
-        found.append(level)
-    every = reduce(DataFrame.unionByName, found)
-    return runs.join(every, "run_id", "left").join(children, "run_id", "left").select("run_id", "depth", F.round("duration", 3).alias("total"), F.round(F.col("duration") - F.coalesce("_in", F.lit(0.0)), 3).alias("self"))
-
+def span_tree(runs: DataFrame) -> DataFrame:
+    """run_id, depth, total, self, failed: depth below the root, the duration less that of direct children, and whether the run has an error.
 
-def phase_durations(steps: DataFrame, actions: list[str]) -> DataFrame:
-    """key, action, seconds, tokens over the summary actions only."""
-    return steps.where(F.col("action").isin(actions)).groupBy("key", "action").agg(F.round(F.sum("seconds"), 2).alias("seconds"), F.count("*").alias("n"))
+    Every run points to the one above it; each round doubles how far pointers
+    go, so a depth of any size takes as many rounds as it has binary digits.
+    Runs below a parent that isn't there, and those in a cycle, have a null
+    depth.
+    """
+    children = runs.where("parent_id is not null").groupBy(F.col("parent_id").alias("run_id")).agg(F.sum("duration").alias("_in"))
+    up = cut(runs.select("run_id", F.col("parent_id").alias("_up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")), "depths")
+    while True:
+        on = up.select(F.col("run_id").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_more"), F.lit(True).alias("_there"))
+        further = up.join(on, "_up", "left")
+        # a pointer to nothing ends without a depth
+        lost = F.col("_up").isNotNull() & F.col("_there").isNull()
+        up_next = cut(further.select("run_id", F.when(~lost, F.col("_next")).alias("_up"), F.when(F.col("_up").isNull(), F.col("depth")).when(~lost, F.col("depth") + F.col("_more")).alias("depth")), "depths")
+        open_before, open_now = (x.where("_up IS NOT NULL").count() for x in (up, up_next))
+        up = up_next
+        if open_now in (0, open_before) and (open_now == 0 or up.agg(F.max("depth")).first()[0] > up.count()):
+            break
+    depths = up.select("run_id", F.when(F.col("_up").isNull(), F.col("depth")).alias("depth"))
+    error = F.coalesce("error", F.lit("")) != "" if "error" in runs.columns else F.lit(False)
+    rows = runs.withColumn("failed", error).join(depths, "run_id", "left").join(children, "run_id", "left")
+    return rows.select("run_id", "depth", F.round("duration", 3).alias("total"), F.round(F.col("duration") - F.coalesce("_in", F.lit(0.0)), 3).alias("self"), "failed")
+
+
+# Actions that make up a workflow's main phases.
+SUMMARY_ACTIONS = ["mcp_connect", "ingest_file(criteria)", "ingest_file(contract)", "contract_build_index", "design_tasks", "execute_criteria_complete", "compile_summary_comment", "generate_docx_report", "mcp_cleanup"]
+
+
+def phase_durations(steps: DataFrame, actions: list[str] | None = None) -> DataFrame:
+    """key, phase, seconds, tokens, n over the summary actions, and a row with a null phase for each key's total; steps (key, phase, action, seconds, tokens) without a phase are left out."""
+    kept = steps.where(F.col("action").isin(actions or SUMMARY_ACTIONS) & (F.coalesce("phase", F.lit("")) != ""))
+    each = kept.groupBy("key", "phase").agg(F.round(F.sum("seconds"), 2).alias("seconds"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.count("*").alias("n"))
+    whole = each.groupBy("key").agg(F.round(F.sum("seconds"), 2).alias("seconds"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n"))
+    return each.unionByName(whole.withColumn("phase", F.lit(None).cast("string")))
 
 
 def stage_timings(records: DataFrame) -> DataFrame:
@@ -119,14 +146,23 @@ def tenant_summary(users: DataFrame) -> DataFrame:
 
 def size_label(n: Column) -> Column:
     step = lambda d: F.format_string("%.1f", n / d)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(step(1024.0), F.lit(" KB"))).when(n < 1 << 30, F.concat(step(float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(step(float(1 << 30)), F.lit(" GB")))
+    return F.when(n.isNull(), "-").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(step(1024.0), F.lit(" KB"))).when(n < 1 << 30, F.concat(step(float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(step(float(1 << 30)), F.lit(" GB")))
 
 
 def user_history(history: DataFrame, files: DataFrame, k: int = 20) -> DataFrame:
-    """username, task_id, size, place: each user's newest k reports that exist."""
+    """username, task_id, contract_name, report_name, contract_size, report_size, criteria_label, place: each user's newest k reports that exist.
+
+    history: username, task_id, created_at, and contract_original_name,
+    contract_stored_name, contract_bytes, report_name, criteria_source,
+    criteria_name if it has them; files: task_id, bytes of stored reports.
+    """
+    have = lambda x, kind="string": F.col(x) if x in history.columns else F.lit(None).cast(kind)
     kept = history.join(files.select("task_id", "bytes"), "task_id")
     w = Window.partitionBy("username").orderBy(F.col("created_at").desc(), "task_id")
-    return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("username", "task_id", size_label(F.col("bytes")).alias("size"), "place")
+    top = kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    label = F.when(have("criteria_source") == "uploaded", F.concat(F.lit("Uploaded: "), F.coalesce(have("criteria_name"), F.lit("-")))).otherwise("Default criteria")
+    contract = F.coalesce(have("contract_original_name"), have("contract_stored_name"), F.lit("-"))
+    return top.select("username", "task_id", contract.alias("contract_name"), F.coalesce(have("report_name"), F.lit("-")).alias("report_name"), size_label(have("contract_bytes", "bigint")).alias("contract_size"), size_label(F.col("bytes")).alias("report_size"), label.alias("criteria_label"), "place")
 
 
 def latest_task(tasks: DataFrame, logins: DataFrame) -> DataFrame:
@@ -165,21 +201,47 @@ def redact(fields: Column) -> Column:
 
 
 def conversation_flatten(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, part_no, part: a row for each line of a message; messages without text keep one."""
-    return messages.select("conv_id", "turn", "role", F.posexplode_outer(F.split("text", "\n")).alias("part_no", "part"))
+    """conv_id, turn, role, content, call_no, tool_call_id, tool_name, arguments: a row for each message, and one for each further tool call of an assistant.
+
+    messages: conv_id, turn, role, content (a string, or any other type, which
+    is written as JSON), and tool_calls (array of struct id, name, arguments)
+    and tool_call_id if they have them. Calls count for assistants, ids of
+    answered calls for tools.
+    """
+    content = F.col("content") if dict(messages.dtypes)["content"] == "string" else F.to_json("content")
+    calls = F.when(F.col("role") == "assistant", F.col("tool_calls")) if "tool_calls" in messages.columns else F.lit(None).cast("array<struct<id:string,name:string,arguments:string>>")
+    answered = F.when(F.col("role") == "tool", F.col("tool_call_id")) if "tool_call_id" in messages.columns else F.lit(None).cast("string")
+    rows = messages.select("conv_id", "turn", "role", content.alias("content"), answered.alias("_answered"), F.posexplode_outer(calls).alias("call_no", "_c"))
+    return rows.select("conv_id", "turn", "role", "content", "call_no", F.coalesce("_c.id", "_answered").alias("tool_call_id"), F.col("_c.name").alias("tool_name"), F.col("_c.arguments").alias("arguments"))
 
 
 def context_usage(messages: DataFrame, limit: int = 8000, rate: float = 0.3) -> DataFrame:
     """conv_id, messages, chars, tokens, over: estimated use of the context."""
-    out = messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
-    return out.withColumn("tokens", F.round(F.col("chars") * rate, 1)).withColumn("over", F.col("tokens") > limit)
+    out = messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    return out.withColumn("tokens", F.floor(F.col("chars") * rate)).withColumn("over", F.col("tokens") > limit)
+
+
+def truncate_result(text: Column, most: int, rate: float = 0.3) -> Column:
+    """A result cut where the estimate reaches most tokens, with a note."""
+    return F.when(F.floor(F.length(text) * rate) <= most, text).otherwise(F.concat(F.substring(text, 1, int(most / rate)), F.lit("\n\n[... Content truncated ...]")))
+
+
+def preview(text: Column, size: int) -> Column:
+    """The first size characters, and how many are left out."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size), F.lit("...[truncated "), (F.length(text) - size).cast("string"), F.lit(" chars]")))
 
 
 def call_payload_stats(messages: DataFrame, query: int = 200, answer: int = 500) -> DataFrame:
-    """conv_id, messages, input_chars, query, answer: of each call its size and previews of the first and last message."""
-    out = messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("input_chars"), F.min_by("text", "turn").alias("_q"), F.max_by("text", "turn").alias("_a"))
-    cutoff = F.when(F.length("_a") > answer, F.concat(F.substring("_a", 1, answer), F.lit("... ["), F.length("_a").cast("string"), F.lit(" chars]"))).otherwise(F.col("_a"))
-    return out.select("conv_id", "messages", "input_chars", F.substring("_q", 1, query).alias("query"), cutoff.alias("answer"))
+    """conv_id, message_count, input_chars, tool_count, tool_names, query_preview, output_chars, output_preview: of each call its size, its tools, and previews of the first and last message.
+
+    messages: conv_id, turn, text, and tool (a name or null) if they have it.
+    """
+    tool = F.col("tool") if "tool" in messages.columns else F.lit(None).cast("string")
+    rows = messages.withColumns({"_tool": F.when(tool != "", tool), "text": F.coalesce("text", F.lit(""))})
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("_tool").isNotNull(), F.struct("turn", "_tool")))), lambda x: x["_tool"])
+    out = rows.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.sum(F.length("text")).alias("input_chars"), F.array_distinct(names).alias("tool_names"), F.min_by("text", "turn").alias("_q"), F.max_by("text", "turn").alias("_a"))
+    return out.select("conv_id", "message_count", "input_chars", F.size("tool_names").alias("tool_count"), "tool_names", preview(F.col("_q"), query).alias("query_preview"), F.length("_a").alias("output_chars"), preview(F.col("_a"), answer).alias("output_preview"))
 
 
 def task_listing(tasks: DataFrame, files: DataFrame) -> DataFrame:
@@ -189,12 +251,22 @@ def task_listing(tasks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def token_usage(calls: DataFrame) -> DataFrame:
-    """task, agent, calls, prompt, completion with subtotals and the total."""
-    return calls.rollup("task", "agent").agg(F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
+    """task, agent, calls, prompt, completion, total, tool_calls, finish_reasons with subtotals and the total.
+
+    calls: task, agent, prompt, completion, and total, tool_calls and
+    finish_reason if they have them; a missing total is the sum of both.
+    """
+    both = F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0))
+    total = F.coalesce(F.col("total"), both) if "total" in calls.columns else both
+    tools = F.coalesce("tool_calls", F.lit(0)) if "tool_calls" in calls.columns else F.lit(0)
+    reason = F.col("finish_reason") if "finish_reason" in calls.columns else F.lit(None).cast("string")
+    rows = calls.select("task", "agent", "prompt", "completion", total.alias("_total"), tools.alias("_tools"), reason.alias("_reason"))
+    return rows.rollup("task", "agent").agg(F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum("_total").alias("total"), F.sum("_tools").alias("tool_calls"), F.array_sort(F.collect_set("_reason")).alias("finish_reasons"))
 
 
 def log_tasks(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """username, task_id, day, has_log, place (newest first)."""
+    """username, task_id, day, updated_at, has_log, place (newest update first): tasks (username, task_id, created_at, updated_at) and whether they have an event log (files: task_id)."""
     have = files.select("task_id").distinct().withColumn("_f", F.lit(True))
-    w = Window.partitionBy("username").orderBy(F.col("created_at").desc(), "task_id")
-    return tasks.join(have, "task_id", "left").select("username", "task_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.col("_f").isNotNull().alias("has_log"), F.row_number().over(w).alias("place"))
+    w = Window.partitionBy("username").orderBy(F.col("updated_at").desc_nulls_last(), "task_id")
+    day = F.substring(F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("")), 1, 10)
+    return tasks.join(have, "task_id", "left").select("username", "task_id", day.alias("day"), "updated_at", F.col("_f").isNotNull().alias("has_log"), F.row_number().over(w).alias("place"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.text import SPACE, nfkc, strip
+
 
 def extract_json(raw: Column) -> Column:
     """The object in a response: of its first code fence, else from the first { to the last }; null if none parses.
@@ -24,7 +26,8 @@ def extract_json(raw: Column) -> Column:
 def validate_review(rows: DataFrame) -> DataFrame:
     """criterion rows' violations, one each: id, rule.
 
-    rows: id, status, comment, reason, n_issues, longest_issue.
+    rows: id, status, comment, reason, n_issues, longest_issue, and fields (the
+    names that a row came with) if they are to be checked.
     """
     n = F.coalesce("n_issues", F.lit(0))
     rules = [
@@ -37,14 +40,50 @@ def validate_review(rows: DataFrame) -> DataFrame:
         ("reason_missing", (F.col("status") == "not_applicable") & (F.trim(F.coalesce("reason", F.lit(""))) == "")),
         ("not_applicable_with_issues", (F.col("status") == "not_applicable") & (n > 0)),
     ]
+    if "fields" in rows.columns:
+        rules.append(("unknown_field", F.size(F.array_except("fields", F.array(*map(F.lit, REVIEW_FIELDS)))) > 0))
+    return _broken(rows, rules)
+
+
+# Fields of a review's answer.
+REVIEW_FIELDS = ["status", "applicability_reason", "issues"]
+
+
+def _broken(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """id, rule of each rule that a row breaks."""
     broken = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in rules)))
     return rows.select("id", F.explode(broken).alias("rule"))
 
 
+def _blank(c: Column) -> Column:
+    return strip(F.coalesce(c, F.lit(""))) == ""
+
+
+def validate_plan(plans: DataFrame, criteria: DataFrame) -> DataFrame:
+    """id, rule: what is wrong with plans (id) and their criteria (id, criterion_id, section, criterion, check_points).
+
+    A plan has at least one criterion; each has an id, a section, a text and at
+    least one check point, none of them blank.
+    """
+    empty = lambda name: F.coalesce(name, F.lit("")) == ""
+    points = F.coalesce("check_points", F.array().cast("array<string>"))
+    rules = [(f"{x}_missing", empty(x)) for x in ("criterion_id", "section", "criterion")]
+    rules += [("check_points_missing", F.size(points) == 0), ("check_point_blank", F.exists(points, _blank))]
+    none = plans.select("id").join(criteria.select("id"), "id", "left_anti").select("id", F.lit("criteria_missing").alias("rule"))
+    return _broken(criteria, rules).unionByName(none)
+
+
+def validate_reflection(rows: DataFrame) -> DataFrame:
+    """id, rule of reflections (id, status) that neither pass nor reject."""
+    return _broken(rows, [("status", ~F.coalesce(F.col("status").isin("PASS", "REJECT"), F.lit(False)))])
+
+
 def validate_summary(rows: DataFrame, most: int = 200, attempts: int = 3) -> DataFrame:
-    """rows (id, parts array, attempt) with valid: together at most most characters, whatever their length on the last attempt."""
-    total = F.aggregate(F.transform("parts", lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("valid", (total <= most) | (F.col("attempt") >= attempts))
+    """rows (id, overall, parts array, attempt) with valid: no blank part, and together at most most characters, whatever their length behind the attempts that ask for it."""
+    parts = F.coalesce("parts", F.array().cast("array<string>"))
+    overall = F.length(F.coalesce("overall", F.lit(""))) if "overall" in rows.columns else F.lit(0)
+    total = F.aggregate(F.transform(parts, lambda x: F.length(x)), overall, lambda a, x: a + x)
+    return rows.withColumn("valid", ((total <= most) | (F.col("attempt") >= attempts)) & ~F.exists(parts, _blank))
 
 
 def pending(plan: DataFrame, outputs: DataFrame, errors: DataFrame, limit: int = 3) -> DataFrame:
@@ -54,17 +93,43 @@ def pending(plan: DataFrame, outputs: DataFrame, errors: DataFrame, limit: int =
     return rest.withColumn("attempt", F.coalesce("_n", F.lit(0)) + 1).where(F.col("attempt") <= limit).select("task_id", "criterion_id", "attempt")
 
 
+# What a criterion's id may be made of.
+CRITERION_ID = r"^[A-Za-z0-9_.-]+$"
+
+
 def latest_state(states: DataFrame) -> DataFrame:
-    """task_id, criterion_id, the last payload of inputs and outputs, number of errors and the last one."""
-    last = lambda kind: F.max_by("payload", F.when(F.col("kind") == kind, F.struct("saved_at", "attempt")))
-    return states.groupBy("task_id", "criterion_id").agg(last("input").alias("input"), last("output").alias("output"), F.count(F.when(F.col("kind") == "error", 1)).alias("errors"), last("error").alias("latest_error"))
+    """task_id, criterion_id, the last payload of inputs and outputs, number of errors, all of them in order, and the last one.
+
+    Ids are trimmed; rows with another id than CRITERION_ID allows are left out, see invalid_ids().
+    """
+    rows = states.withColumn("criterion_id", strip(F.col("criterion_id").cast("string"))).where(F.col("criterion_id").rlike(CRITERION_ID))
+    at = F.struct("saved_at", "attempt")
+    last = lambda kind: F.max_by("payload", F.when(F.col("kind") == kind, at))
+    history = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "error", F.struct("saved_at", "attempt", "payload")))), lambda x: x["payload"])
+    return rows.groupBy("task_id", "criterion_id").agg(last("input").alias("input"), last("output").alias("output"), F.count(F.when(F.col("kind") == "error", 1)).alias("errors"), history.alias("error_history"), last("error").alias("latest_error"))
+
+
+def invalid_ids(states: DataFrame) -> DataFrame:
+    """task_id, criterion_id of rows whose criterion id is blank or has other characters."""
+    return states.where(~F.coalesce(strip(F.col("criterion_id").cast("string")).rlike(CRITERION_ID), F.lit(False))).select("task_id", "criterion_id").distinct()
 
 
 def combine_results(plan: DataFrame, results: DataFrame) -> DataFrame:
-    """task_id, statuses in the order of the plan (missing: ERROR), failed, tokens."""
-    rows = plan.join(results, ["task_id", "criterion_id"], "left").withColumn("status", F.coalesce("status", F.lit("ERROR")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("criterion_id", "status"))), lambda x: x["status"])
-    return rows.groupBy("task_id").agg(F.array_join(ordered, ",").alias("statuses"), F.max(F.col("status") == "ERROR").alias("failed"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
+    """task_id, statuses in the order of the plan (missing: ERROR), failed, error_message, tokens.
+
+    plan: task_id, criterion_id, and place if the order isn't that of ids.
+    results: task_id, criterion_id, status, tokens, and error if they have any;
+    the message joins those of failed criteria, by id.
+    """
+    place = F.col("place") if "place" in plan.columns else F.col("criterion_id")
+    rows = plan.join(results if "error" in results.columns else results.withColumn("error", F.lit(None).cast("string")), ["task_id", "criterion_id"], "left")
+    status = {"compliant": "COMPLIANT", "issues_found": "ISSUES_FOUND", "not_applicable": "NOT_APPLICABLE"}
+    named = F.coalesce(*(F.when(F.col("status") == k, v) for k, v in status.items()), F.col("status"), F.lit("ERROR"))
+    rows = rows.withColumns({"_place": place, "status": named})
+    ordered = lambda x, sep: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["t"]), sep)
+    failed = F.col("status") == "ERROR"
+    message = F.when(failed, F.struct("_place", F.concat(F.col("criterion_id").cast("string"), F.lit(": "), F.coalesce("error", F.lit("missing"))).alias("t")))
+    return rows.groupBy("task_id").agg(ordered(F.struct("_place", F.col("status").alias("t")), ",").alias("statuses"), F.max(failed).alias("failed"), ordered(message, "; ").alias("error_message"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
 
 
 def anchor_quotes(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -99,25 +164,38 @@ def run_ranges(spans: DataFrame, runs: DataFrame) -> DataFrame:
     return hit.select("doc_id", "pos", "run_no", (F.greatest("_s", "_a") - F.col("_a")).alias("start"), (F.least("_e", "_z") - F.col("_a")).alias("end"))
 
 
-def resolve_table_evidence(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """quotes (doc_id, table_id, quote_id, quote, source_ref) with status and resolved.
+def _plain(c: Column) -> Column:
+    """Compatibility form without white space."""
+    return F.regexp_replace(nfkc(c), SPACE, "")
+
 
-    With a ref: not_found, source_mismatch or matched. Without: places of the
-    quote (exact, or without white space) are counted; none is not_found,
-    several are ambiguous, one is matched.
+def resolve_table_evidence(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """quotes (doc_id, table_id, quote_id, quote, source_ref) with status, resolved, matched_text and candidates.
+
+    sources: doc_id, table_id, source_ref, text (see source_refs()). A quote
+    matches a paragraph that holds it, or equals it in compatibility form
+    without white space; then the paragraph's own text is what matched. With a
+    ref: not_found, source_mismatch or matched. Without: all paragraphs that
+    hold it word by word, or, if none does, all that equal it; none is
+    not_found, several are ambiguous, one is matched.
     """
-    flat = lambda c: F.regexp_replace(c, r"\s+", "")
-    q = quotes.withColumn("_t", flat(F.col("quote")))
-    s = sources.select("doc_id", "table_id", F.col("source_ref").alias("_ref"), flat(F.col("text")).alias("_s"))
-    pairs = q.join(s, ["doc_id", "table_id"], "left").withColumns({"_hit": F.contains("_s", "_t") & (F.col("_t") != ""), "_own": F.col("_ref") == F.col("source_ref")})
+    q = quotes.withColumn("_q", strip(F.col("quote"))).withColumn("_n", _plain(F.col("_q")))
+    s = sources.select("doc_id", "table_id", F.col("source_ref").alias("_ref"), F.col("text").alias("_s"), _plain(F.col("text")).alias("_m"))
+    exact = (F.col("_q") != "") & F.contains("_s", "_q")
+    equal = (F.col("_n") != "") & (F.col("_n") == F.col("_m"))
+    pairs = q.join(s, ["doc_id", "table_id"], "left").withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_equal": F.coalesce(equal, F.lit(False)), "_own": F.col("_ref") == F.col("source_ref")})
+    found = F.struct("_ref", F.when(F.col("_exact"), F.col("_q")).otherwise(F.col("_s")).alias("t"))
     each = pairs.groupBy("doc_id", "table_id", "quote_id", "source_ref").agg(
-        F.max("_own").alias("_exists"), F.max(F.coalesce(F.col("_own") & F.col("_hit"), F.lit(False))).alias("_fits"), F.array_sort(F.collect_set(F.when(F.col("_hit"), F.col("_ref")))).alias("candidates")
-    )
-    n = F.size("candidates")
-    status = F.when(F.col("source_ref").isNotNull(), F.when(~F.coalesce("_exists", F.lit(False)), "not_found").when(~F.col("_fits"), "source_mismatch").otherwise("matched"))
+        F.max("_own").alias("_exists"), F.max(F.when(F.col("_own") & (F.col("_exact") | F.col("_equal")), found)).alias("_fit"),
+        F.array_sort(F.collect_set(F.when(F.col("_exact"), found))).alias("_a"), F.array_sort(F.collect_set(F.when(F.col("_equal"), found))).alias("_b"),
+    ).withColumn("_c", F.when(F.size("_a") > 0, F.col("_a")).otherwise(F.col("_b")))
+    n = F.size("_c")
+    status = F.when(F.col("source_ref").isNotNull(), F.when(~F.coalesce("_exists", F.lit(False)), "not_found").when(F.col("_fit").isNull(), "source_mismatch").otherwise("matched"))
     status = F.coalesce(status, F.when(n == 0, "not_found").when(n > 1, "ambiguous").otherwise("matched"))
-    resolved = F.when(status == "matched", F.coalesce("source_ref", F.try_element_at("candidates", F.lit(1))))
-    return each.select("doc_id", "table_id", "quote_id", status.alias("status"), resolved.alias("resolved"), "candidates")
+    one = F.when(F.col("source_ref").isNotNull(), F.col("_fit")).otherwise(F.try_element_at("_c", F.lit(1)))
+    out = each.withColumns({"status": status, "candidates": F.transform("_c", lambda x: x["_ref"])})
+    hit = lambda x: F.when(F.col("status") == "matched", one[x])
+    return out.select("doc_id", "table_id", "quote_id", "status", hit("_ref").alias("resolved"), hit("t").alias("matched_text"), "candidates")
 
 
 def comment_text(risk: Column, text: Column, criterion: Column) -> Column:
@@ -131,18 +209,34 @@ def summary_text(points: Column) -> Column:
 
 
 def flatten_issues(results: DataFrame) -> DataFrame:
-    """A row for each issue of each result, with its number."""
-    return results.select("task_id", "criterion_id", F.posexplode("issues").alias("issue_no", "issue"))
+    """A row for each issue of each result, with its number, section, criterion, risk_level, issue_comment, anchors, and the task's number of criteria and issues.
+
+    results: task_id, criterion_id, section, criterion, issues (array of struct
+    with risk_level, issue_comment and anchors).
+    """
+    sizes = results.groupBy("task_id").agg(F.count("*").alias("criteria_count"), F.sum(F.size(F.coalesce("issues", F.array()))).alias("issue_count"))
+    rows = results.select("task_id", "criterion_id", "section", "criterion", F.posexplode("issues").alias("issue_no", "_i"))
+    text = lambda x: F.coalesce(F.col(f"_i.{x}"), F.lit("")).alias(x)
+    return rows.join(sizes, "task_id").select("task_id", "criterion_id", "section", "criterion", "issue_no", text("risk_level"), text("issue_comment"), F.col("_i.anchors").alias("anchors"), "criteria_count", "issue_count")
+
+
+# How a missing provision is searched for.
+SEARCH_FOR, SEARCH_BY = "查找合同中是否约定以下检查要点：", "\n所属审查标准："
 
 
 def missing_evidence_queries(issues: DataFrame) -> DataFrame:
-    """Search texts for issues without anchors."""
-    return issues.where(F.size("anchors") == 0).select("task_id", "issue_no", F.concat_ws(" ", "title", "text").alias("query"))
+    """task_id, issue_no, query: search texts for issues (check_point, criterion, anchors) without anchors."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    return issues.where(F.size(F.coalesce("anchors", F.array())) <= 0).select("task_id", "issue_no", F.concat(F.lit(SEARCH_FOR), text("check_point"), F.lit(SEARCH_BY), text("criterion")).alias("query"))
+
+
+# Lines that retrieval puts around its results.
+RESULT_HEADER = r"(?m)^##\s*检索结果\s*\d+(?:\s*\([^)]*\))?\s*$"
 
 
-def clean_context(text: Column, header: str = r"(?m)^\[[^\]\n]*\][ \t]*\n?") -> Column:
-    """Without retrieval headers, and at most one empty line in a row."""
-    return F.regexp_replace(F.regexp_replace(text, header, ""), r"\n{3,}", "\n\n")
+def clean_context(text: Column, header: str = RESULT_HEADER) -> Column:
+    """Without retrieval headers, at most one empty line in a row, trimmed."""
+    return strip(F.regexp_replace(F.regexp_replace(text, header, ""), r"\n{3,}", "\n\n"))
 
 
 def token_stats(rows: DataFrame, key: str, phases: list[str]) -> DataFrame:
@@ -150,11 +244,15 @@ def token_stats(rows: DataFrame, key: str, phases: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(*(F.sum(F.when(F.col("phase") == p, F.col("tokens")).otherwise(0)).alias(p) for p in phases), F.sum("tokens").alias("total"))
 
 
-def validate_annotations(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Evidence on known anchors, each (criterion, anchor, quote) once; a quote that isn't in the text becomes the whole text."""
-    hit = evidence.join(anchors.select("doc_id", "anchor", "text"), ["doc_id", "anchor"])
-    quote = F.when(F.contains("text", "quote") & (F.col("quote") != ""), F.col("quote")).otherwise(F.col("text"))
-    return hit.select("doc_id", "criterion_id", "anchor", quote.alias("quote")).distinct()
+def validate_annotations(evidence: DataFrame, anchors: DataFrame, criteria: DataFrame | None = None) -> DataFrame:
+    """Evidence on known anchors, each (criterion, anchor, quote) once; a quote that isn't in the text becomes the whole text.
+
+    With criteria (doc_id, criterion_id) those without any evidence keep a row with null anchor and quote.
+    """
+    hit = evidence.join(anchors.where(F.coalesce("text", F.lit("")) != "").select("doc_id", "anchor", "text"), ["doc_id", "anchor"])
+    quote = strip(F.coalesce("quote", F.lit("")))
+    out = hit.select("doc_id", "criterion_id", "anchor", F.when((quote != "") & F.contains("text", quote), quote).otherwise(F.col("text")).alias("quote")).distinct()
+    return out if criteria is None else criteria.select("doc_id", "criterion_id").distinct().join(out, ["doc_id", "criterion_id"], "left")
 
 
 def enrich_rule_evidence(criteria: DataFrame, evidence: DataFrame, anchors: DataFrame, rules: DataFrame) -> DataFrame:
@@ -172,19 +270,33 @@ def build_gold(criteria: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.select(case.alias("case_id"), F.col("anchor").isNotNull().cast("int").alias("label"), "quote", F.when(F.col("anchor").isNotNull(), F.concat(F.lit("anchor="), "anchor")).alias("notes"))
 
 
-def check_criteria_text(docs: DataFrame, keywords: list[str], least_chars: int = 100, least_keywords: int = 2, least_numbered: int = 2) -> DataFrame:
-    """docs with fits: long enough, with enough keywords and numbered lines."""
-    n = sum((F.contains("text", F.lit(k)).cast("int") for k in keywords), F.lit(0))
-    lines = F.regexp_count("text", F.lit(r"(?m)^\s*\d{1,2}[.、)]"))
-    return docs.select("doc_id", ((F.length("text") >= least_chars) & (n >= least_keywords) & (lines >= least_numbered)).alias("fits"))
+# Words of review criteria, and beginnings of their lines.
+CRITERIA_WORDS = ["审查", "审核", "要点", "合同", "条款", "风险", "责任", "违约", "付款", "期限", "义务", "权利", "金额", "争议"]
+NUMBERED_LINE = r"(?m)^\s*(?:\d+[.、．]|[一二三四五六七八九十]+[、.．]|第[一二三四五六七八九十\d]+条)"
 
 
-def require_meta_fields(rows: DataFrame, required: list[str], optional: list[str] | None = None) -> DataFrame:
-    """rows (id, meta map) with missing and invalid field names: required ones absent, and present ones that are blank."""
-    get = lambda k: F.try_element_at("meta", F.lit(k))
-    missing = F.array_compact(F.array(*(F.when(get(k).isNull(), k) for k in required)))
-    blank = F.array_compact(F.array(*(F.when(F.trim(get(k)) == "", k) for k in [*required, *(optional or [])])))
-    return rows.select("id", missing.alias("missing"), blank.alias("invalid"))
+def check_criteria_text(docs: DataFrame, keywords: list[str] | None = None, least_chars: int = 100, least_keywords: int = 2, least_numbered: int = 2) -> DataFrame:
+    """docs with fits: long enough without outer white space, with enough keywords and numbered lines."""
+    n = sum((F.contains("text", F.lit(k)).cast("int") for k in keywords or CRITERIA_WORDS), F.lit(0))
+    lines = F.regexp_count("text", F.lit(NUMBERED_LINE))
+    return docs.select("doc_id", ((F.length(strip(F.col("text"))) >= least_chars) & (n >= least_keywords) & (lines >= least_numbered)).alias("fits"))
+
+
+def require_meta_fields(rows: DataFrame, fields: list[str], required: bool = True) -> DataFrame:
+    """rows (id, meta: a JSON object) with meta_fields (map of trimmed values), missing and invalid field names.
+
+    A field that is no string is invalid and counts as empty; if fields are
+    required, empty ones are missing.
+    """
+    meta = F.try_parse_json("meta")
+    value = lambda k: F.try_variant_get(meta, f"$.{k}", "string")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(meta, f"$.{k}", "variant"))
+    other = lambda k: value(k).isNotNull() & (kind(k) != "STRING") & (kind(k) != "VOID") | kind(k).rlike("^(OBJECT|ARRAY)")
+    clean = lambda k: F.when(F.coalesce(other(k), F.lit(False)), "").otherwise(strip(F.coalesce(value(k), F.lit(""))))
+    pairs = F.create_map(*(x for k in fields for x in (F.lit(k), clean(k))))
+    missing = F.array_compact(F.array(*(F.when(F.lit(required) & (clean(k) == ""), k) for k in fields)))
+    invalid = F.array_compact(F.array(*(F.when(F.coalesce(other(k), F.lit(False)), k) for k in fields)))
+    return rows.select("id", pairs.alias("meta_fields"), missing.alias("missing"), invalid.alias("invalid"))
 
 
 def document_start_anchor(blocks: DataFrame) -> DataFrame:

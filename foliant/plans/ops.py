@@ -38,7 +38,7 @@ roll AS (SELECT u.*, coalesce(n, 0) AS reviews, coalesce(strftime(last, '%Y-%m-%
 
 def spans(s, d):
     """Trace runs: each event under the one of half its number."""
-    return table(s, d, "events").selectExpr("event_id AS run_id", "CASE WHEN event_id > 0 THEN CAST(floor(event_id / 8) AS BIGINT) END AS parent_id", "value AS duration")
+    return table(s, d, "events").selectExpr("event_id AS run_id", "CASE WHEN event_id > 0 THEN CAST(CASE WHEN event_id % 9 = 8 THEN -5 WHEN event_id < 60 THEN event_id - 1 ELSE floor(event_id / 8) END AS BIGINT) END AS parent_id", "value AS duration", "CASE WHEN event_type = 'error' THEN event_type END AS error")
 
 
 def leases(s, d):
@@ -64,17 +64,21 @@ Q = {
         lambda s, d: H.heartbeat_gaps(events(s, d).withColumnRenamed("user_id", "worker"), 86400.0),
         "WITH g AS (SELECT user_id AS worker, event_id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6, 3) AS gap, epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6 AS g FROM events) SELECT worker, event_id, gap FROM g WHERE gap > 86400",
     ),
+    "h07_owned_beats": (
+        lambda s, d: H.heartbeat_gaps(events(s, d).selectExpr("event_id", "ts", "event_id % 60 AS task_id", "user_id % 5 AS worker"), 7200.0, s.range(60).selectExpr("id AS task_id", "id % 5 AS owner", "CASE WHEN id % 4 = 0 THEN 'failed' ELSE 'running' END AS status")),
+        "WITH b AS (SELECT event_id, ts, event_id % 60 AS t, user_id % 5 AS worker FROM events WHERE event_id % 60 % 4 <> 0 AND event_id % 60 % 5 = user_id % 5), g AS (SELECT worker, event_id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY worker ORDER BY ts, event_id) / 1e6, 3) AS gap FROM b) SELECT worker, event_id, gap FROM g WHERE gap > 7200",
+    ),
     "h08_lease_concurrency": (
         lambda s, d: H.lease_concurrency(leases(s, d)),
         "WITH l AS (SELECT event_type AS kind, epoch_us(ts) / 1e6 AS a, CASE WHEN event_id % 3 <> 0 THEN least(epoch_us(ts) / 1e6 + event_id % 900, epoch_us(ts) / 1e6 + 600) ELSE epoch_us(ts) / 1e6 + 600 END AS z FROM events), e AS (SELECT kind, a AS t, 1 AS d, 1 AS o FROM l UNION ALL SELECT kind, z, -1, 0 FROM l), w AS (SELECT kind, sum(d) OVER (PARTITION BY kind ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT kind, CAST(max(n) AS BIGINT) AS most FROM w GROUP BY kind",
     ),
     "h09_span_tree": (
         lambda s, d: H.span_tree(spans(s, d)).where("run_id > 0"),
-        "WITH RECURSIVE r AS (SELECT event_id AS run_id, CASE WHEN event_id > 0 THEN event_id // 8 END AS parent_id, value FROM events), t AS (SELECT run_id, 0 AS depth FROM r WHERE parent_id IS NULL UNION ALL SELECT r.run_id, t.depth + 1 FROM r JOIN t ON r.parent_id = t.run_id), c AS (SELECT parent_id AS run_id, sum(value) AS inner_s FROM r WHERE parent_id IS NOT NULL GROUP BY 1) SELECT r.run_id, t.depth, round(r.value, 3) AS total, round(r.value - coalesce(c.inner_s, 0), 3) AS self FROM r LEFT JOIN t USING (run_id) LEFT JOIN c USING (run_id) WHERE r.run_id > 0",
+        "WITH RECURSIVE r AS (SELECT event_id AS run_id, CASE WHEN event_id > 0 THEN CASE WHEN event_id % 9 = 8 THEN -5 WHEN event_id < 60 THEN event_id - 1 ELSE event_id // 8 END END AS parent_id, value, event_type FROM events), t AS (SELECT run_id, 0 AS depth FROM r WHERE parent_id IS NULL UNION ALL SELECT r.run_id, t.depth + 1 FROM r JOIN t ON r.parent_id = t.run_id), c AS (SELECT parent_id AS run_id, sum(value) AS inner_s FROM r WHERE parent_id IS NOT NULL GROUP BY 1) SELECT r.run_id, t.depth, round(r.value, 3) AS total, round(r.value - coalesce(c.inner_s, 0), 3) AS self, event_type = 'error' AS failed FROM r LEFT JOIN t USING (run_id) LEFT JOIN c USING (run_id) WHERE r.run_id > 0",
     ),
     "h10_phase_durations": (
-        lambda s, d: H.phase_durations(table(s, d, "events").selectExpr("user_id AS key", "event_type AS action", "CAST(event_id % 100 AS DOUBLE) AS seconds"), ["click", "view"]),
-        "SELECT user_id AS key, event_type AS action, CAST(sum(event_id % 100) AS DOUBLE) AS seconds, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL",
+        lambda s, d: H.phase_durations(table(s, d, "events").selectExpr("user_id AS key", "CASE event_id % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'run' ELSE '' END AS phase", "event_type AS action", "CAST(event_id % 100 AS DOUBLE) AS seconds", "event_id % 50 AS tokens"), ["click", "view"]),
+        "WITH k AS (SELECT user_id AS key, CASE event_id % 3 WHEN 0 THEN 'plan' ELSE 'run' END AS phase, event_id % 100 AS s, event_id % 50 AS t FROM events WHERE event_type IN ('click', 'view') AND event_id % 3 <> 2) SELECT key, phase, CAST(sum(s) AS DOUBLE) AS seconds, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n FROM k GROUP BY GROUPING SETS ((key, phase), (key))",
     ),
     "h11_stage_timings": (
         lambda s, d: H.stage_timings(table(s, d, "events").selectExpr("user_id AS key", "event_type AS name", "event_id AS moment")).select("key", "moment", "label"),
@@ -90,8 +94,8 @@ Q = {
         f"WITH {ROLL} SELECT tenant, count(*) AS users, count(*) FILTER (role = 'admin') AS admins, count(*) FILTER (NOT enabled) AS disabled, CAST(sum(reviews) AS BIGINT) AS reviews FROM roll GROUP BY tenant",
     ),
     "h15_user_history": (
-        lambda s, d: H.user_history(tasks(s, d), files(s, d), 5).select("username", "task_id", "place"),
-        f"WITH {TASKS}, {FILES}, r AS (SELECT username, task_id, row_number() OVER (PARTITION BY username ORDER BY created_at DESC, task_id) AS place FROM tasks JOIN files USING (task_id)) SELECT * FROM r WHERE place <= 5",
+        lambda s, d: H.user_history(tasks(s, d).selectExpr("*", "CASE WHEN task_id % 5 <> 0 THEN concat('c', task_id) END AS contract_original_name", "CASE WHEN task_id % 2 = 0 THEN 'stored' END AS contract_stored_name", "CASE WHEN task_id % 4 <> 0 THEN task_id * 700 END AS contract_bytes", "CASE WHEN task_id % 3 = 1 THEN 'uploaded' END AS criteria_source", "CASE WHEN task_id % 6 = 1 THEN 'mine' END AS criteria_name"), files(s, d), 5).drop("report_size"),
+        f"WITH {TASKS}, {FILES}, r AS (SELECT username, task_id, coalesce(CASE WHEN task_id % 5 <> 0 THEN 'c' || task_id END, CASE WHEN task_id % 2 = 0 THEN 'stored' END, '-') AS contract_name, '-' AS report_name, CASE WHEN task_id % 4 = 0 THEN '-' WHEN task_id * 700 < 1024 THEN (task_id * 700) || ' B' WHEN task_id * 700 < 1048576 THEN printf('%.1f KB', task_id * 700 / 1024.0::DOUBLE) WHEN task_id * 700 < 1073741824 THEN printf('%.1f MB', task_id * 700 / 1048576.0::DOUBLE) ELSE printf('%.1f GB', task_id * 700 / 1073741824.0::DOUBLE) END AS contract_size, CASE WHEN task_id % 3 = 1 THEN 'Uploaded: ' || CASE WHEN task_id % 6 = 1 THEN 'mine' ELSE '-' END ELSE 'Default criteria' END AS criteria_label, row_number() OVER (PARTITION BY username ORDER BY created_at DESC, task_id) AS place FROM tasks JOIN files USING (task_id)) SELECT * FROM r WHERE place <= 5",
     ),
     "h16_latest_task": (
         lambda s, d: H.latest_task(tasks(s, d), table(s, d, "customer").selectExpr("c_custkey AS username", "TIMESTAMP '1997-01-01' AS login_at")),
@@ -115,21 +119,23 @@ Q = {
         """SELECT c_custkey, '{"My_API_Key":"***","key":"' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '***' END || '","seg":"' || c_mktsegment || '"}' AS fields FROM customer""",
     ),
     "h22_conversation": (
-        lambda s, d: H.conversation_flatten(table(s, d, "conversations")),
-        "SELECT conv_id, turn, role, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS part_no, unnest(string_split(text, chr(10))) AS part FROM conversations",
+        lambda s, d: H.conversation_flatten(table(s, d, "conversations").withColumn("content", F.col("text")).withColumn("tool_calls", F.expr("transform(slice(split(text, ' '), 1, CAST(turn % 3 AS INT)), x -> struct(concat('c', length(x)) AS id, x AS name, text AS arguments))")).withColumn("tool_call_id", F.lit("t"))).drop("arguments"),
+        "WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN list_slice(string_split(text, ' '), 1, turn % 3) ELSE [] END AS w FROM conversations), x AS (SELECT *, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE range(len(w)) END) AS i FROM c) SELECT conv_id, turn, role, text AS content, CAST(i AS INT) AS call_no, coalesce('c' || length(w[i + 1]), CASE WHEN role = 'tool' THEN 't' END) AS tool_call_id, w[i + 1] AS tool_name FROM x",
     ),
-    "h23_context_usage": (lambda s, d: H.context_usage(table(s, d, "conversations"), 500), "WITH c AS (SELECT conv_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id) SELECT *, round(chars * 0.3::DOUBLE, 1) AS tokens, round(chars * 0.3::DOUBLE, 1) > 500 AS over FROM c"),
+    "h23_context_usage": (lambda s, d: H.context_usage(table(s, d, "conversations"), 500), "WITH c AS (SELECT conv_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id) SELECT *, CAST(floor(chars * 0.3::DOUBLE) AS BIGINT) AS tokens, floor(chars * 0.3::DOUBLE) > 500 AS over FROM c"),
+    "h23_truncate": (lambda s, d: table(s, d, "conversations").select("conv_id", "turn", H.truncate_result(F.col("text"), 30).alias("text")), "SELECT conv_id, turn, CASE WHEN floor(length(text) * 0.3::DOUBLE) <= 30 THEN text ELSE substr(text, 1, 100) || chr(10) || chr(10) || '[... Content truncated ...]' END AS text FROM conversations"),
     "h24_call_payload": (
-        lambda s, d: H.call_payload_stats(table(s, d, "conversations"), 20, 30),
-        "WITH c AS (SELECT conv_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS input_chars, arg_min(text, turn) AS q, arg_max(text, turn) AS a FROM conversations GROUP BY conv_id) SELECT conv_id, messages, input_chars, substr(q, 1, 20) AS query, CASE WHEN length(a) > 30 THEN substr(a, 1, 30) || '... [' || length(a) || ' chars]' ELSE a END AS answer FROM c",
+        lambda s, d: H.call_payload_stats(table(s, d, "conversations").withColumn("tool", F.when(F.col("turn") % 2 == 1, F.substring("text", 1, 1))), 20, 30).withColumn("tool_names", F.array_join("tool_names", ",")),
+        "WITH c AS (SELECT conv_id, count(*) AS message_count, CAST(sum(length(text)) AS BIGINT) AS input_chars, arg_min(text, turn) AS q, arg_max(text, turn) AS a FROM conversations GROUP BY conv_id), f AS (SELECT conv_id, x, min(turn) AS t FROM (SELECT conv_id, turn, substr(text, 1, 1) AS x FROM conversations WHERE turn % 2 = 1 AND text <> '') GROUP BY ALL), n AS (SELECT conv_id, count(*) AS k, string_agg(x, ',' ORDER BY t) AS names FROM f GROUP BY conv_id)"
+        " SELECT conv_id, message_count, input_chars, CAST(coalesce(k, 0) AS INT) AS tool_count, coalesce(names, '') AS tool_names, CASE WHEN length(q) > 20 THEN substr(q, 1, 20) || '...[truncated ' || (length(q) - 20) || ' chars]' ELSE q END AS query_preview, CAST(length(a) AS INT) AS output_chars, CASE WHEN length(a) > 30 THEN substr(a, 1, 30) || '...[truncated ' || (length(a) - 30) || ' chars]' ELSE a END AS output_preview FROM c LEFT JOIN n USING (conv_id)",
     ),
     "h25_task_listing": (lambda s, d: H.task_listing(tasks(s, d), files(s, d)), f"WITH {TASKS}, {FILES} SELECT task_id, status, status = 'succeeded' AND task_id IN (SELECT task_id FROM files) AS ready FROM tasks"),
     "h26_token_usage": (
-        lambda s, d: H.token_usage(table(s, d, "lineitem").selectExpr("l_returnflag AS task", "l_linestatus AS agent", "CAST(l_quantity AS LONG) AS prompt", "l_linenumber AS completion")),
-        "SELECT l_returnflag AS task, l_linestatus AS agent, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS prompt, CAST(sum(l_linenumber) AS BIGINT) AS completion FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+        lambda s, d: H.token_usage(table(s, d, "lineitem").selectExpr("l_returnflag AS task", "l_linestatus AS agent", "CAST(l_quantity AS LONG) AS prompt", "l_linenumber AS completion", "CASE WHEN l_linenumber > 2 THEN l_linenumber * 100 END AS total", "l_suppkey % 3 AS tool_calls", "CASE WHEN l_suppkey % 2 = 0 THEN 'stop' WHEN l_suppkey % 5 = 0 THEN 'length' END AS finish_reason")).withColumn("finish_reasons", F.array_join("finish_reasons", ",")),
+        "SELECT l_returnflag AS task, l_linestatus AS agent, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS prompt, CAST(sum(l_linenumber) AS BIGINT) AS completion, CAST(sum(CASE WHEN l_linenumber > 2 THEN l_linenumber * 100 ELSE CAST(l_quantity AS BIGINT) + l_linenumber END) AS BIGINT) AS total, CAST(sum(l_suppkey % 3) AS BIGINT) AS tool_calls, coalesce(string_agg(DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'stop' WHEN l_suppkey % 5 = 0 THEN 'length' END, ',' ORDER BY CASE WHEN l_suppkey % 2 = 0 THEN 'stop' WHEN l_suppkey % 5 = 0 THEN 'length' END), '') AS finish_reasons FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     ),
     "h27_log_tasks": (
-        lambda s, d: H.log_tasks(tasks(s, d), files(s, d)),
-        f"WITH {TASKS}, {FILES} SELECT username, task_id, strftime(created_at, '%Y-%m-%d') AS day, task_id IN (SELECT task_id FROM files) AS has_log, row_number() OVER (PARTITION BY username ORDER BY created_at DESC, task_id) AS place FROM tasks",
+        lambda s, d: H.log_tasks(tasks(s, d).withColumn("updated_at", F.expr("created_at + make_interval(0, 0, 0, CAST(task_id % 40 AS INT))")), files(s, d)),
+        f"WITH {TASKS}, {FILES}, t AS (SELECT *, created_at + to_days(CAST(task_id % 40 AS INT)) AS updated_at FROM tasks) SELECT username, task_id, strftime(created_at, '%Y-%m-%d') AS day, updated_at, task_id IN (SELECT task_id FROM files) AS has_log, row_number() OVER (PARTITION BY username ORDER BY updated_at DESC, task_id) AS place FROM t",
     ),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import ops as H
+from foliant.operators import tree as D
 from foliant.plans.adapt import BLOCKS, blocks, table
 from foliant.plans.blocks import NUMBERED, numbered
 from foliant.plans.tree import NODES, nodes
@@ -44,7 +45,7 @@ def response_cache(s, d):
 
 def log_lines(s, d):
     e = table(s, d, "events")
-    return e.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 - api - INFO - "), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(' note="a b" id='), F.col("event_id").cast("string")).alias("value"))
+    return e.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 - api - INFO - "), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(' note="a \\"b\\" = c" id=first none=null data={"k":[1,"x y"]} id='), F.col("event_id").cast("string")).alias("value"))
 
 
 def csv_round_trip(s, d):
@@ -58,8 +59,20 @@ def traces(s, d):
 
 
 def scanned(s, d):
-    rows = table(s, d, "orders").select(F.when(F.col("o_orderkey") % 10 == 3, F.lit("{broken")).otherwise(F.to_json(F.struct(F.when(F.col("o_orderkey") % 10 != 4, F.col("o_orderkey").cast("string")).alias("task_id"), F.col("o_orderstatus").alias("status")))).alias("value"))
-    return round_trip(s, d, lambda p: rows.write.text(p), lambda p: A.scan_tasks(s, p), "tasks")
+    """Task files as rows: some broken, some without an id, some in another place than they say."""
+    t = table(s, d, "orders")
+    k = F.col("o_orderkey").cast("string")
+    path = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("s3://x/api/"), k, F.lit("/task.json"))).otherwise(F.concat(F.lit("s3://x/web/t1/"), F.when(F.col("o_orderkey") % 10 == 7, "other").otherwise(k), F.lit("/task.json")))
+    own = F.when(F.col("o_orderkey") % 10 != 4, k)
+    client = F.when(F.col("o_orderkey") % 10 == 6, "web").when(F.col("o_orderkey") % 2 == 0, "api").otherwise("web/t1")
+    return A.valid_tasks(t.select(path.alias("path"), own.alias("task_id"), client.alias("client_dir"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 10 == 3, "{broken").alias("_bad")))
+
+
+def index_parts(s, d):
+    b = blocks(s, d)
+    n = nodes(s, d).withColumns({"text": F.col("title"), "summary": F.col("title")})
+    a = D.own_anchors(b.select("doc_id", "pos", "kind", "text"), nodes(s, d))
+    return A.index_stores(n, a, b.where("kind = 'tbl'").select("doc_id", "pos", "text"))
 
 
 Q = {
@@ -79,18 +92,22 @@ Q = {
         f"WITH {NUMBERED}, c AS (SELECT DISTINCT doc_id AS set_id, CAST(regexp_extract(text, '^\\s*(\\d{{1,2}})[.、)）\\s](.+)$', 1) AS INT) AS criterion_id FROM numbered WHERE regexp_matches(text, '^\\s*(\\d{{1,2}})[.、)）\\s](.+)$')), f AS (SELECT set_id, unnest(range(1, max(criterion_id) + 1)) AS criterion_id FROM c GROUP BY set_id) SELECT set_id, CAST(criterion_id AS INT) AS criterion_id FROM f ANTI JOIN c USING (set_id, criterion_id)",
     ),
     "a08_index_round_trip": (
-        lambda s, d: round_trip(s, d, lambda p: A.write_index(nodes(s, d).select("doc_id", "node_id", "level", "title"), p, "level"), lambda p: A.read_index(s, p).select("doc_id", "node_id", F.col("level").cast("int").alias("level"), "title"), "index"),
-        f"WITH {NODES} SELECT doc_id, node_id, level, title FROM nodes",
+        lambda s, d: round_trip(s, d, lambda p: A.write_index(index_parts(s, d), p, "level"), lambda p: A.read_index(s, p)[0].select("doc_id", "node_id", F.col("level").cast("int").alias("level"), "title", "text", "start_pos", "n_anchors"), "index"),
+        f"WITH {NODES}, o AS (SELECT b.doc_id, b.pos, arg_max(n.node_id, n.pos) AS node_id FROM blocks b JOIN nodes n ON n.doc_id = b.doc_id AND b.pos >= n.pos AND b.pos < n.end_pos GROUP BY b.doc_id, b.pos), a AS (SELECT doc_id, node_id, min(pos) AS start_pos, count(*) AS k FROM o GROUP BY ALL) SELECT n.doc_id, n.node_id, level, title, title AS text, start_pos, coalesce(k, 0) AS n_anchors FROM nodes n LEFT JOIN a USING (doc_id, node_id)",
+    ),
+    "a09_index_report": (
+        lambda s, d: round_trip(s, d, lambda p: A.write_index(index_parts(s, d), p), lambda p: s.read.parquet(f"{p}/report"), "index"),
+        f"WITH {NODES}, a AS (SELECT doc_id, count(*) AS n_anchors, count(*) FILTER (kind = 'tbl') AS n_tables FROM blocks GROUP BY doc_id) SELECT n.doc_id, count(*) AS n_nodes, CAST(sum(tokens) AS BIGINT) AS tokens, any_value(n_anchors) AS n_anchors, any_value(n_tables) AS n_tables FROM nodes n JOIN a USING (doc_id) GROUP BY n.doc_id",
     ),
     "a10_response_cache": (response_cache, "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id"),
     "a11_cache_misses": (
         lambda s, d: A.cache_lookup(table(s, d, "customer").select("c_custkey", A.cache_key(F.lit("v1"), F.col("c_custkey").cast("string")).alias("key")), table(s, d, "orders").select(A.cache_key(F.lit("v1"), F.col("o_custkey").cast("string")).alias("key")).distinct())[1],
         "SELECT c_custkey, sha256('v1' || chr(10) || c_custkey) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     ),
-    "a12_scan_tasks": (scanned, "SELECT CAST(o_orderkey AS VARCHAR) AS task_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)"),
+    "a12_scan_tasks": (scanned, "SELECT CAST(o_orderkey AS VARCHAR) AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'api' ELSE 'web/t1' END AS client_dir, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 NOT IN (3, 4, 6, 7)"),
     "a13_parse_event_log": (
-        lambda s, d: A.parse_event_log(log_lines(s, d)).select("ts", "event", "level", F.col("fields")["user"].alias("user"), F.col("fields")["note"].alias("note"), F.col("fields")["id"].alias("id")),
-        "SELECT date_trunc('second', ts) AS ts, event_type AS event, 'INFO' AS level, CAST(user_id AS VARCHAR) AS user, 'a b' AS note, CAST(event_id AS VARCHAR) AS id FROM events",
+        lambda s, d: A.parse_event_log(log_lines(s, d)).select("ts", "logger", "event", "level", *(F.col("fields")[x].alias(x) for x in ("user", "note", "id", "none", "data"))),
+        "SELECT date_trunc('second', ts) AS ts, 'api' AS logger, event_type AS event, 'INFO' AS level, CAST(user_id AS VARCHAR) AS user, 'a \"b\" = c' AS note, CAST(event_id AS VARCHAR) AS id, NULL AS none, '{\"k\":[1,\"x y\"]}' AS data FROM events",
     ),
     "a14_read_traces": (traces, "SELECT CAST(user_id AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS run_id, event_type AS parent_id, value AS duration FROM events"),
     "a15_read_steps": (lambda s, d: S.run_available(S.levels(S.read_events(s, d)).select("event_id", "level"), "append", "steps"), "SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events"),
@@ -99,7 +116,11 @@ Q = {
         lambda s, d: A.heading_markdown(blocks(s, d)),
         f"WITH {BLOCKS}, f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id) AS st, first_value(level IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fl FROM blocks) SELECT doc_id, string_agg(CASE WHEN pos = st AND level IS NULL THEN repeat('#', coalesce(fl, 1)) || ' Text' || chr(10) ELSE '' END || CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' ' ELSE '' END || text, chr(10) ORDER BY pos) AS markdown FROM f GROUP BY doc_id",
     ),
-    "a18_doc_title": (lambda s, d: A.doc_title(blocks(s, d), "tion"), f"WITH {BLOCKS} SELECT doc_id, coalesce(arg_min(text, pos) FILTER (contains(text, 'tion') AND n <= 80), substr(arg_min(text, pos), 1, 80)) AS title FROM blocks GROUP BY doc_id"),
+    "a18_doc_title": (
+        lambda s, d: A.doc_title(blocks(s, d).where("doc_id % 6 <> 5"), "tion", docs=table(s, d, "documents").select("doc_id", F.concat(F.lit("/in/d.x"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"))),
+        f"WITH {BLOCKS}, t AS (SELECT doc_id, coalesce(arg_min(text, pos) FILTER (contains(text, 'tion') AND n <= 80), substr(arg_min(text, pos), 1, 80)) AS title FROM blocks WHERE doc_id % 6 <> 5 GROUP BY doc_id) SELECT d.doc_id, coalesce(title, 'd.x' || d.doc_id) AS title FROM documents d LEFT JOIN t USING (doc_id)",
+    ),
+    "a19_task_prefix": (lambda s, d: table(s, d, "customer").select("c_custkey", A.strip_task_prefix(F.concat(F.when(F.col("c_custkey") % 3 == 0, "up\\\\").otherwise(""), F.when(F.col("c_custkey") % 2 == 0, "20240102_030405_0a1b2c3d_").otherwise("2024_"), "c_name")).alias("name")), "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '2024_' END || c_name AS name FROM customer"),
     "a19_sanitize_name": (lambda s, d: table(s, d, "pages").select("page_id", A.sanitize_name(F.col("url")).alias("name")), "SELECT page_id, substr(CASE WHEN n = '' THEN 'file' ELSE n END, 1, 120) AS name FROM (SELECT page_id, regexp_replace(regexp_replace(list_last(string_split(url, '/')), '[<>:\"|?*\\s]+', '_', 'g'), '^\\.+|\\.+$', '', 'g') AS n FROM pages)"),
     "a19_name_collisions": (lambda s, d: A.name_collisions(table(s, d, "part").withColumnRenamed("p_name", "name")), "SELECT replace(p_name, ' ', '_') AS clean, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1"),
     "h02_stream_counts": (lambda s, d: S.run_available(S.windowed_counts(S.read_events(s, d)), "complete", "counts"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n FROM events GROUP BY ALL"),
@@ -111,5 +132,9 @@ Q = {
         lambda s, d: S.run_available(S.task_state(S.read_events(s, d)), "update", "state", lambda r: r.groupBy("task_id").agg(F.max_by("status", F.struct("moment", "event_id")).alias("status"))),
         "SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     ),
+    "h07_stream_gaps": (
+        lambda s, d: S.run_available(S.heartbeat_alerts(S.read_events(s, d).select("event_id", F.col("task_id").alias("worker"), "ts"), 6 * 3600.0), "append", "beats").where("kind = 'gap'").select("worker", "moment", F.round("gap", 3).alias("gap")),
+        "WITH g AS (SELECT user_id AS worker, epoch_us(ts) AS moment, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6, 3) AS gap FROM events) SELECT worker, moment, gap FROM g WHERE gap > 21600",
+    ),
     "h07_beats_per_worker": (lambda s, d: H.heartbeat_gaps(table(s, d, "events").withColumnRenamed("user_id", "worker"), 3600.0).groupBy("worker").agg(F.count("*").alias("gaps"), F.max("gap").alias("longest")), "WITH g AS (SELECT user_id AS worker, epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6 AS g FROM events) SELECT worker, count(*) AS gaps, max(round(g, 3)) AS longest FROM g WHERE g > 3600 GROUP BY worker"),
 }

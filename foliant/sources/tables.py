@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.text import strip
+
 
 def discover_files(spark: SparkSession, path: str, glob: str = "*.docx", exclude: str | None = None) -> DataFrame:
     """path, length, content of files below a folder; lock files (~$) are left out. Content is read only if used."""
@@ -72,14 +74,47 @@ def missing_criteria(criteria: DataFrame) -> DataFrame:
     return full.join(criteria, ["set_id", "criterion_id"], "left_anti")
 
 
-def write_index(nodes: DataFrame, path: str, partition: str | None = None) -> None:
-    """Index tables as Parquet; partition by a column of few values if given."""
-    writer = nodes.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+#: Parts of an index: each a table by document.
+STORES = ("structure", "content", "anchors", "tables", "titles", "tokens", "attachments", "report")
+
+
+def write_index(stores: dict[str, DataFrame], path: str, partition: str | None = None) -> None:
+    """Index tables (of STORES) as Parquet folders below path; partition by a column of few values where a table has it."""
+    unknown = set(stores) - set(STORES)
+    if unknown:
+        raise ValueError(f"no parts of an index: {sorted(unknown)}")
+    for name, df in stores.items():
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition) if partition in df.columns else writer).parquet(f"{path}/{name}")
+
+
+def index_stores(nodes: DataFrame, anchors: DataFrame, tables: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts that follow from nodes (doc_id, node_id, parent_id, level, title, text, summary, tokens, pos, end_pos) and anchors: structure without texts, content, anchors, tables, titles, tokens and a report for each document."""
+    own = ["doc_id", "node_id"]
+    report = nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.sum("tokens").alias("tokens"))
+    report = report.join(anchors.groupBy("doc_id").agg(F.count("*").alias("n_anchors"), F.count(F.when(F.col("kind") == "tbl", 1)).alias("n_tables")), "doc_id", "left")
+    out = {
+        "structure": nodes.select(*own, "parent_id", "level", "title", "summary", "tokens", "pos", "end_pos"),
+        "content": nodes.select(*own, "text"),
+        "anchors": anchors,
+        "titles": nodes.select(*own, "level", "title"),
+        "tokens": nodes.select(*own, "tokens"),
+        "report": report,
+    }
+    return out if tables is None else out | {"tables": tables}
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(nodes, anchors, tables or None): structure joined with content; nodes have start_pos and n_anchors, those of the anchors in their span that no node below has."""
+    part = lambda name: spark.read.parquet(f"{path}/{name}")
+    nodes = part("structure").join(part("content"), ["doc_id", "node_id"], "left")
+    anchors = part("anchors")
+    if "node_id" in anchors.columns:
+        owned = anchors.where("node_id IS NOT NULL").groupBy("doc_id", "node_id").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n_anchors"))
+        nodes = nodes.join(owned, ["doc_id", "node_id"], "left").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tables")
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return nodes, anchors, part("tables") if there else None
 
 
 def read_response_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -96,22 +131,58 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return requests.join(cache, "key"), requests.join(cache, "key", "left_anti")
 
 
-def scan_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, status of task files (a JSON object each line); unreadable ones and ones without an id are dropped."""
-    rows = spark.read.schema("task_id string, status string, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad IS NULL AND task_id IS NOT NULL").select("task_id", "status")
+# What a task's id and its client's folder may be made of.
+TASK_ID, CLIENT_DIR = r"^[A-Za-z0-9_.-]+$", r"^[^/\\]+$"
+
+
+def scan_tasks(spark: SparkSession, root: str) -> DataFrame:
+    """task_id, client_dir, status of task files below root, each one JSON object.
+
+    Two layouts count: api/<task>/task.json and web/<tenant>/<task>/task.json.
+    Files that can't be read, lack an id or client, or name another task or
+    client than their folder, are dropped.
+    """
+    schema = "task_id string, client_dir string, status string, _bad string"
+    files = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "task.json").json(root)
+    return valid_tasks(files.withColumn("path", F.col("_metadata.file_path")))
+
+
+def valid_tasks(rows: DataFrame) -> DataFrame:
+    """scan_tasks() of rows (path, task_id, client_dir, status, _bad)."""
+    at = F.regexp_extract("path", r"(?:^|/)((?:api/[^/]+|web/[^/]+/[^/]+))/task\.json$", 1)
+    folder, task = F.regexp_extract(at, "^(.*)/[^/]+$", 1), F.substring_index(at, "/", -1)
+    named = F.col("task_id").rlike(TASK_ID) & (F.coalesce("client_dir", F.lit("")) != "") & (at != "")
+    # below api the client is the root of all its tasks, below web the tenant's folder
+    fits = (F.col("task_id") == task) & (F.col("client_dir") == F.when(F.startswith(at, F.lit("api/")), F.lit("api")).otherwise(folder))
+    return rows.where(F.col("_bad").isNull() & named & fits).select("task_id", "client_dir", "status")
 
 
 #: asctime - logger - level - event k=v ...
-LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,\d+)? - (\S+) - ([A-Z]+) - (\S+)(.*)$"
+LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,\d+)? - (.+?) - ([A-Z]+) - (\S+)(.*)$"
 
 
 def parse_event_log(lines: DataFrame) -> DataFrame:
-    """ts, logger, level, event, fields (map) of log lines; other lines are dropped. Works on streams too."""
+    """ts, logger, level, event, fields (map) of log lines; other lines are dropped. Works on streams too.
+
+    A value is null, a quoted string with JSON's escapes, JSON, or plain text
+    up to the next blank; JSON stays as it stands. The last value of a key wins.
+    """
     part = lambda i: F.regexp_extract("value", LOG_LINE, i)
-    pairs = F.regexp_extract_all(part(5), F.lit(r'(\w+=(?:"[^"]*"|\S*))'), F.lit(1))
-    entry = lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("key"), F.regexp_replace(F.regexp_replace(x, r"^\w+=", ""), '^"|"$', "").alias("value"))
-    return lines.where(F.col("value").rlike(LOG_LINE)).select(F.to_timestamp(part(1)).alias("ts"), part(2).alias("logger"), part(3).alias("level"), part(4).alias("event"), F.map_from_entries(F.transform(pairs, entry)).alias("fields"))
+    # JSON values hold no blanks outside their strings, so a value is a run of quoted strings and other characters
+    pairs = F.regexp_extract_all(part(5), F.lit(r'(\w+=(?:"(?:[^"\\]|\\.)*"|[^\s"])*)'), F.lit(1))
+    key = lambda x: F.regexp_extract(x, r"^(\w+)=", 1)
+
+    def value(x: Column) -> Column:
+        raw = F.regexp_replace(x, r"^\w+=", "")
+        text = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+        return F.when(raw == "null", F.lit(None)).when(F.startswith(raw, F.lit('"')), F.coalesce(text, raw)).otherwise(raw)
+
+    keys = F.transform("_pairs", key)
+    later = lambda i: F.array_contains(F.slice("_keys", i + 2, F.size("_keys")), F.get("_keys", i))
+    entry = F.transform("_pairs", lambda x, i: F.struct(key(x).alias("key"), value(x).alias("value"), later(i).alias("again")))
+    last = F.transform(F.filter(entry, lambda e: ~e["again"]), lambda e: F.struct(e["key"], e["value"]))
+    rows = lines.where(F.col("value").rlike(LOG_LINE)).withColumn("_pairs", pairs).withColumn("_keys", keys)
+    return rows.select(F.to_timestamp(part(1)).alias("ts"), part(2).alias("logger"), part(3).alias("level"), part(4).alias("event"), F.map_from_entries(last).alias("fields"))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -137,16 +208,40 @@ def heading_markdown(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
 
 
-def doc_title(blocks: DataFrame, marker: str, size: int = 80) -> DataFrame:
-    """doc_id, title: the first line with the marker and at most size characters, else the first line, cut."""
-    fits = F.contains("text", F.lit(marker)) & (F.length("text") <= size)
-    return blocks.groupBy("doc_id").agg(F.coalesce(F.min_by("text", F.when(fits, F.col("pos"))), F.substring(F.min_by("text", "pos"), 1, size)).alias("title"))
+def doc_title(blocks: DataFrame, marker: str, size: int = 80, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, title: the first line with the marker and at most size characters, else the first line, cut; with docs (doc_id, path) else the file's name without its ending.
+
+    blocks are those of the front matter; blank lines don't count.
+    """
+    line = strip(F.col("text"))
+    fits = F.contains(line, F.lit(marker)) & (F.length(line) <= size)
+    out = blocks.where(line != "").groupBy("doc_id").agg(F.coalesce(F.min_by(line, F.when(fits, F.col("pos"))), F.substring(F.min_by(line, "pos"), 1, size)).alias("title"))
+    if docs is None:
+        return out
+    return docs.select("doc_id", "path").join(out, "doc_id", "left").select("doc_id", F.coalesce("title", stem(F.col("path"))).alias("title"))
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and ending."""
+    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+# What uploads are named with in front.
+TASK_PREFIX = r"^\d{8}_\d{6}_[0-9a-f]{8}_"
+
+
+def strip_task_prefix(name: Column) -> Column:
+    """A file's name without folders and the date, time and number of its task; null counts as empty."""
+    return F.regexp_replace(base_name(F.coalesce(name, F.lit(""))), TASK_PREFIX, "")
 
 
 def sanitize_name(name: Column, fallback: str = "file", size: int = 120) -> Column:
     """A file name without folders and reserved characters, at most size characters."""
-    base = F.substring_index(F.translate(name, "\\", "/"), "/", -1)
-    clean = F.regexp_replace(F.regexp_replace(base, r'[<>:"|?*\s]+', "_"), r"^\.+|\.+$", "")
+    clean = F.regexp_replace(F.regexp_replace(base_name(name), r'[<>:"|?*\s]+', "_"), r"^\.+|\.+$", "")
     return F.substring(F.when(clean == "", fallback).otherwise(clean), 1, size)
 
 

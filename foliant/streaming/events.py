@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,33 @@ def task_state(events: DataFrame, ttl: str = "30 days") -> DataFrame:
     return rows.groupBy("task_id").applyInPandasWithState(step, "task_id long, status string, event_id long, moment long", "moment long, event_id long, event string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def heartbeat_alerts(beats: DataFrame, timeout: float, late: str = "1 day") -> DataFrame:
+    """worker, kind, moment, gap of beats (worker, event_id, ts): gap for a beat that comes more than timeout seconds behind the one before, silent once the watermark says that none has come for so long.
+
+    moment is the beat's time, or that of the last one, in microseconds. A beat
+    that is older than the last one seen says nothing new.
+    """
+    rows = beats.withWatermark("ts", late).select("worker", "event_id", "ts", F.unix_micros("ts").alias("moment"))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"worker": [key[0]], "kind": ["silent"], "moment": [last], "gap": [float(timeout)]})
+            return
+        moments = np.sort(np.concatenate([part["moment"].to_numpy() for part in parts]))
+        if state.exists:
+            moments = np.concatenate(([state.get[0]], moments[moments > state.get[0]]))
+        gaps = np.diff(moments) / 1e6
+        late_ones = np.flatnonzero(gaps > timeout)
+        state.update((int(moments[-1]),))
+        state.setTimeoutTimestamp(max(int(moments[-1] // 1000 + timeout * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"worker": key[0], "kind": "gap", "moment": moments[late_ones + 1], "gap": gaps[late_ones]})
+
+    kind = dict(beats.dtypes)["worker"]
+    return rows.groupBy("worker").applyInPandasWithState(step, f"worker {kind}, kind string, moment long, gap double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_available(stream: DataFrame, mode: str, name: str, latest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there now and return what it wrote; latest reduces updates to their last state."""
     spark = stream.sparkSession

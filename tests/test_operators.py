@@ -1,5 +1,7 @@
 """Operators on small literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from foliant.functions import text as T
 from foliant.operators import blocks as B
 from foliant.operators import detect as C
 from foliant.operators import evaluate as G
+from foliant.operators import ops as H
 from foliant.operators import retrieve as E
 from foliant.operators import review as R
 from foliant.operators import tree as D
@@ -20,17 +23,73 @@ def doc(spark, *texts):
     return spark.createDataFrame([(1, i, "p", t) for i, t in enumerate(texts)], "doc_id long, pos int, kind string, text string")
 
 
+def families(df):
+    f = C.number_family(F.col("text"))
+    return [(r.f, r.o) for r in df.orderBy("pos").select(f.alias("f"), C.number_ordinal(F.col("text"), f).alias("o")).collect()]
+
+
 def test_levels_and_families(spark):
-    df = doc(spark, "一、服务范围", "（一）服务地点", "1.具体要求", "正文", "第三条 范围", "②条")
-    rows = df.select(C.heading_level(F.col("text"), LEVELS).alias("l"), C.number_family(F.col("text")).alias("f"), C.number_ordinal(F.col("text")).alias("o")).collect()
-    assert [r.l for r in rows] == [1, 2, 3, None, None, None]
-    assert [r.f for r in rows] == ["chinese_comma", "chinese_paren", "arabic_dot", None, "article", "circled"]
-    assert [r.o for r in rows] == [1, 1, 1, None, 3, 2]
+    df = doc(spark, "一、服务范围", "（一）服务地点", "1.具体要求", "正文", "第三条 范围", "②条", " 附件 2-3 清单", "第十二节", "1.2.3 x", "(7)", "b) x", "Z、", "4）x")
+    assert [r.l for r in df.orderBy("pos").limit(4).select(C.heading_level(F.col("text"), LEVELS).alias("l")).collect()] == [1, 2, 3, None]
+    assert families(df) == [
+        ("cn_comma", 1), ("cn_paren", 1), ("arabic_dot", 1), ("unnumbered", None), ("article", 3), ("unnumbered", None), ("subattachment", 3),
+        ("section", 12), ("arabic_multilevel", 1), ("arabic_paren", 7), ("letter", 2), ("letter", 26), ("arabic_close", 4),
+    ]
 
 
 def test_chinese_ordinals(spark):
-    df = doc(spark, "十、甲", "十二、乙", "二十、丙", "三十五、丁", "九、戊")
-    assert [r.o for r in df.orderBy("pos").select(C.number_ordinal(F.col("text")).alias("o")).collect()] == [10, 12, 20, 35, 9]
+    df = doc(spark, "十、甲", "十二、乙", "二十、丙", "三十五、丁", "九、戊", "贰拾壹、己", "百、庚", "两、辛")
+    assert [o for _, o in families(df)] == [10, 12, 20, 35, 9, 21, None, 2]
+
+
+def test_long_numbers_do_not_fail(spark):
+    assert families(doc(spark, "13800138000 call", "13800138000. call", "(99999999999999999999) x")) == [("unnumbered", None), ("arabic_dot", 13800138000), ("arabic_paren", None)]
+
+
+def test_number_spacing_and_prefix(spark):
+    df = doc(spark, "一 、x", "12  .x", "3 、x", "（一 ）x", "x 、")
+    assert [r.t for r in df.orderBy("pos").select(T.normalize_number_spacing(F.col("text")).alias("t")).collect()] == ["一、x", "12.x", "3、x", "（一 ）x", "x 、"]
+    df = doc(spark, "1 .已有", "第二条 已有", "（三）已有", "(3) 没有", "正文")
+    assert [r.t for r in df.orderBy("pos").select(B.apply_prefix(F.col("text"), F.lit(" 五、 ")).alias("t")).collect()] == ["1.已有", "第二条 已有", "（三）已有", "五、(3) 没有", "五、正文"]
+    assert [r.t for r in df.limit(1).select(B.apply_prefix(F.col("text"), F.lit(None)).alias("t")).collect()] == ["1.已有"]
+
+
+def laid_out(spark, rows):
+    schema = "doc_id long, pos int, kind string, text string, outline int, level int, alignment string, bold_fraction double, max_font_size int, visual_title boolean, plain_label boolean"
+    df = spark.createDataFrame([(1, i, "p", t, o, None, a, b, 20, False, False) for i, (t, o, a, b) in enumerate(rows)], schema)
+    return df.withColumn("family", C.number_family(F.col("text")))
+
+
+def test_runs_of_numbers_are_required(spark):
+    rows = [("附件1", None, "left", 0.0), ("内部管理细则", None, "center", 1.0), ("1、第一项", None, "left", 0.0), ("2、第二项", None, "left", 0.0), ("3、第三项", None, "left", 0.0), ("正文" * 60, None, "left", 0.0), ("7、远", None, "left", 0.0), ("9、outlined", 2, "left", 0.0), ("附件1-2", None, "left", 0.0)]
+    out = C.required_sequences(C.hierarchy_candidates(laid_out(spark, rows))).orderBy("pos").collect()
+    assert [(r.pos, r.required) for r in out] == [(0, False), (1, False), (2, True), (3, True), (4, True), (6, False), (7, True), (8, True)]
+    assert out[1].signals == ["center", "bold", "attachment_opening"]
+    assert out[6].signals == ["outline:2", "number:arabic_comma", "attachment_opening"]
+
+
+def test_patterns_from_examples(spark):
+    rows = [("v", 1, 1, "一、合作背景"), ("v", 1, 2, "二．x"), ("v", 2, 3, "（一）基本原则"), ("v", 3, 4, "1. 合作事项"), ("v", 3, 5, "没有编号"), ("w", 1, 1, "第一部分"), ("w", 2, 2, "第二部分")]
+    ex = spark.createDataFrame(rows, "profile string, level int, place int, text string")
+    patterns = C.infer_number_pattern(ex)
+    found = {(r.profile, r.level): (r.kinds, r.pattern) for r in patterns.collect()}
+    assert found["v", 2][0] == ["chinese_parenthesized"] and found["v", 1][0] == ["chinese_delimited"]
+    assert found["v", 3] == (["arabic_dot"], "^(?:\\d+[.．])")
+    assert sorted((r.profile, r.place, r.matched) for r in C.pattern_errors(ex, patterns).collect()) == [("v", 5, []), ("w", 1, [1, 2]), ("w", 2, [1, 2])]
+
+
+def test_regions_overlap_where_the_body_starts_first(spark):
+    b = spark.createDataFrame([(1, i) for i in range(1, 9)], "doc_id long, pos int")
+    cuts = spark.createDataFrame([(1, 1, 5, 7)], "doc_id long, body_start int, tail_start int, attachment_start int")
+    assert {(r.region, r.start, r.stop) for r in C.region_ranges(b, cuts).collect()} == {("frontmatter", 1, 2), ("body", 1, 5), ("tail", 5, 7), ("attachments", 7, 9)}
+    assert sorted((r.pos, r.region) for r in C.assign_regions(b, cuts).where("pos < 3").collect()) == [(1, "body"), (1, "frontmatter"), (2, "body")]
+
+
+def test_attachment_starts(spark):
+    rows = [(1, 1, "p", "附件1 清单", None), (1, 2, "p", "1、附件1 列表", None), (1, 3, "p", "附件1", None), (1, 4, "p", "附件：《工作说明书》", 1), (1, 5, "p", "附件：《无大纲》", None)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, kind string, text string, outline int")
+    out = C.attachment_starts(df, r"^附件\s*([0-9]+)(?:\s*$|[：:、\s])", r"^\d+[.、]\s*附件", r"^附件\s*[：:]\s*《?.+")
+    assert sorted((r.number or "", r.pos) for r in out.collect()) == [("", 4), ("1", 3)]
 
 
 def test_profiles(spark):
@@ -62,6 +121,71 @@ def test_style_cycles_end(spark):
     assert {r.style_id: r.style_outline for r in B.resolve_style_outline(s).collect()} == {"a": None, "b": None, "c": 2, "d": 2, "e": None}
 
 
+def test_long_style_chains_resolve(spark):
+    rows = [(1, f"s{i}", None if i else "3", f"s{i - 1}" if i else None) for i in range(70)]
+    s = spark.createDataFrame(rows, "doc_id long, style_id string, outline string, based_on string")
+    assert {r.style_outline for r in B.resolve_style_outline(s).collect()} == {3}
+
+
+def test_deep_runs_have_a_depth(spark):
+    rows = [(i, i - 1 if i else None, 1.0, "bad" if i == 3 else None) for i in range(40)] + [(100, 101, 1.0, None), (101, 100, 1.0, None), (200, 999, 1.0, None), (201, 200, 1.0, None)]
+    out = {r.run_id: r for r in H.span_tree(spark.createDataFrame(rows, "run_id long, parent_id long, duration double, error string")).collect()}
+    assert [out[i].depth for i in range(40)] == list(range(40))
+    assert all(out[i].depth is None for i in (100, 101, 200, 201))
+    assert out[3].failed and not out[4].failed and out[5].self == 0.0
+
+
+def test_large_table_headers(spark):
+    def chunks(head, *rows):
+        df = spark.createDataFrame([(1, 1, i + 1, w) for i, w in enumerate([head, *rows])], "doc_id long, table_id long, row int, tokens int")
+        return [(r.first_row, r.last_row) for r in D.split_large_tables(df, 20, 18).orderBy("chunk").collect()]
+
+    assert chunks(10, 4, 4, 4) == [(2, 3), (4, 4)]
+    assert chunks(19, 1, 1) == [(2, 2), (3, 3)]
+    assert chunks(40, 1, 1) == [(2, 2), (3, 3)]
+    assert chunks(30) == [(2, 2)]
+
+
+def test_log_values(spark):
+    line = '2026-01-02 03:04:05,678 - api - ERROR - run_failed a=1 a=2 n=null q="x \\"y\\" = z" j={"k":["v w"]} e='
+    r = A.parse_event_log(spark.createDataFrame([(line,), ("no log",)], "value string")).first()
+    assert r.fields == {"a": "2", "n": None, "q": 'x "y" = z', "j": '{"k":["v w"]}', "e": ""}
+
+
+def test_task_files(spark, tmp_path):
+    for at, text in {"api/t1": '{"task_id": "t1", "client_dir": "api", "status": "done"}', "api/t2": '{"task_id": "t1", "client_dir": "api"}', "web/x/t3": '{\n"task_id": "t3", "client_dir": "web/x"}', "web/x/t4": "{broken", "else/t5": '{"task_id": "t5", "client_dir": "else"}'}.items():
+        (tmp_path / at).mkdir(parents=True)
+        (tmp_path / at / "task.json").write_text(text)
+    assert sorted((r.task_id, r.status) for r in A.scan_tasks(spark, f"file://{tmp_path}").collect()) == [("t1", "done"), ("t3", None)]
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    for name, data in {"a.docx": b"a", "~$a.docx": b"x", "in/b.docx": b"b", "c.txt": b"c"}.items():
+        (tmp_path / name).write_bytes(data)
+    found = A.fingerprint(A.discover_files(spark, str(tmp_path))).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in found} == {"a.docx": hashlib.sha256(b"a").hexdigest(), "b.docx": hashlib.sha256(b"b").hexdigest()}
+
+
+def test_nothing_is_left_of_merges_without_required(spark):
+    rows = spark.createDataFrame([(1, 0, 1, 1), (1, 0, 2, 2), (2, 0, 1, 1), (2, 0, 2, 3), (3, 0, 1, 1)], "doc_id long, batch int, pos int, level int")
+    need = spark.createDataFrame([(1, 2)], "doc_id long, pos int")
+    assert {(r.doc_id, r.pos) for r in D.merge_batches(rows, required=need).collect()} == {(1, 1), (1, 2)}
+    assert D.merge_batches(rows, required=spark.createDataFrame([(1, 9)], "doc_id long, pos int")).where("doc_id = 1").count() == 0
+
+
+def test_silent_workers_raise_alerts(spark, tmp_path):
+    from foliant.streaming import events as S
+
+    rows = [(1, 1, "2026-01-01 00:00:00"), (2, 1, "2026-01-01 00:00:10"), (3, 1, "2026-01-01 00:05:00"), (4, 2, "2026-01-01 00:00:00"), (5, 3, "2026-01-05 00:00:00")]
+    spark.createDataFrame(rows, "event_id long, worker long, t string").selectExpr("event_id", "worker", "CAST(t AS TIMESTAMP) AS ts").coalesce(1).write.parquet(f"{tmp_path}/beats")
+    beats = spark.readStream.schema("event_id long, worker long, ts timestamp").parquet(f"{tmp_path}/beats")
+    out = S.run_available(S.heartbeat_alerts(beats, 60.0), "append", "alerts").collect()
+    assert sorted((r.worker, r.kind) for r in out) == [(1, "gap"), (1, "silent"), (2, "silent")]
+
+
 def test_greedy_rules(spark):
     df = spark.createDataFrame([(1, i, w) for i, w in enumerate([0, 9, 1, 5, 5, 1])], "k long, pos int, w int")
     fold = lambda **a: [r.batch for r in greedy_batches(df, ["k"], "pos", "w", 6, **a).orderBy("pos").collect()]
@@ -70,14 +194,52 @@ def test_greedy_rules(spark):
     assert fold(max_items=1) == [1, 2, 3, 4, 5, 6]
 
 
+def test_greedy_beside_a_plain_fold(spark):
+    r = random.Random(4)
+    for flush in (True, False):
+        for most in (None, 3):
+            rows = [(k, i, r.choice([0, 0, 1, 3, 7, 20])) for k in range(30) for i in range(r.randrange(1, 25))]
+            want = {}
+            for k in range(30):
+                used, n, batch = 0, 0, 1
+                for _, i, w in sorted(x for x in rows if x[0] == k):
+                    full = used + w > 9 or (most is not None and n >= most)
+                    if full and (n > 0 if flush else used > 0):
+                        used, n, batch = 0, 0, batch + 1
+                    used, n = used + w, n + 1
+                    want[k, i] = batch
+            got = greedy_batches(spark.createDataFrame(rows, "k long, pos int, w int"), ["k"], "pos", "w", 9, max_items=most, flush_empty=flush)
+            if flush or most is None:
+                assert {(x.k, x.pos): x.batch for x in got.collect()} == want
+
+
 def test_merged_cells(spark):
     rows = [(1, 1, 1, 1, 1, 0, 2, None, "ab"), (1, 1, 1, 2, 1, 0, 1, "restart", "c"), (1, 1, 2, 1, 1, 0, 1, None, "d"), (1, 1, 2, 2, 1, 0, 1, None, "e"), (1, 1, 2, 3, 1, 0, 1, "continue", "")]
     c = spark.createDataFrame(rows, "doc_id long, table_id int, row int, cell_no int, para_no int, grid_before int, grid_span int, vmerge string, text string")
     grid = {(r.row, r.col): (r.slot, r.origin_row, r.origin_col) for r in B.restore_grid(c).collect()}
     assert grid[1, 1] == ("horizontal_inherited", 1, 0)
     assert grid[2, 2] == ("vertical_inherited", 1, 2)
-    lines = [r.markdown for r in B.render_rows(B.restore_grid(c), c).orderBy("row").collect()]
-    assert lines == ["| ab | ab | c |", "| d | e | c |"]
+    cells = B.render_cells(B.logical_cells(B.restore_grid(c), B.source_refs(c)))
+    rows = B.render_rows(cells)
+    assert [r.markdown for r in rows.orderBy("row").collect()] == ["| ab [S0001] | ↳同左S0001 | c [S0002] | \n", "| d [S0003] | e [S0004] | ↳同上S0002 | \n"]
+    whole = B.render_tables(rows).first().markdown
+    assert whole == "<!-- table_id: 1 -->\n| ab [S0001] | ↳同左S0001 | c [S0002] | \n| --- | --- | --- |\n| d [S0003] | e [S0004] | ↳同上S0002 | \n"
+    assert {(r.row, r.col): whole[r.md_start : r.md_end] for r in cells.collect()} == {(1, 0): "ab [S0001]", (1, 1): "↳同左S0001", (1, 2): "c [S0002]", (2, 0): "d [S0003]", (2, 1): "e [S0004]", (2, 2): "↳同上S0002"}
+    spans = B.markdown_spans(cells).collect()
+    assert {(r.source_ref, whole[r.md_start : r.md_end]) for r in spans if not r.synthetic} == {("S0001", "ab"), ("S0002", "c"), ("S0003", "d"), ("S0004", "e")}
+    assert sorted(r.source_ref for r in spans if r.synthetic) == ["S0001", "S0002"]
+    b = spark.createDataFrame([(1, 1, "tbl", ""), (1, 2, "p", " end ")], "doc_id long, pos int, kind string, text string")
+    paths = [(r.path, r.text) for r in B.path_anchors(b, B.restore_grid(c), c).orderBy("pos", "place").collect()]
+    assert paths == [("path:body/tbl1/r1c1/p1", "ab"), ("path:body/tbl1/r1c3/p1", "c"), ("path:body/tbl1/r2c1/p1", "d"), ("path:body/tbl1/r2c2/p1", "e"), ("path:body/tbl1", "ab\nc\nd\ne"), ("path:body/p2", "end")]
+
+
+def test_several_paragraphs_in_a_cell(spark):
+    rows = [(1, 1, 1, 1, 1, 0, 1, None, "a|b"), (1, 1, 1, 1, 2, 0, 1, None, "c\\d\ne"), (1, 1, 1, 2, 1, 1, 1, None, "")]
+    c = spark.createDataFrame(rows, "doc_id long, table_id int, row int, cell_no int, para_no int, grid_before int, grid_span int, vmerge string, text string")
+    cells = B.render_cells(B.logical_cells(B.restore_grid(c), B.source_refs(c)))
+    whole = B.render_tables(B.render_rows(cells)).first().markdown
+    assert "a\\|b [S0001]<br>c\\\\d<br>e [S0002]" in whole
+    assert [whole[r.md_start : r.md_end] for r in B.markdown_spans(cells).orderBy("source_ref").collect()] == ["a\\|b", "c\\\\d<br>e"]
 
 
 def test_normal_form(spark):
@@ -98,8 +260,54 @@ def test_percentile(spark):
 
 
 def test_literal_terms(spark):
-    df = spark.createDataFrame([('find "late fee": price, the, payment terms',)], "q string")
-    assert df.select(E.literal_terms(F.col("q"), F.array(F.lit("plan")), ["the"]).alias("t")).first().t == ["payment terms", "late fee", "price", "plan"]
+    df = spark.createDataFrame([('find "late fee"：price、是否the、payment terms。采购单位；承包人',)], "q string")
+    assert df.select(E.literal_terms(F.col("q"), F.array(F.lit(" plan "), F.lit("x"))).alias("t")).first().t == ["payment terms", "late fee", "price", "plan", "采购单位", "承包人", "承包", "采购"]
+
+
+def test_words_of_a_join(spark):
+    df = spark.createDataFrame([("合同金额大小写是否一致", ["a"], ["见 履行期限 x"])], "q string, terms array<string>, slots array<string>")
+    out = set(df.select(E.join_words(F.col("terms"), F.col("slots"), F.col("q")).alias("t")).first().t)
+    assert {"a", "履行期限", "合同金额", "人民币", "大写"} <= out and "发票" not in out
+
+
+def test_block_ratio(spark):
+    rows = [(1, 1, "甲方应付款", "abcd"), (1, 2, "", "")]
+    human = spark.createDataFrame(rows, "doc_id long, human_no int, clause string, point string")
+    said = spark.createDataFrame([(1, 7, "甲方付款", "bcde"), (1, 8, "zz", "zz")], "doc_id long, predicted_no int, clause string, point string")
+    out = {r.human_no: r for r in G.match_annotations(human, said).collect()}
+    assert out[1].predicted_no == 7 and out[1].match == round(0.35 * 8 / 9 + 0.65 * 0.75, 6) and out[1].status == "hit"
+    assert (out[2].match, out[2].status) == (0.0, "miss")
+
+
+def test_scores_at_k(spark):
+    gold = spark.createDataFrame([("c", 1, "有效期为三年", "anchor=P_5"), ("d", 1, "abcdef", "none"), ("e", 1, "", "")], "case_id string, row_number int, text string, notes string")
+    got = spark.createDataFrame([("c", 1, "xx", "p_1", "p_2"), ("c", 2, "本合同有效期为三年。", "tbl_1", "tbl_1"), ("c", 3, "y", "p_4", "p_9"), ("d", 1, "abcd", "p_1", "p_1")], "case_id string, rank int, text string, start_anchor string, end_anchor string")
+    out = {r.case_id: r for r in G.score_at_k(gold, got).collect()}
+    assert (out["c"].coverage_at_1, out["c"].coverage_at_3, out["c"].anchor_hit_at_1, out["c"].anchor_hit_at_3, out["c"].hit_at_1, out["c"].hit) == (0.0, 1.0, 0, 1, 0, 1)
+    assert (out["d"].coverage, out["d"].hit) == (0.5, 0)
+    assert (out["e"].coverage, out["e"].anchor_hit, out["e"].hit) == (0.0, 0, 0)
+
+
+def test_chunks_repeat_and_break_at_sentences(spark):
+    text = "One two three. " * 20 + "\n\n" + "End."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    out = E.chunk_text(df, 20, 5).orderBy("chunk").collect()
+    assert {r.doc_id for r in out} == {1}
+    assert all(r.text.startswith(("One", "End")) for r in out)
+    assert all(b.start_pos <= a.end_pos for a, b in zip(out, out[1:], strict=False)) and out[-1].text.endswith("End.")
+
+
+def test_summaries_are_cut_by_tokens(spark):
+    df = spark.createDataFrame([("合" * 1000,), ("short",), ("word " * 400,)], "t string")
+    out = [r.t for r in df.select(T.truncate(F.col("t"), 200, 120).alias("t")).collect()]
+    assert [len(x) for x in out] == [320, 5, 799] and not out[2].endswith(" ")
+
+
+def test_table_evidence(spark):
+    q = spark.createDataFrame([(1, 1, 1, "925129", None), (1, 1, 2, "重复", None), (1, 1, 3, "925129", "S0002"), (1, 1, 4, "９２５ １２９ 元", None), (1, 1, 5, "x", "S0009"), (1, 1, 6, " ", None)], "doc_id long, table_id long, quote_id int, quote string, source_ref string")
+    s = spark.createDataFrame([(1, 1, "S0001", "925129元"), (1, 1, "S0002", "重复"), (1, 1, "S0003", "重复值")], "doc_id long, table_id long, source_ref string, text string")
+    out = {r.quote_id: (r.status, r.resolved, r.matched_text) for r in R.resolve_table_evidence(q, s).collect()}
+    assert out == {1: ("matched", "S0001", "925129"), 2: ("ambiguous", None, None), 3: ("source_mismatch", None, None), 4: ("matched", "S0001", "925129元"), 5: ("not_found", None, None), 6: ("not_found", None, None)}
 
 
 def test_overlapping_batches_progress(spark):
@@ -119,11 +327,19 @@ def test_batches_merge_on_one_scale(spark):
 
 
 def test_empty_tables(spark):
-    nodes = spark.createDataFrame([], "doc_id long, node_id string, parent_id string, pos int, tokens int")
+    nodes = spark.createDataFrame([], "doc_id long, node_id string, parent_id string, pos int, level int, title string, tokens int")
     assert D.split_structure(nodes, 10).count() == 0
     assert E.structure_summary(nodes).count() == 0
 
 
+def test_vectors_of_all_kinds(spark):
+    v = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.1]), (1, 3, [0.0, 0.0]), (1, 4, None), (1, 5, [1.0]), (1, 6, [-1.0, 0.0]), (2, 7, [1.0, 0.0])], "doc_id long, node_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, 1, [2.0, 0.0]), (8, 3, [1.0, 0.0]), (7, 1, None)], "query_id long, doc_id long, vector array<double>")
+    out = E.vector_search(q, v, 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.node_id) for r in out] == [(7, 1), (7, 2), (7, 3), (7, 4), (7, 5), (9, 1), (9, 2), (9, 3), (9, 4), (9, 5)]
+    assert out[5].score == 1.0 and [r.score for r in out[:5]] == [0.0] * 5
+
+
 def test_vector_entries_hold_whole_texts(spark):
     rows = [(1, f"n{i}", "t", "s", "x" * 9000 + end) for i, end in enumerate(["a", "b"])] + [(1, "n2", "t", "s", " ")]
     out = E.vector_entries(spark.createDataFrame(rows, "doc_id long, node_id string, title string, summary string, text string")).collect()
