@@ -1,8 +1,9 @@
 """Links and components beside brute force, and recall near the threshold."""
 
 import numpy as np
+import pytest
 
-from foliant.llm.itq import Index, near_duplicates
+from foliant.llm.itq import Index, fit, near_duplicates, near_pairs
 
 
 def brute_force(ids, x, least):
@@ -71,5 +72,51 @@ def test_blocks_of_a_large_bucket(spark):
     assert out == list(zip(range(len(x)), links.tolist(), components, strict=True))
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered", "flat"])
+def test_recall_on_planted_pairs(kind):
+    """Pairs just at the limit, among other vectors: they meet in a table, are near by their codes, and pass the rerank."""
+    r = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    d, n = 64, 4000
+    a = r.standard_normal((n, d))
+    if kind == "clustered":
+        a = r.standard_normal((40, d))[r.integers(40, size=n)] * 2 + a
+    if kind == "flat":
+        a = a * np.linspace(3, 0.1, d)
+    a, b = unit(a), r.standard_normal((n, d))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    pairs = 0.901 * a + np.sqrt(1 - 0.901**2) * b
+    for size in (2 * n, 5_000_000):
+        index = Index().sized(size, d, 0.9)
+        codes = fit(np.concatenate([a, pairs]), index)
+        (ka, ca), (kb, cb) = codes.keys(a), codes.keys(pairs)
+        met = (ka == kb).any(axis=1)
+        apart = np.bitwise_count(ca.view(np.uint64) ^ cb.view(np.uint64)).sum(axis=1)
+        assert (met & (apart <= index.radius(codes.length(), 0.9))).mean() >= 0.9
+    assert index.bits == 13 and index.rotations > 2
+
+
+def test_near_pairs_both_ways():
+    r = np.random.default_rng(2)
+    for spread in (0.01, 1.0):
+        x = np.concatenate([r.standard_normal((1, 32)) + spread * r.standard_normal((200, 32)), r.standard_normal((30, 32))])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = Index().sized(len(x), 32, 0.9)
+        _, code = fit(x, index).keys(x)
+        left, right = np.arange(0, 230, 2), np.arange(1, 230, 2)
+        a, b = near_pairs(x, code, left, right, index.radius(64 * code.shape[1], 0.9), 0.9)
+        s = x[left] @ x[right].T >= 0.9
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(left[i], right[j]) for i, j in zip(*np.nonzero(s), strict=True)}
+
+
+def test_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, v), (None, w), (3, v), (3, w), (4, [0.0, 1.0, 0.01]), (5, None), (6, [0.0] * 3), (7, [1.0, float("nan"), 0.0])]
+    out = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(out) == 8
+    assert sorted((r.vec_id or 0, r.n_links) for r in out) == [(0, 1), (0, 2), (3, 1), (3, 2), (4, 2), (5, 0), (6, 0), (7, 0)]
+    assert all(r.kept == (r.vec_id == r.component_id) for r in out)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
