@@ -35,6 +35,8 @@ SAMPLE_ROWS = 1_000
 UNKNOWN = "und"
 #: Buckets of trigrams: 2**16 float32, a quarter of a MB, for each language.
 GRAM_BITS = 16
+#: log P(trigram) if all are as likely.
+EVEN = -GRAM_BITS * np.log(2)
 #: Bytes whose likelihoods are summed at a time.
 BLOCK = 1 << 18
 #: Trigrams that weigh as one independent observation.
@@ -62,7 +64,7 @@ def _ends(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    """log P(trigram | language) in language order; for UNKNOWN, the last, the sum of log P(byte) of its bytes."""
+    """log P(trigram | language) in language order; for UNKNOWN, the last, the sum of log P(byte) of its bytes, or EVEN if that is more."""
 
     def __init__(self, languages: list[str], table: np.ndarray, letters: np.ndarray):
         self.languages, self.table, self.letters = [*languages, UNKNOWN], table, letters
@@ -76,7 +78,7 @@ class TextModel:
             total = np.zeros((len(part) - 1, len(self.languages)))
             np.cumsum(self.table[_grams(part)], axis=0, out=total[1:, :-1], dtype=np.float64)
             one = self.letters[_LETTERS[part]]
-            np.cumsum(one[:-2] + one[1:-1] + one[2:], out=total[1:, -1])
+            np.cumsum(np.maximum(one[:-2] + one[1:-1] + one[2:], EVEN), out=total[1:, -1])
             out += total[np.clip(end - lo, 0, len(total) - 1)] - total[np.clip(first - lo, 0, len(total) - 1)]
         return out, end - first
 

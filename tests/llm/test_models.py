@@ -108,3 +108,108 @@ def test_labels_of_one_kind(spark):
     assert toxicity.train(docs, none) == 0.0
     assert toxicity.toxicity(docs, 0.0).first().score == 0.0
     assert toxicity.train(docs, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")) == 1.0
+
+
+def test_languages_of_held_out_documents(spark):
+    """The given documents, a fifth of which the model doesn't see."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = language.train(docs.where(~held))
+    out = language.identify(docs.where(held).select("doc_id", "lang", "source", "text"), model, host=F.col("source")).collect()
+    assert len(out) > 150
+    assert sum(r.language == r.lang for r in out) >= 0.98 * len(out)
+    assert sum(r.accepted for r in out) >= 0.98 * len(out)
+
+
+def test_unknown_languages_are_rejected_and_rare_ones_known(spark):
+    rows = texts(8, 400) + [(900 + i, "jumalauta hyvää päivää kiitos paljon talo järvi " * (3 + i % 3), "fi") for i in range(6)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "fi", "fr", "und"]
+    asked = [(1, "hyvää päivää talo järvi kiitos"), (2, "xqj zzkw qqxv wzzq jjxq kkvz qxqx zvzv wqwq xjxj " * 4), (3, "the tion and ing " * 50_000), (3, "the tion and ing " * 50_000)]
+    out = language.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
+    found = {r.doc_id: (r.language, r.accepted) for r in out}
+    assert len(out) == 4
+    assert found == {1: ("fi", True), 2: ("und", False), 3: ("en", True)}
+
+
+def test_toxicity_without_rows_and_of_long_texts(spark):
+    rows = toxic_rows(9, 900)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert toxicity.toxicity(docs.limit(0), model).count() == 0
+    long = [(1, "w1 w2 " * 400_000), (2, "vermin scoundrel w3 " * 200_000), (2, "vermin scoundrel w3 " * 200_000)]
+    out = [(r.doc_id, r.score >= 0.5) for r in toxicity.toxicity(spark.createDataFrame(long, "doc_id long, text string"), model).collect()]
+    assert sorted(out) == [(1, False), (2, True), (2, True)]
+    assert toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")) == 0.0
+
+
+def step_of(word, k):
+    """Level, beginning, and whether the word goes on behind it."""
+    n = (*toxicity.STEPS, 10**9)[k]
+    return k, word[:n], len(word) > n
+
+
+def plain_kneser_ney(rows):
+    """(ended, failed) of every beginning of a word, from texts and labels, by dictionaries."""
+    from math import log
+
+    docs, before = {}, {}
+    for text, y in rows:
+        seen, last = set(), None
+        for word in text.lower().split():
+            steps = [step_of(word, 0)] + [step_of(word, k + 1) for k, n in enumerate(toxicity.STEPS) if len(word) > n]
+            first = steps[0]
+            before.setdefault(first, set()).add(last)
+            last = word
+            seen |= {(s, steps[i - 1] if i else None) for i, s in enumerate(steps)}
+        for step in seen:
+            docs.setdefault(step, [0, 0])[y] += 1
+    tokens = [max(1, sum(n[c] for (_, start), n in docs.items() if start is None)) for c in (0, 1)]
+    less = lambda n, c: max(n[c] - toxicity.DISCOUNT * tokens[c] / min(tokens), 0)
+    groups = {}
+    for (step, start), n in docs.items():
+        groups.setdefault(start, []).append((step, n))
+    followed = sum(len(before[s]) for s, _ in groups[None])
+    facts, ratio = {}, {}
+    for start, members in groups.items():
+        mass, t = sum(sum(n) for _, n in members), [sum(less(n, c) for _, n in members) for c in (0, 1)]
+        back = min(max(0.75 * len(members) / max(mass, 1), 0.02), 0.98)
+        facts[start] = sum((log(back) if t[c] > 0 else 0) * (1 if c else -1) for c in (0, 1))
+        for step, n in members:
+            shared = (len(before[step]) + 0.5) / (followed + 0.5 * len(members)) if start is None else (sum(n) + 0.5) / (mass + 0.5 * len(members))
+            p = [(1 - back) * min(less(n, c) / max(t[c], 1e-6), 1) + back * shared if t[c] > 0 else shared for c in (0, 1)]
+            ratio[step] = (log(p[1] / p[0]), start)
+    out = {}
+    for step in sorted(ratio):
+        r, start = ratio[step]
+        ended = r + (out[start][0] if start else 0)
+        out[step] = (ended, ended + facts.get(step, 0))
+    return out
+
+
+def test_counts_beside_plain_dictionaries(spark):
+    import numpy as np
+
+    r = random.Random(12)
+    stems = ["tox", "toxicword", "toxiclonger", "plain", "plainness", "vermi", "verminous", "a", "calm", "calmness"]
+    rows = []
+    for i in range(400):
+        y = int(r.random() < 0.3)
+        rows.append((" ".join(r.choice(stems[:3] + stems[5:7] if y and r.random() < 0.4 else stems[3:5] + stems[7:]) + r.choice(["", "", "s", "ly"]) for _ in range(r.randint(1, 12))), y))
+    nodes = toxicity._nodes(toxicity._counted(spark.createDataFrame(rows, "text string, toxic int").repartition(3))).collect()
+    got = {(n.level, n.at): (n.ended, n.failed) for n in nodes}
+    want = plain_kneser_ney(rows)
+    words = sorted({w for t, _ in rows for w in t.split()})
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    path = toxicity._path(raw, np.array([0, len(raw)]))
+    met = 0
+    for k, (at, _, takes) in enumerate(path.steps):
+        for i in np.flatnonzero(takes):
+            step = step_of(words[i], k)
+            key = (k, int(at[i].astype(np.int64)))
+            if key in got:
+                met += 1
+                assert np.allclose(got[key], want[step]), step
+            else:
+                assert max(want[step]) <= toxicity.LEVELS[0] + 1e-9, step
+    assert met > 5
