@@ -73,3 +73,15 @@ def test_very_long_text(spark):
     text = " ".join(f"v{i % 5000}" for i in range(200_000)) + " " + "z" * 2_000_000
     rows = [(1, text), (2, text + " end"), (3, "short text of no one")]
     assert [(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_hot_classes_and_struct_ids(spark, monkeypatch, words_of):
+    """One text with very many near copies, and ids that are no numbers."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("foliant.llm.jaccard.HOT", 4)
+    base = words_of(1, 120)
+    rows = [(i, " ".join(base[:60] + [f"x{i}"] + base[60:])) for i in range(40)] + [(100, " ".join(base)), (101, None), (102, "quite other words here now")]
+    df = spark.createDataFrame(rows, "n long, text string").select(F.struct("n", F.lit(1).alias("k")).alias("id"), "text")
+    out = {r.doc_id.n: r.component_id.n for r in jaccard_components(df, "id").collect()}
+    assert out == {i: 0 for i in range(40)} | {100: 0, 101: 101, 102: 102}

@@ -81,3 +81,58 @@ def test_contract_columns(spark):
     assert [c for c, _ in lic.dtypes] == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     assert lic.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert tox.where(F.col("held_out") != (toxicity.fold(F.col("doc_id")) == 0)).count() == 0
+
+
+def test_media_query_beside_plain_bytes(spark):
+    import hashlib
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = {r.doc_id: r for r in queries()["op4_media"](spark, SF).collect()}
+    assert len(out) == len(docs)
+    for d in docs:
+        data = (d.text or "").encode()
+        payload = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+        r = out[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_bytes > r.payload_bytes and len(r.media_sha256) == 64
+    same = {}
+    for d in docs:
+        same.setdefault(d.text, set()).add((out[d.doc_id].media_sha256, out[d.doc_id].feature))
+    assert all(len(x) == 1 for x in same.values())
+
+
+def test_license_query_beside_plain_words(spark):
+    import re
+
+    from foliant.llm.licenses import BASE
+
+    out = {r.doc_id: r for r in queries()["op6_licenses"](spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in d.text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        places = [(i, label) for phrase, label in BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        r = out[d.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1
+
+
+def test_stages_on_no_rows_and_on_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (1, "quite another text of the town " * 4, "en", "a", 2), (None, text, "en", "b", 1), (2, text + " more", "en", "a", 3), (3, None, "en", None, 0), (3, None, "en", None, 0)]
+    df = spark.createDataFrame(rows, docs.schema)
+    unique = P.near_duplicates(spark, df, SF).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in unique) == [(1, 1), (1, 2), (3, 0)]
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_queries_leave_their_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("foliant.llm.storage.LOCAL_DEFAULT", f"file://{tmp_path}/cut")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        df = queries()["op10_mixing"](spark, SF)
+        assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "cut").iterdir()] == ["op10_mixing"]
+        assert df.count() > 0

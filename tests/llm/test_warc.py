@@ -65,3 +65,20 @@ def test_archives_that_others_wrote():
 def test_empty(spark):
     _, archives = written(spark, rows(spark).limit(0))
     assert warc.read(warc.normalise(archives)).count() == 0
+
+
+def test_added_names_are_replaced_and_common_payloads_met(spark):
+    page = "x" * 200
+    rows = [(i, page, "clash", -1) for i in range(50)] + [(50, "short", "clash", -1), (51, None, None, None)]
+    out = warc.dedup(spark.createDataFrame(rows, "page_id long, html string, record_type string, payload_bytes long"), "page_id", "html").collect()
+    assert len(out) == 52
+    assert {r.page_id: (r.record_type, r.refers_to) for r in out} == {0: ("response", None)} | {i: ("revisit", 0) for i in range(1, 50)} | {50: ("response", None), 51: ("response", None)}
+    assert {r.page_id: r.payload_bytes for r in out}[51] == 0
+
+
+def test_archives_of_revisits_close(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rows = [(f"urn:record:{i}", "revisit", f"http://a/{i}", "0" * 64, "urn:record:0", b"") for i in range(40)]
+    df = spark.createDataFrame(rows, "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary").coalesce(1)
+    archives = warc.write_monolithic(df)
+    assert archives.count() > 5 and archives.agg({"records": "sum"}).first()[0] == 40
