@@ -104,7 +104,29 @@ def anchors(s, d):
     return b.withColumn("node_id", F.when(F.col("pos") % 13 != 12, F.concat(F.lit("body/n"), (F.col("pos") % 5).cast("string"))))
 
 
+FAMILY_LEVELS = {"arabic_dot": 1, "arabic_paren": 2, "letter": 3}
+
+
+def detected(s, d):
+    """Lines that begin with a number, as headings: the family of a required candidate says its level, a rule of a segment another one."""
+    found = C.required_sequences(candidates(s, d)).where("required AND family <> 'unnumbered'")
+    levels = F.create_map(*(F.lit(x) for pair in FAMILY_LEVELS.items() for x in pair))
+    start = found.groupBy("doc_id").agg(F.min("pos").alias("start_pos")).select("doc_id", "start_pos", F.lit(1).alias("segment_no"), levels.alias("rules"))
+    return D.apply_segments(found, start).where("level IS NOT NULL").join(found.select("doc_id", "pos", F.col("text").alias("title"), "tokens"), ["doc_id", "pos"])
+
+
+DETECTED = REQUIRED + ", detected AS (SELECT n.doc_id, n.pos, CASE family " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FAMILY_LEVELS.items()) + """ END AS level, m.text, m.tokens FROM needed n JOIN numbered m ON m.doc_id = n.doc_id AND m.pos = n.pos WHERE required AND family IN ('arabic_dot', 'arabic_paren', 'letter'))""" + NODES[len(BLOCKS) :].replace("FROM blocks WHERE level IS NOT NULL", "FROM detected").replace("h1 AS", "hh1 AS").replace("FROM h1)", "FROM hh1)")
+
+
 Q = {
+    "d01_detected_tree": (
+        lambda s, d: D.build_hierarchy(detected(s, d).drop("family", "segment_no"), ends(blocks(s, d))).select("doc_id", "pos", "level", "node_id", "parent_id", "end_pos"),
+        f"WITH {DETECTED} SELECT doc_id, pos, level, node_id, parent_id, end_pos FROM nodes",
+    ),
+    "d09_detected_owners": (
+        lambda s, d: D.own_anchors(B.assign_anchors(blocks(s, d)).select("doc_id", "pos", "anchor"), D.build_hierarchy(detected(s, d).drop("family", "segment_no"), ends(blocks(s, d)))).select("doc_id", "anchor", "node_id"),
+        f"WITH {DETECTED}, an AS (SELECT doc_id, pos, kind || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS VARCHAR), 4, '0') AS anchor FROM blocks), o AS (SELECT b.doc_id, b.pos, arg_max(n.node_id, n.pos) AS node_id FROM blocks b{COVER} GROUP BY b.doc_id, b.pos) SELECT an.doc_id, anchor, node_id FROM an LEFT JOIN o USING (doc_id, pos)",
+    ),
     "d01_hierarchy": (lambda s, d: nodes(s, d).select("doc_id", "pos", "level", "node_id", "parent_id", "parent_pos", "end_pos", "ordinal", "depth"), f"WITH {NODES} SELECT doc_id, pos, level, node_id, parent_id, parent_pos, end_pos, CAST(ordinal AS INT) AS ordinal, depth FROM nodes"),
     "d02_materialize": (lambda s, d: materialized(s, d).select("doc_id", "node_id", "text", "tokens", "summary"), f"WITH {MATERIAL} SELECT doc_id, node_id, text, tokens, {SUMMARY} AS summary FROM material"),
     "d06_split_leaves": (
