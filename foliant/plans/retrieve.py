@@ -198,7 +198,7 @@ SEARCH = f"""WITH RECURSIVE {FOUND.replace(NODES, LEAVES)}, pairs AS (SELECT DIS
 needed AS (SELECT query_id, doc_id FROM pairs p WHERE (fb AND NOT done) OR NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = p.query_id)),
 behind AS (SELECT needed.query_id, needed.doc_id, n.node_id, 1048576 AS step, row_number() OVER (PARTITION BY needed.query_id ORDER BY n.node_id) AS place FROM needed JOIN nodes n ON n.doc_id = needed.doc_id AND n.pos % 3 = 1),
 both_ways AS (SELECT f.query_id, f.doc_id, f.node_id, f.step_no AS step, CASE WHEN f.source = 'title' THEN n.pos ELSE f.place END AS place, f.source, f.text_override FROM found f JOIN nodes n ON n.doc_id = f.doc_id AND n.node_id = f.node_id UNION ALL SELECT query_id, doc_id, node_id, step, place, 'structure', NULL FROM behind),
-ordered AS (SELECT query_id, doc_id, node_id, min(step * 10000000 + place) AS o, list_sort(list_distinct(list(source))) AS sources, max(text_override) AS text_override FROM both_ways GROUP BY ALL),
+ordered AS (SELECT query_id, doc_id, node_id, min(CAST(step AS BIGINT) * 10000000 + place) AS o, list_sort(list_distinct(list(source))) AS sources, max(text_override) AS text_override FROM both_ways GROUP BY ALL),
 placed AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o, o.node_id) AS place, needed.query_id IS NOT NULL AS cut FROM ordered o LEFT JOIN needed ON needed.query_id = o.query_id),
 few AS (SELECT * FROM placed WHERE NOT cut OR place <= 5),
 kept AS (SELECT * FROM few m WHERE list_has_any(sources, ['title', 'region']) OR NOT EXISTS (SELECT 1 FROM few o WHERE o.query_id = m.query_id AND starts_with(o.node_id, m.node_id || '/'))),
