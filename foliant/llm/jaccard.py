@@ -41,7 +41,7 @@ SKETCH_BITS, SLICE_BITS = 20, 12
 #: Bits of the bitmap of texts whose sets are looked at (8 MB).
 MARK_BITS = 26
 #: Pairs of one class that are verified in one place.
-HOT = 128
+HOT = 256
 #: Bins of the suffix filter.
 BINS = 16
 
@@ -203,21 +203,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
     marks = bitmap(wanted, "place", MARK_BITS)
     kept = cut(_sets(docs.select(F.col(text).alias("text"), F.xxhash64(doc_id).alias("place")), rule, marks), "sets")
     sets = kept.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    # which classes are hot follows from the bare pairs, before sets are beside them
+    hot = {end: _hot(pairs, end) for end in ("a", "b")}
     for end, other in (("a", "b"), ("b", "a")):
-        pairs = _with_sets(pairs, sets, end, other)
+        pairs = _with_sets(pairs, sets, end, other, hot[end])
     links = cut(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(lean(_Verify(rule).run), "a long, b long"), "links")
     release(found, wanted, kept)
     return links
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
-    """pairs with grams_<end>, the set of the class at that end. A class of many pairs is dealt to parts of about HOT by the other end, with a copy of its set for each."""
-    parts = pairs.groupBy(end).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
-    parts = cut(parts, "hot")
-    dealt = pairs.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    copies = sets.select(F.col("cls").alias(end), F.col("grams").alias(f"grams_{end}")).join(parts, end, "left")
-    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [end, "part"]).drop("part")
+def _hot(pairs: DataFrame, end: str) -> DataFrame:
+    """end, parts: classes of very many pairs, and in how many parts of about HOT these are to be dealt."""
+    return cut(pairs.groupBy(end).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, hot: DataFrame) -> DataFrame:
+    """pairs with grams_<end>, the set of the class at that end. Pairs of a hot class are dealt to parts by the other end, with a copy of its set for each."""
+    own = sets.select(F.col("cls").alias(end), F.col("grams").alias(f"grams_{end}"))
+    if hot.isEmpty():
+        return pairs.join(own, end)
+    cold = pairs.join(hot, end, "left_anti").join(own, end)
+    dealt = pairs.join(hot, end).withColumn("part", F.pmod(F.xxhash64(other), "parts").cast("int")).drop("parts")
+    copies = own.join(hot, end).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return cold.unionByName(dealt.join(copies, [end, "part"]).drop("part"))
 
 
 def _sets(texts: DataFrame, rule: Rule, marks: Broadcast) -> DataFrame:
