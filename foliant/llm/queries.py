@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, itq, jaccard, language, licenses, media, mixing, toxicity, urls, warc
+from foliant.llm import bpe, itq, jaccard, language, licenses, media, mixing, topk, toxicity, urls, warc
 from foliant.llm.storage import cut, swept
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -198,9 +198,31 @@ SELECT doc_id, size, source_size, target, CAST(floor((rank + 1) * rate + start)
 """
 
 
+@tidy
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    # products beyond the range of doubles are as good as infinite
+    whole = F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(256 * x.cast("double")) != float("inf")), F.floor(256 * x.cast("double"))))
+    return topk.top_k(rows, whole, F.col("vec_id") % 50 == 0, k=5)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_itq": op1_itq, "op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {"op1_itq": op1_itq, "op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing, "op11_topk": op11_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op7_urls": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_topk": OP11_SQL}
