@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, itq, jaccard, language, licenses, media, mixing, topk, toxicity, urls, warc
+from foliant.llm import bpe, collocations, itq, jaccard, language, licenses, media, merkle, mixing, topk, toxicity, urls, warc
 from foliant.llm.storage import cut, swept
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -220,9 +220,121 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@tidy
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*MANIFEST_FIELDS)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = F.when(tampered, merkle.digest(*(F.col(x) for x in MANIFEST_FIELDS[:-1]), lower))
+    found = merkle.manifest(docs, MANIFEST_FIELDS, changed=changed)
+    folded = merkle.fold(F.col("found"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT coalesce('=' || source, '-') AS tree, doc_id, text, -- null sources first
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head
+  FROM documents
+), c AS (
+  -- CRC-32, bit by bit
+  SELECT tree, doc_id, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lower_leaf,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))),
+             lambda i: list_transform(range(0, 8), lambda b: (CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT) >> CAST(b AS INTEGER)) & 1)))),
+             lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295) % 5 = 0 AS tampered
+  FROM d
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM c
+), nodes AS (
+  SELECT tree, 0 AS level, place AS pos, n, leaf AS node FROM l
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), subroots AS (
+  SELECT tree, node AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 16, n
+), everywhere AS (
+  -- each document's ancestors: their runs, and their own places in them
+  SELECT l.tree, l.place, k.level, CAST(l.place // CAST(16 ** k.level AS BIGINT) AS BIGINT) AS pos, FALSE AS top
+  FROM l JOIN (SELECT DISTINCT tree, level, n FROM nodes) k ON l.tree = k.tree AND k.n > 1
+  UNION ALL
+  SELECT l.tree, l.place, s.height + k.level, CAST(s.pos // CAST(16 ** k.level AS BIGINT) AS BIGINT), TRUE
+  FROM l JOIN subroots s ON l.tree = s.tree JOIN (SELECT DISTINCT level, n FROM tops) k ON k.n > 1
+), around AS (
+  SELECT e.tree, e.place, e.level, coalesce(string_agg(x.node, '' ORDER BY x.pos) FILTER (x.pos < e.pos), '') AS before, coalesce(string_agg(x.node, '' ORDER BY x.pos) FILTER (x.pos > e.pos), '') AS after
+  FROM everywhere e JOIN subroots s ON e.tree = s.tree
+  JOIN (SELECT tree, level, pos, node, FALSE AS top FROM nodes UNION ALL SELECT s.tree, s.height + t.level, t.pos, t.node, TRUE FROM tops t, subroots s) x
+    ON x.tree = e.tree AND x.level = e.level AND x.top = e.top AND x.pos // 16 = e.pos // 16
+  GROUP BY e.tree, e.place, e.level
+), folds AS (
+  SELECT tree, place, 0 AS level, CASE WHEN tampered THEN lower_leaf ELSE leaf END AS node FROM l
+  UNION ALL
+  SELECT f.tree, f.place, f.level + 1, sha256(a.before || f.node || a.after) FROM folds f JOIN around a ON a.tree = f.tree AND a.place = f.place AND a.level = f.level
+), folded AS (
+  SELECT tree, place, max_by(node, level) AS folded_root FROM folds GROUP BY tree, place
+), p AS (
+  SELECT tree, place, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM around GROUP BY tree, place
+)
+SELECT l.doc_id, l.leaf, s.subroot, t.node AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.node AS verified
+FROM l JOIN subroots s ON l.tree = s.tree JOIN tops t ON t.n = 1 JOIN folded f ON f.tree = l.tree AND f.place = l.place LEFT JOIN p ON p.tree = l.tree AND p.place = l.place
+"""
+
+
+@tidy
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece
+  FROM documents
+), numbered AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^ 	]+') AS words FROM pieces
+), words AS (
+  SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM numbered
+), runs AS (
+  SELECT lang, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)
+), f AS (
+  SELECT lang, [w1] AS ws, count(*) AS a FROM runs GROUP BY lang, w1 UNION ALL
+  SELECT lang, [w1, w2], count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 UNION ALL
+  SELECT lang, [w1, w2, w3], count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30 UNION ALL
+  SELECT lang, [w1, w2, w3, w4], count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30
+), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE len(ws) > 1 AND a >= 30
+), inside AS (
+  SELECT DISTINCT c.lang, c.ws FROM c
+  JOIN (SELECT lang, ws, a, unnest(range(2, len(ws))) AS k FROM c) o ON o.lang = c.lang AND len(c.ws) = o.k
+  WHERE 100 * CAST(o.a AS HUGEINT) >= 80 * CAST(c.a AS HUGEINT)
+    AND (c.ws = o.ws[1:o.k] OR c.ws = o.ws[2:o.k + 1] OR len(o.ws) = 4 AND c.ws = o.ws[3:o.k + 2])
+), cuts AS (
+  SELECT c.lang, c.ws, c.a, unnest(range(1, len(c.ws))) AS k FROM c ANTI JOIN inside USING (lang, ws)
+), scored AS (
+  SELECT t.lang, t.ws, t.a, l.a AS l, r.a AS r, CAST(2000000 * CAST(t.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY t.lang, t.ws ORDER BY 2000000 * CAST(t.a AS HUGEINT) // (l.a + r.a), t.k) AS nth
+  FROM cuts t JOIN f l ON l.lang = t.lang AND l.ws = t.ws[1:t.k] JOIN f r ON r.lang = t.lang AND r.ws = t.ws[t.k + 1:len(t.ws)]
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM scored WHERE nth = 1
+)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_itq": op1_itq, "op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing, "op11_topk": op11_topk}
+    return {"op1_itq": op1_itq, "op2_language": op2_language, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_warc": op8_warc, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing, "op11_topk": op11_topk, "op12_merkle": op12_merkle, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_topk": OP11_SQL}
+    return {"op7_urls": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_topk": OP11_SQL, "op12_merkle": OP12_SQL, "op13_collocations": OP13_SQL}
