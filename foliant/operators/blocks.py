@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from foliant.functions.text import CHINESE_NUMBER, normalize_number_spacing, strip
+from foliant.sources.scratch import cut
 
 
 def W() -> WindowSpec:  # noqa: N802
@@ -32,13 +33,19 @@ def resolve_style_outline(styles: DataFrame) -> DataFrame:
     ends without an outline; an outline that is no number is none.
     """
     number = F.col("outline").try_cast("int")
-    rows = styles.select("doc_id", "style_id", number.alias("style_outline"), F.when(number.isNull(), F.col("based_on")).alias("_next"))
-    longest = styles.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    for _ in range(longest.bit_length()):
-        base = rows.select("doc_id", F.col("style_id").alias("_next"), F.col("style_outline").alias("_outline"), F.col("_next").alias("_up"))
-        found = F.coalesce("style_outline", "_outline")
-        rows = rows.join(base, ["doc_id", "_next"], "left").select("doc_id", "style_id", found.alias("style_outline"), F.when(found.isNull(), F.col("_up")).alias("_next"))
-    return rows.drop("_next")
+    rows = cut(styles.select("doc_id", "style_id", number.alias("style_outline"), F.when(number.isNull(), F.col("based_on")).alias("_next")), "styles")
+    rounds = (rows.count() + 1).bit_length()  # no chain is longer than there are styles; a cycle stays open to the end
+    settled = rows.where("_next IS NULL").drop("_next")
+    rows_open = rows.where("_next IS NOT NULL")
+    base = rows
+    for _ in range(rounds):
+        if rows_open.isEmpty():
+            break
+        up = base.select("doc_id", F.col("style_id").alias("_next"), F.col("style_outline").alias("_outline"), F.col("_next").alias("_up"))
+        base = rows_open.join(up, ["doc_id", "_next"], "left").select("doc_id", "style_id", F.col("_outline").alias("style_outline"), F.when(F.col("_outline").isNull(), F.col("_up")).alias("_next"))
+        base = cut(base.unionByName(settled.withColumn("_next", F.lit(None).cast(rows.schema["_next"].dataType))), "styles")
+        settled, rows_open = base.where("_next IS NULL").drop("_next"), base.where("_next IS NOT NULL")
+    return base.select("doc_id", "style_id", "style_outline")
 
 
 def effective_outline(direct: Column, style: Column) -> Column:

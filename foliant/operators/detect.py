@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from foliant.functions.text import strip
+from foliant.functions.text import SPACE, strip
 
 
 def W() -> WindowSpec:  # noqa: N802
@@ -203,9 +204,19 @@ def heading_score(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"score": score, "evidence": F.array_compact(F.array(*(F.when(c, name) for name, c, _ in signals)))})
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _lead(text: Column) -> Column:
+    """Without white space in front; what stands behind plays no part in a number."""
+    return F.regexp_replace(text, f"^{SPACE}+", "")
+
+
 def number_family(text: Column) -> Column:
     """The first family whose pattern fits, else unnumbered."""
-    return F.coalesce(*(F.when(strip(text).rlike(p), name) for name, p in FAMILIES), F.when(text.isNotNull(), "unnumbered"))
+    return F.when(text.isNotNull(), _let(_lead(text), lambda t: F.coalesce(*(F.when(t.rlike(p), name) for name, p in FAMILIES), F.lit("unnumbered"))))
 
 
 def _number(value: Column) -> Column:
@@ -219,15 +230,18 @@ def _number(value: Column) -> Column:
 
 def number_ordinal(text: Column, family: Column) -> Column:
     """The number of a heading of a family: what stands in the place that the family has for it; null if it is none."""
-    text = strip(text)
-    part = lambda pattern: F.regexp_extract(text, pattern, 1)
-    value = (
-        F.when(family == "subattachment", part(rf"^附件\s*[{CHINESE}0-9]+[-.](\d+)"))
-        .when(family.isin("chapter", "article", "section"), part(rf"^第([{CHINESE}0-9]+)[章条节]"))
-        .when(family.isin("cn_comma", "cn_paren"), part(rf"^[（(]?([{CHINESE}]+)"))
-        .when(F.startswith(family, F.lit("arabic_")), part(r"^[（(]?(\d+)"))
-    )
-    return F.when(family == "letter", (F.ascii(F.upper(F.substring(text, 1, 1))) - 64).cast("bigint")).otherwise(_number(value))
+    part = lambda t, pattern: F.regexp_extract(t, pattern, 1)
+
+    def value(t: Column) -> Column:
+        return (
+            F.when(family == "subattachment", part(t, rf"^附件\s*[{CHINESE}0-9]+[-.](\d+)"))
+            .when(family.isin("chapter", "article", "section"), part(t, rf"^第([{CHINESE}0-9]+)[章条节]"))
+            .when(family.isin("cn_comma", "cn_paren"), part(t, rf"^[（(]?([{CHINESE}]+)"))
+            .when(F.startswith(family, F.lit("arabic_")), part(t, r"^[（(]?(\d+)"))
+        )
+
+    letter = lambda t: (F.ascii(F.upper(F.substring(t, 1, 1))) - 64).cast("bigint")
+    return F.when(family != "unnumbered", _let(_lead(text), lambda t: F.when(family == "letter", letter(t)).otherwise(_let(value(t), _number))))
 
 
 def hierarchy_candidates(blocks: DataFrame, inside_attachment: bool = True) -> DataFrame:
@@ -290,7 +304,7 @@ def title_sequence_check(nodes: DataFrame) -> DataFrame:
 
 def number_kind(text: Column) -> Column:
     """struct(kind, source) of the first kind of EXAMPLE_KINDS that fits, or null."""
-    return F.coalesce(*(F.when(strip(text).rlike(p), F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("source"))) for kind, p in EXAMPLE_KINDS))
+    return _let(_lead(text), lambda t: F.coalesce(*(F.when(t.rlike(p), F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("source"))) for kind, p in EXAMPLE_KINDS)))
 
 
 def infer_number_pattern(examples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliant.functions.text import ngrams
@@ -96,32 +96,41 @@ def score_at_k(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (1,
     return rows.withColumns(added).drop("_nodes", "_a", "_c")
 
 
+def _by_case(rows: DataFrame, *more: Column) -> DataFrame:
+    pos = F.col("label") == 1
+    out = rows.groupBy("case_id").agg(F.count(F.when(pos, 1)).alias("n"), F.sum(F.when(pos, F.col("hit"))).alias("hits"), F.count(F.when(F.coalesce("error", F.lit("")) != "", 1)).alias("errors"), *more)
+    status = F.when(F.col("errors") > 0, "ERROR").when(F.col("n") == 0, "SKIP").when(F.col("hits") == F.col("n"), "PASS").otherwise("FAIL")
+    return out.withColumns({"recall": F.when(F.col("errors") == 0, F.col("hits") / F.col("n")), "status": status})
+
+
 def case_metrics(rows: DataFrame) -> DataFrame:
     """case_id, n, recall, status of rows (case_id, label, hit, error): the share of a case's positive rows that hit.
 
     ERROR if any row has an error (recall null), SKIP without positive rows,
     PASS if all hit, else FAIL.
     """
-    pos = F.col("label") == 1
-    out = rows.groupBy("case_id").agg(F.count(F.when(pos, 1)).alias("n"), F.sum(F.when(pos, F.col("hit"))).alias("hits"), F.count(F.when(F.coalesce("error", F.lit("")) != "", 1)).alias("errors"))
-    status = F.when(F.col("errors") > 0, "ERROR").when(F.col("n") == 0, "SKIP").when(F.col("hits") == F.col("n"), "PASS").otherwise("FAIL")
-    return out.select("case_id", "n", F.when(F.col("errors") == 0, F.col("hits") / F.col("n")).alias("recall"), status.alias("status"))
+    return _by_case(rows).select("case_id", "n", "recall", "status")
 
 
 def summary_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """One row: cases by status, strict accuracy and macro recall over cases with positives, micro recall and micro recall at k over their rows.
 
-    rows: those of score_at_k() with label and error. Cases and rows with an
-    error are in no denominator; without any, measures are 0.
+    rows: those of score_at_k() with label and error, read once: cases carry
+    their rows' sums. Cases and rows with an error are in no denominator;
+    without any, measures are 0.
     """
-    cases = case_metrics(rows)
+    kept = (F.col("label") == 1) & (F.coalesce("error", F.lit("")) == "")
+    hits = {"micro": "hit"} | {f"micro_at_{k}": f"hit_at_{k}" for k in ks}
+    sums = [f(F.when(kept, F.col(c).cast("double"))).alias(f"_{x}_{name}") for name, c in hits.items() for x, f in (("sum", F.sum), ("n", F.count))]
+    cases = _by_case(rows, F.count(F.when(kept, 1)).alias("_kept"), *sums)
     n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
     positive = n("PASS") + n("FAIL")
-    of = cases.agg(F.count("*").alias("cases"), positive.alias("positive_cases"), n("SKIP").alias("negative_cases"), n("ERROR").alias("failed_cases"), F.round(F.coalesce(F.try_divide(n("PASS"), positive), F.lit(0.0)), 6).alias("strict"), F.round(F.coalesce(F.avg(F.when(F.col("status").isin("PASS", "FAIL"), F.col("recall"))), F.lit(0.0)), 6).alias("macro"))
-    kept = rows.where((F.col("label") == 1) & (F.coalesce("error", F.lit("")) == ""))
-    micro = lambda name: F.round(F.coalesce(F.avg(F.col(name).cast("double")), F.lit(0.0)), 6)
-    rest = kept.agg(F.count("*").alias("evidence"), micro("hit").alias("micro"), *(micro(f"hit_at_{k}").alias(f"micro_at_{k}") for k in ks))
-    return of.join(rest)  # one row each
+    recall = F.when(F.col("status").isin("PASS", "FAIL"), F.col("recall"))
+    return cases.agg(
+        F.count("*").alias("cases"), positive.alias("positive_cases"), n("SKIP").alias("negative_cases"), n("ERROR").alias("failed_cases"), share(n("PASS"), positive).alias("strict"), F.round(F.coalesce(F.avg(recall), F.lit(0.0)), 6).alias("macro"),
+        F.coalesce(F.sum("_kept"), F.lit(0)).alias("evidence"), *(share(F.sum(f"_sum_{name}"), F.sum(f"_n_{name}")).alias(name) for name in hits),
+    )
 
 
 def percentile(x: Column, p: float) -> Column:
@@ -170,10 +179,55 @@ def resolve_index(gold: DataFrame, indexes: DataFrame) -> DataFrame:
     return out.withColumn("index_id", F.coalesce("_i0", "_i1", "_i2")).drop("_i0", "_i1", "_i2")
 
 
-@F.pandas_udf(DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+#: Shares of clause and point in a match.
+SHARES = (0.35, 0.65)
+
+
+def block_ratio(a: str, b: str) -> float:
     """Twice the characters in matching blocks (the longest first, then to its left and right) by all characters; 0 for empty texts."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() if x or y else 0.0 for x, y in zip(a, b, strict=True)])
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+
+
+def length_bound(a: str, b: str) -> float:
+    """No block ratio is higher: every matching character is in both texts."""
+    return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 0.0
+
+
+def letter_bound(a: Counter, b: Counter, size: int) -> float:
+    """No block ratio of texts with these characters, size together, is higher."""
+    return 2.0 * sum((a & b).values()) / size if size else 0.0
+
+
+def best_prediction(clause: str, point: str, predictions: list[tuple[int, str, str]]) -> tuple[int, float, int] | None:
+    """The number and match of the best prediction (number, clause, point), ties to the smallest number, and how many were compared exactly.
+
+    Predictions come in the order of the bound by length; those that can beat
+    or tie the best so far get the bound by characters, then the exact ratios.
+    """
+    mine = (clause, point)
+    letters = [Counter(x) for x in mine]
+    bounds = [(-sum(s * length_bound(x, y) for s, x, y in zip(SHARES, mine, p[1:], strict=True)), p[0], i) for i, p in enumerate(predictions)]
+    best, compared = None, 0
+    for bound, number, i in sorted(bounds):
+        if best is not None and round(-bound, 6) < -best[0]:
+            break
+        theirs = predictions[i][1:]
+        closer = sum(s * letter_bound(x, Counter(y), len(m) + len(y)) for s, x, m, y in zip(SHARES, letters, mine, theirs, strict=True))
+        if best is not None and (-round(closer, 6), number) > best:
+            continue
+        compared += 1
+        found = (-round(sum(s * block_ratio(x, y) for s, x, y in zip(SHARES, mine, theirs, strict=True)), 6), number)
+        best = found if best is None else min(best, found)
+    return None if best is None else (best[1], -best[0], compared)
+
+
+@F.pandas_udf(T.StructType([T.StructField("predicted_no", T.LongType()), T.StructField("match", T.DoubleType()), T.StructField("compared", T.IntegerType())]))
+def _best(clause: pd.Series, point: pd.Series, predictions: pd.Series) -> pd.DataFrame:
+    out = []
+    for c, p, each in zip(clause, point, predictions, strict=True):
+        rows = [] if each is None else [(int(x["predicted_no"]), x["clause"] or "", x["point"] or "") for x in each]
+        out.append(best_prediction(c or "", p or "", rows) or (None, None, None))
+    return pd.DataFrame(out, columns=["predicted_no", "match", "compared"])
 
 
 def gram_share(a: Column, b: Column) -> Column:
@@ -183,16 +237,24 @@ def gram_share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
-def match_annotations(human: DataFrame, predicted: DataFrame, hit: float = 0.6, unsure: float = 0.4, similar: Callable[[Column, Column], Column] = block_ratio) -> DataFrame:
+def match_annotations(human: DataFrame, predicted: DataFrame, hit: float = 0.6, unsure: float = 0.4, similar: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """For each human note of a document its best prediction, with match = 0.35 clause + 0.65 point similarity; status by the two thresholds, which are parameters.
 
-    A document's notes all meet its predictions: both are what people and models write about one document.
+    similar: a column function of two texts in place of the block ratio, for
+    which bounds by length and by characters leave few pairs to compare
+    exactly. A document's notes meet its predictions, as both are what people
+    and models write about one document.
     """
-    pairs = human.alias("h").join(predicted.alias("p"), "doc_id")
-    scored = pairs.select("doc_id", "h.human_no", "p.predicted_no", similar(F.col("h.clause"), F.col("p.clause")).alias("_c"), similar(F.col("h.point"), F.col("p.point")).alias("_p"))
-    scored = scored.select("doc_id", "human_no", "predicted_no", F.round(0.35 * F.col("_c") + 0.65 * F.col("_p"), 6).alias("match"))
-    best = scored.groupBy("doc_id", "human_no").agg(F.min(F.struct((-F.col("match")).alias("m"), "predicted_no")).alias("_b"))
-    best = best.select("doc_id", "human_no", "_b.predicted_no", (-F.col("_b.m")).alias("match"))
+    if similar is None:
+        rows = predicted.groupBy("doc_id").agg(F.collect_list(F.struct("predicted_no", "clause", "point")).alias("_all"))
+        best = human.join(rows, "doc_id").select("doc_id", "human_no", _best("clause", "point", "_all").alias("_b"))
+        best = best.select("doc_id", "human_no", F.col("_b.predicted_no").cast(predicted.schema["predicted_no"].dataType).alias("predicted_no"), "_b.match")
+    else:
+        pairs = human.alias("h").join(predicted.alias("p"), "doc_id")
+        scored = pairs.select("doc_id", "h.human_no", "p.predicted_no", similar(F.col("h.clause"), F.col("p.clause")).alias("_c"), similar(F.col("h.point"), F.col("p.point")).alias("_p"))
+        scored = scored.select("doc_id", "human_no", "predicted_no", F.round(SHARES[0] * F.col("_c") + SHARES[1] * F.col("_p"), 6).alias("match"))
+        best = scored.groupBy("doc_id", "human_no").agg(F.min(F.struct((-F.col("match")).alias("m"), "predicted_no")).alias("_b"))
+        best = best.select("doc_id", "human_no", "_b.predicted_no", (-F.col("_b.m")).alias("match"))
     out = human.select("doc_id", "human_no").join(best, ["doc_id", "human_no"], "left")
     return out.withColumn("status", F.when(F.col("match") >= hit, "hit").when(F.col("match") >= unsure, "uncertain").otherwise("miss"))
 

@@ -12,54 +12,42 @@ from pyspark.sql.window import Window
 
 from foliant.functions.text import document_mode, estimate_tokens, strip, truncate
 from foliant.operators.greedy import greedy_batches, overlapping_batches
+from foliant.operators.patterns import with_terms
+from foliant.operators.sweep import covered, ranks
 from foliant.sources.scratch import cut
 
 
-#: Up to so many keywords for all documents are held against each node where it is read; more meet nodes by 3-grams.
+#: Up to so many keywords are held against each node as literals; more become an automaton.
 FEW_KEYWORDS = 1000
 
 
 def keyword_search(nodes: DataFrame, keywords: DataFrame, margin: int = 30, few: int = FEW_KEYWORDS) -> DataFrame:
     """query_id, doc_id, node_id, keyword, field, position, snippet: a title hit for any node, else a text hit for leaves.
 
-    keywords: query_id, doc_id (null: all documents), keyword. Those of one
-    document meet its nodes by a join. Of the others, few travel with the plan
-    as literals (their number is checked), so nodes aren't shuffled; many are
-    joined by their rarest 3-gram, and what that finds is looked at again.
+    keywords: query_id, doc_id (null: all documents), keyword; repeated ones
+    count once, those of all documents instead of those of one. Few (their
+    number is checked) are held against each node as literals; more become an
+    automaton, which reads each text once. Either way nodes aren't shuffled.
     """
-    n = nodes.select("doc_id", "node_id", "title", "text", "is_leaf")
-    k = keywords.where(F.coalesce("keyword", F.lit("")) != "").select("query_id", F.col("doc_id").alias("_doc"), "keyword")
+    n = nodes.select("doc_id", "node_id", "title", F.when(F.col("is_leaf"), F.col("text")).alias("_body"))
+    k = keywords.where(F.coalesce("keyword", F.lit("")) != "").select("query_id", F.col("doc_id").alias("_doc"), "keyword").distinct()
     every = k.where("_doc IS NULL").select("query_id", "keyword")
-    own = n.join(k.where("_doc IS NOT NULL").withColumnRenamed("_doc", "doc_id"), "doc_id")
-    listed = every.limit(few + 1).collect()
-    if len(listed) <= few:
-        pairs = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(w).alias("keyword")) for q, w in listed)) if listed else None
-        fits = lambda x: F.contains("title", x["keyword"]) | (F.col("is_leaf") & F.contains("text", x["keyword"]))
-        found = n.select("*", F.explode(F.filter(pairs, fits)).alias("_k")).select(*n.columns, "_k.*") if listed else None
+    own = k.where("_doc IS NOT NULL").join(every, ["query_id", "keyword"], "left_anti")
+    listed = k.select("keyword").distinct().limit(few + 1).collect()
+    if len(listed) > few:
+        found = with_terms(n, ["title", "_body"], k.select(F.col("keyword").alias("term"))).select("*", F.explode("found").alias("_f"))
+        found = found.select("doc_id", "node_id", "title", "_body", F.col("_f.term").alias("keyword"), (F.col("_f.place") == 0).alias("_in_title"), F.col("_f.position").alias("position"))
     else:
-        # texts go once into grams, which carry ids alone
-        grams = n.select("doc_id", "node_id", F.explode(F.array_distinct(F.concat(_grams("title"), F.when(F.col("is_leaf"), _grams("text")).otherwise(F.array().cast("array<string>"))))).alias("gram"))
-        asked = every.select("query_id", "keyword", F.explode(F.array_distinct(_grams("keyword"))).alias("gram"))
-        often = grams.join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("_n"))
-        rare = asked.join(often, "gram", "left").groupBy("query_id", "keyword").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
-        found = n.join(grams.join(rare, "gram").select("doc_id", "node_id", "query_id", "keyword"), ["doc_id", "node_id"])
-    title = F.contains("title", "keyword")
-    hit = (own if found is None else own.unionByName(found)).where(title | (F.col("is_leaf") & F.contains("text", "keyword")))
-    at = F.when(title, F.position("keyword", "title")).otherwise(F.position("keyword", "text"))
-    source = F.when(title, F.col("title")).otherwise(F.col("text"))
-    first = F.greatest(F.lit(1), at - margin)
-    snippet = F.when(title, F.col("title")).otherwise(F.substring(source, first, at + F.length("keyword") + margin - first))
-    return hit.select("query_id", "doc_id", "node_id", "keyword", F.when(title, "title").otherwise("text").alias("field"), at.alias("position"), snippet.alias("snippet"))
-
-
-def _grams(name: str) -> Column:
-    """All 3-grams, or what is shorter, so that a keyword shorter than three still has its own: every beginning of a gram counts too."""
-    text = F.coalesce(name, F.lit(""))
-    at = F.sequence(F.lit(1), F.length(text))
-    if name == "keyword":
-        return F.when(F.length(text) < 3, F.array(text)).otherwise(F.filter(F.transform(at, lambda i: F.substring(text, i, F.lit(3))), lambda g: F.length(g) == 3))
-    of = lambda k: F.transform(at, lambda i: F.substring(text, i, F.lit(k)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.flatten(F.array(of(1), of(2), of(3))))
+        words = F.array(*(F.lit(r[0]) for r in listed)).cast("array<string>")
+        fits = lambda x: F.contains("title", x) | F.contains("_body", x)
+        found = n.select("*", F.explode(F.filter(words, fits)).alias("keyword"))
+        found = found.withColumn("_in_title", F.coalesce(F.contains("title", "keyword"), F.lit(False)))
+        found = found.withColumn("position", F.position("keyword", F.when(F.col("_in_title"), F.col("title")).otherwise(F.col("_body"))))
+    first = F.greatest(F.lit(1), F.col("position") - margin)
+    snippet = F.when(F.col("_in_title"), F.col("title")).otherwise(F.substring("_body", first, F.col("position") + F.length("keyword") + margin - first))
+    found = found.select("doc_id", "node_id", "keyword", F.when(F.col("_in_title"), "title").otherwise("text").alias("field"), "position", snippet.alias("snippet"))
+    both = found.join(every, "keyword").unionByName(found.join(own, (found["doc_id"] == own["_doc"]) & (found["keyword"] == own["keyword"])).drop("_doc").drop(own["keyword"]))
+    return both.select("query_id", "doc_id", "node_id", "keyword", "field", "position", "snippet")
 
 
 def title_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
@@ -105,7 +93,11 @@ def region_match(nodes: DataFrame, steps: DataFrame, prior: DataFrame | None = N
 
 def rule_match(anchors: DataFrame, steps: DataFrame) -> DataFrame:
     """query_id, doc_id, node_id, parent_id, pos, anchor, text_override: owned anchors whose text has any of a step's terms; see literal_terms()."""
-    hit = anchors.where("node_id is not null").join(steps.select("query_id", "doc_id", "terms"), "doc_id").where(F.exists("terms", lambda t: F.contains(F.col("text"), t)))
+    owned = anchors.where("node_id is not null")
+    asked = steps.select("query_id", "doc_id", F.explode("terms").alias("term")).distinct()
+    found = with_terms(owned.select("doc_id", "anchor", "text"), ["text"], asked).select("doc_id", "anchor", F.explode("found.term").alias("term"))
+    pairs = found.join(asked, ["doc_id", "term"]).select("query_id", "doc_id", "anchor").distinct()
+    hit = owned.join(pairs, ["doc_id", "anchor"])
     return hit.select("query_id", "doc_id", F.concat("node_id", F.lit("/match_"), "anchor").alias("node_id"), F.col("node_id").alias("parent_id"), "pos", "anchor", F.col("text").alias("text_override"))
 
 
@@ -162,10 +154,14 @@ def join_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     words = join_words(F.col("terms"), F.col("slots") if "slots" in steps.columns else none, F.col("query") if "query" in steps.columns else F.lit(""))
     s = steps.select("query_id", "doc_id", "regions", words.alias("_words"))
+    regions = s.select("query_id", "doc_id", F.posexplode("regions").alias("o", "node_id"))
+    named = nodes.select("doc_id", "node_id").join(regions, ["doc_id", "node_id"]).select("query_id", "doc_id", "node_id", F.struct(F.lit(0).alias("_rank"), F.col("o").alias("o")).alias("_k"))
     hay = F.concat_ws("\n", *(F.coalesce(x, F.lit("")) for x in ("title", "summary", "text")))
-    rank = F.when(F.array_contains("regions", F.col("node_id")), 0).when(F.col("is_leaf") & ~F.col("node_id").isin("body", "attachments") & F.exists("_words", lambda w: F.contains(hay, w)), 1)
-    hit = nodes.join(s, "doc_id").withColumn("_rank", rank).where("_rank IS NOT NULL")
-    first = hit.groupBy("query_id", "doc_id", "node_id").agg(F.min(F.struct("_rank", F.when(F.col("_rank") == 0, F.array_position("regions", F.col("node_id"))).otherwise(F.col("pos")).alias("o"))).alias("_k"))
+    leaves = nodes.where(F.col("is_leaf") & ~F.col("node_id").isin("body", "attachments")).select("doc_id", "node_id", "pos", hay.alias("_hay"))
+    asked = s.select("query_id", "doc_id", F.explode("_words").alias("term")).distinct()
+    found = with_terms(leaves, ["_hay"], asked).select("doc_id", "node_id", "pos", F.explode("found.term").alias("term"))
+    hit = found.join(asked, ["doc_id", "term"]).select("query_id", "doc_id", "node_id", F.struct(F.lit(1).alias("_rank"), F.col("pos").cast("int").alias("o")).alias("_k"))
+    first = named.unionByName(hit).groupBy("query_id", "doc_id", "node_id").agg(F.min("_k").alias("_k"))
     return first.select("query_id", "doc_id", "node_id", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_k", "node_id")).alias("place"))
 
 
@@ -184,15 +180,20 @@ def scan_batches(anchors: DataFrame, budget: int = 12000) -> DataFrame:
 
 
 def paginate(units: DataFrame, budget: int, part: int | None = None) -> DataFrame:
-    """units (query_id, doc_id, place, text) with page (from 1), used (tokens of the page), has_more and next_part; with part, that page alone."""
+    """units (query_id, doc_id, place, text) with page (from 1), used (tokens of the page), has_more and next_part; with part, that page alone.
+
+    Pages are known from places and tokens alone; texts meet them once.
+    """
     key = ["query_id", "doc_id"]
-    sized = units.withColumn("_tokens", estimate_tokens(F.col("text")))
-    pages = greedy_batches(sized.select(*key, "place", "_tokens"), key, "place", "_tokens", budget, batch="page")
-    out = sized.join(pages, [*key, "place"])
-    last = F.max("page").over(Window.partitionBy(*key))
-    out = out.withColumns({"used": F.sum("_tokens").over(Window.partitionBy(*key, "page")), "has_more": F.col("page") < last})
-    out = out.withColumn("next_part", F.when(F.col("has_more"), F.col("page") + 1)).drop("_tokens")
-    return out if part is None else out.where(F.col("page") == part)
+    sized = units.select(*key, "place", estimate_tokens(F.col("text")).alias("_tokens"))
+    items = cut(greedy_batches(sized, key, "place", "_tokens", budget, batch="page", carry=["_tokens"]), "pages")
+    pages = items.groupBy(*key, "page").agg(F.sum("_tokens").alias("used"))
+    pages = pages.withColumn("has_more", F.lead("page").over(Window.partitionBy(*key).orderBy("page")).isNotNull())
+    if part is not None:
+        pages = pages.where(F.col("page") == part)
+    facts = items.drop("_tokens").join(pages, [*key, "page"])
+    out = units.join(facts, [*key, "place"])
+    return out.withColumn("next_part", F.when(F.col("has_more"), F.col("page") + 1))
 
 
 def execute_route(steps: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
@@ -285,19 +286,21 @@ def _nearest(k: int):
     return best
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 30, least: float | None = 0.0, budget: int | None = None, blocks: int = 64) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 30, least: float | None = 0.0, budget: int | None = None, block: int = 4096) -> DataFrame:
     """query_id, node_id, score, rank: the k nearest vectors of each query (ties by id), of those the ones at least so similar, and, with budget, up to the first that goes beyond it.
 
     queries (query_id, doc_id, vector) meet the vectors (doc_id, node_id,
-    embedding, and tokens for a budget) of their own document. A document's
-    vectors are dealt to blocks by hash, each block is one matrix product and
-    keeps its own k best, so no pair is a row and a document with very many
-    vectors spreads over tasks. Vectors that are null, empty, zero or of another
-    length than the query have a score of 0.
+    embedding, and tokens for a budget) of their own document. A document of
+    more than block vectors is dealt to blocks by hash, as many as its count
+    asks for; each block is one matrix product and keeps its own k best, so no
+    pair is a row and a document with very many vectors spreads over tasks.
+    Vectors that are null, empty, zero or of another length than the query have
+    a score of 0.
     """
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    v = vectors.select("doc_id", "node_id", "embedding", deal("node_id").alias("block"))
-    q = queries.select("query_id", "doc_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    large = vectors.groupBy("doc_id").count().where(F.col("count") > block).select("doc_id", F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
+    many = F.coalesce("_blocks", F.lit(1))
+    v = vectors.join(large, "doc_id", "left").select("doc_id", "node_id", "embedding", F.pmod(F.xxhash64("node_id"), many).cast("int").alias("block"))
+    q = queries.join(large, "doc_id", "left").select("query_id", "doc_id", "vector", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {queries.schema['doc_id'].dataType.simpleString()}, node_id {vectors.schema['node_id'].dataType.simpleString()}, score double"
     each = q.groupBy("doc_id", "block").cogroup(v.groupBy("doc_id", "block")).applyInPandas(_nearest(k), schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
@@ -377,8 +380,8 @@ def chunk_oversized(units: DataFrame, budget: int, anchors: DataFrame | None = N
     rows = units.where(large)
     made = None
     if anchors is not None:
-        inside = rows.select("doc_id", "node_id", "pos", "end_pos").alias("u").join(anchors.alias("a"), (F.col("u.doc_id") == F.col("a.doc_id")) & (F.col("a.pos") >= F.col("u.pos")) & (F.col("a.pos") < F.col("u.end_pos")))
-        items = inside.select("u.doc_id", "u.node_id", "a.pos", F.coalesce("a.text", F.lit("")).alias("text"))
+        points = anchors.select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"))
+        items = covered(points, ranks(points, rows, ["node_id"])).select("doc_id", "node_id", "pos", "text")
         folded = greedy_batches(items, ["doc_id", "node_id"], "pos", estimate_tokens(F.col("text")), budget, batch="part", carry=["text"])
         lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n")
         made = folded.groupBy("doc_id", "node_id", "part").agg(lines.alias("text"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
@@ -402,12 +405,12 @@ def anchor_context(units: DataFrame, anchors: DataFrame, asked: DataFrame | None
     they have any; anchors: doc_id, pos, kind (p or tbl), text. Pairs of asked
     (query_id, doc_id) without any get a message that says so.
     """
-    place = F.col("u.place") if "place" in units.columns else F.col("u.pos")
-    title = F.trim(F.coalesce("u.title", F.lit(""))) if "title" in units.columns else F.lit("")
-    text = strip(F.coalesce("a.text", F.lit("")))
-    cover = units.alias("u").join(anchors.alias("a"), (F.col("u.doc_id") == F.col("a.doc_id")) & F.col("a.pos").between(F.col("u.pos"), F.col("u.end_pos") - 1) & (text != ""))
-    kind = F.when(F.col("a.kind") == "tbl", "table").otherwise("paragraph")
-    rows = cover.select("u.query_id", "u.doc_id", "a.pos", kind.alias("kind"), F.struct(place.alias("place"), title.alias("title")).alias("_u"), text.alias("text"))
+    place = F.col("place") if "place" in units.columns else F.col("pos")
+    title = F.trim(F.coalesce("title", F.lit(""))) if "title" in units.columns else F.lit("")
+    kind = F.when(F.col("kind") == "tbl", "table").otherwise("paragraph")
+    points = anchors.select("doc_id", "pos", kind.alias("kind"), strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    spans = units.select("query_id", "doc_id", "pos", "end_pos", F.struct(place.alias("place"), title.alias("title")).alias("_u"))
+    rows = covered(points, ranks(points, spans, ["query_id", "_u", "pos"]).drop("pos"))
     # an anchor that several units cover stands where the first has it
     once = rows.groupBy("query_id", "doc_id", "pos", "kind", "text").agg(F.min("_u").alias("_u"))
     once = once.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_u.place", "pos")))
@@ -445,10 +448,12 @@ def chunk_text(docs: DataFrame, size: int = 512, overlap: int = 100) -> DataFram
     pieces = s.select("doc_id", "p", "s", F.posexplode(F.when(tokens() > size, slices).otherwise(F.array("x"))).alias("t", "x"))
     pieces = pieces.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "s", "t")))
     ranges = overlapping_batches(pieces.select("doc_id", "pos", tokens().alias("w")), size, overlap)
-    inside = ranges.alias("r").join(pieces.alias("i"), (F.col("r.doc_id") == F.col("i.doc_id")) & F.col("i.pos").between(F.col("r.start_pos"), F.col("r.end_pos")))
+    # pieces are numbered throughout, so that each batch names its own
+    each = ranges.withColumn("pos", F.explode(F.sequence("start_pos", "end_pos")))
+    inside = each.alias("r").join(pieces.alias("i"), ["doc_id", "pos"])
     # pieces of one paragraph stay on a line
-    mark = F.when(F.lag("i.p").over(Window.partitionBy("r.doc_id", "r.batch").orderBy("i.pos")) == F.col("i.p"), " ").otherwise("\n\n")
-    line = inside.select("r.doc_id", F.col("r.batch").alias("chunk"), "r.start_pos", "r.end_pos", "i.pos", F.when(F.col("i.pos") == F.col("r.start_pos"), F.col("i.x")).otherwise(F.concat(mark, "i.x")).alias("x"))
+    mark = F.when(F.lag("p").over(Window.partitionBy("doc_id", "batch").orderBy("pos")) == F.col("p"), " ").otherwise("\n\n")
+    line = inside.select("doc_id", F.col("batch").alias("chunk"), "start_pos", "end_pos", "pos", F.when(F.col("pos") == F.col("start_pos"), F.col("x")).otherwise(F.concat(mark, "x")).alias("x"))
     return line.groupBy("doc_id", "chunk", "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda y: y["x"]), "").alias("text"))
 
 
@@ -502,8 +507,8 @@ def search(
     kept = cut(kept.withColumn("_tokens", estimate_tokens(F.col("text"))).drop("text"), "kept")
     large = (F.col("_tokens") > F.col("_limit")) & ~F.col("_over")
     whole = kept.where(~large).withColumn("_part", F.lit(0))
-    texts = anchors.select("doc_id", F.col("pos").alias("_p"), estimate_tokens(F.col("text")).alias("_n")).alias("a")
-    inside = kept.where(large).alias("k").join(texts, (F.col("k.doc_id") == F.col("a.doc_id")) & (F.col("_p") >= F.col("k.pos")) & (F.col("_p") < F.col("k.end_pos"))).select("k.*", "_p", "_n")
+    points = anchors.select("doc_id", "pos", estimate_tokens(F.col("text")).alias("_n"))
+    inside = covered(points, ranks(points, kept.where(large), ["query_id", "node_id", "_limit"])).withColumnRenamed("pos", "_p")
     folded = greedy_batches(inside, [*key, "node_id"], "_p", "_n", "_limit", batch="_part", carry=["_n"])
     folded = folded.groupBy(*key, "node_id", "_part").agg(F.min("_p").alias("_from"), F.max("_p").alias("_to"), F.sum("_n").alias("_tokens"))
     parts = kept.where(large).drop("_tokens").join(folded, [*key, "node_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import SPACE, nfkc, strip
+from foliant.operators.patterns import with_terms
 
 
 def extract_json(raw: Column) -> Column:
@@ -258,7 +259,9 @@ def validate_annotations(evidence: DataFrame, anchors: DataFrame, criteria: Data
 def enrich_rule_evidence(criteria: DataFrame, evidence: DataFrame, anchors: DataFrame, rules: DataFrame) -> DataFrame:
     """For (doc, criterion) without evidence the first anchors with the rule's keyword, up to its limit."""
     bare = criteria.join(evidence.select("doc_id", "criterion_id"), ["doc_id", "criterion_id"], "left_anti").join(rules, "criterion_id")
-    hit = bare.join(anchors.select("doc_id", "pos", "anchor", "text"), "doc_id").where(F.contains("text", "keyword"))
+    found = with_terms(anchors.select("doc_id", "pos", "anchor", "text"), ["text"], rules.select(F.col("keyword").alias("term")))
+    found = found.select("doc_id", "pos", "anchor", F.explode("found.term").alias("keyword"))
+    hit = bare.join(found, ["doc_id", "keyword"])
     w = Window.partitionBy("doc_id", "criterion_id").orderBy("pos")
     return hit.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= F.col("most")).select("doc_id", "criterion_id", "anchor")
 

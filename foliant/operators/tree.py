@@ -9,6 +9,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 from foliant.functions.text import estimate_tokens, extractive_summary, truncate
 from foliant.operators.greedy import greedy_batches, overlapping_batches
+from foliant.operators.sweep import covered, owner, ranks
+from foliant.sources.scratch import cut
 
 
 def W() -> WindowSpec:  # noqa: N802
@@ -16,7 +18,6 @@ def W() -> WindowSpec:  # noqa: N802
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-
 def build_hierarchy(headings: DataFrame, ends: DataFrame, levels: int = 3, root: str = "body", first: str = "sec", below: str = "l") -> DataFrame:
     """Nodes of headings (doc_id, pos, level, title); ends has each document's range end (exclusive).
 
@@ -52,18 +53,30 @@ def hierarchy_nodes(headings: DataFrame, ends: DataFrame, root: str, levels: int
 
 
 def materialize_nodes(nodes: DataFrame, blocks: DataFrame, with_tables: bool = False) -> DataFrame:
-    """Add text (of paragraphs in the span, line by line, and of tables if asked for), tokens, summary, and, where blocks have them, start and end anchor and page range; spans are [pos, end_pos)."""
+    """Add text (of paragraphs in the span, line by line, and of tables if asked for), tokens, summary, and, where blocks have them, start and end anchor and page range; spans are [pos, end_pos).
+
+    A document's blocks are an array, of which a node takes a slice: texts are
+    moved once, not for each node above them.
+    """
     wanted = F.lit(True) if with_tables else F.col("kind") == "p"
-    b = blocks.withColumn("_line", F.when(wanted & (F.col("text") != ""), F.col("text")))
-    inside = nodes.alias("n").join(b.alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("b.pos") >= F.col("n.pos")) & (F.col("b.pos") < F.col("n.end_pos")))
-    line = F.when(F.col("b._line").isNotNull(), F.struct("b.pos", F.col("b._line").alias("text")))
-    found = [F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n").alias("text")]
-    if "anchor" in blocks.columns:
-        found += [F.min_by("b.anchor", "b.pos").alias("start_anchor"), F.max_by("b.anchor", "b.pos").alias("end_anchor")]
-    if "page_start" in blocks.columns:
-        found += [F.min("b.page_start").alias("page_start"), F.max("b.page_end").alias("page_end")]
-    texts = inside.groupBy("n.doc_id", "n.node_id").agg(*found)
-    out = nodes.join(texts, ["doc_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    more = [c for c in ("anchor", "page_start", "page_end") if c in blocks.columns]
+    line = F.struct("pos", F.when(wanted & (F.col("text") != ""), F.col("text")).alias("line"), *more)
+    arrays = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("_b"))
+    own = [c for c in nodes.columns if c != "doc_id"]
+    ranked = nodes.join(ranks(blocks, nodes, ["node_id"]), ["doc_id", "node_id"], "left")
+    each = ranked.groupBy("doc_id").agg(F.collect_list(F.struct(*own, "first", "stop")).alias("_n"))
+
+    def found(n: Column) -> Column:
+        size = F.coalesce(n["stop"] - n["first"], F.lit(0)).cast("int")
+        part = F.slice(F.coalesce("_b", F.array().cast(arrays.schema["_b"].dataType)), (F.coalesce(n["first"], F.lit(0)) + 1).cast("int"), size)
+        out = [F.array_join(part["line"], "\n").alias("text")]
+        if "anchor" in more:
+            out += [F.get(part["anchor"], F.lit(0)).alias("start_anchor"), F.get(part["anchor"], size - 1).alias("end_anchor")]
+        if "page_start" in more:
+            out += [F.array_min(part["page_start"]).alias("page_start"), F.array_max(part["page_end"]).alias("page_end")]
+        return F.struct(*(n[c].alias(c) for c in own), *out)
+
+    out = each.join(arrays, "doc_id", "left").select("doc_id", F.explode(F.transform("_n", found)).alias("n")).select("doc_id", "n.*")
     out = out.withColumn("tokens", estimate_tokens(F.col("text")))
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("text"))
     return out.withColumn("summary", extractive_summary(F.when(F.col("tokens") >= 300, F.col("text")).otherwise(title)))
@@ -71,29 +84,19 @@ def materialize_nodes(nodes: DataFrame, blocks: DataFrame, with_tables: bool = F
 
 def split_long_leaves(leaves: DataFrame, blocks: DataFrame, threshold: int = 1000, target: int = 700) -> DataFrame:
     """doc_id, node_id, chunk, start_pos, end_pos (inclusive), tokens: pieces of leaves above threshold tokens; tables weigh nothing; a single piece is none."""
-    inside = leaves.alias("n").join(blocks.alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("b.pos") >= F.col("n.pos")) & (F.col("b.pos") < F.col("n.end_pos")))
-    items = inside.select("n.doc_id", "n.node_id", "b.pos", F.when(F.col("b.kind") == "tbl", 0).otherwise(estimate_tokens(F.col("b.text"))).alias("w"))
-    long = items.groupBy("doc_id", "node_id").agg(F.sum("w").alias("t")).where(F.col("t") > threshold).select("doc_id", "node_id")
-    folded = greedy_batches(items.join(long, ["doc_id", "node_id"], "left_semi"), ["doc_id", "node_id"], "pos", "w", target, flush_empty=False, batch="chunk", carry=["w"])
+    items = blocks.select("doc_id", "pos", F.when(F.col("kind") == "tbl", 0).otherwise(estimate_tokens(F.col("text"))).alias("w"))
+    items = cut(items, "items")
+    long = ranks(items, leaves, ["node_id"], F.col("w")).where(F.col("weight") > threshold)
+    folded = greedy_batches(covered(items, long), ["doc_id", "node_id"], "pos", "w", target, flush_empty=False, batch="chunk", carry=["w"])
     chunks = folded.groupBy("doc_id", "node_id", "chunk").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.sum("w").alias("tokens"))
     return chunks.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id", "node_id"))).where("_n > 1").drop("_n")
 
 
-def owner(points: DataFrame, nodes: DataFrame, by: str, closed: bool = False, keep: bool = True) -> DataFrame:
-    """points (doc_id, pos, ...) with node_id: of the nodes whose span covers pos that with the largest value of by (depth, or pre-order)."""
-    n = nodes.select("doc_id", F.col("pos").alias("_from"), F.col("end_pos").alias("_to"), F.col("node_id").alias("_node"), F.col(by).alias("_by"))
-    upper = F.col("pos") <= F.col("_to") if closed else F.col("pos") < F.col("_to")
-    cover = points.select("doc_id", "pos").alias("p").join(n.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("pos") >= F.col("_from")) & upper)
-    best = cover.groupBy("doc_id", "pos").agg(F.max_by("_node", F.struct("_by", "_from")).alias("node_id"))
-    return points.join(best, ["doc_id", "pos"], "left" if keep else "inner")
-
-
 def attach_tables(tables: DataFrame, nodes: DataFrame) -> DataFrame:
     """Tables with their deepest covering node, its depth + 1 as level, and the ordinal under it."""
-    owned = owner(tables, nodes, "depth", keep=False)
-    named = owned.join(nodes.select("doc_id", "node_id", "depth"), ["doc_id", "node_id"])
+    owned = owner(tables, nodes, "depth", keep=False, also=["depth"])
     w = Window.partitionBy("doc_id", "node_id").orderBy("pos")
-    return named.withColumns({"level": F.col("depth") + 1, "ordinal": F.row_number().over(w)}).drop("depth")
+    return owned.withColumns({"level": F.col("depth") + 1, "ordinal": F.row_number().over(w)}).drop("depth")
 
 
 def own_anchors(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -364,9 +367,10 @@ def split_structure(nodes: DataFrame, budget: int) -> DataFrame:
     A subtree above the budget gives way to its children, under a page group of
     its own; a single node above it has a page for itself.
     """
-    below = nodes.select("doc_id", F.col("node_id").alias("_n"), F.col("tokens").alias("_t"))
-    inside = (F.col("_n") == F.col("node_id")) | F.startswith("_n", F.concat("node_id", F.lit("/")))
-    sized = nodes.join(below, "doc_id").where(inside).groupBy("doc_id", "node_id", "parent_id", "pos").agg(F.sum("_t").alias("size"), F.count("*").alias("_k"))
+    parts = F.split("node_id", "/")
+    paths = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    sizes = nodes.select("doc_id", "tokens", paths.alias("node_id")).groupBy("doc_id", "node_id").agg(F.sum("tokens").alias("size"), F.count("*").alias("_k"))
+    sized = nodes.select("doc_id", "node_id", "parent_id", "pos").join(sizes, ["doc_id", "node_id"])
     up = sized.select("doc_id", F.col("node_id").alias("parent_id"), F.col("size").alias("_above"))
     units = sized.join(up, ["doc_id", "parent_id"], "left").where(((F.col("size") <= budget) | (F.col("_k") == 1)) & (F.col("_above").isNull() | (F.col("_above") > budget)))
     return greedy_batches(units, ["doc_id", "parent_id"], "pos", "size", budget, batch="page", carry=["node_id"]).drop("pos")

@@ -52,10 +52,11 @@ NUMBERED = BLOCKS + r""", numbered AS (
 )"""
 FAMILY = r"CASE WHEN regexp_matches(text, '^[（(]\d+[）)]') THEN 'arabic_paren' WHEN regexp_matches(text, '^\d+(?:\.\d+)+[.、）)]?') THEN 'arabic_multilevel' WHEN regexp_matches(text, '^\d+、') THEN 'arabic_comma' WHEN regexp_matches(text, '^\d+[.]') THEN 'arabic_dot' WHEN regexp_matches(text, '^\d+[）)]') THEN 'arabic_close' WHEN regexp_matches(text, '^[A-Za-z][.、）)]') THEN 'letter' ELSE 'unnumbered' END"
 ORDINAL = r"CASE WHEN regexp_extract(text, '^[(（]?(\d+)[.、)）]', 1) <> '' THEN TRY_CAST(regexp_extract(text, '^[(（]?(\d+)', 1) AS BIGINT) WHEN regexp_matches(text, '^[A-Za-z][.、)）]') THEN ascii(upper(text[1])) - 64 END"
-_KINDS = [("arabic_parenthesized", r"^[（(]\d+[）)]"), ("arabic_dot", r"^\d+[.．]"), ("alphabetic", r"^[A-Za-z]\)")]
+_KINDS = C.EXAMPLE_KINDS
 EXAMPLES = NUMBERED + ", ex AS (SELECT source || '/' || doc_id % 3 AS profile, level, doc_id * 1000000 + pos AS place, text, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in _KINDS) + " END AS kind, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{p[1:]}'" for _, p in _KINDS) + """ END AS src FROM numbered WHERE level IS NOT NULL),
 firsts AS (SELECT profile, level, kind, src, min(place) AS f FROM ex WHERE kind IS NOT NULL GROUP BY ALL),
-patterns AS (SELECT profile, level, string_agg(kind, ',' ORDER BY f) AS kinds, '^(?:' || string_agg(src, '|' ORDER BY f) || ')' AS pattern FROM firsts GROUP BY ALL)"""
+kinds AS (SELECT profile, level, string_agg(kind, ',' ORDER BY f) AS kinds FROM (SELECT profile, level, kind, min(f) AS f FROM firsts GROUP BY ALL) GROUP BY ALL),
+patterns AS (SELECT profile, level, kinds, '^(?:' || string_agg(src, '|' ORDER BY f) || ')' AS pattern FROM firsts JOIN kinds USING (profile, level) GROUP BY ALL)"""
 
 
 def examples(s, d):
