@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliant.functions.text import ngrams
+from foliant.sources.places import placed
+from foliant.sources.scratch import cut
 
 
 def gram_counts(texts: DataFrame, key: list[str], n: int = 3) -> DataFrame:
@@ -134,14 +136,37 @@ def summary_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFra
 
 
 def percentile(x: Column, p: float) -> Column:
-    """Linear interpolation; null on no values."""
+    """Linear interpolation; null on no values. For groups of bounded size, as it keeps their values in one buffer; others: percentiles()."""
     return F.round(F.percentile(x, p), 3)
 
 
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and, for each share, its exact percentile of a key's values (linear between neighbours, rounded to 3; nulls left out).
+
+    Values are ranked over range partitions and picked by rank, so that a key
+    of any number of values is in no buffer and no task alone.
+    """
+    known = cut(rows.select(key, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL"), "values")
+    ranked = placed(known, ["_v"], [key])
+    picks = []
+    for name, share in shares.items():
+        at = (F.col("of") - 1) * F.lit(share)
+        picks += [F.max(F.when(F.col("place") == f(at), F.col("_v"))).alias(f"_{x}_{name}") for x, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = ranked.groupBy(key).agg(F.max("of").alias("_of"), *picks)
+
+    def between(name: str, share: float) -> Column:
+        part = (F.col("_of") - 1) * F.lit(share) - F.floor((F.col("_of") - 1) * F.lit(share))
+        return F.round(F.col(f"_lo_{name}") * (1 - part) + F.col(f"_hi_{name}") * part, 3)
+
+    return found.select(key, *(between(n, p).alias(n) for n, p in shares.items()))
+
+
 def contract_metrics(latency: DataFrame, key: str, seconds: str, builds: DataFrame | None = None) -> DataFrame:
     """key, n, mean, p50, p95, max of seconds; with builds (key, build_seconds) also those, null and index_built false where there is none."""
     s = F.col(seconds)
-    out = latency.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(s), 3).alias("mean"), percentile(s, 0.5).alias("p50"), percentile(s, 0.95).alias("p95"), F.round(F.max(s), 3).alias("max"))
+    whole = latency.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(s), 3).alias("mean"), F.round(F.max(s), 3).alias("max"))
+    same = percentiles(latency, key, seconds, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(key, "_key")
+    out = whole.join(same, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "n", "mean", "p50", "p95", "max")
     return out if builds is None else out.join(builds.select(key, "build_seconds"), key, "left").withColumn("index_built", F.col("build_seconds").isNotNull())
 
 

@@ -78,6 +78,44 @@ def lease_concurrency(calls: DataFrame, ttl: float = 600.0) -> DataFrame:
     return edges.withColumn("_n", F.sum("d").over(w)).groupBy("kind").agg(F.max("_n").alias("most"))
 
 
+def _lease_edges(calls: DataFrame, ttl: float) -> DataFrame:
+    """kind, hour, t, d: starts (1) and ends (-1) of leases, cut at hours; ends come before starts of the same moment."""
+    a = _seconds("start")
+    z = F.least(F.coalesce(_seconds("end"), a + ttl), a + ttl)
+    leases = calls.select("kind", a.alias("a"), z.alias("z")).where("z > a")
+    pieces = leases.select("kind", "a", "z", F.explode(F.sequence(F.floor(F.col("a") / 3600), F.floor(F.col("z") / 3600))).alias("hour"))
+    ends = F.array(F.struct(F.greatest(F.col("a"), F.col("hour") * 3600.0).alias("t"), F.lit(1).alias("d")), F.struct(F.least(F.col("z"), (F.col("hour") + 1) * 3600.0).alias("t"), F.lit(-1).alias("d")))
+    return pieces.select("kind", "hour", F.explode(ends).alias("e")).select("kind", "hour", "e.*")
+
+
+def time_above(calls: DataFrame, caps: DataFrame, ttl: float = 600.0) -> DataFrame:
+    """kind, start, end (seconds), seconds, most: the maximal stretches of time in which more leases of a kind are held than its cap (caps: kind, cap), and the most that are held in each.
+
+    Leases (kind, start, end) run out after ttl seconds. The running count is
+    swept hour by hour, so that a kind's time spreads over tasks; stretches
+    that go on into the next hour are then joined. Kinds without a cap have no
+    stretches.
+    """
+    moments = _lease_edges(calls, ttl).groupBy("kind", "hour", "t").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy("kind", "hour").orderBy("t")
+    held = moments.withColumns({"n": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "to": F.lead("t").over(w)})
+    above = held.join(caps.select("kind", "cap"), "kind").where("n > cap AND to IS NOT NULL").select("kind", "hour", F.col("t").alias("a"), F.col("to").alias("z"), "n")
+    # within an hour, then across hours, of which a row is left for each stretch
+    for keys in (["kind", "hour"], ["kind"]):
+        w = Window.partitionBy(*keys).orderBy("a")
+        first = F.coalesce(F.lag("z").over(w) != F.col("a"), F.lit(True)).cast("int")
+        above = above.withColumn("_first", first).withColumn("_no", F.sum("_first").over(w)).groupBy(*keys, "_no").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.max("n").alias("n")).drop("_no")
+    return above.select("kind", F.col("a").alias("start"), F.col("z").alias("end"), F.round(F.col("z") - F.col("a"), 3).alias("seconds"), F.col("n").alias("most"))
+
+
+def lease_waits(calls: DataFrame, timeout: float = 300.0) -> DataFrame:
+    """kind, n, granted, timed_out, mean, longest: waits (seconds) from request to grant of calls (kind, requested, start: null if never granted); those never granted, or later than timeout, have timed out and count in no wait."""
+    wait = _seconds("start") - _seconds("requested")
+    fine = wait.isNotNull() & (wait <= timeout)
+    out = calls.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(fine, 1)).alias("granted"), F.avg(F.when(fine, wait)).alias("_mean"), F.max(F.when(fine, wait)).alias("_longest"))
+    return out.select("kind", "n", "granted", (F.col("n") - F.col("granted")).alias("timed_out"), F.round("_mean", 3).alias("mean"), F.round("_longest", 3).alias("longest"))
+
+
 def span_tree(runs: DataFrame) -> DataFrame:
     """run_id, depth, total, self, failed: depth below the root, the duration less that of direct children, and whether the run has an error.
 
@@ -144,6 +182,12 @@ def tenant_summary(users: DataFrame) -> DataFrame:
     return users.groupBy("tenant").agg(F.count("*").alias("users"), F.count(F.when(F.col("role") == "admin", 1)).alias("admins"), F.count(F.when(~F.col("enabled"), 1)).alias("disabled"), F.sum("reviews").alias("reviews"))
 
 
+def recent_reviewers(users: DataFrame, k: int = 10) -> DataFrame:
+    """tenant, place, username, latest: each tenant's k users (rolled up) of the newest reviews; users without any don't count, ties by name."""
+    w = Window.partitionBy("tenant").orderBy(F.col("latest").desc(), "username")
+    return users.where("latest <> '-'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("tenant", "place", "username", "latest")
+
+
 def size_label(n: Column) -> Column:
     step = lambda d: F.format_string("%.1f", n / d)
     return F.when(n.isNull(), "-").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(step(1024.0), F.lit(" KB"))).when(n < 1 << 30, F.concat(step(float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(step(float(1 << 30)), F.lit(" GB")))
@@ -178,15 +222,23 @@ def upsert_history(history: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def client_lookup(requests: DataFrame, clients: DataFrame) -> DataFrame:
-    """requests (request_id, key) with outcome: ok, missing, unknown, ambiguous or disabled, and client_id if ok."""
-    c = clients.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min("client_id").alias("_id"), F.bool_or("enabled").alias("_on"))
+    """requests (request_id, key) with outcome: ok, missing, unknown, ambiguous, disabled or incomplete (a client without an id), and client_id if ok."""
+    blank = F.trim(F.coalesce(F.col("client_id").cast("string"), F.lit(""))) == ""
+    c = clients.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min("client_id").alias("_id"), F.bool_or("enabled").alias("_on"), F.bool_or(blank).alias("_blank"))
     out = requests.withColumn("fingerprint", F.sha2(F.col("key"), 256)).join(c, "fingerprint", "left")
-    outcome = F.when(F.trim(F.coalesce("key", F.lit(""))) == "", "missing").when(F.col("_n").isNull(), "unknown").when(F.col("_n") > 1, "ambiguous").when(~F.col("_on"), "disabled").otherwise("ok")
+    outcome = F.when(F.trim(F.coalesce("key", F.lit(""))) == "", "missing").when(F.col("_n").isNull(), "unknown").when(F.col("_n") > 1, "ambiguous").when(~F.col("_on"), "disabled").when(F.col("_blank"), "incomplete").otherwise("ok")
     return out.select("request_id", outcome.alias("outcome"), F.when(outcome == "ok", F.col("_id")).alias("client_id"))
 
 
+# What is shown of a client's task.
+TASK_FIELDS = ("task_id", "status", "created_at", "started_at", "finished_at", "contract_filename", "result_filename")
+
+
 def client_tasks(tasks: DataFrame, client: Column) -> DataFrame:
-    return tasks.where(F.col("client_id") == client).select("task_id", F.coalesce("status", F.lit("unreadable")).alias("status"))
+    """The fields of a client's tasks that are shown, as text, empty where a task has none; a task without a status could not be read."""
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("")) if x in tasks.columns else F.lit("")
+    shown = {x: text(x) for x in TASK_FIELDS} | {"task_id": F.col("task_id"), "status": F.coalesce("status", F.lit("unreadable"))}
+    return tasks.where(F.col("client_id") == client).select(*(c.alias(x) for x, c in shown.items()))
 
 
 def key_uniqueness(rows: DataFrame, key: str, pattern: str) -> DataFrame:
@@ -245,9 +297,11 @@ def call_payload_stats(messages: DataFrame, query: int = 200, answer: int = 500)
 
 
 def task_listing(tasks: DataFrame, files: DataFrame) -> DataFrame:
-    """task_id, status, ready: ready if succeeded and its file exists."""
+    """task_id, status, ready (succeeded, and its file exists) and, where tasks have a contract_path, stored: whether a folder of that path is named input."""
     have = files.select("task_id").distinct().withColumn("_f", F.lit(True))
-    return tasks.join(have, "task_id", "left").select("task_id", "status", ((F.col("status") == "succeeded") & F.col("_f").isNotNull()).alias("ready"))
+    out = tasks.join(have, "task_id", "left")
+    stored = [F.coalesce(F.array_contains(F.split("contract_path", r"[/\\\\]"), "input"), F.lit(False)).alias("stored")] if "contract_path" in tasks.columns else []
+    return out.select("task_id", "status", ((F.col("status") == "succeeded") & F.col("_f").isNotNull()).alias("ready"), *stored)
 
 
 def token_usage(calls: DataFrame) -> DataFrame:

@@ -324,6 +324,33 @@ def token_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id", "tokens", F.row_number().over(w).alias("rank"))
 
 
+# Types of nodes that are listed by their titles.
+TITLE_TYPES = ("section", "attachment_parent", "attachment_section", "visual_title", "heading", "plain_label")
+
+
+def title_rows(nodes: DataFrame) -> DataFrame:
+    """Nodes of TITLE_TYPES with node_id, level, node_type, title, tokens and, where they have them, start and end anchor."""
+    more = [x for x in ("start_anchor", "end_anchor") if x in nodes.columns]
+    return nodes.where(F.col("node_type").isin(*TITLE_TYPES)).select("doc_id", "node_id", "level", "node_type", "title", "tokens", *more)
+
+
+def type_counts(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_type, n, tokens with each document's subtotal (null type) and the total (null doc_id); nodes without a type count as unknown."""
+    typed = nodes.withColumn("node_type", F.coalesce("node_type", F.lit("unknown")))
+    return typed.rollup("doc_id", "node_type").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+def attachment_tree(nodes: DataFrame, root: str = "attachments") -> DataFrame:
+    """doc_id, node_id, parent_id, node_type, title, tokens, depth (from 1), path (titles from the top) of nodes below root, by the paths that ids are."""
+    below = nodes.where(F.startswith("node_id", F.lit(f"{root}/")))
+    parts = F.split(F.substring("node_id", len(root) + 2, 1 << 20), "/")
+    each = below.select("doc_id", "node_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit(f"{root}/"), F.array_join(F.slice(parts, 1, i), "/")))).alias("_i", "_up"))
+    titles = below.select("doc_id", F.col("node_id").alias("_up"), F.coalesce("title", F.lit("")).alias("_t"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"])
+    found = each.join(titles, ["doc_id", "_up"]).groupBy("doc_id", "node_id").agg(path.alias("path"))
+    return below.join(found, ["doc_id", "node_id"]).select("doc_id", "node_id", "parent_id", "node_type", "title", "tokens", F.size("path").alias("depth"), "path")
+
+
 def subtree(nodes: DataFrame, root: Column) -> DataFrame:
     """Nodes below (or equal to) root: by the path that an id is."""
     return nodes.where((F.col("node_id") == root) | F.startswith(F.col("node_id"), F.concat(root, F.lit("/"))))

@@ -45,6 +45,11 @@ def leases(s, d):
     return table(s, d, "events").selectExpr("event_type AS kind", "ts AS start", "CASE WHEN event_id % 3 <> 0 THEN ts + make_interval(0, 0, 0, 0, 0, 0, event_id % 900) END AS end")
 
 
+def caps(s):
+    """Caps of two of the kinds of leases."""
+    return s.createDataFrame([("click", 1), ("view", 2)], "kind string, cap int")
+
+
 def keys(s, d):
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("client_id"), F.sha2(F.concat(F.lit("k"), (F.col("s_suppkey") - F.when(F.col("s_suppkey") % 10 == 1, 1).otherwise(0)).cast("string")), 256).alias("fingerprint"), (F.col("s_suppkey") % 7 != 3).alias("enabled"))
 
@@ -72,6 +77,16 @@ Q = {
         lambda s, d: H.lease_concurrency(leases(s, d)),
         "WITH l AS (SELECT event_type AS kind, epoch_us(ts) / 1e6 AS a, CASE WHEN event_id % 3 <> 0 THEN least(epoch_us(ts) / 1e6 + event_id % 900, epoch_us(ts) / 1e6 + 600) ELSE epoch_us(ts) / 1e6 + 600 END AS z FROM events), e AS (SELECT kind, a AS t, 1 AS d, 1 AS o FROM l UNION ALL SELECT kind, z, -1, 0 FROM l), w AS (SELECT kind, sum(d) OVER (PARTITION BY kind ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT kind, CAST(max(n) AS BIGINT) AS most FROM w GROUP BY kind",
     ),
+    "h08_time_above": (
+        lambda s, d: H.time_above(leases(s, d), caps(s)).select("kind", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "seconds", "most"),
+        "WITH l AS (SELECT event_type AS kind, epoch_us(ts) AS a, CASE WHEN event_id % 3 <> 0 THEN least(epoch_us(ts) + event_id % 900 * 1000000, epoch_us(ts) + 600000000) ELSE epoch_us(ts) + 600000000 END AS z FROM events), e AS (SELECT kind, t, sum(d) AS d FROM (SELECT kind, a AS t, 1 AS d FROM l WHERE z > a UNION ALL SELECT kind, z, -1 FROM l WHERE z > a) GROUP BY ALL),"
+        " h AS (SELECT kind, t, sum(d) OVER w AS n, lead(t) OVER w AS t2 FROM e WINDOW w AS (PARTITION BY kind ORDER BY t)), o AS (SELECT *, CASE WHEN lag(t2) OVER (PARTITION BY kind ORDER BY t) = t THEN 0 ELSE 1 END AS f FROM h WHERE t2 IS NOT NULL AND n > CASE kind WHEN 'click' THEN 1 WHEN 'view' THEN 2 END),"
+        " g AS (SELECT *, sum(f) OVER (PARTITION BY kind ORDER BY t) AS i FROM o) SELECT kind, round(min(t) / 1e6, 3) AS start, round(max(t2) / 1e6, 3) AS \"end\", round((max(t2) - min(t)) / 1e6, 3) AS seconds, CAST(max(n) AS BIGINT) AS most FROM g GROUP BY kind, i",
+    ),
+    "h08_lease_waits": (
+        lambda s, d: H.lease_waits(table(s, d, "events").selectExpr("event_type AS kind", "ts AS requested", "CASE WHEN event_id % 7 <> 0 THEN ts + make_interval(0, 0, 0, 0, 0, 0, event_id % 400) END AS start")),
+        "WITH c AS (SELECT event_type AS kind, CASE WHEN event_id % 7 <> 0 AND event_id % 400 <= 300 THEN event_id % 400 END AS w FROM events) SELECT kind, count(*) AS n, count(w) AS granted, count(*) - count(w) AS timed_out, round(avg(w), 3) AS mean, CAST(max(w) AS DOUBLE) AS longest FROM c GROUP BY kind",
+    ),
     "h09_span_tree": (
         lambda s, d: H.span_tree(spans(s, d)).where("run_id > 0"),
         "WITH RECURSIVE r AS (SELECT event_id AS run_id, CASE WHEN event_id > 0 THEN CASE WHEN event_id % 9 = 8 THEN -5 WHEN event_id < 60 THEN event_id - 1 ELSE event_id // 8 END END AS parent_id, value, event_type FROM events), t AS (SELECT run_id, 0 AS depth FROM r WHERE parent_id IS NULL UNION ALL SELECT r.run_id, t.depth + 1 FROM r JOIN t ON r.parent_id = t.run_id), c AS (SELECT parent_id AS run_id, sum(value) AS inner_s FROM r WHERE parent_id IS NOT NULL GROUP BY 1) SELECT r.run_id, t.depth, round(r.value, 3) AS total, round(r.value - coalesce(c.inner_s, 0), 3) AS self, event_type = 'error' AS failed FROM r LEFT JOIN t USING (run_id) LEFT JOIN c USING (run_id) WHERE r.run_id > 0",
@@ -93,6 +108,10 @@ Q = {
         lambda s, d: H.tenant_summary(users(s, d).select("username", "tenant").join(H.user_rollup(users(s, d), tasks(s, d)), "username")),
         f"WITH {ROLL} SELECT tenant, count(*) AS users, count(*) FILTER (role = 'admin') AS admins, count(*) FILTER (NOT enabled) AS disabled, CAST(sum(reviews) AS BIGINT) AS reviews FROM roll GROUP BY tenant",
     ),
+    "h14_recent_reviewers": (
+        lambda s, d: H.recent_reviewers(users(s, d).select("username", "tenant").join(H.user_rollup(users(s, d), tasks(s, d)), "username")),
+        f"WITH {ROLL}, r AS (SELECT tenant, row_number() OVER (PARTITION BY tenant ORDER BY latest DESC, username) AS place, username, latest FROM roll WHERE latest <> '-') SELECT * FROM r WHERE place <= 10",
+    ),
     "h15_user_history": (
         lambda s, d: H.user_history(tasks(s, d).selectExpr("*", "CASE WHEN task_id % 5 <> 0 THEN concat('c', task_id) END AS contract_original_name", "CASE WHEN task_id % 2 = 0 THEN 'stored' END AS contract_stored_name", "CASE WHEN task_id % 4 <> 0 THEN task_id * 700 END AS contract_bytes", "CASE WHEN task_id % 3 = 1 THEN 'uploaded' END AS criteria_source", "CASE WHEN task_id % 6 = 1 THEN 'mine' END AS criteria_name"), files(s, d), 5).drop("report_size"),
         f"WITH {TASKS}, {FILES}, r AS (SELECT username, task_id, coalesce(CASE WHEN task_id % 5 <> 0 THEN 'c' || task_id END, CASE WHEN task_id % 2 = 0 THEN 'stored' END, '-') AS contract_name, '-' AS report_name, CASE WHEN task_id % 4 = 0 THEN '-' WHEN task_id * 700 < 1024 THEN (task_id * 700) || ' B' WHEN task_id * 700 < 1048576 THEN printf('%.1f KB', task_id * 700 / 1024.0::DOUBLE) WHEN task_id * 700 < 1073741824 THEN printf('%.1f MB', task_id * 700 / 1048576.0::DOUBLE) ELSE printf('%.1f GB', task_id * 700 / 1073741824.0::DOUBLE) END AS contract_size, CASE WHEN task_id % 3 = 1 THEN 'Uploaded: ' || CASE WHEN task_id % 6 = 1 THEN 'mine' ELSE '-' END ELSE 'Default criteria' END AS criteria_label, row_number() OVER (PARTITION BY username ORDER BY created_at DESC, task_id) AS place FROM tasks JOIN files USING (task_id)) SELECT * FROM r WHERE place <= 5",
@@ -109,7 +128,7 @@ Q = {
         lambda s, d: H.client_lookup(table(s, d, "customer").selectExpr("c_custkey AS request_id", "CASE WHEN c_custkey % 13 = 0 THEN '' ELSE concat('k', c_custkey % 150) END AS key"), keys(s, d)),
         "WITH k AS (SELECT s_suppkey AS id, s_suppkey - CASE WHEN s_suppkey % 10 = 1 THEN 1 ELSE 0 END AS f, s_suppkey % 7 <> 3 AS enabled FROM supplier), c AS (SELECT f, count(*) AS n, min(id) AS id, bool_or(enabled) AS e FROM k GROUP BY f), r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 150 END AS f FROM customer), o AS (SELECT request_id, CASE WHEN r.f IS NULL THEN 'missing' WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN NOT e THEN 'disabled' ELSE 'ok' END AS outcome, id FROM r LEFT JOIN c USING (f)) SELECT request_id, outcome, CASE WHEN outcome = 'ok' THEN id END AS client_id FROM o",
     ),
-    "h19_client_tasks": (lambda s, d: H.client_tasks(tasks(s, d).withColumn("status", F.expr("CASE WHEN task_id % 10 <> 0 THEN status END")), F.lit(3)), f"WITH {TASKS} SELECT task_id, CASE WHEN task_id % 10 <> 0 THEN status ELSE 'unreadable' END AS status FROM tasks WHERE client_id = 3"),
+    "h19_client_tasks": (lambda s, d: H.client_tasks(tasks(s, d).withColumn("status", F.expr("CASE WHEN task_id % 10 <> 0 THEN status END")), F.lit(3)), f"WITH {TASKS} SELECT task_id, CASE WHEN task_id % 10 <> 0 THEN status ELSE 'unreadable' END AS status, CAST(created_at AS VARCHAR) AS created_at, '' AS started_at, '' AS finished_at, '' AS contract_filename, '' AS result_filename FROM tasks WHERE client_id = 3"),
     "h20_key_uniqueness": (
         lambda s, d: H.key_uniqueness(table(s, d, "part").withColumn("id", F.regexp_replace("p_name", " ", F.lit("_"))), "id", "^[a-m][a-z_]*$"),
         "SELECT replace(p_name, ' ', '_') AS key, count(*) AS n, regexp_matches(replace(p_name, ' ', '_'), '^[a-m][a-z_]*$') AS valid FROM part GROUP BY 1 HAVING count(*) > 1 OR NOT regexp_matches(replace(p_name, ' ', '_'), '^[a-m][a-z_]*$')",
@@ -130,6 +149,10 @@ Q = {
         " SELECT conv_id, message_count, input_chars, CAST(coalesce(k, 0) AS INT) AS tool_count, coalesce(names, '') AS tool_names, CASE WHEN length(q) > 20 THEN substr(q, 1, 20) || '...[truncated ' || (length(q) - 20) || ' chars]' ELSE q END AS query_preview, CAST(length(a) AS INT) AS output_chars, CASE WHEN length(a) > 30 THEN substr(a, 1, 30) || '...[truncated ' || (length(a) - 30) || ' chars]' ELSE a END AS output_preview FROM c LEFT JOIN n USING (conv_id)",
     ),
     "h25_task_listing": (lambda s, d: H.task_listing(tasks(s, d), files(s, d)), f"WITH {TASKS}, {FILES} SELECT task_id, status, status = 'succeeded' AND task_id IN (SELECT task_id FROM files) AS ready FROM tasks"),
+    "h25_stored_inputs": (
+        lambda s, d: H.task_listing(tasks(s, d).withColumn("contract_path", F.concat(F.lit("/tasks/"), F.col("task_id").cast("string"), F.when(F.col("task_id") % 2 == 0, "/input/").when(F.col("task_id") % 3 == 0, "/inputs/").otherwise("\\input\\"), F.lit("c.docx"))), files(s, d)),
+        f"WITH {TASKS}, {FILES} SELECT task_id, status, status = 'succeeded' AND task_id IN (SELECT task_id FROM files) AS ready, task_id % 2 = 0 OR task_id % 3 <> 0 AS stored FROM tasks",
+    ),
     "h26_token_usage": (
         lambda s, d: H.token_usage(table(s, d, "lineitem").selectExpr("l_returnflag AS task", "l_linestatus AS agent", "CAST(l_quantity AS LONG) AS prompt", "l_linenumber AS completion", "CASE WHEN l_linenumber > 2 THEN l_linenumber * 100 END AS total", "l_suppkey % 3 AS tool_calls", "CASE WHEN l_suppkey % 2 = 0 THEN 'stop' WHEN l_suppkey % 5 = 0 THEN 'length' END AS finish_reason")).withColumn("finish_reasons", F.array_join("finish_reasons", ",")),
         "SELECT l_returnflag AS task, l_linestatus AS agent, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS prompt, CAST(sum(l_linenumber) AS BIGINT) AS completion, CAST(sum(CASE WHEN l_linenumber > 2 THEN l_linenumber * 100 ELSE CAST(l_quantity AS BIGINT) + l_linenumber END) AS BIGINT) AS total, CAST(sum(l_suppkey % 3) AS BIGINT) AS tool_calls, coalesce(string_agg(DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'stop' WHEN l_suppkey % 5 = 0 THEN 'length' END, ',' ORDER BY CASE WHEN l_suppkey % 2 = 0 THEN 'stop' WHEN l_suppkey % 5 = 0 THEN 'length' END), '') AS finish_reasons FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

@@ -156,6 +156,12 @@ CASES = SCORED + """, rows AS (SELECT s.doc_id AS case_id, quality AS label, s.d
 cases AS (SELECT case_id, count(*) FILTER (label = 1) AS n, CASE WHEN NOT bool_or(bad) THEN CAST(sum(hit) FILTER (label = 1) AS DOUBLE) / nullif(count(*) FILTER (label = 1), 0) END AS recall, CASE WHEN bool_or(bad) THEN 'ERROR' WHEN count(*) FILTER (label = 1) = 0 THEN 'SKIP' WHEN sum(hit) FILTER (label = 1) = count(*) FILTER (label = 1) THEN 'PASS' ELSE 'FAIL' END AS status FROM rows GROUP BY case_id)"""
 
 
+def answers(s, d):
+    """What users of a conversation say as notes, what assistants say as predictions, matched by the longest blocks."""
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.substring("text", 1, 20).alias("clause"), F.col("text").alias("point"))
+    return G.match_annotations(c.where("role = 'user'").withColumnRenamed("turn", "human_no"), c.where("role <> 'user'").withColumnRenamed("turn", "predicted_no"), 0.4, 0.3)
+
+
 def annotations(s, d):
     b = blocks(s, d)
     h = b.where("pos % 4 = 1").select("doc_id", F.col("pos").alias("human_no"), F.substring("text", 1, 20).alias("clause"), F.col("text").alias("point"))
@@ -373,6 +379,8 @@ Q = {
         lambda s, d: G.resolve_index(table(s, d, "customer").select("c_custkey", F.concat(F.lit("Docs/"), F.when(F.col("c_custkey") % 3 == 0, "x/").otherwise(""), "c_name", F.when(F.col("c_custkey") % 2 == 0, ".PDF").otherwise(".docx")).alias("contract_path")), table(s, d, "customer").where("c_custkey % 5 <> 0").select(F.concat(F.lit("docs/"), "c_name", F.lit(".docx")).alias("path"), F.col("c_custkey").alias("index_id"))).select("c_custkey", "index_id"),
         "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS index_id FROM customer",
     ),
+    # the longest matching blocks are no SQL; tests hold them against difflib pair by pair
+    "g14_block_ratio": (answers, None),
     "g14_match_annotations": (annotations, f"WITH {ANNOTATED} SELECT * FROM annotated"),
     "g15_recall_report": (
         lambda s, d: G.annotation_recall_report(annotations(s, d).withColumn("file", F.col("doc_id") % 10), "file"),

@@ -39,8 +39,9 @@ def round_trip(s, d, write, read, name):
 
 
 def response_cache(s, d):
-    rows = table(s, d, "events").selectExpr("CAST(user_id AS STRING) AS key", "props AS value", "event_id AS seq")
-    return round_trip(s, d, lambda p: rows.write.json(p), lambda p: A.read_response_cache(s, p), "cache")
+    """Lines as a cache appends them, in the order of events, and read in splits."""
+    rows = table(s, d, "events").orderBy("event_id").select(F.to_json(F.struct(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))).alias("value"))
+    return round_trip(s, d, lambda p: rows.write.text(p), lambda p: A.read_response_cache(s, p, ".txt", 1 << 20), "cache")
 
 
 def log_lines(s, d):
@@ -55,7 +56,7 @@ def csv_round_trip(s, d):
 
 def traces(s, d):
     e = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("trace_id")).agg(F.collect_list(F.struct(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("parent_id"), F.col("value").alias("duration"))).alias("runs"))
-    return round_trip(s, d, lambda p: e.write.json(p), lambda p: A.read_traces(s, p), "traces")
+    return round_trip(s, d, lambda p: e.write.json(p), lambda p: A.read_traces(s, p).select("trace_id", "run_id", "parent_id", "duration"), "traces")
 
 
 def scanned(s, d):
@@ -75,6 +76,17 @@ def index_parts(s, d):
     return A.index_stores(n, a, b.where("kind = 'tbl'").select("doc_id", "pos", "text"))
 
 
+def updated_index(s, d):
+    """Titles of an index that was built for some documents and then followed a manifest with others: some are new, some changed, some gone."""
+    docs = table(s, d, "documents").select("doc_id", "source", "n_chars", F.col("doc_id").cast("string").alias("path"))
+    title = F.concat_ws(":", "source", F.col("sha256"))
+    build = lambda rows: {"titles": rows.select("doc_id", title.alias("title"))}
+    path = scratch(s, "kept_index")
+    A.update_index(s, path, docs.where("doc_id % 3 <> 0").withColumn("sha256", F.col("n_chars").cast("string")), build, 8)
+    A.update_index(s, path, docs.where("doc_id % 7 <> 0").withColumn("sha256", (F.col("n_chars") + (F.col("doc_id") % 5 == 0).cast("int")).cast("string")), build, 8)
+    return s.read.parquet(f"{path}/titles").select("doc_id", "title")
+
+
 Q = {
     "a01_discover_files": (lambda s, d: A.discover_files(s, d, "*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "length"), None),
     "a02_fingerprint": (lambda s, d: A.fingerprint(A.discover_files(s, d, "*.parquet")).select(F.substring_index("path", "/", -1).alias("name"), "sha256"), None),
@@ -99,6 +111,10 @@ Q = {
         lambda s, d: round_trip(s, d, lambda p: A.write_index(index_parts(s, d), p), lambda p: s.read.parquet(f"{p}/report"), "index"),
         f"WITH {NODES}, a AS (SELECT doc_id, count(*) AS n_anchors, count(*) FILTER (kind = 'tbl') AS n_tables FROM blocks GROUP BY doc_id) SELECT n.doc_id, count(*) AS n_nodes, CAST(sum(tokens) AS BIGINT) AS tokens, any_value(n_anchors) AS n_anchors, any_value(n_tables) AS n_tables FROM nodes n JOIN a USING (doc_id) GROUP BY n.doc_id",
     ),
+    "a09_update_index": (
+        updated_index,
+        "SELECT doc_id, source || ':' || n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS title FROM documents WHERE doc_id % 7 <> 0",
+    ),
     "a10_response_cache": (response_cache, "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS value FROM events GROUP BY user_id"),
     "a11_cache_misses": (
         lambda s, d: A.cache_lookup(table(s, d, "customer").select("c_custkey", A.cache_key(F.lit("v1"), F.col("c_custkey").cast("string")).alias("key")), table(s, d, "orders").select(A.cache_key(F.lit("v1"), F.col("o_custkey").cast("string")).alias("key")).distinct())[1],
@@ -134,7 +150,7 @@ Q = {
     ),
     "h07_stream_gaps": (
         lambda s, d: S.run_available(S.heartbeat_alerts(S.read_events(s, d).select("event_id", F.col("task_id").alias("worker"), "ts"), 6 * 3600.0), "append", "beats").where("kind = 'gap'").select("worker", "moment", F.round("gap", 3).alias("gap")),
-        "WITH g AS (SELECT user_id AS worker, epoch_us(ts) AS moment, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6, 3) AS gap FROM events) SELECT worker, moment, gap FROM g WHERE gap > 21600",
+        "WITH g AS (SELECT user_id AS worker, epoch_us(ts) AS moment, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6, 3) AS gap FROM events) SELECT worker, moment, gap FROM g WHERE gap > 21600",
     ),
     "h07_beats_per_worker": (lambda s, d: H.heartbeat_gaps(table(s, d, "events").withColumnRenamed("user_id", "worker"), 3600.0).groupBy("worker").agg(F.count("*").alias("gaps"), F.max("gap").alias("longest")), "WITH g AS (SELECT user_id AS worker, epoch_us(ts) / 1e6 - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6 AS g FROM events) SELECT worker, count(*) AS gaps, max(round(g, 3)) AS longest FROM g WHERE g > 3600 GROUP BY worker"),
 }

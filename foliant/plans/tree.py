@@ -19,6 +19,14 @@ def nodes(s, d):
     return D.build_hierarchy(headings, ends(b))
 
 
+_TYPE = "CASE level WHEN 1 THEN 'section' WHEN 2 THEN 'heading' WHEN 3 THEN CASE WHEN tokens % 2 = 0 THEN 'table' END END"
+
+
+def typed(s, d):
+    """Nodes with a type; some have none."""
+    return nodes(s, d).withColumn("node_type", F.expr(_TYPE))
+
+
 def _pick(kind: str, test) -> str:
     return ", ".join(f"CASE WHEN {test(k)} THEN {kind}{k} END" for k in (1, 2, 3))
 
@@ -227,6 +235,18 @@ Q = {
         f"WITH {NODES}, k AS (SELECT doc_id, level, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM nodes GROUP BY ROLLUP (doc_id, level)), a AS (SELECT doc_id, count(*) AS n_anchors, count(*) FILTER (kind = 'tbl') AS n_tables FROM blocks GROUP BY ROLLUP (doc_id)) SELECT k.*, n_anchors, n_tables FROM k LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM k.doc_id AND k.level IS NULL",
     ),
     "d24_largest": (lambda s, d: D.largest(nodes(s, d)), f"WITH {NODES} SELECT doc_id, node_id, tokens FROM nodes ORDER BY tokens DESC, doc_id, node_id LIMIT 10"),
+    "d24_node_types": (
+        lambda s, d: D.type_counts(typed(s, d)),
+        f"WITH {NODES}, t AS (SELECT *, {_TYPE} AS node_type FROM nodes) SELECT doc_id, coalesce(node_type, 'unknown') AS node_type, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL UNION ALL SELECT doc_id, NULL, count(*), CAST(sum(tokens) AS BIGINT) FROM nodes GROUP BY doc_id UNION ALL SELECT NULL, NULL, count(*), CAST(sum(tokens) AS BIGINT) FROM nodes",
+    ),
+    "d25_title_rows": (
+        lambda s, d: D.title_rows(typed(s, d)).select("doc_id", "node_id", "level", "node_type", "title", "tokens"),
+        f"WITH {NODES}, t AS (SELECT *, {_TYPE} AS node_type FROM nodes) SELECT doc_id, node_id, level, node_type, title, tokens FROM t WHERE node_type IN ('section', 'heading')",
+    ),
+    "d25_attachment_tree": (
+        lambda s, d: D.attachment_tree(typed(s, d), "body").select("doc_id", "node_id", "parent_id", "depth", F.array_join("path", " > ").alias("path")),
+        f"WITH RECURSIVE {NODES}, t AS (SELECT doc_id, node_id, parent_id, 1 AS depth, title AS path FROM nodes WHERE parent_id = 'body' UNION ALL SELECT n.doc_id, n.node_id, n.parent_id, t.depth + 1, t.path || ' > ' || n.title FROM nodes n JOIN t ON n.doc_id = t.doc_id AND n.parent_id = t.node_id) SELECT * FROM t",
+    ),
     "d25_token_rows": (lambda s, d: D.token_rows(nodes(s, d)), f"WITH {NODES} SELECT doc_id, node_id, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY tokens DESC, node_id) AS rank FROM nodes"),
     "d25_subtree": (lambda s, d: D.subtree(nodes(s, d), F.lit("body/sec_002")).select("doc_id", "node_id"), f"WITH {NODES} SELECT doc_id, node_id FROM nodes WHERE node_id = 'body/sec_002' OR starts_with(node_id, 'body/sec_002/')"),
     "e07_scan_batches": (

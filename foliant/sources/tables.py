@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import strip
+from foliant.sources.lines import SPLIT, read_lines
+from foliant.sources.scratch import cut
 
 
 def discover_files(spark: SparkSession, path: str, glob: str = "*.docx", exclude: str | None = None) -> DataFrame:
@@ -88,6 +92,62 @@ def write_index(stores: dict[str, DataFrame], path: str, partition: str | None =
         (writer.partitionBy(partition) if partition in df.columns else writer).parquet(f"{path}/{name}")
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def index_broken(spark: SparkSession, path: str) -> bool:
+    """Whether an update of the index began and did not end."""
+    system, place = _folder(spark, f"{path}/_updating")
+    return system.exists(place)
+
+
+def update_index(spark: SparkSession, path: str, now: DataFrame, build: Callable[[DataFrame], dict[str, DataFrame]], buckets: int = 64) -> DataFrame:
+    """Bring an index up to date with a manifest (doc_id, path, sha256) and return what changed (path, change).
+
+    Parts lie in buckets by hash of the document. Only buckets with a changed
+    document are written again: documents that stay keep their rows, build
+    (documents -> parts, of STORES) makes those of new and modified ones. The
+    buckets in work are noted before the first write and the manifest is
+    written last; an update that broke off is seen by index_broken(), and the
+    next one makes all documents of its buckets again.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    system, place = _folder(spark, f"{path}/manifest")
+    before = spark.read.parquet(f"{path}/manifest") if system.exists(place) else spark.createDataFrame([], now.select("doc_id", "path", "sha256").schema)
+    changes = cut(manifest_diff(before, now), "changes")
+    ids = before.select("path", "doc_id").unionByName(now.select("path", "doc_id")).distinct()
+    touched = changes.where("change <> 'unchanged'").join(ids, "path").select(bucket("doc_id").alias("bucket")).distinct()
+    broken = index_broken(spark, path)
+    if broken:
+        touched = touched.unionByName(spark.read.parquet(f"{path}/_updating")).distinct()
+    numbers = sorted(r[0] for r in touched.collect())  # at most buckets rows
+    if not numbers:
+        return changes
+    spark.createDataFrame([(b,) for b in numbers], "bucket int").write.mode("overwrite").parquet(f"{path}/_updating")
+    again = F.lit(True) if broken else F.col("change").isin("added", "modified")
+    fresh = now.join(changes, "path").where(again & bucket("doc_id").isin(numbers)).select(now.columns)
+    for name, df in build(fresh).items():
+        if name not in STORES:
+            raise ValueError(f"no part of an index: {name}")
+        system, place = _folder(spark, f"{path}/{name}")
+        new = df.withColumn("bucket", bucket("doc_id"))
+        if system.exists(place) and not broken:
+            old = spark.read.schema(new.schema).parquet(f"{path}/{name}").where(F.col("bucket").isin(numbers))
+            gone = changes.where("change <> 'unchanged'").join(ids, "path").select("doc_id")
+            new = old.join(gone, "doc_id", "left_anti").unionByName(new)
+        # what is read here is overwritten below
+        new = cut(new, "buckets")
+        for b in set(numbers) - {r[0] for r in new.select("bucket").distinct().collect()}:
+            system.delete(_folder(spark, f"{path}/{name}/bucket={b}")[1], True)
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    manifest = cut(now.select("doc_id", "path", "sha256"), "manifest")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    system.delete(_folder(spark, f"{path}/_updating")[1], True)
+    return changes
+
+
 def index_stores(nodes: DataFrame, anchors: DataFrame, tables: DataFrame | None = None) -> dict[str, DataFrame]:
     """The parts that follow from nodes (doc_id, node_id, parent_id, level, title, text, summary, tokens, pos, end_pos) and anchors: structure without texts, content, anchors, tables, titles, tokens and a report for each document."""
     own = ["doc_id", "node_id"]
@@ -117,9 +177,11 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return nodes, anchors, part("tables") if there else None
 
 
-def read_response_cache(spark: SparkSession, path: str) -> DataFrame:
-    """key, value of JSON lines (key, value, seq): the last line of a key wins."""
-    return spark.read.schema("key string, value string, seq long").json(path).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+def read_response_cache(spark: SparkSession, path: str, suffix: str = "", split: int = SPLIT) -> DataFrame:
+    """key, value (a string, or any other value as JSON) of JSON lines: the last line of a key wins, by file, then by place in it; blank lines and those without a key are dropped."""
+    lines = read_lines(spark, path, suffix, split).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", "key string, value string").alias("r"), F.struct("path", "offset").alias("_at")).where("r.key IS NOT NULL")
+    return rows.groupBy(F.col("r.key").alias("key")).agg(F.max_by("r.value", "_at").alias("value"))
 
 
 def cache_key(*parts: Column) -> Column:
@@ -185,10 +247,27 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
     return rows.select(F.to_timestamp(part(1)).alias("ts"), part(2).alias("logger"), part(3).alias("level"), part(4).alias("event"), F.map_from_entries(last).alias("fields"))
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each run of each trace document."""
-    rows = spark.read.schema("trace_id string, runs array<struct<run_id: string, parent_id: string, duration: double>>").json(path)
-    return rows.select("trace_id", F.explode("runs").alias("r")).select("trace_id", "r.*")
+def read_traces(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """trace_id, created_at, metadata, and of each of its runs run_id, parent_id, name, type, status, start_time, end_time, duration (seconds), inputs, outputs, run_metadata and error; objects stay JSON.
+
+    A file is one document (multi_line), or has one on each line.
+    """
+    run = "id: string, run_id: string, parent_id: string, name: string, type: string, status: string, start_time: timestamp, end_time: timestamp, duration_seconds: double, duration: double, inputs: string, outputs: string, metadata: string, error: string"
+    rows = spark.read.schema(f"trace_id string, created_at timestamp, metadata string, runs array<struct<{run}>>").option("multiLine", str(multi_line).lower()).json(path)
+    each = rows.select("trace_id", "created_at", "metadata", F.explode("runs").alias("r"))
+    same = ["parent_id", "name", "type", "status", "start_time", "end_time"]
+    return each.select(
+        "trace_id", "created_at", "metadata", F.coalesce("r.run_id", "r.id").alias("run_id"), *(f"r.{x}" for x in same), F.coalesce("r.duration", "r.duration_seconds").alias("duration"),
+        "r.inputs", "r.outputs", F.col("r.metadata").alias("run_metadata"), "r.error",
+    )
+
+
+def agent_steps(lines: DataFrame) -> DataFrame:
+    """path, offset, moment, agent_name and fields (a map; values that are no strings as JSON) of JSON lines of agents' steps; others are dropped. lines: those of read_lines(), or of stream_lines() as they come."""
+    step = F.from_json("value", "map<string,string>")
+    rows = lines.withColumn("_s", step).where(F.col("_s")["agent_name"].isNotNull())
+    fields = F.map_filter("_s", lambda k, _: ~k.isin("timestamp", "agent_name"))
+    return rows.select("path", "offset", F.col("_s")["timestamp"].try_cast("timestamp").alias("moment"), F.col("_s")["agent_name"].alias("agent_name"), fields.alias("fields"))
 
 
 def write_results_csv(rows: DataFrame, path: str, lead: list[str]) -> None:

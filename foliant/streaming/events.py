@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliant.operators.ops import event_counts, event_level
+from foliant.operators.ops import ACTIVE, event_counts, event_level
 from foliant.sources.scratch import scratch
 
 
@@ -88,6 +88,24 @@ def heartbeat_alerts(beats: DataFrame, timeout: float, late: str = "1 day") -> D
     return rows.groupBy("worker").applyInPandasWithState(step, f"worker {kind}, kind string, moment long, gap double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def owned_beats(beats: DataFrame, states: DataFrame, horizon: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """worker, task_id, event_id, ts: beats (those columns) of the worker that owns an active task, by the states of tasks (task_id, owner, status, since) as two streams.
+
+    A beat meets the states of its task of the horizon before it, and the last
+    of them decides: beats of a worker that does not own the task, or of a task
+    that is not active by then, are dropped, and so are beats without a state.
+    Either side may come late; a beat is decided when the watermark (late
+    behind the newest of both) has passed it, and what comes later is left out.
+    Written as a table of their own they feed heartbeat_alerts() as a stream:
+    Spark has no state of one's own behind an aggregation.
+    """
+    b = beats.select("worker", "task_id", "event_id", "ts").withWatermark("ts", late)
+    s = states.select(F.col("task_id").alias("_task"), "owner", "status", "since").withWatermark("since", late)
+    near = (F.col("task_id") == F.col("_task")) & (F.col("since") <= F.col("ts")) & (F.col("since") >= F.col("ts") - F.expr(f"INTERVAL {horizon}"))
+    decided = b.join(s, near).groupBy("worker", "task_id", "event_id", "ts").agg(F.max_by(F.struct("owner", "status"), "since").alias("_s"))
+    return decided.where((F.col("_s.owner") == F.col("worker")) & F.col("_s.status").isin(*ACTIVE)).drop("_s")
+
+
 def run_available(stream: DataFrame, mode: str, name: str, latest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there now and return what it wrote; latest reduces updates to their last state."""
     spark = stream.sparkSession
