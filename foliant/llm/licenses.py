@@ -97,17 +97,23 @@ SHORT = {"artistic": "artistic", "mit": "mit|x11|expat", "php": "php", "postgres
 #: (priority, weight, regex around NAME, whether short names count): higher priorities first.
 WORDINGS = [
     (7, 0.99, r"spdx licen[cs]e identifier (?:NAME)(?: \d[\d ]*)?(?: only| or later)?", True),
-    (5, 0.95, r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: v(?:ersion)? ?\d[\d ]*)?", True),
+    (5, 0.95, r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: ?v(?:ersion)? ?\d[\d ]*)?", True),
     (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) [a-z0-9 ]{0,80}?(?:NAME)", False),
-    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? v(?:ersion)? ?\d[\d ]*(?: only| or(?: \w+){0,3} later(?: version)?)?", False),
+    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? ?v(?:ersion)? ?\d[\d ]*(?: only| or(?: \w+){0,3} later(?: version)?)?", False),
     (3, 0.85, r"(?:NAME)(?: licen[cs]e)? \d \d(?: international| unported| generic)?(?: (?:public )?licen[cs]e)?", False),
     (2, 0.7, r"(?:under|see|per|by) (?:the )?(?:NAME)(?: licen[cs]e)", True),
+    (2, 0.7, r"(?:under|see|per) (?:the )?(?:NAME) ?v(?:ersion)? ?\d[\d ]*", True),
     (2, 0.7, r"(?:www )?opensource org licenses? (?:NAME)", True),
     (1, 0.5, r"(?:NAME) licen[cs]e", False),
 ]
+#: Names of one word that are no license's alone: they speak of one only with more words around them.
+AMBIGUOUS = {"afl", "apache", "apsl", "bsd", "bsl", "cpal", "cpl", "ecl", "epl", "isc", "ncsa", "ofl", "openssl", "osl", "qpl", "sleepycat", "upl", "zpl"}
+#: Full names, and short ones that are not ambiguous, by themselves.
+BARE = (1, 0.5, r"(?:the )?(?:NAME)")
 
 #: (label, regex) of what notices say in their own words: priority 6.
 NOTICES = [
+    ("adobe", r"adobe systems incorporated grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
     ("afl", r"licensed under the academic free license version \d \d"),
     ("agpl", r"(?:under the terms of|received a copy of) the gnu affero general public license"),
     ("agpl", r"remote network interaction use with the gnu general public license"),
@@ -208,6 +214,95 @@ NOTICES = [
     ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
     ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("zpl", r"this software is subject to the provisions of the zope public license"),
+    ("afl", r"(?:www )?opensource org licenses afl \d"),
+    ("agpl", r"(?:www )?gnu org licenses agpl"),
+    ("agpl", r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("apache", r"you must give any other recipients of the work or derivative works a copy of this license"),
+    ("apache", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive"),
+    ("apache", r"see the notice file distributed with this work for additional information regarding copyright ownership"),
+    ("apsl", r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
+    ("artistic", r"you may make and give away verbatim copies of the source form of the standard version of this package"),
+    ("artistic", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble"),
+    ("bittorrent", r"the contents of this file are subject to the bittorrent open source license"),
+    ("blueoak", r"this license gives everyone as much permission to work with this software as possible"),
+    ("boost", r"distributed under the boost software license"),
+    ("bsd", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("bsd", r"in no event shall the (?:copyright (?:holders?|owners?)|regents|authors?)(?: or contributors)? be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", r"the name of the (?:author|copyright holder|company) may not be used to endorse or promote products derived from this software"),
+    ("bsd", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("busl", r"effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("caldera", r"redistributions of source code and documentation must retain the above copyright notice this list of conditions"),
+    ("cc-by", r"you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by", r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-nc", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", r"if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc0", r"to the extent possible under law [a-z0-9 ]{1,80}? has waived all copyright"),
+    ("cc0", r"you can copy modify distribute and perform the work even for commercial purposes all without asking permission"),
+    ("cddl", r"you can obtain a copy of the license at (?:https? )?(?:www )?opensource org licenses cddl"),
+    ("cddl", r"when distributing covered code include this cddl header in each file"),
+    ("cecill", r"(?:www )?cecill info licences"),
+    ("commons-clause", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("copyfree", r"copyfree open innovation license"),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse (?:public|distribution) license"),
+    ("epl", r"this source code may also be made available under the following secondary licenses"),
+    ("eupl", r"licensed under the eupl"),
+    ("eupl", r"joinup ec europa eu (?:software page|collection) eupl"),
+    ("fair", r"usage of the works is permitted provided that this instrument is retained with the works"),
+    ("ftl", r"portions of this software are copyright \w+ the freetype project"),
+    ("gfdl", r"a copy of the license is included in the section entitled gnu free documentation license"),
+    ("gpl", r"either version \d of the license or at your option any later version"),
+    ("gpl", r"as a special exception (?:the copyright holders?|if you link|you may create)"),
+    ("gpl", r"this program comes with absolutely no warranty for details type show w"),
+    ("gpl", r"when we speak of free software we are referring to freedom not price"),
+    ("gpl", r"see the gnu general public license for more details"),
+    ("lgpl", r"see the gnu (?:lesser|library) general public license for more details"),
+    ("lgpl", r"this license the (?:lesser|library) general public license applies to some specially designated software"),
+    ("imagemagick", r"(?:www )?imagemagick org script license php"),
+    ("isc", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("libpng", r"this copy of the libpng notices is provided for your convenience"),
+    ("libtiff", r"the names of sam leffler and silicon graphics may not be used in any advertising or publicity"),
+    ("llama", r"built with (?:meta )?llama"),
+    ("lppl", r"latex project public license"),
+    ("lppl", r"this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("mit", r"permission is hereby granted without written agreement and without license or royalty fees to use copy modify and distribute this software"),
+    ("mit-0", r"(?:mit no attribution|mit 0)"),
+    ("mpl", r"software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights"),
+    ("mpl", r"this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("ms-pl", r"a contribution is the original software or any additions or changes to the software"),
+    ("ms-rsl", r"microsoft (?:reference source|limited public) license"),
+    ("naist", r"use reproduction and distribution of this software is permitted any copy of this software whether in its original form or modified must include both the above copyright notice"),
+    ("nist", r"this software was developed (?:at the national institute of standards and technology|by employees of the national institute of standards)"),
+    ("ofl", r"this license is copied below and is also available with a faq at"),
+    ("openldap", r"(?:the openldap public license|redistribution and use of this software and associated documentation with or without modification are permitted)"),
+    ("openrail", r"use based restrictions as referenced in paragraph \d"),
+    ("openssl", r"this product includes cryptographic software written by eric young"),
+    ("php", r"products derived from this software may not be called php"),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|strict|internal use|free trial|perimeter) license"),
+    ("proprietary", r"this (?:software|document) is the confidential and proprietary information of"),
+    ("proprietary", r"you shall not disclose such confidential information and shall use it only in accordance with the terms of the license agreement"),
+    ("proprietary", r"licensed materials property of"),
+    ("psf", r"psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform"),
+    ("public-domain", r"(?:released|placed|dedicated|donated|put) (?:in|into|to) the public domain"),
+    ("public-domain", r"the author(?: or authors)? of this (?:code|software|work) (?:dedicates?|disclaims?) (?:any and all )?copyright"),
+    ("public-domain", r"this (?:work|software|file|code) has been (?:explicitly )?placed (?:in|into) the public domain"),
+    ("rpl", r"reciprocal public license"),
+    ("ruby", r"(?:this|it) is copyrighted free software by (?:yukihiro )?matz"),
+    ("ruby", r"you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl)"),
+    ("sgi", r"sgi free software (?:b )?license"),
+    ("sissl", r"sun industry standards source license"),
+    ("sqlite", r"may you do good and not evil may you find forgiveness for yourself and forgive others may you share freely never taking more than you give"),
+    ("sspl", r"(?:www )?mongodb com licensing server side public license"),
+    ("tcl", r"the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+    ("unicode", r"unicode (?:inc )?license agreement data files and software"),
+    ("unicode", r"(?:www )?unicode org (?:copyright|license)"),
+    ("unlicense", r"(?:www )?unlicense org"),
+    ("w3c", r"by obtaining using and or copying this work you the licensee agree that you have read understood and will comply"),
+    ("x11", r"the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 ]
 
 
@@ -311,6 +406,9 @@ def rules() -> tuple[Rule, ...]:
     for priority, weight, wording, short in WORDINGS:
         for label, names in LICENSES.items():
             made.append((priority, weight, label, wording, _alternatives(f"{names}|{SHORT[label]}" if short and label in SHORT else names)))
+    for label, names in LICENSES.items():
+        priority, weight, wording = BARE
+        made.append((priority, weight, label, wording, [x for x in _alternatives(names) if x not in AMBIGUOUS]))
     out = []
     for priority, weight, label, wording, names in sorted(made, key=lambda x: -x[0]):
         bounded = lambda x: rf"(?<![^ ]){x}(?![^ ])"
@@ -363,13 +461,15 @@ class Scanner:
             self.gates.append(self._table(*zip(*((w[:-1] + "_", w) for w in gates if w.endswith("*") and len(w) == n + 1), strict=True), n))
 
     @staticmethod
-    def _table(samples: Iterable[str], gates: Iterable[str], most: int | None) -> tuple[int | None, np.ndarray, list[str]]:
-        """most, sorted hashes of words that meet gates (if most is given, of longer words' beginnings), and the gates."""
-        every = np.ones(256, bool)
-        split = [np.frombuffer(w.encode(), np.uint8) for w in samples]
+    def _table(samples: Iterable[str], gates: Iterable[str], most: int | None) -> tuple[int | None, np.ndarray, list[list[str]]]:
+        """most, sorted hashes of words that meet gates (if most is given, of longer words' beginnings), and the gates of each: a word by itself may meet its own gate and that of its beginning."""
+        every, met = np.ones(256, bool), {}
+        for sample, gate in zip(samples, gates, strict=True):
+            met.setdefault(sample, []).append(gate)
+        split = [np.frombuffer(w.encode(), np.uint8) for w in met]
         h = np.array([words.split(raw, np.array([0, len(raw)]), every).hashes(most)[0] for raw in split])
         order = np.argsort(h)
-        return most, h[order], [list(gates)[i] for i in order]
+        return most, h[order], [list(met.values())[i] for i in order]
 
     def _gated(self, w: words.Words) -> list[set[str]]:
         """The gates that each text meets."""
@@ -380,7 +480,7 @@ class Scanner:
             hit = np.flatnonzero(table[place] == h)
             owner = np.searchsorted(w.first, hit, side="right") - 1
             for pair in np.unique(owner * len(table) + place[hit]):
-                have[pair // len(table)].add(gates[pair % len(table)])
+                have[pair // len(table)].update(gates[pair % len(table)])
         return have
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray, gated: bool = True) -> list[tuple]:

@@ -4,11 +4,14 @@ import random
 import re
 import time
 
+import pytest
+
 from foliant.llm import licenses as L
 
 
 def test_many_rules_all_compile():
-    assert len(L.rules()) > 250
+    assert len(L.rules()) > 600 and len(L.NOTICES) > 180
+    assert not any(re.match(r"[^(]*\|", p) for _, p in L.NOTICES)  # alternatives are in groups
     assert [r.priority for r in L.rules()] == sorted((r.priority for r in L.rules()), reverse=True)
 
 
@@ -137,3 +140,24 @@ def _raw(text):
 
     data = np.frombuffer(text.encode(), np.uint8)
     return data, np.array([0, len(data)])
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Mozilla Public License", "mpl"), ("Eclipse Public License", "epl"), ("Boost Software License", "boost"), ("GNU Lesser General Public License", "lgpl"), ("PostgreSQL License", "postgresql"),
+        ("zlib License", "zlib"), ("Artistic License", "artistic"), ("Creative Commons Attribution", "cc-by"), ("CC0", "cc0"), ("released into the public domain", "public-domain"), ("The Unlicense", "unlicense"),
+        ("GPLv2", "gpl"), ("under the GPLv3", "gpl"), ("BSD-3-Clause", "bsd"), ("CC BY-SA", "cc-by-sa"), ("LGPLv2.1 or later", "lgpl"), ("see Apache v2", "apache"),
+    ],
+)
+def test_plain_names_are_detected(text, label):
+    for around in (text, f"this is {text} here", f"({text})"):
+        assert label in {d.label for d in L.scanner().scan(*_raw(around))[0][2]}, around
+
+
+def test_every_name_stands_for_its_license():
+    for label, names in L.LICENSES.items():
+        for name in L._alternatives(names):
+            if name not in L.AMBIGUOUS and "?" not in name and "[" not in name:
+                assert label in {d.label for d in L.scanner().scan(*_raw(f"some words {name} and more"))[0][2]}, name
+    assert not L.scanner().scan(*_raw("an apache helicopter, the afl season and an isc meeting"))[0][2]
