@@ -37,6 +37,8 @@ from foliant.llm.storage import cut, lean, smallest
 
 #: The projection and rotations are fitted on so many vectors at most, those of the smallest hashes.
 SAMPLE_ROWS = 8_192
+#: Rows of the table of buckets, at 12 bytes each, that are sent to all tasks at most.
+MOST_BUCKETS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -195,8 +197,10 @@ def _same_length(classes: DataFrame, d: int, least: float, index: Index) -> Data
     coded = cut(classes.mapInArrow(lean(run), f"cid {classes.schema['cid'].dataType.simpleString()}, weight long, embedding {kind}, keys array<int>, code array<bigint>"), "codes")
     entries = coded.select("*", F.posexplode("keys").alias("t", "key"))
     buckets = cut(coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / index.chunk).cast("int")).drop("n"), "buckets")
-    # at most a row for each table and key: 2 ** bits each
-    entries = entries.join(F.broadcast(buckets), ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("cid", "t"), F.col("chunks")).cast("int"))
+    # buckets grow with the vectors, so that they are counted before they are sent to all tasks; beyond the bound they are joined by key
+    if buckets.count() <= MOST_BUCKETS:
+        buckets = F.broadcast(buckets)
+    entries = entries.join(buckets, ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("cid", "t"), F.col("chunks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     entries = entries.withColumn("o", others).withColumns({"lo": F.least("c", "o"), "hi": F.greatest("c", "o")})
     entries = entries.withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("c") == F.col("lo"), 0).otherwise(1))
