@@ -345,3 +345,66 @@ def test_vector_entries_hold_whole_texts(spark):
     out = E.vector_entries(spark.createDataFrame(rows, "doc_id long, node_id string, title string, summary string, text string")).collect()
     assert sorted(r.entry[-1] for r in out) == ["a", "b"]
     assert len({r.text_hash for r in out}) == 2
+
+
+def test_best_predictions_equal_all_pairs_with_few_compared(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(300)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(r.randrange(n)))
+    near = lambda x: x.replace("a", "", 1) + r.choice(words)
+    said = [(i, text(8), text(40)) for i in range(60)] + [(60, "", ""), (61, "same clause", "same point"), (62, "same clause", "same point")]
+    ratio = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+    compared = 0
+    for clause, point in [("same clause", "same point"), ("", ""), *((near(c), near(p)) for _, c, p in said[:40])]:
+        no, match, n = G.best_prediction(clause, point, said)
+        want = min((-round(0.35 * ratio(clause, c) + 0.65 * ratio(point, p), 6), i) for i, c, p in said)
+        assert (no, match) == (want[1], -want[0])
+        compared += n
+    assert compared < 0.1 * 42 * len(said)
+    assert G.best_prediction("x", "y", []) is None
+
+
+def test_annotations_without_predictions(spark):
+    human = spark.createDataFrame([(1, 1, "a clause", "a point"), (2, 5, None, "b")], "doc_id long, human_no int, clause string, point string")
+    said = spark.createDataFrame([(1, 7, "a clause", "a pint"), (1, 3, None, None)], "doc_id long, predicted_no int, clause string, point string")
+    out = {r.doc_id: (r.predicted_no, r.status) for r in G.match_annotations(human, said).collect()}
+    assert out == {1: (7, "hit"), 2: (None, "miss")}
+
+
+def test_percentiles_of_a_hot_contract(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 100 = 0 THEN 'cold' WHEN id % 991 = 0 THEN NULL ELSE 'hot' END AS c", "CASE WHEN id % 7 <> 0 THEN CAST(id * 7919 % 1000 AS DOUBLE) / 3 END AS x")
+    got = {r.c: (r.p50, r.p95) for r in G.contract_metrics(df, "c", "x").collect()}
+    want = {r.c: (r.a, r.b) for r in df.groupBy("c").agg(G.percentile(F.col("x"), 0.5).alias("a"), G.percentile(F.col("x"), 0.95).alias("b")).collect()}
+    assert got == want
+
+
+def test_styles_in_a_long_chain_and_cycles(spark):
+    n = 2000
+    rows = [(1, f"s{i}", None if i else "3", f"s{i - 1}" if i else None) for i in range(n)] + [(2, "a", None, "b"), (2, "b", None, "a"), (3, "x", "no", "gone"), (3, "y", "5", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, style_id string, outline string, based_on string")
+    out = {(r.doc_id, r.style_id): r.style_outline for r in B.resolve_style_outline(df).collect()}
+    assert len(out) == len(rows) and all(out[1, f"s{i}"] == 3 for i in range(n))
+    assert [out[k] for k in ((2, "a"), (2, "b"), (3, "x"), (3, "y"))] == [None, None, None, 5]
+
+
+def test_time_above_caps_goes_on_across_hours(spark):
+    rows = [("a", "2026-01-01 00:50:00", "2026-01-01 00:59:59"), ("a", "2026-01-01 00:55:00", "2026-01-01 01:05:00"), ("a", "2026-01-01 00:59:59", "2026-01-01 01:02:00"), ("b", "2026-01-01 00:00:00", None), ("b", "2026-01-01 00:09:00", "2026-01-01 00:09:00"), ("c", "2026-01-01 00:00:00", None)]
+    calls = spark.createDataFrame(rows, "kind string, start string, end string").selectExpr("kind", "CAST(start AS TIMESTAMP) AS start", "CAST(end AS TIMESTAMP) AS end")
+    caps = spark.createDataFrame([("a", 1), ("b", 0)], "kind string, cap int")
+    got = sorted((r.kind, r.start % 86400, r.seconds, r.most) for r in H.time_above(calls, caps).collect())
+    assert got == [("a", 3300.0, 420.0, 2), ("b", 0.0, 600.0, 1)]
+
+
+def test_subtrees_fill_pages(spark):
+    nodes = spark.createDataFrame([(1, "b/a", "b", 1, 5), (1, "b/a/x", "b/a", 2, 4), (1, "b/a/y", "b/a", 3, 9), (1, "b/c", "b", 4, 3), (1, "b/ab", "b", 5, 2)], "doc_id long, node_id string, parent_id string, pos int, tokens int")
+    assert sorted((r.parent_id, r.node_id, r.page) for r in D.split_structure(nodes, 12).collect()) == [("b", "b/ab", 1), ("b", "b/c", 1), ("b/a", "b/a/x", 1), ("b/a", "b/a/y", 2)]
+
+
+def test_clients_without_an_id(spark):
+    import hashlib
+
+    clients = spark.createDataFrame([(None, hashlib.sha256(b"k1").hexdigest(), True), (5, hashlib.sha256(b"k2").hexdigest(), True)], "client_id long, fingerprint string, enabled boolean")
+    out = {r.request_id: (r.outcome, r.client_id) for r in H.client_lookup(spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k3"), (4, " ")], "request_id int, key string"), clients).collect()}
+    assert out == {1: ("incomplete", None), 2: ("ok", 5), 3: ("unknown", None), 4: ("missing", None)}
