@@ -97,12 +97,11 @@ SHORT = {"artistic": "artistic", "mit": "mit|x11|expat", "php": "php", "postgres
 #: (priority, weight, regex around NAME, whether short names count): higher priorities first.
 WORDINGS = [
     (7, 0.99, r"spdx licen[cs]e identifier (?:NAME)(?: \d[\d ]*)?(?: only| or later)?", True),
-    (5, 0.95, r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: ?v(?:ersion)? ?\d[\d ]*)?", True),
-    (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) [a-z0-9 ]{0,80}?(?:NAME)", False),
-    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? ?v(?:ersion)? ?\d[\d ]*(?: only| or(?: \w+){0,3} later(?: version)?)?", False),
+    (5, 0.95, r"(?:dual )?(?:licen[cs]ed|released|distributed|published|available|provided|covered) under (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?(?:NAME)(?: licen[cs]e)?(?: v(?:ersion)? ?\d[\d ]*)?", True),
+    (4, 0.9, r"(?:permission is (?:hereby )?granted|redistribut\w+|use of this \w+) (?:[a-z0-9 ]{0,79}? )??(?:NAME)", False),
+    (3, 0.85, r"(?:NAME)(?: licen[cs]e)? v(?:ersion)? ?\d[\d ]*(?: only| or(?: \w+){0,3} later(?: version)?)?", False),
     (3, 0.85, r"(?:NAME)(?: licen[cs]e)? \d \d(?: international| unported| generic)?(?: (?:public )?licen[cs]e)?", False),
     (2, 0.7, r"(?:under|see|per|by) (?:the )?(?:NAME)(?: licen[cs]e)", True),
-    (2, 0.7, r"(?:under|see|per) (?:the )?(?:NAME) ?v(?:ersion)? ?\d[\d ]*", True),
     (2, 0.7, r"(?:www )?opensource org licenses? (?:NAME)", True),
     (1, 0.5, r"(?:NAME) licen[cs]e", False),
 ]
@@ -110,6 +109,9 @@ WORDINGS = [
 AMBIGUOUS = {"afl", "apache", "apsl", "bsd", "bsl", "cpal", "cpl", "ecl", "epl", "isc", "ncsa", "ofl", "openssl", "osl", "qpl", "sleepycat", "upl", "zpl"}
 #: Full names, and short ones that are not ambiguous, by themselves.
 BARE = (1, 0.5, r"(?:the )?(?:NAME)")
+#: Names of one word with a version joined to them, as whole words that a gate can tell.
+JOINED = (3, 0.85, r"(?:NAME)(?: \d)*(?: only| or(?: \w+){0,3} later(?: version)?)?")
+VERSIONS = ("v1", "v2", "v3", "v4")
 
 #: (label, regex) of what notices say in their own words: priority 6.
 NOTICES = [
@@ -324,7 +326,7 @@ def _opens(tree: list) -> bool:
     if not tree:
         return False
     kind, value = tree[0]
-    if kind is op.MAX_REPEAT and value[0] == 0:
+    if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] == 0:
         return _opens(list(value[2])) and _opens(tree[1:])  # taken or not
     if kind is op.SUBPATTERN:
         return _opens(list(value[3]))
@@ -342,6 +344,8 @@ def _closes(tree: list) -> bool:
         return _closes(list(value[3]))
     if kind is op.BRANCH:
         return all(_closes(list(x)) for x in value[1])
+    if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] == 0:
+        return _closes(list(value[2])) and _closes(tree[:-1])  # taken or not
     return kind is op.LITERAL and value == 32
 
 
@@ -367,7 +371,7 @@ def _needed(tree: list, begins: bool, rest: list) -> list[frozenset[str]]:
             each = [_needed(x, starts, after[1:]) for x in inner]
             sets = [x | y for x in sets for e in each for y in e]
             whole = all(map(_closes, inner))
-        elif kind is op.MAX_REPEAT and value[0] == 0:
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] == 0:
             whole = starts and _closes(list(value[2]))  # either way a word begins behind it
         else:
             whole = (kind is op.LITERAL) or (kind is op.ASSERT_NOT and value[0] < 0)
@@ -409,6 +413,10 @@ def rules() -> tuple[Rule, ...]:
     for label, names in LICENSES.items():
         priority, weight, wording = BARE
         made.append((priority, weight, label, wording, [x for x in _alternatives(names) if x not in AMBIGUOUS]))
+        short = [x for x in _alternatives(names) + SHORT.get(label, "").split("|") if x.isalnum()]
+        if short:
+            priority, weight, wording = JOINED
+            made.append((priority, weight, label, wording, [x + v for x in short for v in VERSIONS]))
     out = []
     for priority, weight, label, wording, names in sorted(made, key=lambda x: -x[0]):
         bounded = lambda x: rf"(?<![^ ]){x}(?![^ ])"

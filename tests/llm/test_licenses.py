@@ -147,7 +147,7 @@ def _raw(text):
     [
         ("Mozilla Public License", "mpl"), ("Eclipse Public License", "epl"), ("Boost Software License", "boost"), ("GNU Lesser General Public License", "lgpl"), ("PostgreSQL License", "postgresql"),
         ("zlib License", "zlib"), ("Artistic License", "artistic"), ("Creative Commons Attribution", "cc-by"), ("CC0", "cc0"), ("released into the public domain", "public-domain"), ("The Unlicense", "unlicense"),
-        ("GPLv2", "gpl"), ("under the GPLv3", "gpl"), ("BSD-3-Clause", "bsd"), ("CC BY-SA", "cc-by-sa"), ("LGPLv2.1 or later", "lgpl"), ("see Apache v2", "apache"),
+        ("GPLv2", "gpl"), ("under the GPLv3", "gpl"), ("BSD-3-Clause", "bsd"), ("CC BY-SA", "cc-by-sa"), ("LGPLv2.1 or later", "lgpl"), ("see Apachev2", "apache"), ("per the EPLv2", "epl"),
     ],
 )
 def test_plain_names_are_detected(text, label):
