@@ -34,17 +34,18 @@ def _coverages(n: int, ks: tuple[int, ...]):
         out = []
         for text, own in zip(gold, nodes, strict=True):
             texts = [] if own is None else [x or "" for x in own]
-            want, each = _grams(text or "", n), [_grams(x, n) for x in texts] if text else []
-            row = []
-            for k in (len(texts), *ks):
-                if not text:
-                    row.append(0.0)
-                elif any(text in x for x in texts[:k]):
-                    row.append(1.0)
-                else:
-                    have = sum(min(c, sum(e[g] for e in each[:k])) for g, c in want.items())
-                    row.append(have / sum(want.values()))
-            out.append(row)
+            stops = [len(texts), *(max(0, min(k, len(texts))) for k in ks)]
+            if not text:
+                out.append([0.0] * len(stops))
+                continue
+            whole = next((i for i, x in enumerate(texts) if text in x), len(texts))  # from that node on all is there
+            want, have, at = _grams(text, n), Counter(), {}
+            for i in range(min(whole, max(stops)) + 1):
+                at[i] = sum(min(c, have[g]) for g, c in want.items()) / sum(want.values()) if i in stops else 0.0
+                if i < len(texts):
+                    x = texts[i]
+                    have.update(g for g in (x[k : k + n] for k in range(len(x) - n + 1)) if g in want) if len(x) >= n else have.update([x] if x in want else [])
+            out.append([1.0 if k > whole else at[k] for k in stops])
         return pd.Series(out)
 
     return found
