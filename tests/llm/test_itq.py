@@ -120,3 +120,16 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_buckets_beyond_the_bound_are_joined_by_key(spark, monkeypatch):
+    from foliant.llm import itq
+
+    r = np.random.default_rng(8)
+    x = r.standard_normal((150, 16))
+    x[75:] = x[:75] + 0.05 * r.standard_normal((75, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(map(tuple, itq.near_duplicates(df).collect()))
+    sent = rows()
+    monkeypatch.setattr(itq, "MOST_BUCKETS", 0)
+    assert rows() == sent and sum(n for _, n, *_ in sent) >= 140
