@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,22 @@ def gram_counts(texts: DataFrame, key: list[str], n: int = 3) -> DataFrame:
     return texts.select(*key, F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
 
 
-def _grams(text: str, n: int) -> Counter:
-    return Counter((text[i : i + n] for i in range(len(text) - n + 1)) if len(text) >= n else [text] if text else [])
+#: Characters whose n-grams are counted at a time.
+BLOCK = 1 << 20
+
+
+def _grams(text: str, n: int) -> np.ndarray:
+    """The n-grams of a text as values that compare (a shorter text is one, filled up by what no character is); none without text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    if 0 < len(codes) < n:
+        codes = np.pad(codes, (0, n - len(codes)))
+    if len(codes) < n:
+        return np.zeros(0, np.uint64)
+    if n <= 3:  # 21 bits a character
+        parts = [codes[i : len(codes) - n + 1 + i].astype(np.uint64) << np.uint64(21 * i) for i in range(n)]
+        return np.bitwise_or.reduce(parts)
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, n))
+    return rows.view(f"<U{n}").ravel()
 
 
 def _coverages(n: int, ks: tuple[int, ...]):
@@ -39,12 +54,15 @@ def _coverages(n: int, ks: tuple[int, ...]):
                 out.append([0.0] * len(stops))
                 continue
             whole = next((i for i, x in enumerate(texts) if text in x), len(texts))  # from that node on all is there
-            want, have, at = _grams(text, n), Counter(), {}
+            want, count = np.unique(_grams(text, n), return_counts=True)
+            have, at = np.zeros(len(want), np.int64), {}
             for i in range(min(whole, max(stops)) + 1):
-                at[i] = sum(min(c, have[g]) for g, c in want.items()) / sum(want.values()) if i in stops else 0.0
+                at[i] = float(np.minimum(count, have).sum() / count.sum()) if i in stops else 0.0
                 if i < len(texts):
-                    x = texts[i]
-                    have.update(g for g in (x[k : k + n] for k in range(len(x) - n + 1)) if g in want) if len(x) >= n else have.update([x] if x in want else [])
+                    for lo in range(0, max(len(texts[i]) - n + 1, 1), BLOCK):
+                        grams = _grams(texts[i][lo : lo + BLOCK + n - 1], n)
+                        place = np.minimum(np.searchsorted(want, grams), len(want) - 1)
+                        have += np.bincount(place[want[place] == grams], minlength=len(want))
             out.append([1.0 if k > whole else at[k] for k in stops])
         return pd.Series(out)
 

@@ -1,6 +1,7 @@
 """Operators on small literal rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -408,3 +409,20 @@ def test_clients_without_an_id(spark):
     clients = spark.createDataFrame([(None, hashlib.sha256(b"k1").hexdigest(), True), (5, hashlib.sha256(b"k2").hexdigest(), True)], "client_id long, fingerprint string, enabled boolean")
     out = {r.request_id: (r.outcome, r.client_id) for r in H.client_lookup(spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k3"), (4, " ")], "request_id int, key string"), clients).collect()}
     assert out == {1: ("incomplete", None), 2: ("ok", 5), 3: ("unknown", None), 4: ("missing", None)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_coverage_beside_counters(spark, monkeypatch, n):
+    monkeypatch.setattr(G, "BLOCK", 7)
+    rng = random.Random(n)
+    text = lambda most: "".join(rng.choices("ab\u4e2d\U0001f600 ", k=rng.randint(0, most)))
+    gold = [(i, text(30)) for i in range(60)]
+    nodes = [(i, text(40) if rng.random() < 0.9 else None) for i, _ in gold for _ in range(rng.randint(0, 4))] + [(0, gold[0][1] + "b")]
+    grams = lambda x: Counter([x[k : k + n] for k in range(len(x) - n + 1)] if len(x) >= n else [x] if x else [])
+    want = {}
+    for i, x in gold:
+        own = [y or "" for j, y in nodes if i == j]
+        have = sum((grams(y) for y in own), Counter())
+        want[i] = 0.0 if not x else 1.0 if any(x in y for y in own) else sum((grams(x) & have).values()) / sum(grams(x).values())
+    frame = lambda rows: spark.createDataFrame(rows, "case_id int, text string")
+    assert {r.case_id: r.coverage for r in G.evidence_coverage(frame(gold), frame(nodes), n).collect()} == pytest.approx(want)
