@@ -39,6 +39,12 @@ GRAM_BITS = 16
 EVEN = -GRAM_BITS * np.log(2)
 #: Bytes whose likelihoods are summed at a time.
 BLOCK = 1 << 18
+#: Languages whose tables a worker holds (256 MB of counts while it trains).
+MOST_LANGUAGES = 512
+#: A value of more than this share of all rows is hot: there are fewer than its reciprocal of them.
+HOT_SHARE = 1 / 1024
+#: Parts that rows of hot values, and those without one, are dealt to.
+SPREAD = 1024
 #: Trigrams that weigh as one independent observation.
 TEMPER = 4.0
 #: Rows that a level's own counts must have to weigh as much as the level above.
@@ -87,13 +93,16 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang", key: str
     """Fit the text model on rows whose language is known; null languages, UNKNOWN and empty texts are left out.
 
     About SAMPLE_ROWS of each language count, however rare it is; rows of one
-    key stand or fall together.
+    key stand or fall together. Labels of more than MOST_LANGUAGES languages are
+    an error, as no worker holds their tables.
     """
     known = rows.where(F.col(language).isNotNull() & (F.col(language) != UNKNOWN) & (F.length(text) > 0))
     known = known.select(F.col(text).alias("text"), F.col(language).alias("language"), F.xxhash64(F.col(key).cast("string")).alias("place"))
     counts = cut(known.groupBy("language").agg((SAMPLE_ROWS / F.count("*")).alias("rate")), "counts")
     sample = cut(known.join(counts, "language").where(F.pmod("place", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("text", "language"), "sample")
-    languages = sorted(r[0] for r in counts.select("language").collect())
+    languages = sorted(r[0] for r in counts.select("language").limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{language} has more than {MOST_LANGUAGES} languages: clear what is none, or train on fewer")
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +155,22 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _with_counts(rows: DataFrame, key: str, counts: DataFrame, total: float) -> DataFrame:
+    """rows with the counts of their key (see _counts), null without any.
+
+    Hot keys are few by their share of all rows, so that their counts are
+    broadcast. Other counts are joined by key, beside which the rows that have
+    theirs already, or no key, are spread over all tasks.
+    """
+    own, hot = f"n{key}", _total(F.col(f"n{key}")) > total * HOT_SHARE
+    rows = rows.join(F.broadcast(counts.where(hot)), key, "left")
+    plain = [f"`{f.name}`" for f in rows.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    settled = F.col(key).isNull() | F.col(own).isNotNull()
+    rows = rows.withColumn("_part", F.when(settled, F.pmod(F.xxhash64("_ll", *plain), F.lit(SPREAD))).otherwise(-1))
+    rest = counts.where(~hot).select(key, F.lit(-1).cast("long").alias("_part"), F.col(own).alias("_rest"))
+    return rows.join(rest, [key, "_part"], "left").withColumn(own, F.coalesce(own, "_rest")).drop("_part", "_rest")
+
+
 def _smoothed(own: str, above: Column) -> Column:
     """Shares of own counts, with the distribution above as STRENGTH further rows; above alone where there are none."""
     mixed = F.zip_with(own, above, lambda n, p: (n + STRENGTH * p) / (_total(F.col(own)) + STRENGTH))
@@ -176,7 +201,7 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column |
     of = [float(x or 0) for x in seen]
     prior = F.array(*(F.lit((x + 1.0) / (sum(of) + len(of))) for x in of))
     for key in keys:
-        rows = rows.join(_counts(first.select(key, "_best", "_n"), key, languages), key, "left")
+        rows = _with_counts(rows, key, _counts(first.select(key, "_best", "_n"), key, languages), sum(of))
     size = F.array(*map(F.lit, of))
 
     def likelihood(own: str) -> Column:

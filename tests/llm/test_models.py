@@ -1,8 +1,11 @@
 """Language identification and toxicity: held-out accuracy and edge cases."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import language, toxicity
@@ -41,6 +44,60 @@ def test_evidence_and_nulls(spark):
     assert all(out[i].language == lang and out[i].accepted for i, t, lang in texts(3, 60) if len(t) > 60)
 
 
+@pytest.mark.parametrize("share", [1 / 1024, 0.2, 2])
+def test_fusion_beside_plain_python(spark, monkeypatch, share):
+    """With all hosts hot, one that a third of all rows have, and none; joined by key."""
+    monkeypatch.setattr(language, "HOT_SHARE", share)
+    monkeypatch.setitem(language.__dict__, "SPREAD", 3)
+    model = language.train(spark.createDataFrame(texts(2, 200), "doc_id long, text string, lang string"))
+    r = random.Random(8)
+    hosts = ["big.site.de", "big.site.de", "a.site.de", "b.other.fr", "c.other.fr", None]
+    rows = [(i, t if i % 9 else r.choice(["", None, "zz"]), r.choice(hosts), r.choice(["fr-FR", "xx", "", None, lang])) for i, t, lang in texts(4, 90)]
+    rows += rows[:3] + [(None, None, None, None), (900, "", "never.seen.fr", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, declared string")
+    host = F.col("host")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = language.identify(df, model, host=host, domain=F.substring_index(host, ".", -2), suffix=F.substring_index(host, ".", -1), declared=F.col("declared")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    names, own = model.languages, []
+    for x in language._likelihoods(df, "text", model).collect():
+        tag = (x.declared or "").split("-")[0]
+        keys = {"host": x.host, "domain": x.host and x.host.split(".", 1)[1], "suffix": x.host and x.host.split(".")[-1], "declared": (tag if tag in names else "other") if tag else None}
+        own.append((x, keys, x._ll.index(max(x._ll))))
+    of, by = [0] * len(names), defaultdict(lambda: [0] * len(names))
+    for x, keys, best in own:
+        if x._n:
+            of[best] += 1
+            for k, v in keys.items():
+                if v is not None:
+                    by[k, v][best] += 1
+    want = Counter()
+    for x, keys, best in own:
+        prior = [(n + 1) / (sum(of) + len(of)) for n in of]
+        for k in ("domain", "host"):
+            n = by.get((k, keys[k]))
+            prior = [(c + language.STRENGTH * p) / (sum(n) + language.STRENGTH) for c, p in zip(n, prior)] if n else prior
+        log = [v / language.TEMPER + math.log(p) for v, p in zip(x._ll, prior)]
+        for k in ("declared", "suffix"):
+            n = by.get((k, keys[k]))
+            if n:
+                even = language.STRENGTH * sum(n) / sum(of)
+                log = [v + math.log((c + even) / (m + language.STRENGTH)) for v, c, m in zip(log, n, of)]
+        confidence = 1 / sum(math.exp(v - max(log)) for v in log)
+        name = names[log.index(max(log))]
+        want[x.doc_id, name, round(confidence, 9), names[best] if x._n else None, bool(x._n) and confidence >= language.SURE and name != language.UNKNOWN] += 1
+    assert Counter((x.doc_id, x.language, round(x.confidence, 9), x.text_language, x.accepted) for x in found) == want
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.train(spark.createDataFrame(texts(2, 50), "doc_id long, text string, lang string"))
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = language.train(empty)
