@@ -277,9 +277,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     mine = shingled.where("slice is null").select("doc_id", "n_shingles", "cls", "bins")
     full = mine.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.first("n_shingles").alias("n_shingles"), F.first("bins").alias("bins")), "classes")
-    postings = _postings(docs.where(F.col(doc_id).isNotNull()), text, rule, _sketch(shingled))
+    # written, so that texts are not split into words again for each of its uses
+    postings = cut(_postings(docs.where(F.col(doc_id).isNotNull()), text, rule, _sketch(shingled)), "posted")
     lists = postings.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("gram")
     shared = cut(postings.join(lists, "gram").distinct(), "postings")
+    release(postings)
     first = cut(_typical_pairs(shared, rule), "pairs")
     edges = _verified(first, classes, docs, doc_id, text, rule)
     components = cut(connected_components(edges, "a", "b"), "components")

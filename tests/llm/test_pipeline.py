@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from foliant.llm import bpe, toxicity
 from foliant.llm.queries import queries
+from foliant.llm.storage import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +54,13 @@ def test_stages(spark, tmp_path):
 
 
 def test_run_equals_stages(spark):
-    assert P.run(spark, SF).select("doc_id", "n_tokens").count() > 100
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in P.STAGES:
+        docs = cut(stage(spark, docs, SF), name)
+    count = lambda df: Counter((r.doc_id, r.source, r.lang, r.n_tokens, bytes(r.token_ids), r.decoded_sha256) for r in df.collect())
+    want = count(docs)
+    assert want.total() > 100
+    assert count(P.run(spark, SF)) == want
 
 
 def test_queries_with_sql(spark):
