@@ -110,12 +110,20 @@ def give_back() -> None:
         trim(0)
 
 
+#: Batches between which a worker keeps memory that it no longer uses.
+BATCHES_KEPT = 16
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, giving back memory at each partition's end."""
+    """run for mapInArrow, giving back memory after every few batches and at each partition's end."""
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        for k, batch in enumerate(run(batches), 1):
+            yield batch
+            del batch
+            if k % BATCHES_KEPT == 0:
+                give_back()
         give_back()
 
     return whole
