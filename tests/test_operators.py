@@ -260,6 +260,21 @@ def test_percentile(spark):
     assert df.where("x > 9").agg(G.percentile(F.col("x"), 0.5)).first()[0] is None
 
 
+def test_gram_share_in_chunks(spark, monkeypatch):
+    """Beside all pairs in columns, chunks of a few notes give the same best predictions."""
+    monkeypatch.setattr(G, "CHUNK", 150)
+    rng = random.Random(5)
+    text = lambda most: None if rng.random() < 0.1 else "".join(rng.choices("ab\u4e2d\U0001f600", k=rng.randint(0, most)))
+    rows = lambda n: [(rng.choice([1, 2, 3, None]), i, text(6), text(25)) for i in range(n)]
+    human = spark.createDataFrame([*rows(60), (9, 1, "abc", "abcd")], "doc_id long, human_no int, clause string, point string")
+    said = spark.createDataFrame([*rows(60), (1, None, "aaa", "aaaa")], "doc_id long, predicted_no int, clause string, point string")
+    fast = G.match_annotations(human, said, 0.2, 0.15, G.gram_share)
+    slow = G.match_annotations(human, said, 0.2, 0.15, lambda a, b: G.gram_share(a, b))
+    assert fast.schema == slow.schema
+    key = lambda r: (str(r.doc_id), r.human_no)
+    assert sorted(fast.collect(), key=key) == sorted(slow.collect(), key=key)
+
+
 def test_literal_terms(spark):
     df = spark.createDataFrame([('find "late fee"：price、是否the、payment terms。采购单位；承包人',)], "q string")
     assert df.select(E.literal_terms(F.col("q"), F.array(F.lit(" plan "), F.lit("x"))).alias("t")).first().t == ["payment terms", "late fee", "price", "plan", "采购单位", "承包人", "承包", "采购"]
