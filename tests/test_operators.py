@@ -441,3 +441,36 @@ def test_coverage_beside_counters(spark, monkeypatch, n):
         want[i] = 0.0 if not x else 1.0 if any(x in y for y in own) else sum((grams(x) & have).values()) / sum(grams(x).values())
     frame = lambda rows: spark.createDataFrame(rows, "case_id int, text string")
     assert {r.case_id: r.coverage for r in G.evidence_coverage(frame(gold), frame(nodes), n).collect()} == pytest.approx(want)
+
+
+def test_coverage_in_slices(monkeypatch):
+    """Workers turn few characters into strings at a time; slices give what single rows do."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    monkeypatch.setattr(G, "SLICE", 50)
+    rng = random.Random(3)
+    text = lambda: rng.choice([None, ""]) if rng.random() < 0.2 else "".join(rng.choices("ab中", k=rng.randint(1, 90)))
+    golds, nodes = [text() for _ in range(80)], [None if rng.random() < 0.1 else [text() for _ in range(rng.randint(0, 3))] for _ in range(80)]
+
+    class Rows:
+        columns = ["text", "_nodes"]
+        schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("_nodes", T.ArrayType(T.StringType()))])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(golds, pa.string()), pa.array(nodes, pa.list_(pa.string()))], names=Rows.columns).slice(5)
+    out = list(G._covered(Rows(), 3, (1, 2))(iter([batch])))
+    assert len(out) > 20
+    assert [x for b in out for x in b.column("_c").to_pylist()] == [G._coverage(x, [y or "" for y in own or []], 3, (1, 2)) for x, own in zip(golds[5:], nodes[5:], strict=True)]
+
+
+def test_normal_form_composes(spark):
+    from unicodedata import normalize
+
+    from foliant.functions.text import nfkc
+
+    rows = [None, "", "éＡ 한", "가éﬁ"] + [chr(i) * 2 for i in range(0xC0, 0x400)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", nfkc("x").alias("y")).collect()
+    assert {r.i: r.y for r in got} == {i: x and normalize("NFKC", x) for i, x in enumerate(rows)}
