@@ -258,7 +258,9 @@ def vector_entries(nodes: DataFrame, tokens: int = 8000) -> DataFrame:
     kind = F.coalesce("node_type", F.lit("")) if "node_type" in nodes.columns else F.lit("")
     kept = nodes.where((strip(F.coalesce("text", F.lit(""))) != "") & ~kind.isin("body", "attachments") & ~F.col("node_id").isin("body", "attachments"))
     entry = strip(F.concat_ws("\n", *(F.concat(F.lit(label), F.coalesce(x, F.lit(""))) for label, x in zip(ENTRY_LABELS, ("title", "summary", "text"), strict=True))))
-    return kept.select("doc_id", "node_id", entry.alias("entry"), F.sha2(entry, 256).alias("text_hash"), truncate(entry, tokens, 1).alias("embedded"))
+    # a column by itself, so that it is made once and not for each place that it stands in
+    made = kept.select("doc_id", "node_id", entry.alias("entry"))
+    return made.select("doc_id", "node_id", "entry", F.sha2("entry", 256).alias("text_hash"), truncate(F.col("entry"), tokens, 1).alias("embedded"))
 
 
 def _nearest(k: int):
