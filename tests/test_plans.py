@@ -37,3 +37,9 @@ def test_measures_of_texts_beside_plain_patterns(spark):
         T.truncate(t, 60, 1, "..").eqNullSafe(F.when(tokens <= 60, t).otherwise(F.concat(F.regexp_replace(head, f"{s}+$", ""), F.lit("..")))),
     ]
     assert spark.createDataFrame(rows, "t string").where(~(same[0] & same[1] & same[2] & same[3])).count() == 0
+
+
+def test_batches_are_merged_without_a_frame_each(spark):
+    rows = spark.range(20).selectExpr("id % 5 AS doc_id", "CAST(id / 10 AS INT) AS batch", "CAST(id AS INT) AS pos", "CAST(1 + id % 3 AS INT) AS level")
+    out = D.merge_batches(rows)
+    assert "InPandas" not in plan(out) and out.count() == 20
