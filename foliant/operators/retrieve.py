@@ -448,15 +448,21 @@ def chunk_text(docs: DataFrame, size: int = 512, overlap: int = 100) -> DataFram
     wide = 2 * size
     slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("x") / wide).cast("int") - 1)), lambda i: F.substring("x", i * wide + 1, F.lit(wide)))
     pieces = s.select("doc_id", "p", "s", F.posexplode(F.when(tokens() > size, slices).otherwise(F.array("x"))).alias("t", "x"))
-    pieces = pieces.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "s", "t")))
-    ranges = overlapping_batches(pieces.select("doc_id", "pos", tokens().alias("w")), size, overlap)
-    # pieces are numbered throughout, so that each batch names its own
-    each = ranges.withColumn("pos", F.explode(F.sequence("start_pos", "end_pos")))
-    inside = each.alias("r").join(pieces.alias("i"), ["doc_id", "pos"])
+    weights = pieces.select("doc_id", "p", "s", "t", tokens().alias("w"))
+    numbered = weights.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "s", "t")).alias("pos"), "w")
+    ranges = overlapping_batches(numbered, size, overlap)
+    # a document's pieces are an array, of which a chunk takes a slice: texts are moved once, whatever the overlap
+    each = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("batch", "start_pos", "end_pos")).alias("_r"))
+    arrays = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "s", "t", "x"))).alias("_b"))
     # pieces of one paragraph stay on a line
-    mark = F.when(F.lag("p").over(Window.partitionBy("doc_id", "batch").orderBy("pos")) == F.col("p"), " ").otherwise("\n\n")
-    line = inside.select("doc_id", F.col("batch").alias("chunk"), "start_pos", "end_pos", "pos", F.when(F.col("pos") == F.col("start_pos"), F.col("x")).otherwise(F.concat(mark, "x")).alias("x"))
-    return line.groupBy("doc_id", "chunk", "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda y: y["x"]), "").alias("text"))
+    marked = arrays.select("doc_id", F.transform("_b", lambda y, i: F.struct(F.when((i > 0) & (F.get("_b", i - 1)["p"] == y["p"]), " ").otherwise("\n\n").alias("mark"), y["x"].alias("x"))).alias("_b"))
+
+    def made(r: Column) -> Column:
+        part = F.slice("_b", r["start_pos"], r["end_pos"] - r["start_pos"] + 1)
+        text = F.array_join(F.transform(part, lambda y, i: F.when(i == 0, y["x"]).otherwise(F.concat(y["mark"], y["x"]))), "")
+        return F.struct(r["batch"].alias("chunk"), r["start_pos"].alias("start_pos"), r["end_pos"].alias("end_pos"), text.alias("text"))
+
+    return marked.join(each, "doc_id").select("doc_id", F.explode(F.transform("_r", made)).alias("c")).select("doc_id", "c.*")
 
 
 def search(

@@ -43,3 +43,10 @@ def test_batches_are_merged_without_a_frame_each(spark):
     rows = spark.range(20).selectExpr("id % 5 AS doc_id", "CAST(id / 10 AS INT) AS batch", "CAST(id AS INT) AS pos", "CAST(1 + id % 3 AS INT) AS level")
     out = D.merge_batches(rows)
     assert "InPandas" not in plan(out) and out.count() == 20
+
+
+def test_chunks_move_texts_once(spark):
+    docs = spark.range(4).selectExpr("id AS doc_id", "concat('One two. ', repeat(concat('Three ', id, ' four. '), 40), '\\n\\nEnd.') AS text")
+    out = E.chunk_text(docs, 20, 5)
+    assert "Window" not in plan(out)
+    assert out.where("doc_id = 1").orderBy("chunk").first().text.startswith("One two. Three 1 four.")
