@@ -11,6 +11,7 @@ from foliant.operators import tree as D
 from foliant.plans.adapt import BLOCKS, blocks, ends, fold_sql, table, tokens_sql, truncate_sql
 from foliant.plans.blocks import VISUAL as VISUAL_SQL
 from foliant.plans.blocks import CANDIDATES, FAMILY, NUMBERED, REQUIRED, candidates, familied, numbered
+from foliant.sources.scratch import cut
 
 
 def nodes(s, d):
@@ -118,6 +119,7 @@ FAMILY_LEVELS = {"arabic_dot": 1, "arabic_paren": 2, "letter": 3}
 def detected(s, d):
     """Lines that begin with a number, as headings: the family of a required candidate says its level, a rule of a segment another one."""
     found = C.required_sequences(candidates(s, d)).where("required AND family <> 'unnumbered'")
+    found = cut(found.select("doc_id", "pos", "family", "text", "tokens"), "found")
     levels = F.create_map(*(F.lit(x) for pair in FAMILY_LEVELS.items() for x in pair))
     start = found.groupBy("doc_id").agg(F.min("pos").alias("start_pos")).select("doc_id", "start_pos", F.lit(1).alias("segment_no"), levels.alias("rules"))
     return D.apply_segments(found, start).where("level IS NOT NULL").join(found.select("doc_id", "pos", F.col("text").alias("title"), "tokens"), ["doc_id", "pos"])

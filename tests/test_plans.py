@@ -50,3 +50,23 @@ def test_chunks_move_texts_once(spark):
     out = E.chunk_text(docs, 20, 5)
     assert "Window" not in plan(out)
     assert out.where("doc_id = 1").orderBy("chunk").first().text.startswith("One two. Three 1 four.")
+
+
+def test_hierarchies_read_headings_once(spark):
+    """Also for six levels: no join of layers; a level beyond them counts as far as its depth does."""
+    rows = [(1, 0, 2), (1, 1, 1), (1, 2, 3), (1, 3, 2), (1, 4, 3), (1, 5, 7), (1, 6, 3), (1, 7, 0), (1, 8, 7), (2, 0, 3)]
+    ends = spark.createDataFrame([(1, 9)], "doc_id long, range_end int")
+    out = D.build_hierarchy(spark.createDataFrame(rows, "doc_id long, pos int, level int"), ends)
+    found = {(r.doc_id, r.pos): (r.node_id, r.parent_id, r.depth, r.end_pos) for r in out.collect()}
+    assert found == {
+        (1, 0): ("body/l2_001", "body", 1, 1),
+        (1, 1): ("body/sec_001", "body", 1, 9),
+        (1, 2): ("body/sec_001/l3_001", "body/sec_001", 2, 3),
+        (1, 3): ("body/sec_001/l2_001", "body/sec_001", 2, 9),
+        (1, 4): ("body/sec_001/l2_001/l3_001", "body/sec_001/l2_001", 3, 6),
+        (1, 6): ("body/sec_001/l2_001/l3_002", "body/sec_001/l2_001", 3, 9),
+        (1, 7): ("body/l0_001", "body", 1, 9),
+        (2, 0): ("body/l3_001", "body", 1, None),
+    }
+    many = spark.range(9).selectExpr("1L AS doc_id", "CAST(id AS INT) AS pos", "CAST(1 + id % 6 AS INT) AS level", "'t' AS title")
+    assert plan(D.hierarchy_nodes(many, ends, "a")).count("Join") == 1
