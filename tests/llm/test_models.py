@@ -270,3 +270,71 @@ def test_counts_beside_plain_dictionaries(spark):
             else:
                 assert max(want[step]) <= toxicity.LEVELS[0] + 1e-9, step
     assert met > 5
+
+
+def class_kneser_ney(rows):
+    """(ended, failed) of every beginning of a word by Kneser-Ney models of the classes, from texts and labels, by dictionaries."""
+    from math import log
+
+    docs, before = {}, {}
+    for text, y in rows:
+        seen, last = set(), None
+        for word in text.lower().split():
+            steps = [step_of(word, k) for k, n in enumerate((0, *toxicity.STEPS)) if len(word) > n]
+            before.setdefault(steps[0], set()).add(last)
+            last = word
+            seen |= {(s, steps[i - 1] if i else None) for i, s in enumerate(steps)}
+        for step in seen:
+            docs.setdefault(step, [0, 0])[y] += 1
+    tokens = [sum(n[c] for (_, start), n in docs.items() if start is None) for c in (0, 1)]
+    takes = [toxicity.DISCOUNT * t / min(tokens) for t in tokens]
+    further = lambda step, start: (step[0], step[1][len(start[1]) :], step[2])
+    follows, of_level = {}, {}
+    for step, start in docs:
+        if start:
+            follows.setdefault(further(step, start), set()).add(start)
+            of_level[step[0]] = of_level.get(step[0], 0) + 1
+    mass, left = {}, {}
+    for (_, start), n in docs.items():
+        for c in (0, 1):
+            mass[start, c] = mass.get((start, c), 0) + n[c]
+            left[start, c] = left.get((start, c), 0) + max(n[c] - takes[c], 0)
+    back = {k: 1 - left[k] / m if m else 1.0 for k, m in mass.items()}
+    ratio = {}
+    for (step, start), n in docs.items():
+        shared = len(follows[further(step, start)]) / of_level[step[0]] if start else len(before[step]) / sum(map(len, before.values()))
+        p = [max(n[c] - takes[c], 0) / max(mass[start, c], 1) + back[start, c] * shared for c in (0, 1)]
+        ratio[step] = (log(p[1] / p[0]), start)
+    out = {}
+    for step in sorted(ratio):
+        r, start = ratio[step]
+        ended = r + (out[start][0] if start else 0)
+        out[step] = (ended, ended + (log(back[step, 1] / back[step, 0]) if (step, 0) in back else 0))
+    return out
+
+
+def test_models_are_kneser_ney(spark):
+    import numpy as np
+
+    r = random.Random(13)
+    stems = ["tox", "toxicword", "toxiclonger", "plain", "plainness", "vermi", "verminous", "verminously", "a", "calm", "calmness"]
+    rows = []
+    for _ in range(500):
+        y = int(r.random() < 0.3)
+        rows.append((" ".join(r.choice(stems[:3] + stems[5:8] if y and r.random() < 0.4 else stems[3:5] + stems[8:]) + r.choice(["", "", "s", "ly"]) for _ in range(r.randint(1, 12))), y))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    got = {(n.level, n.at): (n.ended, n.failed) for n in model.nodes.collect()}
+    want = class_kneser_ney([x for i, x in enumerate(rows) if zlib.crc32(str(i).encode()) % toxicity.FOLDS not in (toxicity.HELD_OUT, toxicity.CALIBRATE)])
+    words = sorted({w for t, _ in rows for w in t.split()})
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    met = 0
+    for k, (at, _, takes) in enumerate(toxicity._path(raw, np.array([0, len(raw)])).steps):
+        for i in np.flatnonzero(takes):
+            step, key = step_of(words[i], k), (k, int(at[i].astype(np.int64)))
+            if key in got:
+                met += k > 0
+                assert np.allclose(got[key], want[step]), step
+            elif step in want:
+                assert max(want[step]) <= toxicity.LEVELS[0] + 1e-9, step
+    assert met > 5
