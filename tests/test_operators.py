@@ -474,3 +474,34 @@ def test_normal_form_composes(spark):
     rows = [None, "", "éＡ 한", "가éﬁ"] + [chr(i) * 2 for i in range(0xC0, 0x400)]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", nfkc("x").alias("y")).collect()
     assert {r.i: r.y for r in got} == {i: x and normalize("NFKC", x) for i, x in enumerate(rows)}
+
+
+def test_matching_blocks_as_arrays():
+    import time
+    from difflib import SequenceMatcher
+
+    r = random.Random(21)
+    plain = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+    for letters in ("a", "ab", "abc é\ud800😀", "abcdefghijklmnop qrstuvwxyz"):
+        for _ in range(60):
+            a, b = ("".join(r.choice(letters) for _ in range(r.randrange(1, 160))) for _ in "ab")
+            b = r.choice([b, b + a, a[: len(a) // 2] + b[:9] + a[len(a) // 2 :], a])
+            assert 2.0 * G.matching(a, b) / (len(a) + len(b)) == plain(a, b) == G.block_ratio(a, b)
+            assert G.block_ratio(b, a) == plain(b, a)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    pairs = [tuple(" ".join(r.choice(words) for _ in range(n)) for n in (40, 190)) for _ in range(15)]
+    took = []
+    for f in (plain, G.block_ratio):
+        began = time.process_time()
+        found = [f(a, b) for a, b in pairs]
+        took.append((time.process_time() - began, found))
+    assert took[0][1] == took[1][1]
+    assert took[1][0] < took[0][0] / 2
+
+
+def test_notes_are_compared_by_many_tasks(spark):
+    rows = spark.range(3 * G.NOTES).selectExpr("id AS doc_id", "1 AS human_no", "1 AS predicted_no", "'a clause' AS clause", "concat('point ', id) AS point")
+    out = G.match_annotations(rows.drop("predicted_no"), rows.drop("human_no"))
+    out.collect()
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("status = 'hit' AND match = 1").count() == 3 * G.NOTES
