@@ -505,3 +505,12 @@ def test_notes_are_compared_by_many_tasks(spark):
     out.collect()
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("status = 'hit' AND match = 1").count() == 3 * G.NOTES
+
+
+def test_visible_text_shuffles_no_pairs(spark):
+    rows = [(1, 1, 2, "b"), (1, 1, 0, " a"), (1, 1, 1, None), (1, 1, 10, "c "), (2, 1, None, "x"), (2, 1, 0, "y"), (3, 1, 0, None)]
+    for kind in ("int", "long"):
+        out = B.visible_text(spark.createDataFrame(rows, f"doc_id long, pos int, run_no {kind}, text string").repartition(3))
+        assert {r.doc_id: r.text for r in out.collect()} == {1: "abc", 2: "xy", 3: ""}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list(struct" not in plan and "collect_list(named_struct" not in plan
