@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from foliant.sources.places import placed
 from foliant.sources.scratch import cut
+from foliant.sources.spread import spread
 
 #: Items of a group that are folded at once; longer groups are folded in blocks.
 BLOCK = 1 << 16
@@ -270,7 +271,7 @@ def greedy_batches(
     long = _long(rows, keys, block)
     short = rows if long is None else _among(rows, long, keys, "left_anti")
     item = F.struct(order, "_w", *carry)
-    groups = short.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.max("_limit").alias("_limit"))
+    groups = spread(short, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.max("_limit").alias("_limit"))
     groups = groups.withColumn("_numbers", _numbers(rule)(F.transform("_items", lambda x: x["_w"]), "_limit"))
     each = groups.select(*keys, F.explode(F.arrays_zip("_items", "_numbers")).alias("_x"))
     out = each.select(*keys, f"_x._items.{order}", *(f"_x._items.{c}" for c in carry), F.col("_x._numbers").alias(batch))
@@ -307,7 +308,7 @@ def overlapping_batches(items: DataFrame, target: float, overlap: float, block:
         return pd.Series(out)
 
     short = rows if long is None else _among(rows, long, ["doc_id"], "left_anti")
-    groups = short.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_w"))).alias("x"))
+    groups = spread(short, ["doc_id"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_w"))).alias("x"))
     found = groups.select("doc_id", F.transform("x", lambda i: i["pos"]).alias("p"), F.posexplode(ranges(F.transform("x", lambda i: i["_w"]))).alias("batch", "r"))
     out = found.select("doc_id", (F.col("batch") + 1).alias("batch"), F.get("p", F.col("r.a")).alias("start_pos"), F.get("p", F.col("r.z")).alias("end_pos"))
     if long is None:

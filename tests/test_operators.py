@@ -514,3 +514,15 @@ def test_visible_text_shuffles_no_pairs(spark):
         assert {r.doc_id: r.text for r in out.collect()} == {1: "abc", 2: "xy", 3: ""}
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "collect_list(struct" not in plan and "collect_list(named_struct" not in plan
+
+
+def test_tasks_grow_with_rows_of_tables(spark, monkeypatch):
+    from foliant.sources import spread
+
+    rows = spark.range(600).selectExpr("id % 30 AS doc_id", "1 AS table_id", "CAST(id AS INT) AS row", "4 AS tokens", "1 AS columns", "concat('| ', id, ' |\n') AS text")
+    want = sorted(map(tuple, D.split_large_tables(rows, 20, 18).collect()))
+    monkeypatch.setattr(spread, "ROWS", 60)
+    out = D.split_large_tables(rows, 20, 18)
+    plan = out._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and spread.spread(rows, ["doc_id"]).rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 30
