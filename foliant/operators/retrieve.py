@@ -410,17 +410,25 @@ def anchor_context(units: DataFrame, anchors: DataFrame, asked: DataFrame | None
     place = F.col("place") if "place" in units.columns else F.col("pos")
     title = F.trim(F.coalesce("title", F.lit(""))) if "title" in units.columns else F.lit("")
     kind = F.when(F.col("kind") == "tbl", "table").otherwise("paragraph")
-    points = anchors.select("doc_id", "pos", kind.alias("kind"), strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    texts = anchors.select("doc_id", "pos", kind.alias("kind"), strip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''").withColumn("_h", F.xxhash64("text"))
+    # anchors are numbered by place, kind and hash, once each: texts wait in their document's array, and are moved once
+    points = texts.select("doc_id", "pos", "kind", "_h").distinct().withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "kind", "_h")) - 1)
+    arrays = texts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "kind", "_h", "text"))), lambda x: x["text"]).alias("_b"))
     spans = units.select("query_id", "doc_id", "pos", "end_pos", F.struct(place.alias("place"), title.alias("title")).alias("_u"))
-    rows = covered(points, ranks(points, spans, ["query_id", "_u", "pos"]).drop("pos"))
+    rows = covered(points.drop("_h"), ranks(points, spans, ["query_id", "_u", "pos"]).drop("pos"))
     # an anchor that several units cover stands where the first has it
-    once = rows.groupBy("query_id", "doc_id", "pos", "kind", "text").agg(F.min("_u").alias("_u"))
-    once = once.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_u.place", "pos")))
+    once = rows.groupBy("doc_id", "query_id", "_at", "pos", "kind").agg(F.min("_u").alias("_u"))
+    once = once.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("_u.place", "_at")))
     path = F.concat(F.lit("path:body/"), F.when(F.col("kind") == "table", "tbl").otherwise("p"), F.col("pos").cast("string"))
     head = F.concat(F.lit(HEADER), F.col("_i").cast("string"), F.when(F.col("_u.title") != "", F.concat(F.lit(TITLE_LINE), F.col("_u.title"))).otherwise(""))
-    part = F.concat(head, F.lit("\nxml_anchor_type: "), "kind", F.lit("\nxml_anchor_id: "), path, F.lit(TEXT_LINE), "text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", part.alias("t")))), lambda x: x["t"]), "\n\n---\n\n")
-    out = once.groupBy("query_id", "doc_id").agg(joined.alias("context"))
+    head = F.concat(head, F.lit("\nxml_anchor_type: "), "kind", F.lit("\nxml_anchor_id: "), path, F.lit(TEXT_LINE))
+    asks = once.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("_i", head.alias("head"), "_at"))).alias("_a"))
+    asks = asks.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "_a")).alias("_q"))
+
+    def joined(q: Column) -> Column:
+        return F.struct(q["query_id"].alias("query_id"), F.array_join(F.transform(q["_a"], lambda a: F.concat(a["head"], F.get("_b", a["_at"]))), "\n\n---\n\n").alias("context"))
+
+    out = asks.join(arrays, "doc_id").select("doc_id", F.explode(F.transform("_q", joined)).alias("c")).select("c.query_id", "doc_id", "c.context")
     if asked is None:
         return out
     pairs = asked.select("query_id", "doc_id").distinct()
@@ -470,10 +478,12 @@ def search(
 ) -> DataFrame:
     """query_id, doc_id, sources, used, has_more, next_part, context: the whole search for every (query, document) of steps.
 
-    nodes: build_hierarchy() with text, summary, tokens and is_leaf. steps:
-    query_id, doc_id, step_no, method (title, region, rule, join, scan or
-    hybrid), terms, regions, all_titles, fallback. anchors: doc_id, pos, kind,
-    anchor, node_id, text. Routed matches are merged in the order of steps.
+    nodes: build_hierarchy() with tokens (of their text, see measure_nodes()),
+    and with text, summary and is_leaf if a step is a join, which alone reads
+    them. steps: query_id, doc_id, step_no, method (title, region, rule, join,
+    scan or hybrid), terms, regions, all_titles, fallback. anchors: doc_id, pos,
+    kind, text, and anchor and node_id if a step is a rule or a scan. Methods
+    that no step names cost nothing. Routed matches are merged in the order of steps.
     Pairs that need it (fallback_needed()) also get structure matches
     (query_id, doc_id, node_id, place) and vector matches (query_id, doc_id,
     node_id, score); of their candidates, in the order of reranked (query_id,
@@ -484,19 +494,33 @@ def search(
     message instead.
     """
     key = ["query_id", "doc_id"]
-    nodes, anchors, steps = cut(nodes, "nodes"), cut(anchors, "anchors"), cut(steps, "steps")
+    steps = cut(steps, "steps")
+    named = {r[0] for r in steps.where(F.col("method").isin("rule", "join", "scan")).select("method").distinct().collect()}
+    if "join" in named and not {"text", "summary", "is_leaf"} <= set(nodes.columns):
+        raise ValueError("joins look into texts, which these nodes lack")
+    # columns that no branch reads aren't made
+    of_nodes = ["doc_id", "node_id", "parent_id", "title", "pos", "end_pos", "depth", *(c for c in ("node_type",) if c in nodes.columns), *(["text", "summary", "is_leaf"] if "join" in named else [])]
+    nodes = cut(nodes.select(*of_nodes, "tokens"), "nodes")
+    anchors = cut(anchors.select("doc_id", "pos", "kind", "text", *(["anchor", "node_id"] if named & {"rule", "scan"} else [])), "anchors")
     of = lambda name: steps.where(F.col("method") == name)
     titles = title_match(nodes, of("title")).join(nodes.select("doc_id", "node_id", F.col("pos").alias("place")), ["doc_id", "node_id"])
     regions = region_match(nodes, of("region"), titles)
-    rules = rule_match(anchors, of("rule")).withColumn("place", F.col("pos"))
-    batches = scan_batches(anchors, scan_budget)
-    scans = of("scan").select(*key).join(batches.select("doc_id", F.col("match_id").alias("node_id"), "parent_id", F.col("start_pos").alias("pos"), (F.col("end_pos") + 1).alias("end_pos"), F.col("batch").alias("place"), F.col("text").alias("text_override")), "doc_id")
-    routed = execute_route(steps, {"title": titles, "region": regions, "rule": rules.withColumn("end_pos", F.col("pos") + 1), "join": join_match(nodes, of("join")), "scan": scans})
+    found = {"title": titles, "region": regions}
+    if "rule" in named:
+        found["rule"] = rule_match(anchors, of("rule")).withColumns({"place": F.col("pos"), "end_pos": F.col("pos") + 1})
+    if "join" in named:
+        found["join"] = join_match(nodes, of("join"))
+    if "scan" in named:
+        batches = scan_batches(anchors.join(of("scan").select("doc_id").distinct(), "doc_id", "left_semi"), scan_budget)
+        found["scan"] = of("scan").select(*key).join(batches.select("doc_id", F.col("match_id").alias("node_id"), "parent_id", F.col("start_pos").alias("pos"), (F.col("end_pos") + 1).alias("end_pos"), F.col("batch").alias("place"), F.col("text").alias("text_override")), "doc_id")
+    routed = execute_route(steps, found)
+    for name, kind in (("pos", "int"), ("end_pos", "int"), ("parent_id", "string")):
+        routed = routed if name in routed.columns else routed.withColumn(name, F.lit(None).cast(kind))
     routed = cut(routed, "routed")
     spans = routed.groupBy(*key, "node_id").agg(F.max("pos").alias("_pos"), F.max("end_pos").alias("_end"), F.max("parent_id").alias("_parent"))
     merged = merge_routed(routed.withColumn("score", F.lit(None).cast("double"))).join(spans, [*key, "node_id"])
     needed = fallback_needed(steps, routed)
-    none = nodes.sparkSession.createDataFrame([], f"query_id {steps.schema['query_id'].dataType.simpleString()}, doc_id {steps.schema['doc_id'].dataType.simpleString()}, node_id string, place int, score double, pos int")
+    none = steps.where("false").select(*key, *(F.lit(None).cast(kind).alias(name) for name, kind in (("node_id", "string"), ("place", "int"), ("score", "double"), ("pos", "int"))))
     more = merge_matches(none if structure is None else structure, none if vector is None else vector).join(needed, key, "left_semi")
     behind = more.select(*key, "node_id", F.lit(1 << 20).alias("first_step"), F.row_number().over(Window.partitionBy(*key).orderBy(F.col("vector_score").desc_nulls_first(), "node_id")).alias("first_place"), "sources")
     both = merged.unionByName(behind, allowMissingColumns=True)
@@ -507,12 +531,12 @@ def search(
     found = found.join(scored, [*key, "node_id"], "left").join(needed.withColumn("_needed", F.lit(True)), key, "left")
     found = found.withColumn("_r", F.when(F.col("_needed"), F.col("_r"))).withColumn("place", F.row_number().over(w)).where(F.col("_needed").isNull() | (F.col("place") <= most))
     kept = prefer_specific(found)
-    own = nodes.select("doc_id", F.col("node_id").alias("_node"), "title", "text", F.col("pos").alias("_a"), F.col("end_pos").alias("_z"))
+    own = nodes.select("doc_id", F.col("node_id").alias("_node"), "title", "tokens", F.col("pos").alias("_a"), F.col("end_pos").alias("_z"))
     kept = kept.withColumn("_node", F.coalesce("_parent", "node_id")).join(own, ["doc_id", "_node"], "left")
-    text = F.coalesce("text_override", "text", F.lit(""))
+    size = F.when(F.col("text_override").isNotNull(), estimate_tokens(F.col("text_override"))).otherwise(F.coalesce("tokens", F.lit(0)))
     scanning = of("scan").select(*key).distinct().withColumn("_scan", F.lit(True))
-    kept = kept.join(scanning, key, "left").select(*key, "place", "sources", "node_id", "title", text.alias("text"), F.col("text_override").isNotNull().alias("_over"), F.coalesce("_pos", "_a").alias("pos"), F.coalesce("_end", "_z").alias("end_pos"), F.when(F.col("_scan"), scan_budget).otherwise(budget).alias("_limit"))
-    kept = cut(kept.withColumn("_tokens", estimate_tokens(F.col("text"))).drop("text"), "kept")
+    kept = kept.join(scanning, key, "left").select(*key, "place", "sources", "node_id", "title", size.alias("_tokens"), F.col("text_override").isNotNull().alias("_over"), F.coalesce("_pos", "_a").alias("pos"), F.coalesce("_end", "_z").alias("end_pos"), F.when(F.col("_scan"), scan_budget).otherwise(budget).alias("_limit"))
+    kept = cut(kept, "kept")
     large = (F.col("_tokens") > F.col("_limit")) & ~F.col("_over")
     whole = kept.where(~large).withColumn("_part", F.lit(0))
     points = anchors.select("doc_id", "pos", estimate_tokens(F.col("text")).alias("_n"))

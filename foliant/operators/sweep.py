@@ -37,24 +37,25 @@ def owner(points: DataFrame, nodes: DataFrame, by: str = "depth", keep: bool = T
     return out if keep else out.where("node_id IS NOT NULL")
 
 
-def ranks(points: DataFrame, spans: DataFrame, key: list[str], weight: Column | None = None) -> DataFrame:
-    """doc_id, key, first, stop (and weight): of each span [pos, end_pos) the places, from 0, of the points that it covers among its document's, stop excluded, and the sum of their weights.
+def ranks(points: DataFrame, spans: DataFrame, key: list[str], weight: Column | dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, key, first, stop (and weight, or the names given): of each span [pos, end_pos) the places, from 0, of the points that it covers among its document's, stop excluded, and the sums of their weights.
 
     Spans may overlap; points with one pos have neighbouring places.
     """
+    weights = {} if weight is None else weight if isinstance(weight, dict) else {"weight": weight}
+    own = [F.coalesce(w, F.lit(0)).cast("long").alias(f"_w_{x}") for x, w in weights.items()]
+    none = [F.lit(0).cast("long").alias(f"_w_{x}") for x in weights]
     id_ = F.struct(*key)
     kind = spans.select(id_.alias("k")).schema["k"].dataType
     bound = lambda c, name: F.struct(F.col(c).cast("long").alias("at"), F.lit(name).alias("name"))
     marks = spans.select("doc_id", id_.alias("_key"), F.explode(F.array(bound("pos", "first"), bound("end_pos", "stop"))).alias("_b"))
-    marks = marks.select("doc_id", "_key", F.col("_b.at").alias("_at"), F.col("_b.name").alias("_name"), F.lit(0).alias("_point"), F.lit(0).cast("long").alias("_w"))
-    own = F.lit(0) if weight is None else F.coalesce(weight, F.lit(0))
-    rows = points.select("doc_id", F.lit(None).cast(kind).alias("_key"), F.col("pos").cast("long").alias("_at"), F.lit(None).cast("string").alias("_name"), F.lit(1).alias("_point"), own.cast("long").alias("_w"))
+    marks = marks.select("doc_id", "_key", F.col("_b.at").alias("_at"), F.col("_b.name").alias("_name"), F.lit(0).alias("_point"), *none)
+    rows = points.select("doc_id", F.lit(None).cast(kind).alias("_key"), F.col("pos").cast("long").alias("_at"), F.lit(None).cast("string").alias("_name"), F.lit(1).alias("_point"), *own)
     so_far = Window.partitionBy("doc_id").orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(rows).withColumns({"_n": F.sum("_point").over(so_far), "_sum": F.sum("_w").over(so_far)}).where("_name IS NOT NULL")
+    both = marks.unionByName(rows).withColumns({"_n": F.sum("_point").over(so_far), **{f"_w_{x}": F.sum(f"_w_{x}").over(so_far) for x in weights}}).where("_name IS NOT NULL")
     of = lambda name, c: F.max(F.when(F.col("_name") == name, F.col(c)))
-    out = both.groupBy("doc_id", "_key").agg(of("first", "_n").alias("first"), of("stop", "_n").alias("stop"), (of("stop", "_sum") - of("first", "_sum")).alias("weight"))
-    out = out.select("doc_id", "_key.*", "first", F.greatest("first", "stop").alias("stop"), F.greatest("weight", F.lit(0)).alias("weight"))
-    return out if weight is not None else out.drop("weight")
+    out = both.groupBy("doc_id", "_key").agg(of("first", "_n").alias("first"), of("stop", "_n").alias("stop"), *((of("stop", f"_w_{x}") - of("first", f"_w_{x}")).alias(f"_w_{x}") for x in weights))
+    return out.select("doc_id", "_key.*", "first", F.greatest("first", "stop").alias("stop"), *(F.greatest(f"_w_{x}", F.lit(0)).alias(x) for x in weights))
 
 
 def covered(points: DataFrame, ranked: DataFrame) -> DataFrame:
