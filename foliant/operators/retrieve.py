@@ -372,28 +372,46 @@ def chunk_oversized(units: DataFrame, budget: int, anchors: DataFrame | None = N
 
     anchors: doc_id, pos, text. A node's anchors (pos to end_pos, exclusive) fill
     parts up to the budget; a node without any is cut into slices of twice as
-    many characters.
+    many characters. Units that have no text stand for that of their anchors,
+    line by line (see measure_nodes()).
     """
     size = 2 * budget
     large = F.col("tokens") > budget
     null = F.lit(None).cast("int")
     place = [null.alias("start_pos"), null.alias("end_pos")]
-    whole = units.where(~large).select("doc_id", "node_id", F.lit(0).alias("part"), "text", *place)
-    rows = units.where(large)
-    made = None
+    bare = "text" not in units.columns
+    rows, out = units.where(large), []
+    if not bare:
+        out.append(units.where(~large).select("doc_id", "node_id", F.lit(0).alias("part"), "text", *place))
     if anchors is not None:
-        points = anchors.select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"))
-        items = covered(points, ranks(points, rows, ["node_id"])).select("doc_id", "node_id", "pos", "text")
-        folded = greedy_batches(items, ["doc_id", "node_id"], "pos", estimate_tokens(F.col("text")), budget, batch="part", carry=["text"])
-        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n")
-        made = folded.groupBy("doc_id", "node_id", "part").agg(lines.alias("text"), F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"))
-        made = made.select("doc_id", "node_id", "part", "text", F.col("start_pos").cast("int"), F.col("end_pos").cast("int"))
-        rows = rows.join(made.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
-    parts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / size).cast("int")))).alias("part")
-    sliced = rows.select("doc_id", "node_id", "text", parts).select("doc_id", "node_id", "part", F.substring("text", (F.col("part") - 1) * size + 1, F.lit(size)).alias("text"), *place)
-    out = whole.unionByName(sliced)
-    out = out if made is None else out.unionByName(made)
-    return out if anchors is not None else out.drop("start_pos", "end_pos")
+        # folded by numbers alone; anchors at one pos are told apart by a hash
+        text = F.coalesce("text", F.lit(""))
+        points = cut(anchors.select("doc_id", "pos", F.xxhash64(text).alias("_h"), estimate_tokens(text).alias("_n")), "points")
+        spans = (units if bare else rows).where("tokens IS NOT NULL").select("doc_id", "node_id", "pos", "end_pos", large.alias("_large"))
+        ranked = cut(ranks(points, spans, ["node_id", "_large"]), "ranked")
+        placed = points.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "_h")) - 1).drop("_h")
+        items = covered(placed, ranked.where("_large").drop("_large"))
+        folded = greedy_batches(items, ["doc_id", "node_id"], "_at", "_n", budget, batch="part", carry=["pos"])
+        made = folded.groupBy("doc_id", "node_id", "part").agg(F.min("_at").alias("first"), (F.max("_at") + 1).alias("stop"), F.min("pos").cast("int").alias("start_pos"), F.max("pos").cast("int").alias("end_pos"))
+        if bare:
+            made = made.unionByName(ranked.where("NOT _large OR stop <= first").select("doc_id", "node_id", F.col("_large").cast("int").alias("part"), "first", "stop", *place))
+        else:
+            rows = rows.join(ranked.where("stop > first").select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
+        # a document's anchors are an array, of which a part takes a slice: texts are moved once
+        arrays = anchors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64(text).alias("_h"), F.when(text != "", text).alias("line")))).alias("_b"))
+        arrays = arrays.select("doc_id", F.transform("_b", lambda x: x["line"]).alias("_b"))
+        each = made.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in made.columns if c != "doc_id"))).alias("_m"))
+
+        def joined(m: Column) -> Column:
+            lines = F.slice(F.coalesce("_b", F.array().cast("array<string>")), (m["first"] + 1).cast("int"), (m["stop"] - m["first"]).cast("int"))
+            return F.struct(m["node_id"].alias("node_id"), m["part"].alias("part"), F.array_join(lines, "\n").alias("text"), m["start_pos"].alias("start_pos"), m["end_pos"].alias("end_pos"))
+
+        out.append(each.join(arrays, "doc_id", "left").select("doc_id", F.explode(F.transform("_m", joined)).alias("m")).select("doc_id", "m.*"))
+    if not bare:
+        parts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / size).cast("int")))).alias("part")
+        out.append(rows.select("doc_id", "node_id", "text", parts).select("doc_id", "node_id", "part", F.substring("text", (F.col("part") - 1) * size + 1, F.lit(size)).alias("text"), *place))
+    every = reduce(DataFrame.unionByName, out)
+    return every if anchors is not None else every.drop("start_pos", "end_pos")
 
 
 # How found anchors are presented, and what stands for none.

@@ -57,3 +57,15 @@ def test_contexts_move_texts_once(spark):
     assert moved and not any("text#" in x for x in moved)
     twice = b.unionByName(b.where("pos % 3 = 0"))
     assert E.anchor_context(units, twice).exceptAll(E.anchor_context(units, b)).isEmpty()
+
+
+def test_parts_are_folded_without_texts(spark):
+    b, nodes = made(spark)
+    b = b.where("kind = 'p'")
+    key = lambda df: sorted(map(str, df.select("doc_id", "node_id", "part", "text", "start_pos", "end_pos").collect()))
+    whole = D.materialize_nodes(nodes, b).select("doc_id", "node_id", "pos", "end_pos", "text", "tokens")
+    bare = E.chunk_oversized(D.measure_nodes(nodes, b), 12, b)
+    want = key(E.chunk_oversized(whole, 12, b))
+    assert key(bare) == want and any("part=2" in r for r in want)
+    # no text is sorted, and only the lines' own array is shuffled
+    assert not any("text#" in x for x in shown(bare).splitlines() if "Exchange" in x or "Window" in x or "Sort " in x)
