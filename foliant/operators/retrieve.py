@@ -17,8 +17,8 @@ from foliant.operators.sweep import covered, ranks
 from foliant.sources.scratch import cut
 
 
-#: Up to so many keywords are held against each node as literals; more become an automaton.
-FEW_KEYWORDS = 1000
+#: Up to so many keywords are held against each node as literals, each of which reads all texts; more become an automaton, which reads them once.
+FEW_KEYWORDS = 16
 
 
 def keyword_search(nodes: DataFrame, keywords: DataFrame, margin: int = 30, few: int = FEW_KEYWORDS) -> DataFrame:

@@ -69,3 +69,15 @@ def test_parts_are_folded_without_texts(spark):
     assert key(bare) == want and any("part=2" in r for r in want)
     # no text is sorted, and only the lines' own array is shuffled
     assert not any("text#" in x for x in shown(bare).splitlines() if "Exchange" in x or "Window" in x or "Sort " in x)
+
+
+def test_many_keywords_read_texts_of_leaves_once(spark):
+    b, nodes = made(spark)
+    nodes = nodes.withColumn("is_leaf", ~F.coalesce(F.lead("parent_id").over(D.W()) == F.col("node_id"), F.lit(False)))
+    words = [(i, None, x) for i, x in enumerate(["word", "als", "Ä", "三年", "line", *(f"none{k}" for k in range(30))])]
+    keywords = spark.createDataFrame(words, "query_id long, doc_id long, keyword string")
+    leaves = D.materialize_nodes(nodes, b, only="is_leaf")
+    assert leaves.where("NOT is_leaf AND text IS NOT NULL").isEmpty() and not leaves.where("is_leaf AND text <> ''").isEmpty()
+    found = E.keyword_search(leaves, keywords)
+    assert "MapInArrow" in shown(found)
+    assert sorted(map(str, found.collect())) == sorted(map(str, E.keyword_search(D.materialize_nodes(nodes, b), keywords, few=1000).collect()))
