@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import strip
+from foliant.sources.digests import PIECE, long_digests
 from foliant.sources.lines import SPLIT, read_lines
 from foliant.sources.scratch import cut
 
@@ -21,9 +22,10 @@ def discover_files(spark: SparkSession, path: str, glob: str = "*.docx", exclude
     return files.where(~F.contains("path", F.lit(exclude))) if exclude else files
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """path, sha256 of each file."""
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+def fingerprint(files: DataFrame, piece: int = PIECE) -> DataFrame:
+    """path, sha256 of each file (path, length, content); the content of one longer than piece bytes is not taken from there, but read in pieces."""
+    short = files.where(F.col("length") <= piece).select("path", F.sha2("content", 256).alias("sha256"))
+    return short.unionByName(long_digests(files.where(F.col("length") > piece), piece))
 
 
 def manifest_diff(before: DataFrame, now: DataFrame) -> DataFrame:
