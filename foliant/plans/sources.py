@@ -10,7 +10,7 @@ from foliant.plans.adapt import BLOCKS, blocks, table
 from foliant.plans.blocks import NUMBERED, numbered
 from foliant.plans.tree import NODES, nodes
 from foliant.sources import tables as A
-from foliant.sources.scratch import scratch
+from foliant.sources.scratch import cut, scratch
 from foliant.streaming import events as S
 
 
@@ -71,9 +71,10 @@ def scanned(s, d):
 
 def index_parts(s, d):
     b = blocks(s, d)
-    n = nodes(s, d).withColumns({"text": F.col("title"), "summary": F.col("title")})
-    a = D.own_anchors(b.select("doc_id", "pos", "kind", "text"), nodes(s, d))
-    return A.index_stores(n, a, b.where("kind = 'tbl'").select("doc_id", "pos", "text"))
+    # most parts read them
+    n = cut(nodes(s, d).select("doc_id", "node_id", "parent_id", "level", "title", "tokens", "pos", "end_pos"), "index_nodes")
+    a = D.own_anchors(b.select("doc_id", "pos", "kind", "text"), n)
+    return A.index_stores(n.withColumns({"text": F.col("title"), "summary": F.col("title")}), a, b.where("kind = 'tbl'").select("doc_id", "pos", "text"))
 
 
 def updated_index(s, d):

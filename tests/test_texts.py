@@ -81,3 +81,11 @@ def test_many_keywords_read_texts_of_leaves_once(spark):
     found = E.keyword_search(leaves, keywords)
     assert "MapInArrow" in shown(found)
     assert sorted(map(str, found.collect())) == sorted(map(str, E.keyword_search(D.materialize_nodes(nodes, b), keywords, few=1000).collect()))
+
+
+def test_parts_of_an_index_share_their_nodes(spark):
+    from foliant.plans.sources import index_parts
+
+    parts = index_parts(spark, "/root/testdata/sf0.001")
+    for name in ("structure", "content", "titles", "tokens"):
+        assert "Exchange" not in shown(parts[name]), name
