@@ -11,6 +11,11 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def sent(df):
+    """Whether a join of a plan as it is made at first broadcasts a side."""
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entries_are_made_once(spark):
     nodes = spark.range(4).selectExpr("id AS doc_id", "concat('n', id) AS node_id", "concat('t', id) AS title", "concat('s', id) AS summary", "concat('x ', id) AS text")
     out = E.vector_entries(nodes, 60)
@@ -70,3 +75,12 @@ def test_hierarchies_read_headings_once(spark):
     }
     many = spark.range(9).selectExpr("1L AS doc_id", "CAST(id AS INT) AS pos", "CAST(1 + id % 6 AS INT) AS level", "'t' AS title")
     assert plan(D.hierarchy_nodes(many, ends, "a")).count("Join") == 1
+
+
+def test_segments_and_candidates_are_never_broadcast(spark):
+    """Written tables are small by their compressed files, and large on the driver."""
+    candidates = spark.range(200).selectExpr("id % 5 AS doc_id", "CAST(id AS INT) AS pos", "CASE WHEN id % 2 = 0 THEN 'arabic_dot' ELSE 'letter' END AS family", "id % 7 > 2 AS required")
+    segments = spark.range(40).selectExpr("id % 5 AS doc_id", "CAST(id AS INT) AS segment_no", "CAST(id * 3 AS INT) AS start_pos", "map('arabic_dot', CAST(id % 9 AS INT)) AS rules")
+    out = D.segment_errors(candidates, segments)
+    assert not sent(out)
+    assert out.where("error = 'unknown_start'").count() == sum(x * 3 % 5 != x % 5 for x in range(40))
