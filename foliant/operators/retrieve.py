@@ -396,7 +396,7 @@ def chunk_oversized(units: DataFrame, budget: int, anchors: DataFrame | None = N
         if bare:
             made = made.unionByName(ranked.where("NOT _large OR stop <= first").select("doc_id", "node_id", F.col("_large").cast("int").alias("part"), "first", "stop", *place))
         else:
-            rows = rows.join(ranked.where("stop > first").select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_anti")
+            rows = rows.join(ranked.where("stop > first").select("doc_id", "node_id").distinct().hint("merge"), ["doc_id", "node_id"], "left_anti")
         # a document's anchors are an array, of which a part takes a slice: texts are moved once
         arrays = anchors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64(text).alias("_h"), F.when(text != "", text).alias("line")))).alias("_b"))
         arrays = arrays.select("doc_id", F.transform("_b", lambda x: x["line"]).alias("_b"))

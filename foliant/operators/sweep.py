@@ -59,7 +59,10 @@ def ranks(points: DataFrame, spans: DataFrame, key: list[str], weight: Column |
 
 
 def covered(points: DataFrame, ranked: DataFrame) -> DataFrame:
-    """ranked (see ranks()) without first and stop, joined with each point that a span covers: an equi-join by document and place."""
+    """ranked (see ranks()) without first and stop, joined with each point that a span covers: an equi-join by document and place.
+
+    Neither side is broadcast: Spark judges a written ranked by its compressed files, and does not count the rows that explode makes.
+    """
     placed = points.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     each = ranked.where("stop > first").withColumn("_rank", F.explode(F.sequence(F.col("first").cast("int"), (F.col("stop") - 1).cast("int")))).drop("first", "stop", "weight")
-    return each.join(placed, ["doc_id", "_rank"]).drop("_rank")
+    return each.hint("merge").join(placed, ["doc_id", "_rank"]).drop("_rank")

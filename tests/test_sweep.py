@@ -62,3 +62,12 @@ def test_ranks_and_covers_of_any_spans(spark):
     for r in covered(rows, found).collect():
         got.setdefault((r.doc_id, r.node_id), []).append((r.pos, r.text))
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_covers_are_never_broadcast(spark):
+    """What spans cover is more than the spans, which Spark judges the rows by."""
+    points = spark.range(60).selectExpr("id % 3 AS doc_id", "CAST(id AS INT) AS pos")
+    spans = spark.range(12).selectExpr("id % 3 AS doc_id", "concat('n', id) AS node_id", "CAST(id AS INT) AS pos", "CAST(id * 5 AS INT) AS end_pos")
+    out = covered(points, ranks(points, spans, ["node_id"]))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == sum(max(0, len([p for p in range(60) if p % 3 == i % 3 and i <= p < i * 5])) for i in range(12))
