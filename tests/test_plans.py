@@ -84,3 +84,14 @@ def test_segments_and_candidates_are_never_broadcast(spark):
     out = D.segment_errors(candidates, segments)
     assert not sent(out)
     assert out.where("error = 'unknown_start'").count() == sum(x * 3 % 5 != x % 5 for x in range(40))
+
+
+def test_cases_are_covered_by_all_their_nodes(spark, tmp_path):
+    """The next block is a node too: it has the gold text whole, or some of its grams, each as often as it stands there."""
+    from foliant.plans import registry
+
+    texts = [(1, "abcdefgh\nxx abcd efgh yy\n\nzzzzzz"), (2, "abcdefgh\nefgh"), (3, "abcdefgh")]
+    spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.case_id: r.coverage for r in registry.queries()["g03_coverage"](spark, str(tmp_path)).collect()}
+    # of six grams the own copy has two (abcd), the next block of document 2 two others
+    assert found == {"1-1": 1.0, "2-1": 4 / 6, "3-1": 2 / 6}
