@@ -8,7 +8,9 @@ quotient filters, one for each range of permuted keys (a shard). A shard's
 filters are merged, its frequent n-grams go to the table of counts, and each
 chunk learns which of its own n-grams they are: longer n-grams are only counted
 where both their parts are frequent, which drops nothing. So no task sees more
-than a chunk or a shard, and no vocabulary is ever sent to all tasks.
+than a chunk or a shard, and no vocabulary is ever sent to all tasks: Spark
+judges written tables by their compressed files, before their copies are made,
+so that joins of words and phrases say that they are merge joins.
 """
 
 from __future__ import annotations
@@ -227,7 +229,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     # chunks take over ids; a word of many chunks is joined by copies
     lookups = entries.select("chunk", "pos", F.col("langs").alias("lang"), F.col("words").alias("word")).withColumn("copy", F.pmod("chunk", F.lit(COPIES)).cast("int"))
     known = vocabulary.select("lang", "word", "id", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
-    found = lookups.join(known, ["lang", "word", "copy"]).select(F.col("chunk").alias("of"), "pos", "id")
+    found = lookups.join(known.hint("merge"), ["lang", "word", "copy"]).select(F.col("chunk").alias("of"), "pos", "id")
     kind = "chunk long, ids binary, shard int, filter binary"
     filters = cut(chunks.select("chunk", "codes").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_identified(bits, shards), kind), "filters2")
     ids = filters.where("ids IS NOT NULL").select("chunk", "ids")
@@ -270,16 +272,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     at = F.explode(F.expr("filter(flatten(transform(sequence(2, size - 1), k -> transform(sequence(1, size - k + 1), i -> struct(i AS at, k AS len)))), p -> p.len < size)"))
     parts = phrases.where("size > 2").withColumn("p", at).select("words", "a", "p.at", "p.len", F.expr("slice(words, p.at, p.len)").alias("part"))
     counts = phrases.select(F.col("words").alias("part"), F.col("a").alias("f"))
-    parts = cut(parts.join(counts, "part"), "parts")
+    parts = cut(parts.join(counts.hint("merge"), "part"), "parts")
     inside = parts.groupBy(F.col("part").alias("words")).agg(F.max("a").alias("longer"))
-    left = phrases.join(inside, "words", "left").where(F.col("longer").isNull() | (_exact("longer") * 100 < _exact("a") * share)).drop("longer")
+    left = phrases.join(inside.hint("merge"), "words", "left").where(F.col("longer").isNull() | (_exact("longer") * 100 < _exact("a") * share)).drop("longer")
     left = cut(left, "left")
 
     # their words: texts, counts and language
     words = left.select("words", F.posexplode("words").alias("i", "id")).withColumn("copy", _copy("words"))
-    named = words.join(_copied(vocabulary), ["id", "copy"]).groupBy("words").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word", "f"))).alias("each"))
+    named = words.join(_copied(vocabulary).hint("merge"), ["id", "copy"]).groupBy("words").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word", "f"))).alias("each"))
     of = parts.groupBy("words").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("at", "len"), "f"))).alias("of"))
-    whole = left.join(named, "words").join(of, "words", "left")
+    whole = left.join(named.hint("merge"), "words").join(of.hint("merge"), "words", "left")
 
     def counted(start: Column, length: Column) -> Column:
         return F.when(length == 1, F.element_at("each", start)["f"]).otherwise(F.element_at("of", F.struct(start.alias("at"), length.alias("len"))))

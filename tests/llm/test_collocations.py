@@ -119,3 +119,13 @@ def test_merging_adds_counts_across_filters():
 def test_query(spark, sf):
     path = f"/root/testdata/{sf}"
     assert_same(queries.op13_collocations(spark, path), views(path), queries.OP13_SQL)
+
+
+def test_no_vocabulary_is_broadcast(spark, monkeypatch):
+    """Only what has a row for each partition or language is."""
+    plans, cut = {}, co.cut
+    monkeypatch.setattr(co, "cut", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or cut(df, name))
+    docs = made(3, 60)
+    assert found(spark, docs, 8, 50) == plain(docs, 8, 50)
+    assert sum("SortMergeJoin" in x for x in plans.values()) >= 3
+    assert not [name for name, x in plans.items() if name != "vocabulary" and "BroadcastExchange" in x]
