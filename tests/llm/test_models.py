@@ -338,3 +338,37 @@ def test_models_are_kneser_ney(spark):
             elif step in want:
                 assert max(want[step]) <= toxicity.LEVELS[0] + 1e-9, step
     assert met > 5
+
+
+def test_every_word_counts(spark, monkeypatch):
+    """The mean log-likelihood ratio of whole texts beside dictionaries, wherever the ratios are found."""
+    from math import isclose, log
+
+    r = random.Random(14)
+    stems = ["tox", "toxicword", "toxiclonger", "plain", "plainness", "vermi", "verminous", "verminously", "a", "calm", "calmness"]
+    rows = [(" ".join(r.choice(stems[:3] + stems[5:8] if y and r.random() < 0.4 else stems[3:5] + stems[8:]) + r.choice(["", "", "s"]) for _ in range(r.randint(1, 12))), y) for y in (int(r.random() < 0.3) for _ in range(400))]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    learned = [x for i, x in enumerate(rows) if zlib.crc32(str(i).encode()) % toxicity.FOLDS not in (toxicity.HELD_OUT, toxicity.CALIBRATE)]
+    want, first = class_kneser_ney(learned), {}
+    for text, y in learned:
+        for step in {step_of(word, 0) for word in text.split()}:
+            first.setdefault(step, [0, 0])[y] += 1
+    tokens = [sum(n[c] for n in first.values()) for c in (0, 1)]
+    root = [1 - sum(max(n[c] - tokens[c] / min(tokens), 0) for n in first.values()) / tokens[c] for c in (0, 1)]
+
+    def ratio(word):
+        known = [s for k, n in enumerate((0, *toxicity.STEPS)) if len(word) > n and (s := step_of(word, k)) in want]
+        return want[known[-1]][known[-1][2]] if known else log(root[1] / root[0])
+
+    texts = ["calm plain tox", "tox", "calm calm calm plain tox", "toxicwordy unheard toxi plainnessless", "unheard", "a a a", ""]
+    asked = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    for common in (0, 4, 1 << 18):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        model = toxicity.train(docs, labels)
+        assert len(model.common.value.at) <= common
+        found = {x.doc_id: x.mean for x in toxicity._margins(asked, "text", model).collect()}
+        for i, text in enumerate([*texts, texts[0]]):
+            each = [ratio(word) for word in text.split()]
+            assert isclose(found[i], sum(each) / max(len(each), 1), abs_tol=1e-9), (common, text)
+    assert found[2] < found[0] < found[1]
